@@ -50,13 +50,17 @@ def global_row_number(df: DataFrame, order: list, partition_by: list | None = No
     offsets = counts.withColumn(
         "_rk_offset", F.coalesce(F.sum("_rk_n").over(before), F.lit(0)))
     # Bounded by partitions x groups, independent of the row count.
-    offsets = F.broadcast(offsets.select("_rk_part", *partition_by, "_rk_first", "_rk_offset"))
-
-    join_keys = ["_rk_part"] + partition_by
-    cond = [placed[k].eqNullSafe(offsets[k]) for k in join_keys]
+    gnames = [f"_rk_g{i}" for i in range(len(partition_by))]
+    offsets = F.broadcast(offsets.select(
+        F.col("_rk_part").alias("_rk_opart"),
+        *[F.col(c).alias(g) for c, g in zip(partition_by, gnames)],
+        "_rk_first", "_rk_offset"))
+    cond = F.col("_rk_part") == F.col("_rk_opart")
+    for c, g in zip(partition_by, gnames):
+        cond = cond & F.col(c).eqNullSafe(F.col(g))
     out = placed.join(offsets, cond, "inner")
-    rn = (F.col("_rk_offset") + placed["_rk_pos"] - F.col("_rk_first") + 1).cast("bigint")
-    keep = [placed[c] for c in df.columns]
+    rn = (F.col("_rk_offset") + F.col("_rk_pos") - F.col("_rk_first") + 1).cast("bigint")
+    keep = [F.col(c) for c in df.columns]
     return out.select(*keep, rn.alias(name))
 
 

@@ -347,3 +347,170 @@ def threat_links_by_sender(spark, sf_dir):
             .groupBy(F.col("root_domain").alias("sender_domain"), F.col("confidence").alias("sender_confidence"))
             .agg(F.count_distinct("msg_id").alias("messages"),
                  F.sum("n_threat").cast("bigint").alias("threat_links")))
+
+
+# ---------------------------------------------------------------- detection log
+
+from lurescope.operators import dedup as DD  # noqa: E402
+from lurescope.operators import detections as DET  # noqa: E402
+
+LATEST_SQL = """
+latest AS (SELECT email_hash, processed_at, event_id, confidence, is_phishing FROM (
+  SELECT *, row_number() OVER (PARTITION BY email_hash ORDER BY processed_at DESC, event_id DESC) AS rn
+  FROM detections) t WHERE rn = 1)"""
+
+
+def _det(spark, sf_dir):
+    return jobs(spark, sf_dir).fx.detections
+
+
+def _latest(spark, sf_dir):
+    return DET.latest_versions(_det(spark, sf_dir))
+
+
+def _with_latest(body):
+    return O.with_views(["detections"], body, [("latest", LATEST_SQL.split("AS (", 1)[1].rsplit(")", 1)[0])])
+
+
+register("w02_latest_version", _with_latest("SELECT * FROM latest"))(_latest)
+
+register("w04_history", _with_latest(
+    "SELECT * FROM latest ORDER BY processed_at DESC, event_id DESC LIMIT 100"))(
+    lambda spark, sf_dir: DET.history(_latest(spark, sf_dir), 100))
+
+register("w04_history_positives", _with_latest(
+    "SELECT * FROM latest WHERE is_phishing ORDER BY processed_at DESC, event_id DESC LIMIT 100"))(
+    lambda spark, sf_dir: DET.history(_latest(spark, sf_dir), 100, positives_only=True))
+
+register("w06_recent_positives", _with_latest(
+    "SELECT * FROM latest WHERE is_phishing ORDER BY processed_at DESC, event_id DESC LIMIT 10"))(
+    lambda spark, sf_dir: DET.history(_latest(spark, sf_dir), 10, positives_only=True))
+
+
+@register("w05_point_lookup", _with_latest("""
+SELECT * FROM latest WHERE email_hash = (
+  SELECT arg_min(email_hash, processed_at) FROM detections)"""))
+def w05(spark, sf_dir):
+    first = _det(spark, sf_dir).agg(F.min_by("email_hash", F.col("processed_at"))).scalar()
+    return _latest(spark, sf_dir).filter(F.col("email_hash") == first)
+
+
+register("a01_detection_stats", _with_latest("""
+SELECT count(*) AS total_processed, count(*) FILTER (WHERE is_phishing) AS phishing_detected,
+       count(*) - count(*) FILTER (WHERE is_phishing) AS legitimate,
+       CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE is_phishing) * 100.0 / count(*), 2) ELSE 0.0 END::DOUBLE AS phishing_rate,
+       coalesce(round(avg(confidence), 4), 0.0)::DOUBLE AS average_confidence
+FROM latest"""))(lambda spark, sf_dir: DET.stats(_latest(spark, sf_dir)))
+
+
+@register("s14_write_detections", _with_latest("SELECT * FROM latest"))
+def s14(spark, sf_dir):
+    import uuid
+    from lurescope.session import shared_path
+    log = DET.DetectionLog(spark, shared_path(spark, f"detections-{uuid.uuid4().hex[:12]}"))
+    d = _det(spark, sf_dir)
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    log.append(d.filter(F.col("processed_at") < cut))
+    log.append(d.filter(F.col("processed_at") >= cut))
+    return log.latest()
+
+
+register("j03_unseen_detections", O.with_views(["detections"], """
+SELECT b.email_hash, b.event_id FROM detections b
+WHERE b.processed_at >= TIMESTAMP '2024-01-25 00:00:00'
+  AND NOT EXISTS (SELECT 1 FROM detections s WHERE s.processed_at < TIMESTAMP '2024-01-25 00:00:00'
+                  AND s.email_hash = b.email_hash)"""))(
+    lambda spark, sf_dir: (lambda d, cut: DET.unseen(
+        d.filter(F.col("processed_at") >= cut).select("email_hash", "event_id"),
+        d.filter(F.col("processed_at") < cut)))(
+        _det(spark, sf_dir), F.lit("2024-01-25 00:00:00").cast("timestamp")))
+
+
+def _band_sql(p):
+    return (f"CASE WHEN {p} >= 0.85 THEN 'critical' WHEN {p} >= 0.65 THEN 'high' "
+            f"WHEN {p} >= 0.45 THEN 'medium' WHEN {p} >= 0.25 THEN 'low' ELSE 'safe' END")
+
+
+register("x06_band_mix", O.with_views(["detections"], f"""
+SELECT date_trunc('day', processed_at) AS bucket_start, {_band_sql('confidence')} AS band,
+       count(*) AS detections, count(*) FILTER (WHERE is_phishing) AS positives
+FROM detections GROUP BY 1, 2"""))(lambda spark, sf_dir: DET.band_mix(_det(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- dedup / caps / samples / splits
+
+DOCS_SQL = ("SELECT d.doc_id, d.text, d.source, CAST(coalesce(l.toxic, 0) AS INTEGER) AS label "
+            "FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+
+
+def _docs(spark, sf_dir):
+    t = jobs(spark, sf_dir).fx.t
+    lab = t.labels.select("doc_id", "toxic")
+    return (t.documents.select("doc_id", "text", "source").join(lab, "doc_id", "left")
+            .select("doc_id", "text", "source", F.coalesce("toxic", F.lit(0)).cast("int").alias("label")))
+
+
+W01_SQL = f"""
+SELECT dedup_key, doc_id, label, copies FROM (
+  SELECT sha256(text) AS dedup_key, doc_id, label,
+         row_number() OVER (PARTITION BY sha256(text) ORDER BY 1 - label, source, doc_id) AS rn,
+         count(*) OVER (PARTITION BY sha256(text)) AS copies
+  FROM ({DOCS_SQL}) d) t WHERE rn = 1"""
+
+
+def _w01(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return DD.dedup_first(d, DD.content_key("text"), [1 - F.col("label"), F.col("source"), F.col("doc_id")],
+                          ["doc_id", "label"])
+
+
+register("w01_dedup_content", W01_SQL)(_w01)
+
+register("w03_dedup_keys", """
+SELECT doc_id, sha256(text) AS key_full, sha256(encode(text)[1:500]) AS key_bytes500,
+       sha256(substr(text, 1, 200)) AS key_chars200 FROM documents""")(
+    lambda spark, sf_dir: jobs(spark, sf_dir).fx.t.documents.select(
+        "doc_id", DD.content_key("text").alias("key_full"),
+        DD.content_key("text", "bytes500").alias("key_bytes500"),
+        DD.content_key("text", "chars200").alias("key_chars200")))
+
+W07_CAP = 40
+
+
+@register("w07_cap_per_class", f"""
+WITH u AS ({W01_SQL}),
+r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY dedup_key, doc_id) AS rn FROM u),
+p AS (SELECT count(*) AS n FROM r WHERE label = 1 AND rn <= {W07_CAP})
+SELECT doc_id, label FROM r
+WHERE (label = 1 AND rn <= {W07_CAP}) OR (label = 0 AND rn <= least({W07_CAP}, (SELECT n FROM p)))""")
+def w07(spark, sf_dir):
+    u = _w01(spark, sf_dir)
+    return DD.cap_per_class(u, "label", [F.col("dedup_key"), F.col("doc_id")], W07_CAP) \
+        .select("doc_id", "label")
+
+
+register("w08_seeded_sample", """
+SELECT doc_id FROM documents ORDER BY sha256(CAST(doc_id AS VARCHAR) || ':42'), doc_id LIMIT 100""")(
+    lambda spark, sf_dir: DD.seeded_sample(jobs(spark, sf_dir).fx.t.documents.select("doc_id"),
+                                           "doc_id", 100, 42))
+
+register("w09_stratified_split", f"""
+SELECT doc_id, label,
+       CASE WHEN u < 0.15 THEN 'test' WHEN u < 0.15 + (1 - 0.15) * 0.176 THEN 'val' ELSE 'train' END AS split
+FROM (SELECT doc_id, label, ('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u
+      FROM ({DOCS_SQL}) d) t""")(
+    lambda spark, sf_dir: _docs(spark, sf_dir).select(
+        "doc_id", "label", DD.split_column(F.col("doc_id").cast("string")).alias("split")))
+
+
+@register("j03_unseen_hashes", """
+SELECT b.doc_id, sha256(b.text) AS content_key FROM documents b
+WHERE b.doc_id >= (SELECT count(*) FROM documents) / 2
+  AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id < (SELECT count(*) FROM documents) / 2
+                  AND sha256(s.text) = sha256(b.text))""")
+def j03(spark, sf_dir):
+    """Content hashes of a new batch (second half of the documents)
+    that the first half has not seen."""
+    d = jobs(spark, sf_dir).fx.t.documents.select("doc_id", DD.content_key("text").alias("content_key"))
+    half = jobs(spark, sf_dir).fx.t.documents.agg(F.count(F.lit(1)) / 2).scalar()
+    return DET.unseen(d.filter(F.col("doc_id") >= half), d.filter(F.col("doc_id") < half), "content_key")
