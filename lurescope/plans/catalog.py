@@ -514,3 +514,255 @@ def j03(spark, sf_dir):
     d = jobs(spark, sf_dir).fx.t.documents.select("doc_id", DD.content_key("text").alias("content_key"))
     half = jobs(spark, sf_dir).fx.t.documents.agg(F.count(F.lit(1)) / 2).scalar()
     return DET.unseen(d.filter(F.col("doc_id") >= half), d.filter(F.col("doc_id") < half), "content_key")
+
+
+# ---------------------------------------------------------------- scoring, metrics, explanations
+
+from lurescope.operators import explain as EX  # noqa: E402
+from lurescope.operators import metrics as MET  # noqa: E402
+from lurescope.operators import scoring as SC  # noqa: E402
+
+THRESH = D.DEFAULT_THRESHOLD
+
+
+def _scored(spark, sf_dir):
+    return jobs(spark, sf_dir).scored()
+
+
+def _labelled(spark, sf_dir):
+    return _scored(spark, sf_dir).filter(F.col("label").isNotNull())
+
+
+register("m01_squish", O.scored_query(f"SELECT msg_id, p_text, {O.squish_sql('p_text')} AS squished FROM scored"))(
+    lambda spark, sf_dir: _scored(spark, sf_dir).select("msg_id", "p_text", SC.squish("p_text").alias("squished")))
+
+register("m02_text_weight", O.scored_query(f"SELECT msg_id, {O.weight_sql('p_text')} AS nlp_weight FROM scored"))(
+    lambda spark, sf_dir: _scored(spark, sf_dir).select("msg_id", SC.text_weight("p_text").alias("nlp_weight")))
+
+register("m03_blend", O.scored_query("SELECT msg_id, final_prob, p_full AS final_single FROM scored"))(
+    lambda spark, sf_dir: _scored(spark, sf_dir).select(
+        "msg_id", "final_prob", SC.blend("p_full", "p_struct", "p_text", ensemble=False).alias("final_single")))
+
+register("m04_label", O.scored_query(
+    f"SELECT msg_id, CASE WHEN final_prob >= {THRESH} THEN 'PHISHING' ELSE 'LEGITIMATE' END AS label FROM scored"))(
+    lambda spark, sf_dir: _scored(spark, sf_dir).select("msg_id", SC.label("final_prob", THRESH).alias("label")))
+
+_ACTIVE_SQL = ("array_to_string(list_sort(list_filter([" + ", ".join(
+    f"CASE WHEN {n} <> 0 THEN '{n}' END" for n in D.FEATURE_NAMES) + "], lambda x: x IS NOT NULL)), ',')")
+
+register("m06_score_breakdown", O.scored_query(f"""
+SELECT msg_id, round(p_text, 4) AS nlp_prob_raw, round({O.squish_sql('p_text')}, 4) AS nlp_prob_squished,
+       round({O.weight_sql('p_text')}, 3) AS nlp_weight, round(p_full, 4) AS prob_full,
+       round(p_struct, 4) AS prob_structural, round(final_prob, 4) AS final_prob,
+       {O.dbl(THRESH)} AS threshold,
+       CASE WHEN final_prob >= {THRESH} THEN 'PHISHING' ELSE 'LEGITIMATE' END AS label,
+       {_ACTIVE_SQL} AS active_signals
+FROM scored"""))(
+    lambda spark, sf_dir: _scored(spark, sf_dir).select(
+        "msg_id", *[c if str(c) != "x" else c for c in SC.breakdown_columns()],
+        F.array_join(F.array_sort(F.map_keys(SC.active_signals(D.FEATURE_NAMES))), ",").alias("active_signals")))
+
+_LAB = "(SELECT * FROM scored WHERE label IS NOT NULL)"
+_CM_SQL = f"""
+SELECT count(*) FILTER (WHERE final_prob >= {THRESH} AND label = 1) AS tp,
+       count(*) FILTER (WHERE final_prob >= {THRESH} AND label <> 1) AS fp,
+       count(*) FILTER (WHERE final_prob < {THRESH} AND label <> 1) AS tn,
+       count(*) FILTER (WHERE final_prob < {THRESH} AND label = 1) AS fn
+FROM {_LAB} t"""
+
+
+def _d(a, b):
+    return f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) ELSE {O.dbl(0.0)} END"
+
+
+_RATES_SQL = f"""
+SELECT tp, fp, tn, fn, {_d('tp + tn', 'tp + fp + tn + fn')} AS accuracy,
+       {_d('tp', 'tp + fp')} AS precision, {_d('tp', 'tp + fn')} AS recall,
+       CASE WHEN {_d('tp', 'tp + fp')} + {_d('tp', 'tp + fn')} > 0
+            THEN {O.dbl(2.0)} * {_d('tp', 'tp + fp')} * {_d('tp', 'tp + fn')} / ({_d('tp', 'tp + fp')} + {_d('tp', 'tp + fn')})
+            ELSE {O.dbl(0.0)} END AS f1,
+       {_d('fp', 'fp + tn')} AS fpr, {_d('fn', 'fn + tp')} AS fnr
+FROM cm"""
+
+register("a02_confusion_matrix", O.scored_query(_CM_SQL))(
+    lambda spark, sf_dir: MET.confusion(_labelled(spark, sf_dir), "final_prob", "label", THRESH))
+
+register("a03_classification_rates", O.scored_query(_RATES_SQL, [("cm", _CM_SQL)]))(
+    lambda spark, sf_dir: MET.rates(MET.confusion(_labelled(spark, sf_dir), "final_prob", "label", THRESH)))
+
+
+def _auc_sql(src):
+    return f"""
+SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
+       sum(CAST(pos AS DOUBLE) * (neg_below + neg * 0.5)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS auc
+FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+      FROM (SELECT CAST(round(final_prob / 1e-6) AS BIGINT) AS s,
+                   count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+            FROM {src} t GROUP BY 1) h) h2"""
+
+
+register("a04_auc", O.scored_query(_auc_sql(_LAB)))(
+    lambda spark, sf_dir: MET.auc(_labelled(spark, sf_dir), "final_prob", "label"))
+
+
+def _grid_sql(src):
+    rows = ", ".join(f"({k}, {t})" for k, t in enumerate(MET.threshold_grid()))
+    return f"""
+SELECT k, threshold, tp, fp, tn, fn, {_d('fp', 'fp + tn')} AS fpr, {_d('fn', 'fn + tp')} AS fnr FROM (
+  SELECT g.k, CAST(g.threshold AS DOUBLE) AS threshold,
+         count(*) FILTER (WHERE s.final_prob >= g.threshold AND s.label = 1) AS tp,
+         count(*) FILTER (WHERE s.final_prob >= g.threshold AND s.label <> 1) AS fp,
+         count(*) FILTER (WHERE s.final_prob < g.threshold AND s.label <> 1) AS tn,
+         count(*) FILTER (WHERE s.final_prob < g.threshold AND s.label = 1) AS fn
+  FROM (SELECT * FROM (VALUES {rows}) AS v(k, threshold)) g, {src} s GROUP BY g.k, g.threshold) c"""
+
+
+def _choose_sql(grid):
+    tg = ", ".join(f"({i}, {t})" for i, t in enumerate(D.THRESHOLD_FPR_TARGETS))
+    return f"""
+SELECT coalesce(max(threshold), {O.dbl(D.THRESHOLD_FALLBACK)}) AS threshold, coalesce(max(fnr), {O.dbl(1.0)}) AS fnr,
+       coalesce(max(fpr), {O.dbl(1.0)}) AS fpr, CAST(max(fpr_target) AS DOUBLE) AS fpr_target FROM (
+  SELECT g.threshold, g.fnr, g.fpr, t.fpr_target,
+         row_number() OVER (ORDER BY t.ti, g.fnr, g.k) AS rn
+  FROM ({grid}) g JOIN (SELECT * FROM (VALUES {tg}) AS v(ti, fpr_target)) t
+    ON g.fpr <= t.fpr_target AND g.fnr < 1.0) x WHERE rn = 1"""
+
+
+register("a05_threshold_search", O.scored_query(_choose_sql(_grid_sql(_LAB))))(
+    lambda spark, sf_dir: MET.choose_threshold(MET.threshold_table(_labelled(spark, sf_dir), "final_prob", "label")))
+
+_KNOWN_FAILURE = "src0"
+register("a06_group_accuracy", O.scored_query(f"""
+SELECT grp, n, correct, {_d('correct', 'n')} AS accuracy FROM (
+  SELECT from_name AS grp, count(*) AS n, count(*) FILTER (WHERE (final_prob >= {THRESH}) = (label = 1)) AS correct
+  FROM {_LAB} t GROUP BY from_name
+  UNION ALL SELECT '__total__', count(*), count(*) FILTER (WHERE (final_prob >= {THRESH}) = (label = 1)) FROM {_LAB} t
+  UNION ALL SELECT '__total_without_known_failure__', count(*),
+         count(*) FILTER (WHERE (final_prob >= {THRESH}) = (label = 1)) FROM {_LAB} t WHERE from_name <> '{_KNOWN_FAILURE}') u"""))(
+    lambda spark, sf_dir: MET.group_accuracy(_labelled(spark, sf_dir), "from_name", "final_prob", "label",
+                                             THRESH, _KNOWN_FAILURE))
+
+
+def _mcc_sql(tp, fp, tn, fn):
+    t = [f"CAST({x} AS DOUBLE)" for x in (tp, fp, tn, fn)]
+    den = f"sqrt(({t[0]} + {t[1]}) * ({t[0]} + {t[3]}) * ({t[2]} + {t[1]}) * ({t[2]} + {t[3]}))"
+    return f"CASE WHEN {den} > 0 THEN ({t[0]} * {t[2]} - {t[1]} * {t[3]}) / {den} ELSE {O.dbl(0.0)} END"
+
+
+register("a11_paired_test", O.scored_query(f"""
+SELECT a_only, b_only,
+       CASE WHEN a_only + b_only > 0 THEN pow(abs(CAST(a_only AS DOUBLE) - CAST(b_only AS DOUBLE)) - 1.0, 2)
+            / (CAST(a_only AS DOUBLE) + CAST(b_only AS DOUBLE)) ELSE {O.dbl(0.0)} END AS mcnemar_chi2,
+       {_mcc_sql('tp_a', 'fp_a', 'tn_a', 'fn_a')} AS mcc_a, {_mcc_sql('tp_b', 'fp_b', 'tn_b', 'fn_b')} AS mcc_b
+FROM (SELECT count(*) FILTER (WHERE (pa = y) AND NOT (pb = y)) AS a_only,
+             count(*) FILTER (WHERE NOT (pa = y) AND (pb = y)) AS b_only,
+             count(*) FILTER (WHERE pa AND y) AS tp_a, count(*) FILTER (WHERE pb AND y) AS tp_b,
+             count(*) FILTER (WHERE pa AND NOT y) AS fp_a, count(*) FILTER (WHERE pb AND NOT y) AS fp_b,
+             count(*) FILTER (WHERE NOT pa AND NOT y) AS tn_a, count(*) FILTER (WHERE NOT pb AND NOT y) AS tn_b,
+             count(*) FILTER (WHERE NOT pa AND y) AS fn_a, count(*) FILTER (WHERE NOT pb AND y) AS fn_b
+      FROM (SELECT final_prob >= {THRESH} AS pa, p_text >= 0.5 AS pb, label = 1 AS y FROM {_LAB} t) s) c"""))(
+    lambda spark, sf_dir: MET.paired_test(_labelled(spark, sf_dir), F.col("final_prob") >= THRESH,
+                                          F.col("p_text") >= 0.5, "label"))
+
+_P_STEPS = " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(MET.POISSON1_CDF))
+register("a12_metric_interval", O.scored_query(f"""
+SELECT 'accuracy' AS metric, (SELECT avg(CAST(ok AS DOUBLE)) FROM r0) AS point,
+       quantile_cont(acc, 0.025) AS lo, quantile_cont(acc, 0.975) AS hi
+FROM (SELECT b, CAST(sum(w * ok) AS DOUBLE) / sum(w) AS acc FROM (
+        SELECT b, ok, CASE {_P_STEPS} ELSE {len(MET.POISSON1_CDF)} END AS w FROM (
+          SELECT r0.msg_id, r0.ok, b.b,
+                 ('0x' || substr(sha256(CAST(r0.msg_id AS VARCHAR) || ':' || CAST(b.b AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u
+          FROM r0, (SELECT unnest(generate_series(1, 100)) AS b) b) x) y GROUP BY b) z""",
+    [("r0", f"SELECT msg_id, CAST((final_prob >= {THRESH}) = (label = 1) AS INTEGER) AS ok FROM {_LAB} t")]))(
+    lambda spark, sf_dir: MET.bootstrap_accuracy(_labelled(spark, sf_dir), "msg_id",
+                                                 F.col("final_prob") >= THRESH, "label", 100))
+
+
+# X01-X05, S16 --------------------------------------------------------------
+
+def _signals_sql():
+    items = [f"CASE WHEN w >= 0.5 THEN printf('{D.LANGUAGE_SIGNAL.replace('{pct}', '%.0f').replace('%', '%%').replace('%%.0f', '%.0f')}', p_text * 100) END"]
+    for feature, op, value, text in D.SIGNAL_RULES:
+        cond = f"coalesce(CAST({feature} AS DOUBLE), 0.0) {op} {value}"
+        if "{n}" in text:
+            msg = f"printf({O.q(text.replace('{n}', '%d'))}, CAST({feature} AS INTEGER))"
+        else:
+            msg = O.q(text)
+        items.append(f"CASE WHEN {cond} THEN {msg} END")
+    return "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
+
+
+_PRIO_SQL = "CASE " + " ".join(f"WHEN strpos(lower(s), {O.q(k.lower())}) > 0 THEN {i}"
+                                for i, k in enumerate(D.SIGNAL_PRIORITY_KEYWORDS)) + \
+    f" ELSE {len(D.SIGNAL_PRIORITY_KEYWORDS)} END"
+
+_SIG_CTES = [
+    ("sw", f"SELECT *, final_prob >= {THRESH} AS pred, CASE WHEN final_prob > 0 THEN least(p_text / final_prob, {O.dbl(1.0)}) ELSE {O.dbl(0.5)} END AS w FROM scored"),
+    ("sg", f"SELECT *, {_signals_sql()} AS sig FROM sw"),
+    ("ks", f"""
+SELECT msg_id, string_agg(s, ' | ' ORDER BY p, i) AS key_signals FROM (
+  SELECT msg_id, s, i, p, row_number() OVER (PARTITION BY msg_id ORDER BY p, i) AS rn FROM (
+    SELECT msg_id, s, i, {_PRIO_SQL} AS p FROM (
+      SELECT msg_id, unnest(sig) AS s, unnest(generate_series(1, len(sig))) AS i FROM sg) t0) t1) t2
+WHERE rn <= {D.KEY_SIGNALS_MAX} GROUP BY msg_id"""),
+]
+
+
+def _expl_sql():
+    pct = "printf('%.1f%%', final_prob * 100)"
+    band = _band_sql("final_prob")
+    base = "CASE " + " ".join(
+        f"WHEN {band} = '{n}' THEN {O.q(t.split('{pct}')[0])} || {pct} || {O.q(t.split('{pct}')[1])}"
+        for n, t in D.BAND_SENTENCES.items()) + " END"
+    top = f"array_to_string(sig[1:{D.EXPLANATION_SIGNALS_MAX}], '; ')"
+    return f"""CASE WHEN NOT pred OR final_prob < 0.25
+     THEN 'This email appears legitimate (phishing probability: ' || {pct} || '). No significant threats detected.'
+   WHEN {band} = 'safe' THEN 'This email appears legitimate (confidence: ' || {pct} || '). No significant phishing indicators were detected.'
+   WHEN len(sig) = 0 THEN CASE WHEN w >= 0.6 THEN {base} || ' The email language closely resembles known phishing messages.'
+                               ELSE {base} || ' Multiple weak signals combined to trigger detection.' END
+   WHEN w >= 0.7 THEN {base} || ' Flagged primarily based on language patterns. Key indicators: ' || {top} || '.'
+   WHEN w <= 0.3 THEN {base} || ' Flagged based on structural red flags. Key indicators: ' || {top} || '. Email language appeared neutral but technical signals suggest phishing.'
+   ELSE {base} || ' Both language analysis (' || printf('%.0f', p_text * 100) || '% NLP) and structural signals indicate phishing. Key indicators: ' || {top} || '.' END"""
+
+
+def _results(spark, sf_dir):
+    return EX.detection_results(_scored(spark, sf_dir))
+
+
+register("x01_risk_band", O.scored_query(f"SELECT msg_id, {_band_sql('final_prob')} AS risk_level FROM scored"))(
+    lambda spark, sf_dir: _scored(spark, sf_dir).select("msg_id", DET.risk_band("final_prob").alias("risk_level")))
+
+register("x02_signals", O.scored_query("SELECT msg_id, array_to_string(sig, ' | ') AS signals FROM sg", _SIG_CTES))(
+    lambda spark, sf_dir: _scored(spark, sf_dir).select(
+        "msg_id", F.array_join(EX.signals("p_text", EX.weight_proxy("p_text", "final_prob")), " | ").alias("signals")))
+
+register("x03_key_signals", O.scored_query(
+    "SELECT sg.msg_id, coalesce(ks.key_signals, '') AS key_signals FROM sg LEFT JOIN ks ON ks.msg_id = sg.msg_id",
+    _SIG_CTES))(
+    lambda spark, sf_dir: _results(spark, sf_dir).select(
+        "msg_id", F.array_join("key_signals", " | ").alias("key_signals")))
+
+register("x04_explanation", O.scored_query(f"SELECT msg_id, {_expl_sql()} AS explanation FROM sg", _SIG_CTES))(
+    lambda spark, sf_dir: _results(spark, sf_dir).select("msg_id", "explanation"))
+
+_X05_SQL = f"""
+SELECT sg.msg_id, sg.from_addr, sg.subject, pred AS is_phishing,
+       CASE WHEN pred THEN 'phishing' ELSE 'legitimate' END AS label,
+       round(final_prob, 4) AS confidence, round(final_prob * 100, 1) AS risk_score,
+       round(p_text, 4) AS nlp_probability, {_band_sql('final_prob')} AS risk_level,
+       coalesce(ks.key_signals, '') AS key_signals, {_expl_sql()} AS explanation
+FROM sg LEFT JOIN ks ON ks.msg_id = sg.msg_id"""
+
+register("x05_detection_result", O.scored_query(
+    "SELECT msg_id, CAST(is_phishing AS INTEGER) AS is_phishing, label, confidence, risk_score, nlp_probability, "
+    "risk_level, key_signals, explanation FROM x5", _SIG_CTES + [("x5", _X05_SQL)]))(
+    lambda spark, sf_dir: _results(spark, sf_dir).select(
+        "msg_id", F.col("is_phishing").cast("int").alias("is_phishing"), "label", "confidence", "risk_score",
+        "nlp_probability", "risk_level", F.array_join("key_signals", " | ").alias("key_signals"), "explanation"))
+
+ALERT_ADDRESS = "u1@"
+register("s16_alert_sink", O.scored_query(
+    f"SELECT msg_id, from_addr AS sender, substr(coalesce(subject, ''), 1, 60) AS subject, confidence, risk_score, "
+    f"risk_level, key_signals AS signals, explanation FROM x5 WHERE is_phishing "
+    f"AND strpos(lower(coalesce(from_addr, '')), {O.q(ALERT_ADDRESS)}) = 0", _SIG_CTES + [("x5", _X05_SQL)]))(
+    lambda spark, sf_dir: EX.alerts(_results(spark, sf_dir), ALERT_ADDRESS))

@@ -71,5 +71,19 @@ class Jobs:
                             self.verdicts(), self.trusted(), self.cert_facts(), self.dicts,
                             keep=keep)
 
+    def scored(self) -> DataFrame:
+        """Feature table + fixed score columns derived from the message id
+        (used to check scoring, metrics and explanations without a model)."""
+        from lurescope.operators.scoring import blend
+        f = self.feature_table()
+        m = self.fx.messages.select("msg_id", "from_addr", "from_name", "subject")
+        k = F.col("msg_id")
+        s = f.join(m, "msg_id").select(
+            "*",
+            (((k * 37) % 101).cast("double") / F.lit(100.0)).alias("p_text"),
+            (((k * 53 + 7) % 101).cast("double") / F.lit(100.0)).alias("p_full"),
+            (((k * 17 + 3) % 101).cast("double") / F.lit(100.0)).alias("p_struct"))
+        return s.withColumn("final_prob", blend("p_full", "p_struct", "p_text"))
+
     def feature_table(self) -> DataFrame:
         return self._table("features", lambda: self.features(keep=("label",)))

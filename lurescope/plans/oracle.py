@@ -425,3 +425,33 @@ def feature_query(body: str, crafted: bool = False, crafted_html: bool = False)
 def base_query(body: str, crafted: bool = False) -> str:
     views = MESSAGE_VIEWS + (["crafted_urls"] if crafted else [])
     return with_views(views, body, base_ctes(crafted))
+
+
+def dbl(x) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def squish_sql(p: str) -> str:
+    return (f"({dbl(0.5)} + (greatest({dbl(D.TEXT_CLIP_LOW)}, least({dbl(D.TEXT_CLIP_HIGH)}, {p})) - {dbl(0.5)})"
+            f" * {dbl(0.5)})")
+
+
+def weight_sql(p: str) -> str:
+    lo, hi = D.TEXT_SQUISH_RANGE
+    return (f"greatest({dbl(0.0)}, least({dbl(1.0)}, ({squish_sql(p)} - {dbl(lo)}) / ({dbl(hi)} - {dbl(lo)})))")
+
+
+def scored_ctes() -> list:
+    w = weight_sql("p_text")
+    return [("scored0", f"""
+SELECT f.*, m.from_addr, m.from_name, m.subject,
+       CAST((f.msg_id * 37) % 101 AS DOUBLE) / {dbl(100.0)} AS p_text,
+       CAST((f.msg_id * 53 + 7) % 101 AS DOUBLE) / {dbl(100.0)} AS p_full,
+       CAST((f.msg_id * 17 + 3) % 101 AS DOUBLE) / {dbl(100.0)} AS p_struct
+FROM features f JOIN messages m ON m.msg_id = f.msg_id"""),
+            ("scored", f"SELECT *, {w} * p_full + ({dbl(1.0)} - {w}) * p_struct AS final_prob FROM scored0")]
+
+
+def scored_query(body: str, extra: list | None = None) -> str:
+    views = MESSAGE_VIEWS
+    return with_views(views, body, feature_ctes(False) + scored_ctes() + (extra or []))
