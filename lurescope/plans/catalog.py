@@ -766,3 +766,295 @@ register("s16_alert_sink", O.scored_query(
     f"risk_level, key_signals AS signals, explanation FROM x5 WHERE is_phishing "
     f"AND strpos(lower(coalesce(from_addr, '')), {O.q(ALERT_ADDRESS)}) = 0", _SIG_CTES + [("x5", _X05_SQL)]))(
     lambda spark, sf_dir: EX.alerts(_results(spark, sf_dir), ALERT_ADDRESS))
+
+
+# ---------------------------------------------------------------- training-set jobs
+
+from lurescope.operators import datasets as DS  # noqa: E402
+
+
+def _labelled_docs(spark, sf_dir):
+    t = jobs(spark, sf_dir).fx.t
+    return (t.documents.join(t.labels, "doc_id")
+            .select("doc_id", "text", F.col("toxic").alias("label"), "source"))
+
+
+register("s05_labelled_report", """
+WITH c AS (SELECT d.text, CAST(l.toxic AS INTEGER) AS label, d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+           WHERE d.text IS NOT NULL AND l.toxic IS NOT NULL AND length(trim(d.text)) > 10),
+r AS (SELECT source, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives FROM c GROUP BY source
+      UNION ALL SELECT '__all__', count(*), count(*) FILTER (WHERE label = 1) FROM c)
+SELECT source, rows, positives, CAST(positives AS DOUBLE) / CAST(rows AS DOUBLE) AS positive_share,
+       CAST(CAST(positives AS DOUBLE) / CAST(rows AS DOUBLE) > 0.8 OR CAST(positives AS DOUBLE) / CAST(rows AS DOUBLE) < 0.2 AS INTEGER) AS imbalance_warning
+FROM r""")(lambda spark, sf_dir: DS.labelled_report(DS.clean_labelled(_labelled_docs(spark, sf_dir))))
+
+_RANK_ROWS_SQL = """
+SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'n/a' ELSE ' ' || CAST(page_id % 40 AS VARCHAR) END AS rank_text,
+       upper(host) || ' ' AS domain_text FROM hosts"""
+
+
+def _rank_rows(spark, sf_dir):
+    h = jobs(spark, sf_dir).fx.hosts
+    return h.select("page_id",
+                    F.when(F.col("page_id") % 13 == 0, F.lit("n/a"))
+                    .otherwise(F.concat(F.lit(" "), (F.col("page_id") % 40).cast("string"))).alias("rank_text"),
+                    F.concat(F.upper("host"), F.lit(" ")).alias("domain_text"))
+
+
+register("s06_rank_list", O.with_views(["hosts"], """
+SELECT lower(trim(domain_text)) AS domain, arg_max(TRY_CAST(trim(rank_text) AS INTEGER), page_id) AS rank
+FROM rr WHERE TRY_CAST(trim(rank_text) AS INTEGER) IS NOT NULL AND lower(trim(domain_text)) <> ''
+GROUP BY 1""", [("rr", _RANK_ROWS_SQL)]))(
+    lambda spark, sf_dir: DS.rank_list(_rank_rows(spark, sf_dir), "rank_text", "domain_text", ["page_id"]))
+
+_FEEDS_SQL = """
+SELECT url, 'a' AS feed, 0 AS feed_order FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT url, 'b', 1 FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT url, 'c', 2 FROM pages WHERE page_id % 5 = 0"""
+
+
+def _feeds(spark, sf_dir):
+    p = jobs(spark, sf_dir).fx.t.pages.select("page_id", "url")
+    parts = [p.filter(F.col("page_id") % m == 0).select("url", F.lit(n).alias("feed"), F.lit(o).alias("feed_order"))
+             for n, o, m in (("a", 0, 2), ("b", 1, 3), ("c", 2, 5))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_FEED_CTES = [("psl", O.dict_sql("psl", "suffix", D.TEST_PUBLIC_SUFFIXES)), ("feeds", _FEEDS_SQL),
+              ("fh", f"SELECT {O.nh('url')} AS host, feed, feed_order FROM feeds"),
+              ("fdec", O.decompose_sql("fh")),
+              ("fd", "SELECT d.root_domain AS domain, f.feed, f.feed_order FROM fh f JOIN fdec d ON d.host = f.host")]
+_S07_SQL = O.with_views([], """
+SELECT domain, array_to_string(list_sort(list_distinct(list(feed))), ',') AS sources, arg_min(feed, feed_order) AS first_feed
+FROM fd GROUP BY domain""", _FEED_CTES)
+
+register("s07_threat_feeds", _S07_SQL)(
+    lambda spark, sf_dir: DS.threat_feed_union(_feeds(spark, sf_dir), D.TEST_PUBLIC_SUFFIXES))
+
+register("w12_feed_union", O.with_views([], """
+SELECT feed, count(*) AS new_domains FROM (SELECT domain, arg_min(feed, feed_order) AS feed FROM fd GROUP BY domain) t
+GROUP BY feed""", _FEED_CTES))(
+    lambda spark, sf_dir: DD.feed_union(
+        DS.threat_feed_union(_feeds(spark, sf_dir), D.TEST_PUBLIC_SUFFIXES)
+        .select("domain", F.col("first_feed").alias("feed"), F.lit(0).alias("feed_order"))))
+
+
+@register("s08_feed_refresh", O.with_views([], "SELECT domain, sources FROM (" + _S07_SQL.split("\nSELECT", 1)[0]
+                                           + "\nSELECT" + _S07_SQL.split("\nSELECT", 1)[1] + ") s", []))
+def s08(spark, sf_dir):
+    import uuid
+    from lurescope.session import shared_path
+    path = shared_path(spark, f"threat_feed-{uuid.uuid4().hex[:12]}")
+    t = DS.feed_refresh(spark, path, lambda: DS.threat_feed_union(_feeds(spark, sf_dir), D.TEST_PUBLIC_SUFFIXES))
+    return t.select("domain", "sources")
+
+
+_FEATS = ", ".join(D.FEATURE_NAMES)
+
+
+def _store(spark, sf_dir):
+    import uuid
+    from lurescope.session import shared_path
+    j = jobs(spark, sf_dir)
+    f = j.feature_table().join(j.fx.messages.select("msg_id", "received_ts"), "msg_id") \
+        .withColumn("email_hash", F.sha2(F.col("msg_id").cast("string"), 256))
+    store = DS.FeatureStore(spark, shared_path(spark, f"feature_store-{uuid.uuid4().hex[:12]}"))
+    store.add(f.filter(F.col("received_ts") < F.lit("2024-01-16").cast("timestamp")))
+    return store, f
+
+
+@register("s09_feature_store", O.feature_query(
+    f"SELECT msg_id, sha256(CAST(msg_id AS VARCHAR)) AS email_hash, {_FEATS} FROM features"))
+def s09(spark, sf_dir):
+    store, f = _store(spark, sf_dir)
+    store.add(f)
+    return store.read().select("msg_id", "email_hash", *D.FEATURE_NAMES)
+
+
+_URL_GROUP = D.FEATURE_NAMES[5:19]
+register("s10_conform_schema", O.feature_query(
+    "SELECT msg_id, " + ", ".join(f"{O.dbl(0.0)} AS {n}" if n in _URL_GROUP else n for n in D.FEATURE_NAMES)
+    + " FROM features"))(
+    lambda spark, sf_dir: DS.conform_schema(
+        jobs(spark, sf_dir).feature_table().drop(*_URL_GROUP), ["msg_id"] + D.FEATURE_NAMES))
+
+
+@register("s11_append_labelled", O.with_views(["messages"], """
+SELECT count(*) FILTER (WHERE received_ts < TIMESTAMP '2024-01-16 00:00:00') AS before,
+       count(*) FILTER (WHERE received_ts >= TIMESTAMP '2024-01-16 00:00:00') AS added,
+       count(*) AS after FROM messages"""))
+def s11(spark, sf_dir):
+    store, f = _store(spark, sf_dir)
+    existing = store.read()
+    _rows, report = DS.append_labelled(f, existing)
+    return report
+
+
+_CORPUS_SQL = """
+SELECT d.text, CAST(l.toxic AS INTEGER) AS label, 'documents' AS source, 0 AS source_order, d.doc_id AS row_id
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+UNION ALL SELECT text, 0, 'conversations', 1, conv_id * 1000 + turn FROM conversations
+UNION ALL SELECT text, 0, 'benchmark', 2, item_id FROM benchmark"""
+
+
+def _corpus_sources(spark, sf_dir):
+    t = jobs(spark, sf_dir).fx.t
+    a = t.documents.join(t.labels, "doc_id").select(
+        "text", F.col("toxic").cast("int").alias("label"), F.lit("documents").alias("source"),
+        F.lit(0).alias("source_order"), F.col("doc_id").alias("row_id"))
+    b = t.conversations.select("text", F.lit(0).alias("label"), F.lit("conversations").alias("source"),
+                               F.lit(1).alias("source_order"), (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"))
+    c = t.benchmark.select("text", F.lit(0).alias("label"), F.lit("benchmark").alias("source"),
+                           F.lit(2).alias("source_order"), F.col("item_id").alias("row_id"))
+    return a.unionByName(b).unionByName(c)
+
+
+register("s12_assemble_corpus", f"""
+WITH src AS ({_CORPUS_SQL}),
+k AS (SELECT * FROM (SELECT sha256(text) AS dedup_key, label, source, row_id,
+        row_number() OVER (PARTITION BY sha256(text) ORDER BY source_order, row_id) AS rn FROM src) t WHERE rn = 1)
+SELECT dedup_key, label, source, row_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY dedup_key, source, row_id) AS rn2 FROM k) t2
+WHERE rn2 <= 50000""")(
+    lambda spark, sf_dir: DS.assemble_corpus(_corpus_sources(spark, sf_dir)).select(
+        "dedup_key", "label", "source", "row_id"))
+
+
+def _u_sql(key, seed, field):
+    return (f"(('0x' || substr(sha256(concat_ws(':', CAST({key} AS VARCHAR), '{seed}', '{field}')), 1, 8))::BIGINT"
+            f" / 4294967296.0)")
+
+
+def _int_sql(key, seed, field, lo, hi):
+    return f"CAST({lo} + floor({_u_sql(key, seed, field)} * {hi - lo}) AS DOUBLE)"
+
+
+def _rng_sql(key, seed, field, lo, hi):
+    return f"({O.dbl(repr(lo))} + {_u_sql(key, seed, field)} * {O.dbl(repr(hi - lo))})"
+
+
+def _s13_sql():
+    s, i = 99, "i"
+    cols = {n: O.dbl(0.0) for n in D.FEATURE_NAMES}
+    v = f"({i} % 6)"
+    cols["any_url_domain_not_in_tranco"] = O.dbl(1.0)
+    cols["auth_completely_absent"] = O.dbl(1.0)
+    cols["unknown_domain_action_content"] = f"CASE WHEN {v} = 4 THEN {O.dbl(3.0)} ELSE {_int_sql(i, s, 'acc', 1, 4)} END"
+    cols["suspicious_path_keyword_count"] = (
+        f"CASE WHEN {v} = 0 THEN {_int_sql(i, s, 'spk0', 2, 5)} WHEN {v} = 1 THEN {_int_sql(i, s, 'spk1', 1, 3)} "
+        f"WHEN {v} = 2 THEN {_int_sql(i, s, 'spk2', 2, 6)} WHEN {v} = 5 THEN {_int_sql(i, s, 'spk5', 1, 3)} ELSE {O.dbl(0.0)} END")
+    cols["url_count"] = f"CASE WHEN {v} = 0 THEN {O.dbl(1.0)} ELSE {O.dbl(0.0)} END"
+    cols["has_http_only"] = (f"CASE WHEN {v} = 0 THEN {_int_sql(i, s, 'http0', 0, 2)} WHEN {v} = 5 THEN {O.dbl(1.0)} "
+                             f"ELSE {O.dbl(0.0)} END")
+    for n in ("sender_is_newly_registered", "any_url_newly_registered"):
+        cols[n] = f"CASE WHEN {v} = 1 THEN {O.dbl(1.0)} ELSE {O.dbl(0.0)} END"
+    cols["path_brand_mismatch"] = f"CASE WHEN {v} = 2 THEN {O.dbl(1.0)} ELSE {O.dbl(0.0)} END"
+    cols["url_entropy_score"] = (f"CASE WHEN {v} = 2 THEN {_rng_sql(i, s, 'ent2', 2.5, 4.0)} "
+                                 f"WHEN {v} = 3 THEN {_rng_sql(i, s, 'ent3', 3.0, 4.5)} "
+                                 f"WHEN {v} = 5 THEN {_rng_sql(i, s, 'ent5', 2.0, 3.5)} ELSE {O.dbl(0.0)} END")
+    cols["max_url_length"] = f"CASE WHEN {v} = 3 THEN {_int_sql(i, s, 'len3', 80, 200)} ELSE {O.dbl(0.0)} END"
+    cols["min_url_tranco_rank"] = f"CASE WHEN {v} = 3 THEN {O.dbl(float(D.MIN_URL_RANK_DEFAULT))} ELSE {O.dbl(0.0)} END"
+    cols["suspicious_attachment_name"] = f"CASE WHEN {v} = 4 THEN {O.dbl(1.0)} ELSE {O.dbl(0.0)} END"
+    cols["sender_domain_age_score"] = f"CASE WHEN {v} = 5 THEN {_rng_sql(i, s, 'age5', 0.7, 1.0)} ELSE {O.dbl(0.0)} END"
+    body = ", ".join(f"{cols[n]} AS {n}" for n in D.FEATURE_NAMES)
+    return O.feature_query(
+        f"SELECT {i}, {body}, {_rng_sql(i, s, 'nlp', 0.02, 0.20)} AS {D.TEXT_FEATURE}, 1 AS label "
+        f"FROM (SELECT row_number() OVER (ORDER BY msg_id) - 1 AS i FROM features WHERE label = 1) t")
+
+
+@register("s13_synthesize_structural", _s13_sql())
+def s13(spark, sf_dir):
+    pos = jobs(spark, sf_dir).feature_table().filter(F.col("label") == 1).select("msg_id")
+    seeds = DS.number_rows(pos, [F.col("msg_id")], "i").select("i")
+    return DS.synthesize_structural(seeds, "i", 99)
+
+
+register("m09_adversarial_augment", O.scored_query(f"""
+SELECT msg_id, {O.dbl(0.0)} AS urgency_phrase_count, {O.dbl(0.0)} AS subject_has_urgency,
+       {_rng_sql('msg_id', 42, 'aug', 0.05, 0.25)} AS p_text
+FROM (SELECT msg_id, row_number() OVER (ORDER BY sha256(CAST(msg_id AS VARCHAR) || ':42'), msg_id) AS rn
+      FROM scored WHERE label = 1) t
+WHERE rn <= (SELECT floor(count(*) * 0.5) FROM scored WHERE label = 1)"""))(
+    lambda spark, sf_dir: DS.adversarial_augment(_scored(spark, sf_dir), "msg_id", "p_text")
+    .select("msg_id", "urgency_phrase_count", "subject_has_urgency", "p_text"))
+
+
+def _dataset(spark, sf_dir):
+    j = jobs(spark, sf_dir)
+    return j.feature_table().filter(F.col("label").isNotNull()).join(
+        j.fx.messages.select("msg_id", F.col("from_name").alias("source")), "msg_id")
+
+
+_A07_SQL = O.feature_query("""
+SELECT label, source, count(*) AS rows,
+       CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM ds) AS share,
+       CASE WHEN (SELECT avg(CAST(label = 1 AS DOUBLE)) FROM ds) BETWEEN 0.4 AND 0.6 THEN 'balanced' ELSE 'imbalanced' END AS balance
+FROM ds GROUP BY ROLLUP (label, source)""")
+_A07_SQL = _A07_SQL.replace("\nSELECT label, source, count(*) AS rows",
+                            ",\nds AS (SELECT f.label, m.from_name AS source FROM features f JOIN messages m "
+                            "ON m.msg_id = f.msg_id WHERE f.label IS NOT NULL)\nSELECT label, source, count(*) AS rows", 1)
+
+register("a07_class_balance", _A07_SQL)(lambda spark, sf_dir: DS.class_balance(_dataset(spark, sf_dir)))
+
+
+@register("s15_write_dataset", _A07_SQL)
+def s15(spark, sf_dir):
+    import uuid
+    from lurescope.session import shared_path
+    path = shared_path(spark, f"dataset-{uuid.uuid4().hex[:12]}")
+    _dataset(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return DS.class_balance(spark.read.parquet(path))
+
+
+register("a08_feature_activation", O.feature_query(" UNION ALL ".join(
+    f"SELECT '{n}' AS feature, avg(CAST({n} > 0 AS DOUBLE)) * 100 AS active_pct, "
+    f"CAST(avg(CAST({n} > 0 AS DOUBLE)) * 100 > 0.5 AS INTEGER) AS ok FROM features" for n in D.FEATURE_NAMES)))(
+    lambda spark, sf_dir: DS.feature_activation(jobs(spark, sf_dir).feature_table()))
+
+register("a09_extraction_counters", """
+WITH d AS (SELECT doc_id, source, text, text IS NULL OR length(trim(text)) = 0 AS failed, sha256(text) AS k FROM documents),
+f AS (SELECT k, min(doc_id) AS first FROM d WHERE NOT failed GROUP BY k)
+SELECT source, count(*) AS seen, count(*) FILTER (WHERE NOT failed AND doc_id <> first) AS duplicates,
+       count(*) FILTER (WHERE failed) AS failed,
+       count(*) FILTER (WHERE NOT failed AND NOT (doc_id <> first)) AS extracted
+FROM d LEFT JOIN f ON f.k = d.k GROUP BY source""")(
+    lambda spark, sf_dir: DS.extraction_counters(
+        jobs(spark, sf_dir).fx.t.documents.select("doc_id", "source", "text"), DD.content_key("text")))
+
+register("a10_active_signals", O.feature_query(
+    f"SELECT msg_id, {_ACTIVE_SQL} AS active_signals, "
+    f"({' + '.join(f'CAST({n} <> 0 AS INTEGER)' for n in D.FEATURE_NAMES)}) AS n_active FROM features"))(
+    lambda spark, sf_dir: jobs(spark, sf_dir).feature_table().select(
+        "msg_id", F.array_join(F.array_sort(F.map_keys(SC.active_signals(D.FEATURE_NAMES))), ",").alias("active_signals"),
+        F.size(F.map_keys(SC.active_signals(D.FEATURE_NAMES))).alias("n_active")))
+
+_RAW_TEXT_SQL = ("SELECT msg_id, 'Subject: ' || subject || chr(10) || 'From: ' || from_name || ' <' || from_addr || '>' "
+                 "|| chr(10) || chr(10) || plain_text AS text FROM messages")
+
+
+def _raw_text(spark, sf_dir):
+    m = jobs(spark, sf_dir).fx.messages
+    return m.select("msg_id", F.concat(F.lit("Subject: "), "subject", F.lit("\nFrom: "), "from_name", F.lit(" <"),
+                                       "from_addr", F.lit(">\n\n"), "plain_text").alias("text"))
+
+
+register("f39_text_only_messages", O.with_views(["messages"], """
+SELECT msg_id, trim(regexp_extract(text, '(?im)^From:[ \t]*(.+)$', 1)) AS from_field,
+       trim(regexp_extract(text, '(?im)^Subject:[ \t]*(.+)$', 1)) AS subject,
+       sha256(substr(text, 1, 200)) AS email_hash, 'none' AS spf_result, '' AS html_text
+FROM rt""", [("rt", _RAW_TEXT_SQL)]))(
+    lambda spark, sf_dir: (lambda m: m.select(
+        "msg_id", F.concat_ws(" ", F.concat(F.col("from_name"), F.lit(" <"), F.col("from_addr"), F.lit(">")))
+        .alias("from_field"), "subject", "email_hash", "spf_result", "html_text"))(
+        DS.text_only_messages(_raw_text(spark, sf_dir))[0]))
+
+register("w11_union_feature_sets", O.feature_query("""
+SELECT msg_id, 'extracted' AS origin, auth_completely_absent, url_count FROM features
+UNION ALL SELECT msg_id, 'text_only', CAST(1.0 AS DOUBLE), NULL FROM messages"""))(
+    lambda spark, sf_dir: DS.union_feature_sets(
+        DS.text_only_messages(_raw_text(spark, sf_dir))[0].select(
+            "msg_id", F.lit("text_only").alias("origin"),
+            F.when((F.col("spf_result") == "none") & (F.col("dkim_result") == "none") & (F.col("dmarc_result") == "none"),
+                   F.lit(1.0)).otherwise(F.lit(0.0)).alias("auth_completely_absent")),
+        jobs(spark, sf_dir).feature_table().select("msg_id", F.lit("extracted").alias("origin"),
+                                                   "auth_completely_absent", "url_count")))
