@@ -1058,3 +1058,140 @@ UNION ALL SELECT msg_id, 'text_only', CAST(1.0 AS DOUBLE), NULL FROM messages"""
                    F.lit(1.0)).otherwise(F.lit(0.0)).alias("auth_completely_absent")),
         jobs(spark, sf_dir).feature_table().select("msg_id", F.lit("extracted").alias("origin"),
                                                    "auth_completely_absent", "url_count")))
+
+
+# ---------------------------------------------------------------- models (MLlib)
+
+from lurescope.operators import models as ML  # noqa: E402
+
+
+register("m07_text_score")(lambda spark, sf_dir: jobs(spark, sf_dir).text_scores())
+
+
+@register("m08_train_dual")
+def m08(spark, sf_dir):
+    j = jobs(spark, sf_dir)
+    test = j.model_frame().filter(F.col("split") == "test")
+    return ML.score_table(test, j.models()).select("msg_id", "label", "p_text", "p_full", "p_struct", "final_prob")
+
+
+@register("m05_score_table")
+def m05(spark, sf_dir):
+    j = jobs(spark, sf_dir)
+    f = j.feature_table().join(j.text_scores(), "msg_id")
+    return ML.score_table(f, j.models()).select(
+        "msg_id", "p_text", "p_full", "p_struct", "final_prob",
+        SC.label("final_prob", THRESH).alias("label_pred"))
+
+
+@register("m10_assemble_features")
+def m10(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    j = jobs(spark, sf_dir)
+    f = ML.with_text_feature(j.feature_table().drop("url_count").join(j.text_scores(), "msg_id"))
+    v = ML.assemble(ML.assemble(f, ML.FULL_FEATURES, "v_full"), ML.STRUCT_FEATURES, "v_struct")
+    return v.select("msg_id", F.size(vector_to_array("v_full")).alias("n_full"),
+                    F.size(vector_to_array("v_struct")).alias("n_struct"),
+                    vector_to_array("v_full")[len(ML.FULL_FEATURES) - 1].alias("squished_text"))
+
+
+@register("m11_save_load")
+def m11(spark, sf_dir):
+    import uuid
+    from lurescope.session import shared_path
+    j = jobs(spark, sf_dir)
+    path = shared_path(spark, f"models-{uuid.uuid4().hex[:12]}")
+    ML.save_models(spark, j.models(), path, THRESH)
+    loaded = ML.load_models(spark, path)
+    test = j.model_frame().filter(F.col("split") == "test")
+    a = ML.score_table(test, j.models()).select("msg_id", F.col("final_prob").alias("p_saved"))
+    b = ML.score_table(test, loaded).select("msg_id", F.col("final_prob").alias("p_loaded"),
+                                            F.lit(loaded["meta"]["threshold"]).alias("threshold"))
+    return a.join(b, "msg_id")
+
+
+@register("m12_importance_report")
+def m12(spark, sf_dir):
+    j = jobs(spark, sf_dir)
+    m = j.models()
+    full = ML.rank_importance(ML.importance_table(spark, m["full"], ML.FULL_FEATURES))
+    struct = ML.rank_importance(ML.importance_table(spark, m["structural"], ML.STRUCT_FEATURES))
+    return ML.divergence(full, struct)
+
+
+def _imp_fixture(spark, sf_dir):
+    """Importance fixture from the data: activation % of each feature
+    (labelled rows for 'full' incl. the text score, all rows for 'structural')."""
+    from lurescope.operators.datasets import feature_activation
+    s = _scored(spark, sf_dir)
+    lab = s.filter(F.col("label").isNotNull()).withColumn(
+        D.TEXT_FEATURE, (F.col("p_text") >= 0.5).cast("double"))
+    full = feature_activation(lab, ML.FULL_FEATURES).select("feature", F.col("active_pct").alias("importance"))
+    struct = feature_activation(s, ML.STRUCT_FEATURES).select("feature", F.col("active_pct").alias("importance"))
+    return full, struct
+
+
+def _imp_fixture_sql():
+    lab = "(SELECT *, CAST(p_text >= 0.5 AS DOUBLE) AS nlp_phishing_prob FROM scored WHERE label IS NOT NULL)"
+    full = " UNION ALL ".join(f"SELECT '{n}' AS feature, avg(CAST({n} > 0 AS DOUBLE)) * 100 AS importance FROM {lab} t"
+                              for n in ML.FULL_FEATURES)
+    struct = " UNION ALL ".join(f"SELECT '{n}' AS feature, avg(CAST({n} > 0 AS DOUBLE)) * 100 AS importance FROM scored"
+                                for n in ML.STRUCT_FEATURES)
+    return [("imp_full", full), ("imp_struct", struct)]
+
+
+def _rank_sql(src):
+    return f"""
+SELECT feature, importance,
+       importance / CASE WHEN sum(importance) OVER () > 0 THEN sum(importance) OVER () ELSE 1.0 END * 100 AS share_pct,
+       row_number() OVER (ORDER BY importance DESC, feature) AS rank,
+       CAST(row_number() OVER (ORDER BY importance DESC, feature) <= 15 AS INTEGER) AS in_top,
+       CAST(importance / CASE WHEN sum(importance) OVER () > 0 THEN sum(importance) OVER () ELSE 1.0 END * 100 < 0.1
+            AND importance = 0 AS INTEGER) AS never_used,
+       CASE WHEN t2 > 0 THEN t1 / t2 ELSE 999.0 END AS top1_top2_ratio
+FROM (SELECT *, max(importance) OVER () AS t1,
+             (SELECT importance FROM {src} ORDER BY importance DESC, feature LIMIT 1 OFFSET 1) AS t2 FROM {src}) x"""
+
+
+register("w10_feature_ranking", O.scored_query("SELECT * FROM rf", _imp_fixture_sql() + [("rf", _rank_sql("imp_full"))]))(
+    lambda spark, sf_dir: ML.rank_importance(_imp_fixture(spark, sf_dir)[0]))
+
+register("j06_report_alignment", O.scored_query("""
+SELECT coalesce(a.feature, b.feature) AS feature, a.share_pct AS full_pct, b.share_pct AS struct_pct,
+       CASE WHEN coalesce(a.share_pct, 0) > 5 AND coalesce(b.share_pct, 0) < 0.5 THEN 'only_full'
+            WHEN coalesce(b.share_pct, 0) > 5 AND coalesce(a.share_pct, 0) < 0.5 THEN 'only_structural'
+            WHEN abs(coalesce(a.share_pct, 0) - coalesce(b.share_pct, 0)) > 10 THEN 'big_divergence' ELSE '' END AS flag,
+       CAST(coalesce(a.share_pct, 0) > 0.5 OR coalesce(b.share_pct, 0) > 0.5 AS INTEGER) AS shown,
+       CAST(a.share_pct IS NOT NULL AND b.share_pct IS NOT NULL AS INTEGER) AS shared
+FROM rf a FULL OUTER JOIN rs b ON a.feature = b.feature""",
+    _imp_fixture_sql() + [("rf", _rank_sql("imp_full")), ("rs", _rank_sql("imp_struct"))]))(
+    lambda spark, sf_dir: (lambda fs: ML.divergence(ML.rank_importance(fs[0]), ML.rank_importance(fs[1])))(
+        _imp_fixture(spark, sf_dir)))
+
+
+def _split_sql(src):
+    return (f"(SELECT *, CASE WHEN u < 0.15 THEN 'test' WHEN u < 0.15 + (1 - 0.15) * 0.176 THEN 'val' ELSE 'train' END "
+            f"AS split FROM (SELECT *, ('0x' || substr(sha256(CAST(msg_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u "
+            f"FROM {src} t0) t1)")
+
+
+_M13_CTES = [
+    ("sp", f"SELECT * FROM {_split_sql('scored')} s WHERE label IS NOT NULL"),
+    ("val", "SELECT * FROM sp WHERE split = 'val'"),
+    ("tst", "SELECT * FROM sp WHERE split = 'test'"),
+    ("ch", _choose_sql(_grid_sql("val"))),
+    ("cm", _CM_SQL.replace(f"{THRESH}", "(SELECT threshold FROM ch)").replace(_LAB, "tst")),
+]
+_M13_SQL = O.scored_query(
+    f"SELECT (SELECT threshold FROM ch) AS threshold, r.*, ({_auc_sql('tst')}) AS auc FROM ({_RATES_SQL}) r",
+    _M13_CTES)
+
+
+@register("m13_evaluation_report", _M13_SQL)
+def m13(spark, sf_dir):
+    from lurescope.operators.dedup import split_column
+    s = _labelled(spark, sf_dir).withColumn("split", split_column(F.col("msg_id").cast("string")))
+    val, test = s.filter(F.col("split") == "val"), s.filter(F.col("split") == "test")
+    thr = MET.choose_threshold(MET.threshold_table(val, "final_prob", "label")).select("threshold").scalar()
+    r = MET.rates(MET.confusion(test, "final_prob", "label", thr))
+    return r.select(thr.alias("threshold"), "*", MET.auc(test, "final_prob", "label").scalar().alias("auc"))

@@ -85,5 +85,54 @@ class Jobs:
             (((k * 17 + 3) % 101).cast("double") / F.lit(100.0)).alias("p_struct"))
         return s.withColumn("final_prob", blend("p_full", "p_struct", "p_text"))
 
+    # ------------------------------------------------------------ models
+    def text_model(self):
+        """Text model trained on the labelled documents."""
+        if "_text_model" not in self._tables:
+            from lurescope.operators.models import train_text_model
+            t = self.fx.t
+            lab = t.documents.join(t.labels, "doc_id").select(
+                F.substring("text", 1, 2048).alias("text"), F.col("toxic").alias("label"))
+            self._tables["_text_model"] = train_text_model(lab)
+        return self._tables["_text_model"]
+
+    def text_scores(self) -> DataFrame:
+        """p_text for every message (prompt form: subject, sender, body)."""
+        from lurescope.operators.models import prompt_text, text_score
+        def build():
+            m = self.fx.messages.select("msg_id", prompt_text().alias("text"))
+            return text_score(self.text_model(), m).select("msg_id", "p_text")
+        return self._table("text_scores", build)
+
+    def model_frame(self) -> DataFrame:
+        """Labelled feature rows + text score + split (split first, by key hash)."""
+        from lurescope.operators.dedup import split_column
+        f = self.feature_table().filter(F.col("label").isNotNull())
+        return f.join(self.text_scores(), "msg_id").withColumn(
+            "split", split_column(F.col("msg_id").cast("string")))
+
+    def training_set(self) -> DataFrame:
+        """Train + validation rows, plus augmentation (M09) and synthetic
+        structural positives (S13) made from the training part only."""
+        from lurescope.operators.datasets import adversarial_augment, number_rows, synthesize_structural
+        mf = self.model_frame()
+        tv = mf.filter(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
+        tr = tv.filter(~F.col("is_val"))
+        aug = adversarial_augment(tr, "msg_id", "p_text").withColumn("is_val", F.lit(False))
+        pos = tr.filter(F.col("label") == 1).select("msg_id")
+        syn = synthesize_structural(number_rows(pos, [F.col("msg_id")], "i").select("i"), "i") \
+            .withColumnRenamed(D.TEXT_FEATURE, "p_text").withColumn("is_val", F.lit(False)) \
+            .withColumn("msg_id", -1 - F.col("i")).drop("i")
+        cols = ["msg_id", "label", "p_text", "is_val"] + D.FEATURE_NAMES
+        return tv.select(*cols).unionByName(aug.select(*cols)).unionByName(
+            syn.select(*[F.col(c).cast("double") if c in D.FEATURE_NAMES or c == "p_text" else F.col(c)
+                         for c in cols]))
+
+    def models(self) -> dict:
+        if "_models" not in self._tables:
+            from lurescope.operators.models import train_dual
+            self._tables["_models"] = train_dual(materialize(self.training_set(), "training_set"))
+        return self._tables["_models"]
+
     def feature_table(self) -> DataFrame:
         return self._table("features", lambda: self.features(keep=("label",)))
