@@ -1195,3 +1195,74 @@ def m13(spark, sf_dir):
     thr = MET.choose_threshold(MET.threshold_table(val, "final_prob", "label")).select("threshold").scalar()
     r = MET.rates(MET.confusion(test, "final_prob", "label", thr))
     return r.select(thr.alias("threshold"), "*", MET.auc(test, "final_prob", "label").scalar().alias("auc"))
+
+
+# ---------------------------------------------------------------- raw mail ingest
+
+from lurescope.sources import mail as MAIL  # noqa: E402
+
+
+def _corpus(spark, sf_dir):
+    """Raw corpus derived from the tables: rendered messages written as
+    mbox / single-message files in the shared folder (written once)."""
+    import uuid
+    from lurescope.session import shared_path
+    j = jobs(spark, sf_dir)
+    if "_corpus" not in j._tables:
+        path = shared_path(spark, f"corpus-{uuid.uuid4().hex[:12]}")
+        raw = MAIL.render_raw(j.fx.messages, j.fx.message_urls, j.fx.message_attachments)
+        MAIL.write_corpus(raw, path)
+        j._tables["_corpus"] = path
+    return j._tables["_corpus"]
+
+
+def _ingested(spark, sf_dir):
+    j = jobs(spark, sf_dir)
+    if "_ingested" not in j._tables:
+        root = _corpus(spark, sf_dir)
+        files = MAIL.corpus_scan(spark, root)
+        parsed = MAIL.parse_messages(MAIL.read_messages(spark, files))
+        j._tables["_ingested"] = materialize_tbl(parsed, "parsed_messages")
+    return MAIL.ingest(j._tables["_ingested"])
+
+
+def materialize_tbl(df, name):
+    from lurescope.session import materialize
+    return materialize(df, name)
+
+
+def _msg_id(col="message_id"):
+    return F.regexp_extract(F.col(col), r"<(-?[0-9]+)@", 1).cast("bigint")
+
+
+register("s01_corpus_scan")(lambda spark, sf_dir: MAIL.corpus_scan(spark, _corpus(spark, sf_dir)).select(
+    "source", "label", "length"))
+
+register("s02_mbox_split", O.with_views(["messages"], """
+SELECT CASE WHEN label = 1 THEN 'phishing' ELSE 'legit' END AS source, count(*) AS messages
+FROM messages GROUP BY 1"""))(
+    lambda spark, sf_dir: MAIL.read_messages(spark, MAIL.corpus_scan(spark, _corpus(spark, sf_dir)))
+    .groupBy("source").agg(F.count(F.lit(1)).alias("messages")))
+
+register("s03_ingest_messages", O.with_views(["messages", "message_attachments"], """
+SELECT m.msg_id, m.from_name, m.from_addr, m.reply_to, trim(m.subject) AS subject,
+       CAST(length(m.html_text) > 0 AS INTEGER) AS has_html, coalesce(a.n, 0) AS n_attachments
+FROM messages m LEFT JOIN (SELECT msg_id, count(*) AS n FROM message_attachments GROUP BY msg_id) a
+  ON a.msg_id = m.msg_id"""))(
+    lambda spark, sf_dir: (lambda parts: parts[0].join(
+        parts[2].groupBy("msg_key").agg(F.count(F.lit(1)).alias("n_attachments")), "msg_key", "left").select(
+        _msg_id().alias("msg_id"), "from_name", "from_addr", "reply_to", "subject",
+        F.col("has_html").cast("int").alias("has_html"),
+        F.coalesce("n_attachments", F.lit(0)).alias("n_attachments")))(_ingested(spark, sf_dir)))
+
+register("s04_auth_results", O.with_views(["messages"], "SELECT msg_id, spf_result, dkim_result, dmarc_result FROM messages"))(
+    lambda spark, sf_dir: _ingested(spark, sf_dir)[0].select(
+        _msg_id().alias("msg_id"), "spf_result", "dkim_result", "dmarc_result"))
+
+register("s03_ingest_urls", O.with_views(["message_urls"], """
+SELECT msg_id, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY first_pos) - 1 AS INTEGER) AS pos, url
+FROM (SELECT msg_id, url, min(pos) AS first_pos FROM message_urls GROUP BY msg_id, url) t"""))(
+    lambda spark, sf_dir: (lambda parts: parts[1].join(parts[0].select("msg_key", "message_id"), "msg_key").select(
+        _msg_id().alias("msg_id"), F.col("pos").cast("int").alias("pos"), "url"))(_ingested(spark, sf_dir)))
+
+register("t05_rejects")(lambda spark, sf_dir: _ingested(spark, sf_dir)[3])
