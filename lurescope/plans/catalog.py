@@ -1266,3 +1266,129 @@ FROM (SELECT msg_id, url, min(pos) AS first_pos FROM message_urls GROUP BY msg_i
         _msg_id().alias("msg_id"), F.col("pos").cast("int").alias("pos"), "url"))(_ingested(spark, sf_dir)))
 
 register("t05_rejects")(lambda spark, sf_dir: _ingested(spark, sf_dir)[3])
+
+
+# ---------------------------------------------------------------- streaming
+
+from lurescope.streaming import monitor as MON  # noqa: E402
+
+STREAM_WATERMARK = "31 days"   # the replayed month fits in one watermark: nothing is late
+
+
+def _monitor_run(spark, sf_dir, raw_mode=False):
+    """Run the monitor once over the message stream (availableNow) and keep
+    the Monitor (its outputs are tables in the shared folder)."""
+    import uuid
+    from lurescope.session import shared_path
+    j = jobs(spark, sf_dir)
+    key = "_monitor_raw" if raw_mode else "_monitor"
+    if key in j._tables:
+        return j._tables[key]
+    base = shared_path(spark, f"monitor-{uuid.uuid4().hex[:12]}")
+    dims = lambda: (spark.read.parquet(j._tables_path("domain_rank")),
+                    spark.read.parquet(j._tables_path("threat_domain")),
+                    spark.read.parquet(j._tables_path("domain_facts_history")),
+                    spark.read.parquet(j._tables_path("domain_facts")))
+    j.rank(); j.threat(); j.facts_history(); j.cert_facts()
+    trusted = lambda rank: rank.filter(F.col("rank") <= D.TEST_TRUSTED_TOP_N).select("domain")
+    src = f"{base}/source"
+    if raw_mode:
+        raw = MAIL.render_raw(j.fx.messages, j.fx.message_urls, j.fx.message_attachments) \
+            .join(j.fx.messages.select("msg_id", "received_ts"), "msg_id")
+        MON.write_raw_source(raw, src)
+        mon = MON.Monitor(spark, f"{base}/out", dims, trusted, alert_address=ALERT_ADDRESS)
+        schema = MON.RAW_SCHEMA
+    else:
+        rows = _ltz(j.fx.messages.drop("label", "lang")).withColumn(
+            "email_hash", F.sha2(F.col("msg_id").cast("string"), 256))
+        rows.repartitionByRange(12, "received_ts", "msg_id").write.mode("overwrite").parquet(src)
+        mon = MON.Monitor(spark, f"{base}/out", dims, trusted, alert_address=ALERT_ADDRESS,
+                          urls=j.fx.message_urls, attachments=j.fx.message_attachments)
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(src).schema)
+    q = mon.start(src, f"{base}/checkpoint", max_files=4, watermark=STREAM_WATERMARK, schema=schema)
+    q.awaitTermination()
+    j._tables[key] = mon
+    return mon
+
+
+register("t01_monitor", O.scored_query(
+    "SELECT msg_id, CAST(is_phishing AS INTEGER) AS is_phishing, confidence, risk_score, risk_level FROM x5",
+    _SIG_CTES + [("x5", _X05_SQL)]))(
+    lambda spark, sf_dir: _monitor_run(spark, sf_dir).latest_log().select(
+        "msg_id", F.col("is_phishing").cast("int").alias("is_phishing"), "confidence", "risk_score", "risk_level"))
+
+register("t01_monitor_raw")(
+    lambda spark, sf_dir: _monitor_run(spark, sf_dir, raw_mode=True).latest_log().select(
+        "msg_id", F.col("is_phishing").cast("int").alias("is_phishing"), "confidence", "risk_score", "risk_level"))
+
+register("t03_self_alert_filter", O.scored_query(
+    f"SELECT msg_id, from_addr AS sender, substr(coalesce(subject, ''), 1, 60) AS subject, confidence, risk_score "
+    f"FROM x5 WHERE is_phishing AND strpos(lower(coalesce(from_addr, '')), {O.q(ALERT_ADDRESS)}) = 0",
+    _SIG_CTES + [("x5", _X05_SQL)]))(
+    lambda spark, sf_dir: _monitor_run(spark, sf_dir).alerts().select(
+        "msg_id", "sender", "subject", "confidence", "risk_score"))
+
+register("t04_bounded_intake")(lambda spark, sf_dir: _monitor_run(spark, sf_dir).metrics().select(
+    "batch_id", "arrived"))
+
+register("t06_cycle_counters", O.scored_query(f"""
+SELECT count(*) AS arrived, count(*) AS scored, count(*) FILTER (WHERE final_prob >= {THRESH}) AS positive,
+       CAST(0 AS BIGINT) AS skipped FROM scored"""))(
+    lambda spark, sf_dir: _monitor_run(spark, sf_dir).metrics().agg(
+        F.sum("arrived").alias("arrived"), F.sum("scored").alias("scored"),
+        F.sum("positive").alias("positive"), F.sum("skipped").alias("skipped")))
+
+register("t08_reputation_refresh")(lambda spark, sf_dir: _monitor_run(spark, sf_dir).metrics().select(
+    "batch_id", "threat_rows"))
+
+
+def _ltz(df):
+    """Event-time columns as TIMESTAMP (the tables store TIMESTAMP_NTZ; the
+    session time zone is UTC, so wall-clock values are unchanged)."""
+    return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz"
+                       else F.col(f.name) for f in df.schema])
+
+
+def _stream_source(spark, sf_dir, name, df, files=12, order=("ts",)):
+    import uuid
+    from lurescope.session import shared_path
+    df = _ltz(df)
+    path = shared_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.repartitionByRange(files, *order).write.mode("overwrite").parquet(path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return path, schema
+
+
+@register("t02_stream_dedup", O.with_views(["detections"], "SELECT DISTINCT email_hash FROM detections"))
+def t02(spark, sf_dir):
+    import uuid
+    from lurescope.session import shared_path
+    det = jobs(spark, sf_dir).fx.detections
+    src, schema = _stream_source(spark, sf_dir, "detections-src", det, order=("processed_at", "event_id"))
+    base = shared_path(spark, f"dedup-{uuid.uuid4().hex[:12]}")
+    out = MON.stream_dedup(spark, src, schema, "email_hash", "processed_at", f"{base}/out", f"{base}/ckpt",
+                           watermark=STREAM_WATERMARK)
+    return out.select("email_hash")
+
+
+def _rates(spark, sf_dir, slide):
+    import uuid
+    from lurescope.session import shared_path
+    ev = jobs(spark, sf_dir).fx.t.events.select("event_id", "ts", "value")
+    src, schema = _stream_source(spark, sf_dir, "events-src", ev, order=("ts", "event_id"))
+    base = shared_path(spark, f"rates-{uuid.uuid4().hex[:12]}")
+    return MON.event_rates(spark, src, schema, f"{base}/out", f"{base}/ckpt", "1 hour", slide,
+                           STREAM_WATERMARK, "ts", F.col("value") >= 175)
+
+
+register("t07_event_rates", """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+       count(*) AS events, count(*) FILTER (WHERE value >= 175) AS positives
+FROM events GROUP BY 1, 2""")(lambda spark, sf_dir: _rates(spark, sf_dir, None))
+
+register("t07_event_rates_sliding", """
+SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, count(*) AS events,
+       count(*) FILTER (WHERE value >= 175) AS positives
+FROM (SELECT value, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS ws
+      FROM events, (SELECT unnest(generate_series(0, 3)) AS k) g) t
+GROUP BY 1, 2""")(lambda spark, sf_dir: _rates(spark, sf_dir, "15 minutes"))

@@ -43,8 +43,14 @@ class Jobs:
     def _table(self, name: str, build) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = materialize(build(), name)
+            self._tables["_path_" + name] = self._tables[name].inputFiles()[0].rsplit("/", 1)[0] \
+                if self._tables[name].inputFiles() else None
         return self._tables[name]
 
+    def _tables_path(self, name: str) -> str:
+        """Folder of a materialized table (re-read by streaming batches)."""
+        return self._tables["_path_" + name]
+
     # Dimension tables (in production these are maintained tables).
     def rank(self) -> DataFrame:
         return self._table("domain_rank", lambda: self.fx.domain_rank)
