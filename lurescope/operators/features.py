@@ -148,15 +148,23 @@ def attachment_features(attachments: DataFrame, dicts: D.Dictionaries) -> DataFr
 ANCHOR_RE = r"(?is)<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
 
 
-def anchors(messages: DataFrame) -> DataFrame:
-    """(msg_id, href, anchor_text) of every ``<a href>`` in the HTML part."""
+def anchors(messages: DataFrame, must_contain: list | None = None) -> DataFrame:
+    """(msg_id, href, anchor_text) of every ``<a href>`` in the HTML part.
+
+    One regex pass over the HTML; href and text are then cut out of each
+    (short) match.  With ``must_contain``, only HTML whose lower-cased text
+    contains one of the words is scanned (anchor text is part of the HTML,
+    so this prefilter loses nothing and skips the regex for most messages).
+    """
     html = F.coalesce(F.col("html_text"), F.lit(""))
-    hrefs = F.regexp_extract_all(html, F.lit(ANCHOR_RE), 1)
-    texts = F.regexp_extract_all(html, F.lit(ANCHOR_RE), 2)
-    z = F.arrays_zip(hrefs.alias("href"), texts.alias("txt"))
-    return (messages.filter(F.length(html) > 0).select("msg_id", F.explode(z).alias("a"))
-            .select("msg_id", F.col("a.href").alias("href"),
-                    F.trim(F.lower(F.regexp_replace("a.txt", "<[^>]+>", ""))).alias("anchor_text")))
+    m = messages.filter(F.length(html) > 0)
+    if must_contain is not None:
+        m = m.filter(any_contained(F.lower(html), must_contain))
+    found = F.regexp_extract_all(html, F.lit(ANCHOR_RE), 0)
+    return (m.select("msg_id", F.explode(found).alias("a"))
+            .select("msg_id", F.regexp_extract("a", ANCHOR_RE, 1).alias("href"),
+                    F.trim(F.lower(F.regexp_replace(F.regexp_extract("a", ANCHOR_RE, 2), "<[^>]+>", "")))
+                    .alias("anchor_text")))
 
 
 def link_mismatch(messages: DataFrame, message_urls: DataFrame, vt: DataFrame,
@@ -165,7 +173,7 @@ def link_mismatch(messages: DataFrame, message_urls: DataFrame, vt: DataFrame,
     a legitimate domain among the message's looked-up domains (the link host's
     verdict if the host is among them, else its root's)."""
     from lurescope.operators.domains import decompose_hosts
-    a = anchors(messages)
+    a = anchors(messages, list(dicts.feature_brands))
     a = a.filter(_brands_in(F.col("anchor_text"), dicts.feature_brands))
     a = a.withColumn("hhost", normalize_host("href"))
     dec = decompose_hosts(a.select(F.col("hhost").alias("host")), dicts.public_suffixes) \
@@ -188,7 +196,7 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
                  verdicts: DataFrame, trusted: DataFrame | list,
                  cert_facts: DataFrame | None = None,
                  dicts: D.Dictionaries = D.TEST_DICTIONARIES,
-                 zero_trusted: bool = True, keep: tuple = ()) -> DataFrame:
+                 zero_trusted: bool = True, keep: tuple = (), stage: bool = True) -> DataFrame:
     """msg_id + the 37 features in fixed order (F00 applied).
 
     ``verdicts`` must come from :func:`domain_verdicts` over the message
@@ -199,6 +207,10 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
 
     spark = messages.sparkSession
     vt = domain_tests(with_root_legit(verdicts), dicts)
+    if stage:
+        # Distinct-domain grain, used by six joins below: written once.
+        from lurescope.session import materialize
+        vt = materialize(vt, "domain_tests")
 
     uf = url_features(message_urls, vt, dicts)
     af = attachment_features(attachments, dicts)

@@ -56,7 +56,7 @@ FROM (SELECT msg_id, url, min(i) AS first_i FROM (
 
 @register("u01_extract_urls", U01_SQL)
 def u01(spark, sf_dir):
-    return DOM.extract_urls(jobs(spark, sf_dir).fx.messages)
+    return DOM.extract_urls(jobs(spark, sf_dir).messages)
 
 
 @register("u02_normalize_host", O.base_query(
@@ -68,7 +68,7 @@ def u02(spark, sf_dir):
 
 
 def _hosts(j):
-    return DOM.message_hosts(j.fx.messages, j.message_urls).select("host").distinct()
+    return DOM.message_hosts(j.messages, j.message_urls).select("host").distinct()
 
 
 def _dec(j):
@@ -251,7 +251,7 @@ def j05(spark, sf_dir):
     j = jobs(spark, sf_dir)
     dec = DOM.decompose_hosts(_hosts(j), j.dicts.public_suffixes).select(
         F.col("host").alias("shost"), F.col("root_domain").alias("domain"))
-    m = j.fx.messages.select("msg_id", "received_ts", address_host("from_addr").alias("shost")) \
+    m = j.messages.select("msg_id", "received_ts", address_host("from_addr").alias("shost")) \
         .join(dec, "shost", "inner")
     a = VER.asof_join(m, j.facts_history(), "domain", "received_ts")
     return a.select("msg_id", "domain", "received_ts", "fetched_at")
@@ -296,7 +296,7 @@ SELECT msg_id, CAST(CAST(strpos(lower(coalesce(html_text, '')), '<form') > 0 OR
 FROM (SELECT msg_id, html_text FROM messages UNION ALL SELECT msg_id, html_text FROM crafted_html) t"""))
 def f35(spark, sf_dir):
     j = jobs(spark, sf_dir)
-    h = j.fx.messages.select("msg_id", "html_text").unionByName(j.fx.crafted_html)
+    h = j.messages.select("msg_id", "html_text").unionByName(j.fx.crafted_html)
     html = F.lower(F.coalesce("html_text", F.lit("")))
     flag = html.contains("<form") | html.rlike(r"<input[^>]+type=[\"']?(password|text)")
     return h.select("msg_id", i(flag).cast("double").alias("has_form_in_html"))
@@ -309,7 +309,7 @@ def f00(spark, sf_dir):
     j = jobs(spark, sf_dir)
     v = j.verdicts().select(F.col("domain").alias("shost"), F.col("root_domain").alias("sroot"))
     t = j.trusted()
-    m = j.fx.messages.select("msg_id", address_host("from_addr").alias("shost")).join(v, "shost", "left")
+    m = j.messages.select("msg_id", address_host("from_addr").alias("shost")).join(v, "shost", "left")
     m = m.join(F.broadcast(t.select(F.col("domain").alias("shost"), F.lit(True).alias("_a"))), "shost", "left")
     m = m.join(F.broadcast(t.select(F.col("domain").alias("sroot"), F.lit(True).alias("_b"))), "sroot", "left")
     return m.select("msg_id", i(F.coalesce("_a", "_b", F.lit(False))).alias("is_trusted"))
@@ -341,7 +341,7 @@ def threat_links_by_sender(spark, sf_dir):
                    .join(v.filter(F.col("is_known_threat") | F.col("is_safe_browsing_threat"))
                          .select("domain"), "domain", "left_semi")
                    .groupBy("msg_id").agg(F.count(F.lit(1)).alias("n_threat")))
-    s = j.fx.messages.select("msg_id", address_host("from_addr").alias("domain")) \
+    s = j.messages.select("msg_id", address_host("from_addr").alias("domain")) \
         .join(v.select("domain", "root_domain", "confidence"), "domain", "inner")
     return (s.join(threat_urls, "msg_id", "inner")
             .groupBy(F.col("root_domain").alias("sender_domain"), F.col("confidence").alias("sender_confidence"))
@@ -856,7 +856,7 @@ def _store(spark, sf_dir):
     import uuid
     from lurescope.session import shared_path
     j = jobs(spark, sf_dir)
-    f = j.feature_table().join(j.fx.messages.select("msg_id", "received_ts"), "msg_id") \
+    f = j.feature_table().join(j.messages.select("msg_id", "received_ts"), "msg_id") \
         .withColumn("email_hash", F.sha2(F.col("msg_id").cast("string"), 256))
     store = DS.FeatureStore(spark, shared_path(spark, f"feature_store-{uuid.uuid4().hex[:12]}"))
     store.add(f.filter(F.col("received_ts") < F.lit("2024-01-16").cast("timestamp")))
@@ -982,7 +982,7 @@ WHERE rn <= (SELECT floor(count(*) * 0.5) FROM scored WHERE label = 1)"""))(
 def _dataset(spark, sf_dir):
     j = jobs(spark, sf_dir)
     return j.feature_table().filter(F.col("label").isNotNull()).join(
-        j.fx.messages.select("msg_id", F.col("from_name").alias("source")), "msg_id")
+        j.messages.select("msg_id", F.col("from_name").alias("source")), "msg_id")
 
 
 _A07_SQL = O.feature_query("""
@@ -1033,7 +1033,7 @@ _RAW_TEXT_SQL = ("SELECT msg_id, 'Subject: ' || subject || chr(10) || 'From: ' |
 
 
 def _raw_text(spark, sf_dir):
-    m = jobs(spark, sf_dir).fx.messages
+    m = jobs(spark, sf_dir).messages
     return m.select("msg_id", F.concat(F.lit("Subject: "), "subject", F.lit("\nFrom: "), "from_name", F.lit(" <"),
                                        "from_addr", F.lit(">\n\n"), "plain_text").alias("text"))
 
@@ -1210,7 +1210,7 @@ def _corpus(spark, sf_dir):
     j = jobs(spark, sf_dir)
     if "_corpus" not in j._tables:
         path = shared_path(spark, f"corpus-{uuid.uuid4().hex[:12]}")
-        raw = MAIL.render_raw(j.fx.messages, j.fx.message_urls, j.fx.message_attachments)
+        raw = MAIL.render_raw(j.messages, j.message_urls, j.message_attachments)
         MAIL.write_corpus(raw, path)
         j._tables["_corpus"] = path
     return j._tables["_corpus"]
@@ -1293,17 +1293,17 @@ def _monitor_run(spark, sf_dir, raw_mode=False):
     trusted = lambda rank: rank.filter(F.col("rank") <= D.TEST_TRUSTED_TOP_N).select("domain")
     src = f"{base}/source"
     if raw_mode:
-        raw = MAIL.render_raw(j.fx.messages, j.fx.message_urls, j.fx.message_attachments) \
-            .join(j.fx.messages.select("msg_id", "received_ts"), "msg_id")
+        raw = MAIL.render_raw(j.messages, j.message_urls, j.message_attachments) \
+            .join(j.messages.select("msg_id", "received_ts"), "msg_id")
         MON.write_raw_source(raw, src)
         mon = MON.Monitor(spark, f"{base}/out", dims, trusted, alert_address=ALERT_ADDRESS)
         schema = MON.RAW_SCHEMA
     else:
-        rows = _ltz(j.fx.messages.drop("label", "lang")).withColumn(
+        rows = _ltz(j.messages.drop("label", "lang")).withColumn(
             "email_hash", F.sha2(F.col("msg_id").cast("string"), 256))
         rows.repartitionByRange(12, "received_ts", "msg_id").write.mode("overwrite").parquet(src)
         mon = MON.Monitor(spark, f"{base}/out", dims, trusted, alert_address=ALERT_ADDRESS,
-                          urls=j.fx.message_urls, attachments=j.fx.message_attachments)
+                          urls=j.message_urls, attachments=j.message_attachments)
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(src).schema)
     q = mon.start(src, f"{base}/checkpoint", max_files=4, watermark=STREAM_WATERMARK, schema=schema)
     q.awaitTermination()

@@ -29,9 +29,19 @@ class Jobs:
         self.with_crafted = with_crafted
         self._tables: dict = {}
 
+    # Staged inputs: the derived views are written once and re-read, as a
+    # production pipeline reads its message tables.
+    @property
+    def messages(self) -> DataFrame:
+        return self._table("messages", lambda: self.fx.messages)
+
+    @property
+    def message_attachments(self) -> DataFrame:
+        return self._table("message_attachments", lambda: self.fx.message_attachments)
+
     @property
     def message_urls(self) -> DataFrame:
-        mu = self.fx.message_urls
+        mu = self._table("message_urls", lambda: self.fx.message_urls)
         if self.with_crafted:
             mu = mu.unionByName(self.fx.crafted_urls)
         return mu
@@ -65,7 +75,7 @@ class Jobs:
         return self._table("domain_facts", lambda: self.fx.domain_facts)
 
     def domains(self) -> DataFrame:
-        return collect_domains(self.fx.messages, self.message_urls, self.dicts.public_suffixes)
+        return collect_domains(self.messages, self.message_urls, self.dicts.public_suffixes)
 
     def verdicts(self) -> DataFrame:
         """Verdict table job (V08: distinct domains first), written once."""
@@ -73,7 +83,7 @@ class Jobs:
             self.domains(), self.rank(), self.threat(), self.facts_history(), AS_OF, self.dicts))
 
     def features(self, keep: tuple = ()) -> DataFrame:
-        return features_all(self.fx.messages, self.message_urls, self.fx.message_attachments,
+        return features_all(self.messages, self.message_urls, self.message_attachments,
                             self.verdicts(), self.trusted(), self.cert_facts(), self.dicts,
                             keep=keep)
 
@@ -82,7 +92,7 @@ class Jobs:
         (used to check scoring, metrics and explanations without a model)."""
         from lurescope.operators.scoring import blend
         f = self.feature_table()
-        m = self.fx.messages.select("msg_id", "from_addr", "from_name", "subject")
+        m = self.messages.select("msg_id", "from_addr", "from_name", "subject")
         k = F.col("msg_id")
         s = f.join(m, "msg_id").select(
             "*",
@@ -106,7 +116,7 @@ class Jobs:
         """p_text for every message (prompt form: subject, sender, body)."""
         from lurescope.operators.models import prompt_text, text_score
         def build():
-            m = self.fx.messages.select("msg_id", prompt_text().alias("text"))
+            m = self.messages.select("msg_id", prompt_text().alias("text"))
             return text_score(self.text_model(), m).select("msg_id", "p_text")
         return self._table("text_scores", build)
 
