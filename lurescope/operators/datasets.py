@@ -280,7 +280,9 @@ def extraction_counters(docs: DataFrame, key: Column, source: str = "source",
     failed = F.col(text).isNull() | (F.length(F.trim(F.col(text))) == 0)
     d = docs.withColumn("_k", key).withColumn("_failed", failed)
     first = d.filter(~F.col("_failed")).groupBy("_k").agg(F.min("doc_id").alias("_first"))
-    j = d.join(first, "_k", "left")
+    # One content hash may hold a third of all rows: salted unless bounded.
+    from lurescope.operators.joins import lookup_join
+    j = lookup_join(d, first, "_k", ["doc_id"])
     dup = ~F.col("_failed") & (F.col("doc_id") != F.col("_first"))
     return j.groupBy(source).agg(
         F.count(F.lit(1)).alias("seen"), F.count_if(dup).alias("duplicates"),

@@ -70,9 +70,11 @@ def stats(latest: DataFrame) -> DataFrame:
         F.coalesce(F.round(F.avg("confidence"), 4), F.lit(0.0)).alias("average_confidence"))
 
 
-def unseen(batch: DataFrame, seen: DataFrame, key: str = "email_hash") -> DataFrame:
-    """Rows of ``batch`` whose key is not in ``seen`` (left anti join)."""
-    return batch.join(seen.select(key).distinct(), key, "left_anti")
+def unseen(batch: DataFrame, seen: DataFrame, key: str = "email_hash", row_key: list | None = None) -> DataFrame:
+    """Rows of ``batch`` whose key is not in ``seen`` (left anti join;
+    broadcast when the seen set is bounded, else salted on ``row_key``)."""
+    from lurescope.operators.joins import lookup_join
+    return lookup_join(batch, seen.select(key).distinct(), key, row_key or batch.columns, "left_anti")
 
 
 def risk_band(p) -> "F.Column":

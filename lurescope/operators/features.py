@@ -24,6 +24,7 @@ from lurescope.functions.urls import (address_host, any_contained, any_regex, bo
                                       count_contained, has_ip_host, normalize_host,
                                       query_param_names, shannon_entropy, url_netloc, url_path)
 from lurescope.operators.domains import brand_matches
+from lurescope.operators.joins import lookup_join
 from lurescope.operators.verdicts import domain_age_score
 
 
@@ -86,7 +87,8 @@ def url_features(message_urls: DataFrame, vt: DataFrame, dicts: D.Dictionaries)
         F.col("domain").alias("uhost"), "root_domain", "label", "is_legitimate",
         "is_known_threat", "is_safe_browsing_threat", "tranco_rank", "is_newly_registered",
         "root_is_legitimate", "compound_hit", "homograph_hit", "sub_brand_hit")
-    j = u.join(v, "uhost", "left")
+    # A hot domain must not become a hot task: broadcast when bounded, else salted.
+    j = lookup_join(u, v, "uhost", ["msg_id", "pos"])
     legit = F.coalesce(F.col("is_legitimate"), F.lit(False))
     shortener = F.coalesce(F.col("root_domain").isin(list(dicts.shorteners)), F.lit(False)) \
         if dicts.shorteners else F.lit(False)
@@ -224,7 +226,8 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
                    F.col("is_newly_registered").alias("s_new"),
                    F.col("compound_hit").alias("s_comp"), F.col("homograph_hit").alias("s_homo"))
     rv = vt.select(F.col("domain").alias("rhost"), F.col("root_domain").alias("rroot"))
-    m = m.join(sv, "shost", "left").join(rv, "rhost", "left")
+    m = lookup_join(m, sv, "shost", ["msg_id"])
+    m = lookup_join(m, rv, "rhost", ["msg_id"])
     if cert_facts is not None:
         cf = cert_facts.select(F.col("domain").alias("sroot"), F.col("cert_age_days").alias("s_cert"))
         m = m.join(cf, "sroot", "left")
@@ -323,7 +326,7 @@ def msg_lookup_set(messages: DataFrame, message_urls: DataFrame, vt: DataFrame)
     from lurescope.operators.domains import message_hosts
     mh = message_hosts(messages, message_urls)
     v = vt.select("domain", "root_domain", "is_legitimate")
-    hv = mh.join(v.withColumnRenamed("domain", "host"), "host", "inner")
+    hv = lookup_join(mh, v.withColumnRenamed("domain", "host"), "host", ["msg_id", "role", "host"], "inner")
     hosts = hv.select("msg_id", F.col("host").alias("domain"), "is_legitimate")
     roots = hv.filter(F.col("role") != "reply_to").select(
         "msg_id", F.col("root_domain").alias("domain"))

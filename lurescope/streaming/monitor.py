@@ -129,7 +129,8 @@ class Monitor:
         try:
             prior = spark.read.parquet(self.log_path).filter(F.col("batch_id") != batch_id) \
                 .select("email_hash")
-            fresh = batch.join(prior, "email_hash", "left_anti")
+            from lurescope.operators.detections import unseen
+            fresh = unseen(batch, prior, "email_hash", ["msg_id"])
         except Exception:  # no log yet
             fresh = batch
         msgs, urls, atts, rejects = self._messages(fresh, batch_id)
