@@ -1393,3 +1393,28 @@ SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, count(*) AS event
 FROM (SELECT value, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS ws
       FROM events, (SELECT unnest(generate_series(0, 3)) AS k) g) t
 GROUP BY 1, 2""")(lambda spark, sf_dir: _rates(spark, sf_dir, "15 minutes"))
+
+
+# ---------------------------------------------------------------- join patterns under their own names
+
+_verdict_query("j01_lookup_with_fallback", ["domain", "root_domain", "tranco_rank", "is_legitimate"])
+
+register("j02_membership_semi", O.with_views(["message_attachments"], f"""
+SELECT DISTINCT msg_id FROM message_attachments
+WHERE (CASE WHEN strpos(filename, '.') > 0 THEN '.' || lower(regexp_extract(filename, '([^.]*)$', 1)) ELSE '' END)
+      IN ({", ".join(O.q(x) for x in D.DEFAULT_DANGEROUS_EXTENSIONS)})"""))(
+    lambda spark, sf_dir: _j02(spark, sf_dir))
+
+
+def _j02(spark, sf_dir):
+    """Messages with a listed attachment extension -- a left semi join
+    against the (fixed, broadcast) extension list."""
+    a = jobs(spark, sf_dir).message_attachments
+    ext = F.when(F.col("filename").contains("."),
+                 F.concat(F.lit("."), F.lower(F.substring_index("filename", ".", -1)))).otherwise(F.lit(""))
+    lst = spark.createDataFrame([(x,) for x in D.DEFAULT_DANGEROUS_EXTENSIONS], "ext string")
+    return a.select("msg_id", ext.alias("ext")).join(F.broadcast(lst), "ext", "left_semi") \
+        .select("msg_id").distinct()
+
+
+register("j04_theta_brand_join", CATALOG["u09_brand_similarity"][1])(CATALOG["u09_brand_similarity"][0])
