@@ -20,6 +20,14 @@ from lurescope.operators.domains import brand_matches, decompose_hosts
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
+def _ts(value) -> Column:
+    """A timestamp literal from a naive UTC datetime or a string (via text,
+    so the driver's local time zone plays no part)."""
+    if isinstance(value, _dt.datetime):
+        value = value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    return F.lit(str(value)).cast("timestamp")
+
+
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
 
@@ -54,7 +62,7 @@ def facts_as_of(facts: DataFrame, as_of, ttl_days: int = D.FACTS_TTL_DAYS,
     scan).  ``max_by`` is a partial aggregate, so a key with many versions
     is combined map-side.
     """
-    as_of_col = F.lit(as_of).cast("timestamp") if not isinstance(as_of, Column) else as_of
+    as_of_col = as_of if isinstance(as_of, Column) else _ts(as_of)
     lo = as_of_col - F.make_dt_interval(F.lit(ttl_days))
     cols = [c for c in facts.columns if c != key]
     live = facts.filter((F.col(ts) <= as_of_col) & (F.col(ts) > lo))
@@ -216,7 +224,7 @@ def reputation_stats(rank: DataFrame, threat: DataFrame, facts: DataFrame,
 
     Long form (a union of three one-row aggregates), so no join is needed.
     """
-    now_c = F.lit(now).cast("timestamp")
+    now_c = _ts(now)
 
     def age(c):
         return F.round((F.unix_micros(now_c) - F.unix_micros(F.max(c))) / 3.6e9, 2)
