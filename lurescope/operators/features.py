@@ -58,16 +58,14 @@ def domain_tests(verdicts: DataFrame, dicts: D.Dictionaries) -> DataFrame:
     unranked_root = ~F.coalesce(F.col("root_is_legitimate"), F.lit(False))
     compound = unranked_root & ((part_is_brand & (F.size(parts) > 1)) | long_sub)
 
+    # Length band 2, edit distance 1 (equality is distance 0).
     homo = brand_matches(verdicts.select("label"), brands, 2, first_in_order=False)
     homo = homo.filter(F.col("brand_distance") <= D.FEATURE_HOMOGRAPH_MAX_DISTANCE) \
         .select("label", F.lit(True).alias("_homo"))
-    # brand_matches admits distance <= 2 for the band; equality is distance 0.
 
-    n_lab = F.size(F.split("domain", "[.]"))
     sub_labels = F.slice(F.split("domain", "[.]"), 1, F.greatest(F.col("subdomain_depth"), F.lit(0)))
     subdomain = F.when(F.col("subdomain_depth") > 0, F.array_join(sub_labels, ".")).otherwise("")
     sub_hit = unranked_root & _brand_not_in_label(F.lower(subdomain), label, brands)
-    del n_lab
 
     return (verdicts.join(homo, "label", "left")
             .withColumn("compound_hit", compound)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lurescope import dictionaries as D
-from lurescope.functions.urls import bool_int, leet_normalize, normalize_host, primary_part, shannon_entropy
+from lurescope.functions.urls import (URL_IN_TEXT_RE, bool_int, leet_normalize, normalize_host, primary_part,
+                                      shannon_entropy)
 from lurescope.operators import domains as DOM
 from lurescope.operators import verdicts as VER
 from lurescope.plans import oracle as O
@@ -49,7 +50,7 @@ SELECT msg_id, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY first_i) - 1
 FROM (SELECT msg_id, url, min(i) AS first_i FROM (
         SELECT msg_id, regexp_replace(unnest(l), '[.,;)]+$', '') AS url, unnest(generate_series(1, len(l))) AS i
         FROM (SELECT msg_id, regexp_extract_all(concat_ws(' ', coalesce(plain_text, ''), coalesce(html_text, '')),
-                                                {O.q(__import__('lurescope.functions.urls', fromlist=['x']).URL_IN_TEXT_RE)}) AS l
+                                                {O.q(URL_IN_TEXT_RE)}) AS l
               FROM messages) t0) t1
       GROUP BY msg_id, url) t2""")
 
@@ -237,15 +238,12 @@ def v11(spark, sf_dir):
 
 
 @register("j05_asof_facts", O.base_query(f"""
-SELECT m.msg_id, d.root_domain AS domain, m.received_ts,
-       arg_max(f.age_days, f.fetched_at) FILTER (WHERE f.fetched_at IS NOT NULL) AS age_days_any,
-       max(f.fetched_at) AS fetched_at
+SELECT m.msg_id, d.root_domain AS domain, m.received_ts, max(f.fetched_at) AS fetched_at
 FROM messages m
 JOIN ({O.decompose_sql('mh')}) d ON d.host = {O.ah('m.from_addr')}
 LEFT JOIN domain_facts_history f ON f.domain = d.root_domain AND f.fetched_at <= m.received_ts
      AND f.fetched_at > m.received_ts - INTERVAL 7 DAY
-GROUP BY m.msg_id, d.root_domain, m.received_ts""".replace(
-    "arg_max(f.age_days, f.fetched_at) FILTER (WHERE f.fetched_at IS NOT NULL) AS age_days_any,\n       ", "")))
+GROUP BY m.msg_id, d.root_domain, m.received_ts"""))
 def j05(spark, sf_dir):
     from lurescope.functions.urls import address_host
     j = jobs(spark, sf_dir)
@@ -560,7 +558,7 @@ SELECT msg_id, round(p_text, 4) AS nlp_prob_raw, round({O.squish_sql('p_text')},
        {_ACTIVE_SQL} AS active_signals
 FROM scored"""))(
     lambda spark, sf_dir: _scored(spark, sf_dir).select(
-        "msg_id", *[c if str(c) != "x" else c for c in SC.breakdown_columns()],
+        "msg_id", *SC.breakdown_columns(),
         F.array_join(F.array_sort(F.map_keys(SC.active_signals(D.FEATURE_NAMES))), ",").alias("active_signals")))
 
 _LAB = "(SELECT * FROM scored WHERE label IS NOT NULL)"

@@ -65,7 +65,6 @@ class Monitor:
         ``attachments`` it carries message rows and those two are static
         tables joined to each batch (stream-static join)."""
         self.static_urls, self.static_atts = urls, attachments
-        self.dims_seen: list = []
         self.spark, self.out = spark, out_dir.rstrip("/")
         self.dims, self.trusted, self.scorer = dims, trusted, scorer
         self.dicts, self.as_of, self.threshold, self.alert_address = dicts, as_of, threshold, alert_address
@@ -87,12 +86,6 @@ class Monitor:
     def rejects_path(self):
         return f"{self.out}/rejects"
 
-    def _seen(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.log_path).select("email_hash")
-        except Exception:
-            return None
-
     def _stage(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
         """Write a per-batch table (overwrite: a replayed batch rewrites it)
         and read it back -- every later plan starts from a small scan."""
@@ -136,7 +129,6 @@ class Monitor:
         msgs, urls, atts, rejects = self._messages(fresh, batch_id)
 
         rank, threat, facts, cert = self.dims()          # T08: re-read every batch
-        self.dims_seen.append((batch_id, threat))
         verdicts = domain_verdicts(collect_domains(msgs, urls, self.dicts.public_suffixes),
                                    rank, threat, facts, self.as_of, self.dicts)
         # The batch's verdict table is written (per batch id) and re-read:
