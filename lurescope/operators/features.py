@@ -168,7 +168,7 @@ def anchors(messages: DataFrame, must_contain: list | None = None) -> DataFrame:
 
 
 def link_mismatch(messages: DataFrame, message_urls: DataFrame, vt: DataFrame,
-                  dicts: D.Dictionaries) -> DataFrame:
+                  dicts: D.Dictionaries, stage: bool = True) -> DataFrame:
     """an anchor's text names a brand while its link does not resolve to
     a legitimate domain among the message's looked-up domains (the link host's
     verdict if the host is among them, else its root's)."""
@@ -179,6 +179,10 @@ def link_mismatch(messages: DataFrame, message_urls: DataFrame, vt: DataFrame,
     dec = decompose_hosts(a.select(F.col("hhost").alias("host")), dicts.public_suffixes) \
         .select(F.col("host").alias("hhost"), F.col("root_domain").alias("hroot"))
     a = a.join(dec, "hhost", "left")
+    if stage:
+        # The HTML is scanned once; the (small) anchor table feeds four joins.
+        from lurescope.session import materialize
+        a = materialize(a, "brand_anchors")
     # Only messages with such anchors need their lookup set.
     with_anchor = a.select("msg_id").distinct()
     s = msg_lookup_set(messages.join(with_anchor, "msg_id", "left_semi"),
@@ -240,7 +244,7 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
     m = m.join(uf, "msg_id", "left").join(af, "msg_id", "left")
 
     # F36 needs the message's own looked-up domains.
-    lm = link_mismatch(messages, message_urls, vt, dicts)
+    lm = link_mismatch(messages, message_urls, vt, dicts, stage)
     m = m.join(lm, "msg_id", "left")
 
     s_legit = F.coalesce(F.col("s_legit"), F.lit(False))

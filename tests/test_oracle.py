@@ -35,3 +35,13 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() >= 0 and "sender_domain" in df.columns
+
+
+def test_no_row_at_a_time_python_udfs(spark):
+    """Plan check: only Arrow-batched Python (mapInPandas) and only in ingest."""
+    import __spark_entry__ as E
+    q = E.queries()
+    for name in ["v07_verdict", "f38_features_all", "x05_detection_result", "w01_dedup_content",
+                 "a12_metric_interval", "s12_assemble_corpus"]:
+        plan = q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" not in plan and "MapInPandas" not in plan, name
