@@ -62,7 +62,9 @@ def cap_per_class(df: DataFrame, label: str, order: list, cap: int, balance: boo
     Ranks come from the distributed ranking (no single-task window); the
     balance bound is one scalar subquery.
     """
-    ranked = global_row_number(df, order, [label], name="_rn")
+    # Written once: both the balance bound and the filter read it.
+    from lurescope.session import materialize
+    ranked = materialize(global_row_number(df, order, [label], name="_rn"), "class_ranks")
     pos_kept = ranked.filter((F.col(label) == 1) & (F.col("_rn") <= cap)).agg(
         F.count(F.lit(1))).scalar()
     neg_cap = F.least(F.lit(cap), pos_kept) if balance else F.lit(cap)
