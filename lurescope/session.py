@@ -14,6 +14,11 @@ import tempfile
 from pyspark.sql import SparkSession
 
 RECOMMENDED_CONF = {
+    # Partition sizing: scan splits and post-shuffle partitions of ~128 MB
+    # keep tasks within executor memory at any scale; AQE coalesces small
+    # shuffle partitions and splits skewed ones at runtime.
+    "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
