@@ -58,7 +58,8 @@ def text_score(model: PipelineModel, df: DataFrame, text: str = "text", out: str
 
 def pandas_text_scorer(predict):
     """Slot for a user's own text model: ``predict(list[str]) -> list[float]``
-    runs on Arrow batches inside the executors (never row at a time)."""
+    runs on Arrow batches inside the executors (never row at a time).  The
+    UDF is a closure, pickled by value with ``predict``."""
     import pandas as pd
 
     @F.pandas_udf("double")
