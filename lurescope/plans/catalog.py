@@ -1118,24 +1118,30 @@ def m12(spark, sf_dir):
     return ML.divergence(full, struct)
 
 
+def _activation_counts(df, names):
+    """Rows with a non-zero value per feature (one aggregation, then unpivot).
+    Integer counts keep every sum exact, so both engines agree bit for bit."""
+    wide = df.agg(*[F.count_if(F.col(n) > 0).cast("double").alias(n) for n in names])
+    return wide.unpivot([], names, "feature", "importance")
+
+
 def _imp_fixture(spark, sf_dir):
-    """Importance fixture from the data: activation % of each feature
+    """Importance fixture from the data: activation counts of each feature
     (labelled rows for 'full' incl. the text score, all rows for 'structural')."""
-    from lurescope.operators.datasets import feature_activation
     s = _scored(spark, sf_dir)
     lab = s.filter(F.col("label").isNotNull()).withColumn(
         D.TEXT_FEATURE, (F.col("p_text") >= 0.5).cast("double"))
-    full = feature_activation(lab, ML.FULL_FEATURES).select("feature", F.col("active_pct").alias("importance"))
-    struct = feature_activation(s, ML.STRUCT_FEATURES).select("feature", F.col("active_pct").alias("importance"))
-    return full, struct
+    return _activation_counts(lab, ML.FULL_FEATURES), _activation_counts(s, ML.STRUCT_FEATURES)
 
 
 def _imp_fixture_sql():
     lab = "(SELECT *, CAST(p_text >= 0.5 AS DOUBLE) AS nlp_phishing_prob FROM scored WHERE label IS NOT NULL)"
-    full = " UNION ALL ".join(f"SELECT '{n}' AS feature, avg(CAST({n} > 0 AS DOUBLE)) * 100 AS importance FROM {lab} t"
-                              for n in ML.FULL_FEATURES)
-    struct = " UNION ALL ".join(f"SELECT '{n}' AS feature, avg(CAST({n} > 0 AS DOUBLE)) * 100 AS importance FROM scored"
-                                for n in ML.STRUCT_FEATURES)
+    full = " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, CAST(count(*) FILTER (WHERE {n} > 0) AS DOUBLE) AS importance FROM {lab} t"
+        for n in ML.FULL_FEATURES)
+    struct = " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, CAST(count(*) FILTER (WHERE {n} > 0) AS DOUBLE) AS importance FROM scored"
+        for n in ML.STRUCT_FEATURES)
     return [("imp_full", full), ("imp_struct", struct)]
 
 
