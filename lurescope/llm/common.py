@@ -40,6 +40,12 @@ def with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(F.col(id_col), text).alias("rk"))
 
 
+def bounded_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint for a staged table of at most ``max_rows`` narrow rows;
+    a larger one is returned as it is and joins by shuffle."""
+    return F.broadcast(small) if small.count() <= max_rows else small
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) edges: one row (node, component) for
     each node of an edge, ``component`` its smallest reachable node.
