@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import bounded_broadcast, components, stage
+from lurescope.llm.common import bounded_broadcast, components, ship, stage
 
 THRESHOLD = 0.9
 PER_VECTOR = 20
@@ -144,6 +144,7 @@ def _link_block(threshold: float):
 def near_vectors(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
                  threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: ``id, n_links, component``."""
+    ship(vectors.sparkSession)
     raw = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = F.expr("""v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL
         AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)""")

@@ -3,7 +3,11 @@ connected components as Spark jobs."""
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors' Python workers, once per context; a
+    cluster needs no installed copy."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lurescope_shipped", False):
+        return
+    import lurescope
+    root = os.path.dirname(os.path.abspath(lurescope.__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    # Spark serves the file from the driver; executors never read this folder
+    path = os.path.join(tempfile.mkdtemp(prefix="lurescope-code-"), "lurescope_code.zip")
+    with open(path, "wb") as out:
+        out.write(held.getvalue())
+    sc.addPyFile(path)
+    sc._lurescope_shipped = True
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm import textscan as T
-from lurescope.llm.common import stage, with_text
+from lurescope.llm.common import ship, stage, with_text
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -259,6 +259,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
     """(id, rk, item_id, n_windows, first_word, similarity) for each document
     and benchmark item it holds."""
     spark = docs.sparkSession
+    ship(spark)
     schema = ("id bigint, rk bigint, item_id bigint, n_windows bigint, first_word bigint, "
               "similarity double")
     texts = with_text(docs, id_col, text_col)

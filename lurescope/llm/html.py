@@ -40,7 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lurescope.llm.common import ship
+
 MAX_FIT_PAGES = 400
+EDGE_CAP = 2.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -286,10 +289,11 @@ class Model:
 
 
 def _edges(counts: np.ndarray) -> np.ndarray:
-    """P(child | parent, kind) over P(child | kind): what the parent adds."""
+    """P(child | parent, kind) over P(child | kind): what the parent adds to the
+    child's own evidence, at most ``EDGE_CAP`` log units."""
     given = counts / counts.sum(axis=2, keepdims=True)
     alone = counts.sum(axis=1) / counts.sum(axis=(1, 2))[:, None]
-    return np.log(given) - np.log(alone)[:, None, :]
+    return np.clip(np.log(given) - np.log(alone)[:, None, :], -EDGE_CAP, EDGE_CAP)
 
 
 def prior_model() -> Model:
@@ -377,6 +381,7 @@ _BATCH_CHARS = 1 << 20
 def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="html",
                   max_fit_pages: int = MAX_FIT_PAGES) -> DataFrame:
     """One row per page: ``id, url, text``."""
+    ship(pages.sparkSession)
     marked = F.col(html_col).rlike("(?i)<(article|main)[ >]")
     sample = (pages.filter(marked).select(F.col(html_col).alias("h"))
               .select("h", F.xxhash64("h").alias("k")).orderBy("k").limit(max_fit_pages)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm import textscan as T
-from lurescope.llm.common import bounded_broadcast, components, stage, with_text
+from lurescope.llm.common import bounded_broadcast, components, ship, stage, with_text
 
 SHINGLE = 4
 PERCENT = 85
@@ -250,6 +250,7 @@ def similarity_edges(rows: DataFrame, texts: DataFrame, reps: DataFrame, k: int,
 def similarity_classes(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE,
                        percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: ``id, rk, n_shingles, component``."""
+    ship(docs.sparkSession)
     texts = with_text(docs, id_col, text_col)
     frequent = frequent_shingles(texts, shingle)
     rows = stage(texts.mapInArrow(_sets(shingle, percent, frequent),

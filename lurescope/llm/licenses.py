@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm import textscan as T
-from lurescope.llm.common import stage
+from lurescope.llm.common import ship, stage
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -161,6 +161,7 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text",
     their labels), ``matches`` (template label, block start, share of the
     template's words)."""
     spark = docs.sparkSession
+    ship(spark)
     temps = templates(PHRASES if phrases is None else phrases,
                       TEMPLATES if texts is None else texts, threshold)
     assert all(re.fullmatch(r"[0-9a-z\u0080-\U0010ffff]+", w) for t in temps for w in t.words)

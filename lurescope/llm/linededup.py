@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm import textscan as T
-from lurescope.llm.common import stage, with_text
+from lurescope.llm.common import ship, stage, with_text
 
 #: Words of the shortest run that is deleted when it repeats.
 MIN_WORDS = 8
@@ -154,6 +154,7 @@ def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text",
                   min_words: int = MIN_WORDS) -> DataFrame:
     """(rk, runs): for each document with repeated lines the runs of line
     numbers (from 0, both ends inclusive) that occur earlier."""
+    ship(docs.sparkSession)
     lines = stage(with_text(docs, id_col, text_col).mapInArrow(
         _lines, "id bigint, rk bigint, h array<bigint>, w array<int>").dropDuplicates(["rk"]),
         "lines")

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm import textscan as T
-from lurescope.llm.common import stage
+from lurescope.llm.common import ship, stage
 
 SPACE = "▁"
 MAX_UNITS = 500_000
@@ -349,6 +349,7 @@ def decode(table: PieceTable, ids: list[int]) -> str:
 
 def decode_ids(df: DataFrame, ids_col="ids", out_col="decoded", model: str | None = None) -> DataFrame:
     """``df`` with the text of its id column (null ids: null)."""
+    ship(df.sparkSession)
     table = PieceTable.load(model or default_model())
 
     def run(batches):
@@ -367,6 +368,7 @@ def encode_documents(docs: DataFrame, text_col="text", model: str | None = None,
     """``docs`` with ``n_tokens``, ``ids`` and ``round_trip`` (the ids decode to
     the text)."""
     spark = docs.sparkSession
+    ship(spark)
     table = PieceTable.load(model or default_model())
     counts = (docs.select(F.col(text_col).cast("string").alias("text"))
               .mapInArrow(_count_units(table), "unit string, c bigint")

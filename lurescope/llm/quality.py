@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm import textscan as T
-from lurescope.llm.common import stage
+from lurescope.llm.common import ship, stage
 
 #: Bound of the labelled sample the document classifier is fitted on.
 MAX_FIT_ROWS = 20_000
@@ -146,6 +146,7 @@ def _site_columns(docs: DataFrame, id_col, text_col, host_col, lang_col) -> dict
 def document_features(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source",
                       lang_col="lang") -> DataFrame:
     """One staged row per document: id, row key, host, path, word count, features."""
+    ship(docs.sparkSession)
     site = docs.select(*(c.alias(n) for n, c in _site_columns(
         docs, id_col, text_col, host_col, lang_col).items()))
     return stage(site.mapInArrow(

@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import bounded_broadcast, with_text
+from lurescope.llm.common import bounded_broadcast, ship, with_text
 
 END_ID = 1
 SAMPLE_DOCS = 2_000
@@ -213,6 +213,7 @@ def write_tokens(docs: DataFrame, path: str, id_col="doc_id", text_col="text",
     """Write the token files of ``docs`` below ``path``: ``shards`` and
     ``dictionary``."""
     spark = docs.sparkSession
+    ship(spark)
     vocabulary = vocabulary or default_vocabulary()
     texts = with_text(docs, id_col, text_col)
     dictionary = train_dictionary(texts, vocabulary)
@@ -281,6 +282,7 @@ def _read(width: int, dictionary: bytes, dict_hash: str):
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, ids, crc32) of every document in the files; ``ids``
     are little-endian unsigned 32-bit integers."""
+    ship(spark)
     d = spark.read.parquet(f"{path}/dictionary").first()
     return read_shards(spark, path).select(
         "dict_hash", "first", "doc_ids", "n_tokens", "offsets", "frames").mapInArrow(
