@@ -161,9 +161,11 @@ def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text",
     fps = stage(lines.mapInArrow(_fingerprints(min_words),
                                  "id bigint, rk bigint, pos bigint, fp bigint, win bigint"),
                 "line-fingerprints")
-    first = fps.groupBy("fp", "win").agg(
-        F.min(F.struct("id", "rk", "pos")).alias("src"), F.count(F.lit(1)).alias("n")) \
-        .filter("n > 1").select("fp", "win", "src")
+    # staged, so that both sides of the join are plain shuffles and a hot window
+    # (a line in a third of all texts) is a skewed partition that Spark splits
+    first = stage(fps.groupBy("fp", "win").agg(
+        F.min(F.struct("id", "rk", "pos")).alias("src"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").select("fp", "win", "src"), "line-first-places")
     later = (fps.join(first, ["fp", "win"])
              .filter("struct(id, rk, pos) > src")
              # matches on one diagonal of two documents extend to one another
