@@ -47,8 +47,10 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
 def clean_labelled(df: DataFrame) -> DataFrame:
     """Drop rows without text or label, keep stripped length > 10, label as int."""
     d = df.filter(F.col("text").isNotNull() & F.col("label").isNotNull())
-    d = d.filter(F.length(F.trim(F.col("text"))) > 10)
-    return d.withColumn("label", F.col("label").cast("int"))
+    # all white space counts, and a label that is no number is no label
+    d = d.filter(F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) > 10)
+    return (d.withColumn("label", F.expr("try_cast(label AS INT)"))
+            .filter(F.col("label").isNotNull()))
 
 
 def labelled_report(df: DataFrame, source: str = "source") -> DataFrame:
@@ -80,8 +82,9 @@ def load_rank_list(spark: SparkSession, path: str) -> DataFrame:
     which row is last."""
     raw = (spark.read.option("header", False).option("mode", "PERMISSIVE").csv(path)
            .select("_c0", "_c1", F.col("_metadata.file_path").alias("_file"),
+                   F.col("_metadata.file_block_start").alias("_block"),
                    F.monotonically_increasing_id().alias("_row")))
-    return rank_list(raw, "_c0", "_c1", ["_file", "_row"])
+    return rank_list(raw, "_c0", "_c1", ["_file", "_block", "_row"])
 
 
 # ----------------------------------------------------------------- S07 threat feeds
@@ -123,19 +126,17 @@ def feed_refresh(spark: SparkSession, path: str, build, max_age_hours: float = D
                  now=None, force: bool = False) -> DataFrame:
     """Rebuild the stored feed table when it is missing, older than
     ``max_age_hours`` (by ``max(loaded_at)``) or on demand."""
-    import datetime as _dt
-    now = now or _dt.datetime.utcnow()
+    from lurescope.session import path_exists
+    # a naive instant is UTC; the comparison stays inside Spark
+    clock = F.current_timestamp() if now is None else F.to_timestamp(
+        F.lit(now.strftime("%Y-%m-%d %H:%M:%S.%f+00:00")))
     stale = True
-    if not force:
-        try:
-            cur = spark.read.parquet(path)
-            newest = cur.agg(F.max("loaded_at")).head()[0]
-            stale = newest is None or (now - newest).total_seconds() > max_age_hours * 3600
-        except Exception:  # missing table
-            stale = True
+    if not force and path_exists(spark, path):
+        age = F.unix_micros(clock) - F.unix_micros(F.max("loaded_at"))
+        stale = spark.read.parquet(path).agg(
+            F.coalesce(age > F.lit(int(max_age_hours * 3_600_000_000)), F.lit(True))).first()[0]
     if stale:
-        build().withColumn("loaded_at", F.lit(now).cast("timestamp")) \
-            .write.mode("overwrite").parquet(path)
+        build().withColumn("loaded_at", clock).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -155,10 +156,8 @@ class FeatureStore:
         self.spark, self.path, self.key = spark, path, key
 
     def read(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except Exception:
-            return None
+        from lurescope.session import path_exists
+        return self.spark.read.parquet(self.path) if path_exists(self.spark, self.path) else None
 
     def add(self, batch: DataFrame) -> None:
         cur = self.read()
@@ -277,10 +276,9 @@ def extraction_counters(docs: DataFrame, key: Column, source: str = "source",
                         text: str = "text") -> DataFrame:
     """Per source -- seen, duplicates (a later copy of a seen hash),
     failed (no usable text) and extracted rows."""
-    failed = F.col(text).isNull() | (F.length(F.trim(F.col(text))) == 0)
+    failed = F.col(text).isNull() | ~F.col(text).rlike(r"(?U)\S")
     d = docs.withColumn("_k", key).withColumn("_failed", failed)
     first = d.filter(~F.col("_failed")).groupBy("_k").agg(F.min("doc_id").alias("_first"))
-    # One content hash may hold a third of all rows: salted unless bounded.
     from lurescope.operators.joins import lookup_join
     j = lookup_join(d, first, "_k", ["doc_id"])
     dup = ~F.col("_failed") & (F.col("doc_id") != F.col("_first"))
@@ -305,10 +303,10 @@ def text_only_messages(df: DataFrame, text: str = "text", id_col: str = "msg_id"
     msgs = df.select(
         F.col(id_col).alias("msg_id"), name.alias("from_name"), addr.alias("from_addr"),
         F.lit("").alias("reply_to"), subject.alias("subject"),
-        F.substring(t, 1, 5000).alias("plain_text"), F.lit("").alias("html_text"),
+        t.alias("plain_text"), F.lit("").alias("html_text"),
         F.lit("none").alias("spf_result"), F.lit("none").alias("dkim_result"),
         F.lit("none").alias("dmarc_result"),
-        F.sha2(F.substring(t, 1, 200), 256).alias("email_hash"))
+        F.sha2(t, 256).alias("email_hash"))
     found = F.regexp_extract_all(t, F.lit(URL_IN_TEXT_RE), 0)
     cleaned = F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, URL_TRAIL_RE, "")))
     urls = df.select(F.col(id_col).alias("msg_id"), F.explode(cleaned).alias("url")) \

@@ -71,10 +71,10 @@ def stats(latest: DataFrame) -> DataFrame:
 
 
 def unseen(batch: DataFrame, seen: DataFrame, key: str = "email_hash", row_key: list | None = None) -> DataFrame:
-    """Rows of ``batch`` whose key is not in ``seen`` (left anti join;
-    broadcast when the seen set is bounded, else salted on ``row_key``)."""
-    from lurescope.operators.joins import lookup_join
-    return lookup_join(batch, seen.select(key).distinct(), key, row_key or batch.columns, "left_anti")
+    """Rows of ``batch`` whose key is not in ``seen`` (left anti join:
+    it needs no distinct set, and its output keeps no key order, so a hot key's
+    partition can be split)."""
+    return batch.join(seen.select(key), key, "left_anti")
 
 
 def risk_band(p) -> "F.Column":

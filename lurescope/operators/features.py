@@ -85,7 +85,6 @@ def url_features(message_urls: DataFrame, vt: DataFrame, dicts: D.Dictionaries)
         F.col("domain").alias("uhost"), "root_domain", "label", "is_legitimate",
         "is_known_threat", "is_safe_browsing_threat", "tranco_rank", "is_newly_registered",
         "root_is_legitimate", "compound_hit", "homograph_hit", "sub_brand_hit")
-    # A hot domain must not become a hot task: broadcast when bounded, else salted.
     j = lookup_join(u, v, "uhost", ["msg_id", "pos"])
     legit = F.coalesce(F.col("is_legitimate"), F.lit(False))
     shortener = F.coalesce(F.col("root_domain").isin(list(dicts.shorteners)), F.lit(False)) \
@@ -148,18 +147,29 @@ def attachment_features(attachments: DataFrame, dicts: D.Dictionaries) -> DataFr
 ANCHOR_RE = r"(?is)<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
 
 
-def anchors(messages: DataFrame, must_contain: list | None = None) -> DataFrame:
+def html_to_text(html) -> Column:
+    """Text of an HTML part: scripts and styles out, tags to blanks."""
+    t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"[ \t\r\n]+", " "))
+
+
+def content_text(messages: DataFrame) -> Column:
+    """What the content features read: the parser's ``combined`` text where
+    there is one, else the plain part and the HTML part's text."""
+    if "combined" in messages.columns:
+        return F.coalesce("combined", F.lit(""))
+    return F.concat(F.coalesce("plain_text", F.lit("")), F.lit(" "),
+                    html_to_text(F.coalesce("html_text", F.lit(""))))
+
+
+def anchors(messages: DataFrame) -> DataFrame:
     """(msg_id, href, anchor_text) of every ``<a href>`` in the HTML part.
 
     One regex pass over the HTML; href and text are then cut out of each
-    (short) match.  With ``must_contain``, only HTML whose lower-cased text
-    contains one of the words is scanned (anchor text is part of the HTML,
-    so this prefilter loses nothing and skips the regex for most messages).
+    (short) match.
     """
     html = F.coalesce(F.col("html_text"), F.lit(""))
     m = messages.filter(F.length(html) > 0)
-    if must_contain is not None:
-        m = m.filter(any_contained(F.lower(html), must_contain))
     found = F.regexp_extract_all(html, F.lit(ANCHOR_RE), 0)
     return (m.select("msg_id", F.explode(found).alias("a"))
             .select("msg_id", F.regexp_extract("a", ANCHOR_RE, 1).alias("href"),
@@ -173,7 +183,7 @@ def link_mismatch(messages: DataFrame, message_urls: DataFrame, vt: DataFrame,
     a legitimate domain among the message's looked-up domains (the link host's
     verdict if the host is among them, else its root's)."""
     from lurescope.operators.domains import decompose_hosts
-    a = anchors(messages, list(dicts.feature_brands))
+    a = anchors(messages)
     a = a.filter(_brands_in(F.col("anchor_text"), dicts.feature_brands))
     a = a.withColumn("hhost", normalize_host("href"))
     dec = decompose_hosts(a.select(F.col("hhost").alias("host")), dicts.public_suffixes) \
@@ -198,8 +208,7 @@ def link_mismatch(messages: DataFrame, message_urls: DataFrame, vt: DataFrame,
 
 def features_all(messages: DataFrame, message_urls: DataFrame, attachments: DataFrame,
                  verdicts: DataFrame, trusted: DataFrame | list,
-                 cert_facts: DataFrame | None = None,
-                 dicts: D.Dictionaries = D.TEST_DICTIONARIES,
+                 cert_facts: DataFrame | None, dicts: D.Dictionaries,
                  zero_trusted: bool = True, keep: tuple = (), stage: bool = True) -> DataFrame:
     """msg_id + the 37 features in fixed order (F00 applied).
 
@@ -238,8 +247,7 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
     tr = as_list_df(spark, trusted, "domain").select(F.col("domain").alias("_t")).distinct()
     tr_list = tr.select(F.col("_t").alias("shost"), F.lit(True).alias("_t_host"))
     tr_root = tr.select(F.col("_t").alias("sroot"), F.lit(True).alias("_t_root"))
-    # Trusted-sender lists are short, fixed inputs.
-    m = m.join(F.broadcast(tr_list), "shost", "left").join(F.broadcast(tr_root), "sroot", "left")
+    m = m.join(tr_list, "shost", "left").join(tr_root, "sroot", "left")
 
     m = m.join(uf, "msg_id", "left").join(af, "msg_id", "left")
 
@@ -248,8 +256,7 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
     m = m.join(lm, "msg_id", "left")
 
     s_legit = F.coalesce(F.col("s_legit"), F.lit(False))
-    combined = F.lower(F.concat(F.coalesce("plain_text", F.lit("")), F.lit(" "),
-                                F.coalesce("subject", F.lit(""))))
+    combined = F.lower(F.concat(content_text(messages), F.lit(" "), F.coalesce("subject", F.lit(""))))
     subject = F.lower(F.coalesce("subject", F.lit("")))
     display = F.lower(F.coalesce("from_name", F.lit("")))
     has_addr = F.col("from_addr").contains("@")

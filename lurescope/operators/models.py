@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from lurescope import dictionaries as D
 from lurescope.operators.scoring import blend, squish
 
-TEXT_LIMIT = 2048
 STRUCT_FEATURES = list(D.FEATURE_NAMES)
 FULL_FEATURES = STRUCT_FEATURES + [D.TEXT_FEATURE]
 
@@ -30,11 +29,10 @@ FULL_FEATURES = STRUCT_FEATURES + [D.TEXT_FEATURE]
 # ----------------------------------------------------------------- M07 text score
 
 def prompt_text(subject="subject", sender="from_addr", body="plain_text") -> Column:
-    """The scorer's input: subject, sender and body, first 2,048 characters."""
-    t = F.concat(F.lit("Subject: "), F.coalesce(F.col(subject), F.lit("")),
-                 F.lit("\nFrom: "), F.coalesce(F.col(sender), F.lit("")),
-                 F.lit("\n\n"), F.coalesce(F.col(body), F.lit("")))
-    return F.substring(t, 1, TEXT_LIMIT)
+    """The scorer's input: subject, sender and the whole body."""
+    return F.concat(F.lit("Subject: "), F.coalesce(F.col(subject), F.lit("")),
+                    F.lit("\nFrom: "), F.coalesce(F.col(sender), F.lit("")),
+                    F.lit("\n\n"), F.coalesce(F.col(body), F.lit("")))
 
 
 def train_text_model(df: DataFrame, text: str = "text", label: str = "label",
@@ -64,7 +62,7 @@ def pandas_text_scorer(predict):
 
     @F.pandas_udf("double")
     def _score(texts: pd.Series) -> pd.Series:
-        return pd.Series(predict(texts.fillna("").str.slice(0, TEXT_LIMIT).tolist()), dtype="float64")
+        return pd.Series(predict(texts.fillna("").tolist()), dtype="float64")
     return _score
 
 

@@ -1,9 +1,9 @@
 """Reputation joins and the domain verdict.
 
 ``domain_verdicts`` is a table job: one row per distinct domain.  Dimension
-tables (rank list, threat list, facts) are joined at distinct-domain grain;
-each is broadcast only when a bounded row count has been checked, otherwise
-the join is a shuffle join that AQE can split when one domain is hot.
+tables (rank list, threat list, facts) are joined at distinct-domain grain by
+plain equi-joins: the optimizer broadcasts by bytes and adaptive execution
+splits the partition of a hot root domain.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from lurescope import dictionaries as D
 from lurescope.functions.urls import bool_int, normalize_host, shannon_entropy
 from lurescope.operators.domains import brand_matches, decompose_hosts
 
-BROADCAST_ROW_LIMIT = 2_000_000
-
 
 def _ts(value) -> Column:
     """A timestamp literal from a naive UTC datetime or a string (via text,
@@ -28,17 +26,6 @@ def _ts(value) -> Column:
     return F.lit(str(value)).cast("timestamp")
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
-
-    The check is a ``limit(max_rows + 1).count()`` -- it stops reading once
-    the bound is passed.  Beyond the bound the caller's join stays a shuffle
-    join (AQE may still broadcast at runtime or split skewed partitions).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 # --------------------------------------------------------------------------
 # V11 domain_age_score
 # --------------------------------------------------------------------------
@@ -102,15 +89,14 @@ def _abused(registrar: Column, abuse_list: list) -> Column:
 
 
 def domain_verdicts(domains: DataFrame, rank: DataFrame, threat: DataFrame,
-                    facts: DataFrame | None = None,
-                    as_of=_dt.datetime(2024, 1, 20),
-                    dicts: D.Dictionaries = D.TEST_DICTIONARIES,
+                    facts: DataFrame | None, as_of, dicts: D.Dictionaries,
                     domain_col: str = "domain") -> DataFrame:
     """One verdict per distinct non-empty domain.
 
     ``rank`` is ``(domain, rank)``, ``threat`` is ``(domain)``; ``facts`` is a
     fact history ``(domain, fetched_at, age_days, registrar, has_mx,
-    reputation_hit)`` keyed by registrable domain.
+    reputation_hit)`` keyed by registrable domain; ``as_of`` is the instant of
+    the verdict (facts fetched later do not count).
     """
     W = D.VERDICT_WEIGHTS
     dom = (domains.select(normalize_host(domain_col).alias("domain"))
@@ -118,19 +104,18 @@ def domain_verdicts(domains: DataFrame, rank: DataFrame, threat: DataFrame,
     parts = decompose_hosts(dom.select(F.col("domain").alias("host")), dicts.public_suffixes)
     v = parts.withColumnRenamed("host", "domain")
 
-    rank_b = bounded(rank.select("domain", "rank"))
+    rank_b = rank.select("domain", "rank")
     rank_d = rank_b.select(F.col("domain"), F.col("rank").alias("_rank_d"))
     rank_r = rank_b.select(F.col("domain").alias("root_domain"), F.col("rank").alias("_rank_r"))
     thr = threat.select("domain").distinct()
-    thr_b = bounded(thr)
-    thr_d = thr_b.select("domain", F.lit(True).alias("_thr_d"))
-    thr_r = thr_b.select(F.col("domain").alias("root_domain"), F.lit(True).alias("_thr_r"))
+    thr_d = thr.select("domain", F.lit(True).alias("_thr_d"))
+    thr_r = thr.select(F.col("domain").alias("root_domain"), F.lit(True).alias("_thr_r"))
     v = (v.join(rank_d, "domain", "left").join(rank_r, "root_domain", "left")
          .join(thr_d, "domain", "left").join(thr_r, "root_domain", "left"))
 
     if facts is not None:
         f = facts_as_of(facts, as_of)
-        f = bounded(f).select(F.col("domain").alias("root_domain"),
+        f = f.select(F.col("domain").alias("root_domain"),
                               F.col("age_days").alias("_age"), F.col("registrar").alias("_reg"),
                               F.col("has_mx").alias("_mx"), F.col("reputation_hit").alias("_rep"),
                               F.lit(True).alias("_has_facts"))

@@ -1040,7 +1040,7 @@ def _raw_text(spark, sf_dir):
 register("f39_text_only_messages", O.with_views(["messages"], """
 SELECT msg_id, trim(regexp_extract(text, '(?im)^From:[ \t]*(.+)$', 1)) AS from_field,
        trim(regexp_extract(text, '(?im)^Subject:[ \t]*(.+)$', 1)) AS subject,
-       sha256(substr(text, 1, 200)) AS email_hash, 'none' AS spf_result, '' AS html_text
+       sha256(text) AS email_hash, 'none' AS spf_result, '' AS html_text
 FROM rt""", [("rt", _RAW_TEXT_SQL)]))(
     lambda spark, sf_dir: (lambda m: m.select(
         "msg_id", F.concat_ws(" ", F.concat(F.col("from_name"), F.lit(" <"), F.col("from_addr"), F.lit(">")))
@@ -1225,8 +1225,7 @@ def _ingested(spark, sf_dir):
     j = jobs(spark, sf_dir)
     if "_ingested" not in j._tables:
         root = _corpus(spark, sf_dir)
-        files = MAIL.corpus_scan(spark, root)
-        parsed = MAIL.parse_messages(MAIL.read_messages(spark, files))
+        parsed = MAIL.parse_messages(MAIL.read_messages(spark, root).unionByName(_bad_mail(spark)))
         j._tables["_ingested"] = materialize_tbl(parsed, "parsed_messages")
     return MAIL.ingest(j._tables["_ingested"])
 
@@ -1237,16 +1236,47 @@ def materialize_tbl(df, name):
 
 
 def _msg_id(col="message_id"):
-    return F.regexp_extract(F.col(col), r"<(-?[0-9]+)@", 1).cast("bigint")
+    """The fixture's number; null for any other Message-ID."""
+    return F.expr(f"try_cast(regexp_extract({col}, '<(-?[0-9]+)@', 1) AS BIGINT)")
+
+
+# Crafted mail that real corpora hold: it is only ever unioned with the derived
+# corpus, and has no numeric Message-ID.
+BAD_MAIL = [
+    ("bad/charset", b"From: a@x.example.com\nContent-Type: text/plain; charset=\"idna\"\n\n\xc3\xbcber..x\n", False),
+    ("bad/latin1", b"From: b@x.example.com\nSubject: l1\nContent-Type: text/plain; charset=iso-8859-1\n\ncaf\xe9\n", False),
+    ("bad/latin1-box", b"From b@x Mon Jan  1 00:00:00 2024\nFrom: b@x.example.com\nSubject: box\n"
+                       b"Content-Type: text/plain; charset=iso-8859-1\n\ncaf\xe9\n", True),
+    ("bad/empty", b"", False),
+    ("bad/truncated", b"From: c@x.example.com\nSubject: cut\nContent-Type: multipart/mixed; boundary=\"B\"\n\n--B\n"
+                      b"Content-Type: text/plain\n\nstart of", False),
+    ("bad/message-id", b"From: d@x.example.com\nMessage-ID: <abc.1@mail>\nSubject: real id\n\nhello\n", False),
+]
+
+
+def _bad_mail(spark):
+    return spark.createDataFrame([("crafted", None, k, bytearray(v), m) for k, v, m in BAD_MAIL],
+                                 "source string, label int, msg_key string, raw binary, mbox boolean")
+
+
+def _derived(df):
+    return df.filter(F.col("msg_id").isNotNull())
 
 
-register("s01_corpus_scan")(lambda spark, sf_dir: MAIL.corpus_scan(spark, _corpus(spark, sf_dir)).select(
-    "source", "label", "length"))
+# One file per phishing message; how many mbox files hold the other classes is
+# the writer's choice, so only their presence is compared.
+register("s01_corpus_scan", O.with_views(["messages"], """
+SELECT CASE label WHEN 1 THEN 'phishing' WHEN 0 THEN 'legit' ELSE 'unlabelled' END AS source,
+       CAST(label AS INTEGER) AS label, CASE WHEN label = 1 THEN count(*) END AS single_files
+FROM messages GROUP BY messages.label"""))(
+    lambda spark, sf_dir: MAIL.corpus_scan(spark, _corpus(spark, sf_dir)).groupBy("source", "label").agg(
+        F.count(F.lit(1)).alias("n")).select(
+        "source", "label", F.when(F.col("label") == 1, F.col("n")).alias("single_files")))
 
 register("s02_mbox_split", O.with_views(["messages"], """
-SELECT CASE WHEN label = 1 THEN 'phishing' ELSE 'legit' END AS source, count(*) AS messages
+SELECT CASE label WHEN 1 THEN 'phishing' WHEN 0 THEN 'legit' ELSE 'unlabelled' END AS source, count(*) AS messages
 FROM messages GROUP BY 1"""))(
-    lambda spark, sf_dir: MAIL.read_messages(spark, MAIL.corpus_scan(spark, _corpus(spark, sf_dir)))
+    lambda spark, sf_dir: MAIL.read_messages(spark, _corpus(spark, sf_dir))
     .groupBy("source").agg(F.count(F.lit(1)).alias("messages")))
 
 register("s03_ingest_messages", O.with_views(["messages", "message_attachments"], """
@@ -1258,19 +1288,31 @@ FROM messages m LEFT JOIN (SELECT msg_id, count(*) AS n FROM message_attachments
         parts[2].groupBy("msg_key").agg(F.count(F.lit(1)).alias("n_attachments")), "msg_key", "left").select(
         _msg_id().alias("msg_id"), "from_name", "from_addr", "reply_to", "subject",
         F.col("has_html").cast("int").alias("has_html"),
-        F.coalesce("n_attachments", F.lit(0)).alias("n_attachments")))(_ingested(spark, sf_dir)))
+        F.coalesce("n_attachments", F.lit(0)).alias("n_attachments")).transform(_derived))(_ingested(spark, sf_dir)))
 
 register("s04_auth_results", O.with_views(["messages"], "SELECT msg_id, spf_result, dkim_result, dmarc_result FROM messages"))(
     lambda spark, sf_dir: _ingested(spark, sf_dir)[0].select(
-        _msg_id().alias("msg_id"), "spf_result", "dkim_result", "dmarc_result"))
+        _msg_id().alias("msg_id"), "spf_result", "dkim_result", "dmarc_result").transform(_derived))
 
 register("s03_ingest_urls", O.with_views(["message_urls"], """
 SELECT msg_id, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY first_pos) - 1 AS INTEGER) AS pos, url
 FROM (SELECT msg_id, url, min(pos) AS first_pos FROM message_urls GROUP BY msg_id, url) t"""))(
     lambda spark, sf_dir: (lambda parts: parts[1].join(parts[0].select("msg_key", "message_id"), "msg_key").select(
-        _msg_id().alias("msg_id"), F.col("pos").cast("int").alias("pos"), "url"))(_ingested(spark, sf_dir)))
+        _msg_id().alias("msg_id"), F.col("pos").cast("int").alias("pos"), "url").transform(_derived))(_ingested(spark, sf_dir)))
 
-register("t05_rejects")(lambda spark, sf_dir: _ingested(spark, sf_dir)[3])
+register("t05_rejects", O.with_views(["messages"], """
+SELECT 'bad/charset' AS msg_key, 'UnicodeError' AS error, (SELECT count(*) FROM messages) + 5 AS parsed"""))(
+    lambda spark, sf_dir: (lambda parts: parts[3].select(
+        "msg_key", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"),
+        parts[0].agg(F.count(F.lit(1))).scalar().alias("parsed")))(_ingested(spark, sf_dir)))
+
+# Bytes survive: the crafted messages' subjects and bodies, in any charset.
+register("s03_ingest_crafted", O.with_views(["messages"], """
+SELECT * FROM (VALUES ('bad/latin1', 'l1', 'café'), ('bad/latin1-box', 'box', 'café'), ('bad/empty', '', ''),
+  ('bad/truncated', 'cut', 'start of'), ('bad/message-id', 'real id', 'hello')) AS v(msg_key, subject, body)
+WHERE (SELECT count(*) FROM messages) >= 0"""))(
+    lambda spark, sf_dir: _ingested(spark, sf_dir)[0].filter(F.col("msg_key").startswith("bad/")).select(
+        "msg_key", "subject", F.trim(F.regexp_replace("plain_text", r"\s+$", "")).alias("body")))
 
 
 # ---------------------------------------------------------------- streaming
@@ -1280,13 +1322,13 @@ from lurescope.streaming import monitor as MON  # noqa: E402
 STREAM_WATERMARK = "31 days"   # the replayed month fits in one watermark: nothing is late
 
 
-def _monitor_run(spark, sf_dir, raw_mode=False):
+def _monitor_run(spark, sf_dir, raw_mode=False, scorer=None):
     """Run the monitor once over the message stream (availableNow) and keep
     the Monitor (its outputs are tables in the shared folder)."""
     import uuid
     from lurescope.session import shared_path
     j = jobs(spark, sf_dir)
-    key = "_monitor_raw" if raw_mode else "_monitor"
+    key = "_monitor_raw" if raw_mode else "_monitor_models" if scorer else "_monitor"
     if key in j._tables:
         return j._tables[key]
     base = shared_path(spark, f"monitor-{uuid.uuid4().hex[:12]}")
@@ -1297,32 +1339,37 @@ def _monitor_run(spark, sf_dir, raw_mode=False):
     j.rank(); j.threat(); j.facts_history(); j.cert_facts()
     trusted = lambda rank: rank.filter(F.col("rank") <= D.TEST_TRUSTED_TOP_N).select("domain")
     src = f"{base}/source"
+    # the replayed month is judged at the fixture's instant
+    how = {"scorer": scorer or MON.fixed_scores, "dicts": D.TEST_DICTIONARIES, "as_of": lambda batch_id: AS_OF}
     if raw_mode:
         raw = MAIL.render_raw(j.messages, j.message_urls, j.message_attachments) \
             .join(j.messages.select("msg_id", "received_ts"), "msg_id")
         MON.write_raw_source(raw, src)
-        mon = MON.Monitor(spark, f"{base}/out", dims, trusted, alert_address=ALERT_ADDRESS)
+        mon = MON.Monitor(spark, f"{base}/out", dims, trusted, alert_address=ALERT_ADDRESS, **how)
         schema = MON.RAW_SCHEMA
     else:
         rows = _ltz(j.messages.drop("label", "lang")).withColumn(
             "email_hash", F.sha2(F.col("msg_id").cast("string"), 256))
         rows.repartitionByRange(12, "received_ts", "msg_id").write.mode("overwrite").parquet(src)
-        mon = MON.Monitor(spark, f"{base}/out", dims, trusted, alert_address=ALERT_ADDRESS,
+        mon = MON.Monitor(spark, f"{base}/out", dims, trusted, alert_address=ALERT_ADDRESS, **how,
                           urls=j.message_urls, attachments=j.message_attachments)
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(src).schema)
-    q = mon.start(src, f"{base}/checkpoint", max_files=4, watermark=STREAM_WATERMARK, schema=schema)
+    q = mon.start(src, f"{base}/checkpoint", max_files=4, schema=schema)
     q.awaitTermination()
     j._tables[key] = mon
     return mon
 
 
-register("t01_monitor", O.scored_query(
-    "SELECT msg_id, CAST(is_phishing AS INTEGER) AS is_phishing, confidence, risk_score, risk_level FROM x5",
-    _SIG_CTES + [("x5", _X05_SQL)]))(
+_NOT_OWN = f"strpos(lower(coalesce(from_addr, '')), {O.q(ALERT_ADDRESS)}) = 0"
+_T01_SQL = O.scored_query(
+    "SELECT msg_id, CAST(is_phishing AS INTEGER) AS is_phishing, confidence, risk_score, risk_level FROM x5 "
+    f"WHERE {_NOT_OWN}", _SIG_CTES + [("x5", _X05_SQL)])
+
+register("t01_monitor", _T01_SQL)(
     lambda spark, sf_dir: _monitor_run(spark, sf_dir).latest_log().select(
         "msg_id", F.col("is_phishing").cast("int").alias("is_phishing"), "confidence", "risk_score", "risk_level"))
 
-register("t01_monitor_raw")(
+register("t01_monitor_raw", _T01_SQL)(
     lambda spark, sf_dir: _monitor_run(spark, sf_dir, raw_mode=True).latest_log().select(
         "msg_id", F.col("is_phishing").cast("int").alias("is_phishing"), "confidence", "risk_score", "risk_level"))
 
@@ -1333,17 +1380,28 @@ register("t03_self_alert_filter", O.scored_query(
     lambda spark, sf_dir: _monitor_run(spark, sf_dir).alerts().select(
         "msg_id", "sender", "subject", "confidence", "risk_score"))
 
-register("t04_bounded_intake")(lambda spark, sf_dir: _monitor_run(spark, sf_dir).metrics().select(
-    "batch_id", "arrived"))
+# 12 source files, 4 per batch: three batches that hold every message
+register("t04_bounded_intake", O.with_views(["messages"], "SELECT CAST(3 AS BIGINT) AS batches, count(*) AS arrived FROM messages"))(
+    lambda spark, sf_dir: _monitor_run(spark, sf_dir).metrics().agg(
+        F.countDistinct("batch_id").alias("batches"), F.sum("arrived").alias("arrived")))
+
+# the trained models as scorer (rows only: the models are fitted here)
+register("t01_monitor_models")(lambda spark, sf_dir: _monitor_run(
+    spark, sf_dir, scorer=MON.model_scorer(jobs(spark, sf_dir).models(), jobs(spark, sf_dir).text_model()))
+    .latest_log().select("msg_id", F.col("is_phishing").cast("int").alias("is_phishing"), "confidence"))
 
 register("t06_cycle_counters", O.scored_query(f"""
-SELECT count(*) AS arrived, count(*) AS scored, count(*) FILTER (WHERE final_prob >= {THRESH}) AS positive,
-       CAST(0 AS BIGINT) AS skipped FROM scored"""))(
+SELECT count(*) AS arrived, count(*) FILTER (WHERE {_NOT_OWN}) AS scored,
+       count(*) FILTER (WHERE {_NOT_OWN} AND final_prob >= {THRESH}) AS positive,
+       count(*) FILTER (WHERE NOT {_NOT_OWN}) AS skipped, CAST(0 AS BIGINT) AS duplicates FROM scored"""))(
     lambda spark, sf_dir: _monitor_run(spark, sf_dir).metrics().agg(
         F.sum("arrived").alias("arrived"), F.sum("scored").alias("scored"),
-        F.sum("positive").alias("positive"), F.sum("skipped").alias("skipped")))
+        F.sum("positive").alias("positive"), F.sum("skipped").alias("skipped"),
+        F.sum("duplicates").alias("duplicates")))
 
-register("t08_reputation_refresh")(lambda spark, sf_dir: _monitor_run(spark, sf_dir).metrics().select(
+register("t08_reputation_refresh", O.with_views(["threat_domain"], """
+SELECT CAST(b AS INTEGER) AS batch_id, (SELECT count(*) FROM threat_domain) AS threat_rows
+FROM (SELECT unnest(generate_series(0, 2)) AS b) g"""))(lambda spark, sf_dir: _monitor_run(spark, sf_dir).metrics().select(
     "batch_id", "threat_rows"))
 
 
@@ -1371,8 +1429,7 @@ def t02(spark, sf_dir):
     det = jobs(spark, sf_dir).fx.detections
     src, schema = _stream_source(spark, sf_dir, "detections-src", det, order=("processed_at", "event_id"))
     base = shared_path(spark, f"dedup-{uuid.uuid4().hex[:12]}")
-    out = MON.stream_dedup(spark, src, schema, "email_hash", "processed_at", f"{base}/out", f"{base}/ckpt",
-                           watermark=STREAM_WATERMARK)
+    out = MON.stream_dedup(spark, src, schema, "email_hash", "processed_at", f"{base}/out", f"{base}/ckpt")
     return out.select("email_hash")
 
 

@@ -108,7 +108,7 @@ class Jobs:
             from lurescope.operators.models import train_text_model
             t = self.fx.t
             lab = t.documents.join(t.labels, "doc_id").select(
-                F.substring("text", 1, 2048).alias("text"), F.col("toxic").alias("label"))
+                "text", F.col("toxic").alias("label"))
             self._tables["_text_model"] = train_text_model(lab)
         return self._tables["_text_model"]
 

@@ -343,7 +343,13 @@ LEFT JOIN uf ON uf.msg_id = ms.msg_id
 LEFT JOIN af ON af.msg_id = ms.msg_id
 LEFT JOIN lm ON lm.msg_id = ms.msg_id"""),
     ]
-    combined = "lower(coalesce(plain_text, '') || ' ' || coalesce(subject, ''))"
+    # RE2 and Java agree on these patterns; each tag and block becomes a blank
+    html_text = "coalesce(html_text, '')"
+    for pattern in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "<[^>]+>",
+                    "[ \\t\\r\\n]+"):
+        html_text = f"regexp_replace({html_text}, {q(pattern)}, ' ', 'g')"
+    combined = (f"lower(coalesce(plain_text, '') || ' ' || trim({html_text}) || ' ' "
+                "|| coalesce(subject, ''))")
     subject = "lower(coalesce(subject, ''))"
     display = "lower(coalesce(from_name, ''))"
     s_legit = "coalesce(s_legit, false)"

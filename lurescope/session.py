@@ -50,12 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a private folder is made.
+    is.  Only when it is unset a private folder is made, and only for a local
+    master: on a cluster every executor would write to its own disk.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local") or \
+                spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="lurescope-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
         spark.sparkContext.setCheckpointDir(current)
@@ -64,6 +68,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder exists, in any file system that Spark reads."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)

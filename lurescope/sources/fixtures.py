@@ -73,9 +73,9 @@ class Fixtures:
             F.when(F.col("doc_id") % 3 == 0,
                    F.concat(F.lit("r"), uid, F.lit("@"), F.col("r_host")))
              .otherwise(F.lit("")).alias("reply_to"),
-            F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80).alias("subject"),
-            F.substring("text", 1, 5000).alias("plain_text"),
-            F.when(F.col("doc_id") % 2 == 0, F.substring("b_html", 1, 10000))
+            F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("subject"),
+            F.col("text").alias("plain_text"),
+            F.when(F.col("doc_id") % 2 == 0, F.col("b_html"))
              .otherwise(F.lit("")).alias("html_text"),
             F.expr("CASE doc_id % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' "
                    "WHEN 2 THEN 'softfail' ELSE 'none' END").alias("spf_result"),
@@ -186,6 +186,7 @@ CRAFTED_HTML = [
     (-3, '<input type="hidden">'),
     (-4, '<a class="k" href="http://zz.example.com/x"><b>Tionsh</b> portal</a>'),
     (-5, "<a href='https://tionsh.example.net/'>Tionsh</a>"),
+    (-6, '<a href="http://zz.example.com/y">Ti<b>on</b>sh login</a>'),
 ]
 
 
@@ -203,9 +204,9 @@ FROM pages""",
 SELECT d.doc_id AS msg_id, e.ts AS received_ts, d.lang, d.source AS from_name,
        concat('u', CAST(e.user_id AS VARCHAR), '@', s.host) AS from_addr,
        CASE WHEN d.doc_id % 3 = 0 THEN concat('r', CAST(e.user_id AS VARCHAR), '@', r.host) ELSE '' END AS reply_to,
-       substring(split_part(d.text, chr(10), 1), 1, 80) AS subject,
-       substring(d.text, 1, 5000) AS plain_text,
-       CASE WHEN d.doc_id % 2 = 0 THEN substring(b.html, 1, 10000) ELSE '' END AS html_text,
+       split_part(d.text, chr(10), 1) AS subject,
+       d.text AS plain_text,
+       CASE WHEN d.doc_id % 2 = 0 THEN b.html ELSE '' END AS html_text,
        CASE d.doc_id % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'softfail' ELSE 'none' END AS spf_result,
        CASE d.doc_id % 5 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' ELSE 'none' END AS dkim_result,
        CASE d.doc_id % 7 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' ELSE 'none' END AS dmarc_result,
@@ -264,7 +265,8 @@ SELECT * FROM (VALUES
   (-2, '<input name="k" type=''password''>'),
   (-3, '<input type="hidden">'),
   (-4, '<a class="k" href="http://zz.example.com/x"><b>Tionsh</b> portal</a>'),
-  (-5, '<a href=''https://tionsh.example.net/''>Tionsh</a>')
+  (-5, '<a href=''https://tionsh.example.net/''>Tionsh</a>'),
+  (-6, '<a href="http://zz.example.com/y">Ti<b>on</b>sh login</a>')
 ) AS v(msg_id, html_text)""",
     "detections": """
 SELECT concat(CAST(user_id AS VARCHAR), ':', event_type) AS email_hash, ts AS processed_at, event_id,

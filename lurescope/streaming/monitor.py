@@ -4,33 +4,34 @@ The monitor is the batch jobs run per micro-batch:
 
 * source: raw messages arriving as parquet files (``maxFilesPerTrigger``
   bounds each batch without dropping the rest -- T04);
-* ``withWatermark`` + ``dropDuplicatesWithinWatermark(email_hash)`` bounds
-  the dedup state (T02); inside the batch, a ``left_anti`` against the log
-  skips hashes processed in earlier runs;
+* dedup (T02) needs no state and loses no late mail: the first row per
+  ``email_hash`` inside the batch, then a ``left_anti`` against the log's hash
+  column skips what earlier batches or runs processed;
+* own alerts are taken out before anything is scored or logged (T03);
 * ``foreachBatch``: dimension tables are re-read every batch (T08), raw
   messages are parsed with rejects kept aside (T05), features, scores and
   explanations are computed by the batch operators, and the outputs are
   written under ``batch_id=<n>`` with overwrite, so a replayed batch replaces
   its own output (idempotent sink);
-* alerts exclude self-alerts (T03); each batch writes one metrics row and
-  reports live counters through ``observe`` (T06).
+* each batch writes one metrics row and reports live counters through
+  ``observe`` (T06).
 
 Event-time rates (T07) are watermarked tumbling / sliding window counts.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lurescope import dictionaries as D
 from lurescope.operators import explain as EX
+from lurescope.operators.detections import unseen
 from lurescope.operators.domains import collect_domains
 from lurescope.operators.features import features_all
 from lurescope.operators.scoring import blend
 from lurescope.operators.verdicts import domain_verdicts
+from lurescope.session import path_exists
 from lurescope.sources import mail as MAIL
 
 RAW_SCHEMA = "msg_id bigint, received_ts timestamp, raw binary"
@@ -48,6 +49,16 @@ def fixed_scores(features: DataFrame) -> DataFrame:
     return s.withColumn("final_prob", blend("p_full", "p_struct", "p_text"))
 
 
+def model_scorer(models: dict, text_model):
+    """Scorer with trained models: text score, both boosted-tree models, blend."""
+    from lurescope.operators.models import prompt_text, score_table, text_score
+
+    def score(features: DataFrame) -> DataFrame:
+        with_text = text_score(text_model, features.withColumn("text", prompt_text()))
+        return score_table(with_text.drop("text"), models)
+    return score
+
+
 def _batch_path(base: str, batch_id: int) -> str:
     return f"{base}/batch_id={batch_id}"
 
@@ -55,12 +66,14 @@ def _batch_path(base: str, batch_id: int) -> str:
 class Monitor:
     """Parse -> features -> score -> log -> alert, once per micro-batch."""
 
-    def __init__(self, spark: SparkSession, out_dir: str, dims, trusted, scorer=fixed_scores,
-                 dicts: D.Dictionaries = D.TEST_DICTIONARIES, as_of=_dt.datetime(2024, 1, 20),
-                 threshold: float = D.DEFAULT_THRESHOLD, alert_address: str | None = None,
+    def __init__(self, spark: SparkSession, out_dir: str, dims, trusted, *, scorer,
+                 dicts: D.Dictionaries, as_of=None, threshold: float = D.DEFAULT_THRESHOLD, alert_address: str | None = None,
                  urls: DataFrame | None = None, attachments: DataFrame | None = None):
         """``dims()`` returns fresh (rank, threat, facts_history, cert_facts)
-        DataFrames -- it is called every batch.  Without ``urls`` the stream
+        DataFrames -- it is called every batch.  ``as_of`` is the instant of
+        the verdicts: None for the time at which a batch starts, or a function
+        of the batch id (replays).  ``scorer`` adds the score columns, such as
+        :func:`model_scorer`.  Without ``urls`` the stream
         carries raw messages (parsed per batch); with ``urls`` /
         ``attachments`` it carries message rows and those two are static
         tables joined to each batch (stream-static join)."""
@@ -107,67 +120,87 @@ class Monitor:
         parsed = self._stage(MAIL.parse_messages(
             fresh.select(F.col("msg_id").cast("string").alias("msg_key"), "raw")), "parsed", batch_id)
         msgs, urls, atts, rejects = MAIL.ingest(parsed)
-        mid = F.regexp_extract("message_id", r"<(-?[0-9]+)@", 1).cast("bigint")
-        meta = fresh.select(F.col("msg_id").cast("string").alias("msg_key"), "email_hash", "received_ts")
-        msgs = msgs.drop("email_hash").join(meta, "msg_key").withColumn("msg_id", mid)
+        meta = fresh.select("msg_id", F.col("msg_id").cast("string").alias("msg_key"), "email_hash",
+                            "received_ts")
+        msgs = msgs.drop("email_hash").join(meta, "msg_key")
         keys = msgs.select("msg_key", "msg_id")
         urls = urls.join(keys, "msg_key").select("msg_id", "pos", "url")
         atts = atts.join(keys, "msg_key").select("msg_id", "filename")
         return (self._stage(msgs, "messages", batch_id), self._stage(urls, "urls", batch_id),
                 self._stage(atts, "attachments", batch_id), rejects)
 
+    def _fresh(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The first row per hash of the batch, without hashes in the log."""
+        cols = batch.columns
+        first = batch.groupBy("email_hash").agg(F.min_by(
+            F.struct(*[c for c in cols if c != "email_hash"]), F.struct("received_ts", "msg_id")).alias("r"))
+        first = first.select("email_hash", "r.*").select(*cols)
+        if not path_exists(self.spark, self.log_path):
+            return first
+        # an explicit schema: a first batch that failed may have left no file
+        prior = (self.spark.read.schema("email_hash string, batch_id int").parquet(self.log_path)
+                 .filter(F.col("batch_id") != batch_id))
+        return unseen(first, prior, "email_hash")
+
+    def _own_alert(self) -> Column:
+        if not self.alert_address:
+            return F.lit(False)
+        return F.lower(F.coalesce("from_addr", F.lit(""))).contains(self.alert_address.lower())
+
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        spark = self.spark
         batch = batch.persist()
         try:
-            prior = spark.read.parquet(self.log_path).filter(F.col("batch_id") != batch_id) \
-                .select("email_hash")
-            from lurescope.operators.detections import unseen
-            fresh = unseen(batch, prior, "email_hash", ["msg_id"])
-        except Exception:  # no log yet
-            fresh = batch
-        msgs, urls, atts, rejects = self._messages(fresh, batch_id)
+            self._process(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
+        spark = self.spark
+        instant = self.as_of(batch_id) if callable(self.as_of) else \
+            spark.range(1).select(F.current_timestamp().cast("string")).first()[0] \
+            if self.as_of is None else self.as_of
+        every, urls, atts, rejects = self._messages(self._fresh(batch, batch_id), batch_id)
+        msgs = every.filter(~self._own_alert())
+        keys = msgs.select("msg_id")
+        urls, atts = (x.join(keys, "msg_id", "left_semi") for x in (urls, atts))
 
         rank, threat, facts, cert = self.dims()          # T08: re-read every batch
         verdicts = domain_verdicts(collect_domains(msgs, urls, self.dicts.public_suffixes),
-                                   rank, threat, facts, self.as_of, self.dicts)
+                                   rank, threat, facts, instant, self.dicts)
         # The batch's verdict table is written (per batch id) and re-read:
         # it cuts the lineage and keeps the feature plan small.
-        verdicts.write.mode("overwrite").parquet(_batch_path(f"{self.out}/verdicts", batch_id))
-        verdicts = spark.read.parquet(_batch_path(f"{self.out}/verdicts", batch_id))
+        verdicts = self._stage(verdicts, "verdicts", batch_id)
         feats = features_all(msgs, urls, atts, verdicts, self.trusted(rank), cert, self.dicts,
-                             keep=("email_hash", "received_ts", "from_addr", "subject"))
+                             keep=("email_hash", "received_ts", "from_addr", "subject", "plain_text"))
         scored = self.scorer(feats)
         results = EX.detection_results(scored, threshold=self.threshold)
-        results = results.join(feats.select("msg_id", "email_hash", "received_ts"), "msg_id") \
+        results = results.join(msgs.select("msg_id", "email_hash", "received_ts"), "msg_id") \
             .withColumn("batch_id", F.lit(batch_id))
         obs = Observation(f"cycle_{batch_id}")  # live counters of this cycle (T06)
         results.observe(obs, F.count(F.lit(1)).alias("scored"),
                         F.count_if(F.col("is_phishing")).alias("positive")) \
             .write.mode("overwrite").parquet(_batch_path(self.log_path, batch_id))
         logged = spark.read.parquet(_batch_path(self.log_path, batch_id))
-        EX.alerts(logged, self.alert_address).write.mode("overwrite").parquet(
-            _batch_path(self.alerts_path, batch_id))
+        EX.alerts(logged).write.mode("overwrite").parquet(_batch_path(self.alerts_path, batch_id))
+        rejected = 0
         if rejects is not None:
             rejects.write.mode("overwrite").parquet(_batch_path(self.rejects_path, batch_id))
+            rejected = rejects.count()
         counters = obs.get or {}
-        new_rows, arrived = fresh.count(), batch.count()
-        row = (batch_id, arrived, int(counters.get("scored", 0)), int(counters.get("positive", 0)),
-               arrived - new_rows, threat.count())
-        spark.createDataFrame([row], "batch_id int, arrived bigint, scored bigint, positive bigint, "
-                                     "skipped bigint, threat_rows bigint") \
-            .drop("batch_id").write.mode("overwrite").parquet(_batch_path(self.metrics_path, batch_id))
-        batch.unpersist()
+        scored_rows, arrived, taken = int(counters.get("scored", 0)), batch.count(), every.count()
+        row = (arrived, scored_rows, int(counters.get("positive", 0)), taken - scored_rows,
+               arrived - taken - rejected, rejected, threat.count())
+        spark.createDataFrame([row], "arrived bigint, scored bigint, positive bigint, skipped bigint, "
+                                     "duplicates bigint, rejected bigint, threat_rows bigint") \
+            .write.mode("overwrite").parquet(_batch_path(self.metrics_path, batch_id))
 
     def start(self, source_dir: str, checkpoint: str, max_files: int = 10,
-              watermark: str = "1 day", available_now: bool = True, interval: str = "60 seconds",
-              schema: str = RAW_SCHEMA):
+              available_now: bool = True, interval: str = "60 seconds", schema: str = RAW_SCHEMA):
         src = (self.spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
                .parquet(source_dir))
         if "email_hash" not in [f.split(" ")[0] for f in schema.split(", ")]:
             src = src.withColumn("email_hash", F.sha2("raw", 256))
-        stream = src.withWatermark("received_ts", watermark).dropDuplicatesWithinWatermark(["email_hash"])
-        w = stream.writeStream.foreachBatch(self.process_batch).option("checkpointLocation", checkpoint)
+        w = src.writeStream.foreachBatch(self.process_batch).option("checkpointLocation", checkpoint)
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
         return w.start()
 
@@ -197,14 +230,24 @@ def write_raw_source(raw: DataFrame, path: str, files: int = 12) -> None:
 # ----------------------------------------------------------------- T02 stream dedup
 
 def stream_dedup(spark: SparkSession, source_dir: str, schema: str, key: str, ts: str,
-                 out_dir: str, checkpoint: str, watermark: str = "1 day", max_files: int = 10):
-    """Drop repeated keys within the watermark; state is bounded by it."""
-    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-         .withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key]))
-    q = (s.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
+                 out_dir: str, checkpoint: str, max_files: int = 10):
+    """The first row per key, once, however late its copies come.  What was
+    seen is the output table itself (its key column only is read), so there is
+    no state to bound and no row is lost to a watermark; a replayed batch
+    rewrites its own part."""
+    def sink(df: DataFrame, batch_id: int) -> None:
+        first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.col(ts)).alias("r")).select("r.*")
+        if path_exists(spark, out_dir):
+            seen = spark.read.schema(f"`{key}` {df.schema[key].dataType.simpleString()}, batch_id int") \
+                .parquet(out_dir)
+            first = unseen(first, seen.filter(F.col("batch_id") != batch_id), key)
+        first.write.mode("overwrite").parquet(_batch_path(out_dir, batch_id))
+
+    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
+         .writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.parquet(out_dir).drop("batch_id")
 
 
 # ----------------------------------------------------------------- T07 event-time rates

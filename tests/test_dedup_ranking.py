@@ -52,3 +52,14 @@ def test_split_keeps_class_shares(spark):
     for lab in (0, 1):
         n = sum(v for (l_, _), v in shares.items() if l_ == lab)
         assert abs(shares[(lab, "test")] / n - 0.15) < 0.02
+
+
+def test_rank_of_a_million_rows_loses_and_misplaces_none(spark):
+    df = spark.range(0, 1_000_000, numPartitions=48).select(
+        F.col("id"), (F.xxhash64("id") % 1000).alias("v"), F.concat(F.lit("payload-"), "id").alias("p"),
+        (F.col("id") % 3).alias("g"))
+    ours = global_row_number(df, [F.col("v"), F.col("id")], ["g"], "rn")
+    ref = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
+    n, wrong = ours.join(ref.select("id", "rn2"), "id").agg(
+        F.count(F.lit(1)), F.count_if(F.col("rn") != F.col("rn2"))).first()
+    assert (n, wrong) == (1_000_000, 0)

@@ -34,7 +34,7 @@ def feats(spark):
     atts = spark.createDataFrame([(4, "Invoice_2024.zip")], "msg_id long, filename string")
     rank = spark.createDataFrame([("trusted.example.com", 5), ("reports.example.com", 40)], "domain string, rank int")
     threat = spark.createDataFrame([("collector.example.net",)], "domain string")
-    v = domain_verdicts(collect_domains(m, urls, DICTS.public_suffixes), rank, threat, None, dicts=DICTS)
+    v = domain_verdicts(collect_domains(m, urls, DICTS.public_suffixes), rank, threat, None, "2024-01-20", DICTS)
     f = features_all(m, urls, atts, v, ["trusted.example.com"], None, DICTS)
     return {r.msg_id: r.asDict() for r in f.collect()}
 

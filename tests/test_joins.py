@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lurescope.operators.joins import lookup_join, salted_join
+from lurescope.operators.joins import hot_keys, lookup_join, salted_join
 
 
 def test_salted_join_equals_plain_join_with_hot_key(spark):
@@ -12,5 +12,5 @@ def test_salted_join_equals_plain_join_with_hot_key(spark):
     a = salted_join(fact, dim, "k", ["row"], "left", buckets=8)
     b = fact.join(dim, "k", "left")
     assert sorted(map(tuple, a.select("row", "k", "v").collect())) == sorted(map(tuple, b.select("row", "k", "v").collect()))
-    c = lookup_join(fact, dim, "k", ["row"], max_broadcast_rows=10)   # forces the salted path
-    assert c.count() == 3000
+    assert lookup_join(fact, dim, "k").count() == 3000
+    assert [r.k for r in hot_keys(fact, "k", 0.1).collect()] == ["hot.example.com"]

@@ -16,7 +16,7 @@ def _f07(spark, urls):
     a = spark.createDataFrame([], "msg_id long, filename string")
     rank = spark.createDataFrame([("known.example.com", 3)], "domain string, rank int")
     threat = spark.createDataFrame([], "domain string")
-    v = domain_verdicts(collect_domains(m, u, DICTS.public_suffixes), rank, threat, None, dicts=DICTS)
+    v = domain_verdicts(collect_domains(m, u, DICTS.public_suffixes), rank, threat, None, "2024-01-20", DICTS)
     f = features_all(m, u, a, v, [], None, DICTS, stage=False).head()
     return f.any_url_domain_not_in_tranco
 
@@ -34,6 +34,6 @@ def test_verdict_independent_of_input_order_and_duplicates(spark):
     one = spark.createDataFrame([(d,) for d in doms], "domain string")
     two = spark.createDataFrame([(d,) for d in reversed(doms + doms)], "domain string")
     cols = ["domain", "confidence", "lookup_tier", "brand_similarity"]
-    a = sorted(tuple(r) for r in domain_verdicts(one, rank, threat, None).select(*cols).collect())
-    b = sorted(tuple(r) for r in domain_verdicts(two, rank, threat, None).select(*cols).collect())
+    a = sorted(tuple(r) for r in domain_verdicts(one, rank, threat, None, "2024-01-20", DICTS).select(*cols).collect())
+    b = sorted(tuple(r) for r in domain_verdicts(two, rank, threat, None, "2024-01-20", DICTS).select(*cols).collect())
     assert a == b and len(a) == 4

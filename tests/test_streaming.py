@@ -16,3 +16,33 @@ def test_event_rates_stream_equals_batch(spark, tmpdir_path):
     a = sorted((r.window_start, r.events, r.positives) for r in got.collect())
     b = sorted((r.window_start, r.events, r.positives) for r in want.collect())
     assert a == b
+
+
+def test_dedup_keeps_late_rows_and_drops_copies(spark, tmpdir_path):
+    """A row eight days late is kept; copies in the same and in later files go."""
+    t = [(1, "a", "2024-01-20 00:00:00"), (2, "b", "2024-01-21 00:00:00"), (3, "a", "2024-01-21 01:00:00"),
+         (4, "c", "2024-01-13 00:00:00"), (5, "b", "2024-01-22 00:00:00"), (6, "a", "2024-01-22 00:00:00")]
+    schema = "n int, k string, ts timestamp"
+    df = spark.createDataFrame(t, "n int, k string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in ((1, 2), (3, 4), (5, 6)):
+        df.filter(F.col("n").isin(*part)).coalesce(1).write.mode("append").parquet(tmpdir_path + "/src")
+    got = MON.stream_dedup(spark, tmpdir_path + "/src", schema, "k", "ts", tmpdir_path + "/out",
+                           tmpdir_path + "/ckpt", max_files=1)
+    rows = [(r.k, r.n) for r in got.collect()]
+    assert sorted(k for k, _ in rows) == ["a", "b", "c"]
+    assert ("c", 4) in rows
+
+
+def test_verdicts_follow_refreshed_facts(spark):
+    """Facts fetched after an earlier batch change the next batch's verdict."""
+    from lurescope import dictionaries as D
+    from lurescope.operators.verdicts import domain_verdicts
+    dom = spark.createDataFrame([("new.example.com",)], "domain string")
+    none = spark.createDataFrame([], "domain string, rank bigint")
+    facts = spark.createDataFrame([("new.example.com", "2024-02-01 00:00:00", 3, "x", True, False)],
+                                  "domain string, fetched_at string, age_days bigint, registrar string, "
+                                  "has_mx boolean, reputation_hit boolean") \
+        .withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    flags = [domain_verdicts(dom, none, none.select("domain"), facts, at, D.TEST_DICTIONARIES)
+             .first().is_newly_registered for at in ("2024-01-31 00:00:00", "2024-02-02 00:00:00")]
+    assert flags == [False, True]
