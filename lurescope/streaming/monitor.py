@@ -21,7 +21,7 @@ Event-time rates (T07) are watermarked tumbling / sliding window counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescope import dictionaries as D
@@ -172,12 +172,15 @@ class Monitor:
         verdicts = self._stage(verdicts, "verdicts", batch_id)
         feats = features_all(msgs, urls, atts, verdicts, self.trusted(rank), cert, self.dicts,
                              keep=("email_hash", "received_ts", "from_addr", "subject", "plain_text"))
-        scored = self.scorer(feats)
+        # models score a plain table; the scored table is what is logged
+        feats = self._stage(feats, "features", batch_id)
+        scored = self._stage(self.scorer(feats), "scored", batch_id)
         results = EX.detection_results(scored, threshold=self.threshold)
         results = results.join(msgs.select("msg_id", "email_hash", "received_ts"), "msg_id") \
             .withColumn("batch_id", F.lit(batch_id))
-        obs = Observation(f"cycle_{batch_id}")  # live counters of this cycle (T06)
-        results.observe(obs, F.count(F.lit(1)).alias("scored"),
+        # live counters of this cycle for listeners (T06); a named Observation object
+        # would make the session unfit for the models' closures
+        results.observe("cycle", F.count(F.lit(1)).alias("scored"),
                         F.count_if(F.col("is_phishing")).alias("positive")) \
             .write.mode("overwrite").parquet(_batch_path(self.log_path, batch_id))
         logged = spark.read.parquet(_batch_path(self.log_path, batch_id))
@@ -186,10 +189,10 @@ class Monitor:
         if rejects is not None:
             rejects.write.mode("overwrite").parquet(_batch_path(self.rejects_path, batch_id))
             rejected = rejects.count()
-        counters = obs.get or {}
-        scored_rows, arrived, taken = int(counters.get("scored", 0)), batch.count(), every.count()
-        row = (arrived, scored_rows, int(counters.get("positive", 0)), taken - scored_rows,
-               arrived - taken - rejected, rejected, threat.count())
+        scored_rows, positive = logged.agg(F.count(F.lit(1)), F.count_if("is_phishing")).first()
+        arrived, taken = batch.count(), every.count()
+        row = (arrived, scored_rows, positive, taken - scored_rows, arrived - taken - rejected, rejected,
+               threat.count())
         spark.createDataFrame([row], "arrived bigint, scored bigint, positive bigint, skipped bigint, "
                                      "duplicates bigint, rejected bigint, threat_rows bigint") \
             .write.mode("overwrite").parquet(_batch_path(self.metrics_path, batch_id))
