@@ -35,7 +35,7 @@ def op2_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    x["e"].alias("e")))
     return got.select(
         F.col("id").alias("doc_id"),
-        *(F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}")
+        *(F.expr(f"cast(size(filter(base, x -> x.k = {k})) AS bigint)").alias(f"n_{kind}")
           for k, kind in enumerate(KINDS)),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.concat(base, term)).alias("spans"),
