@@ -82,8 +82,8 @@ KINDS = ["boiler", "header", "main", "text", "box", "inline"]
 FEATURES = [*KINDS, "bad_words", "good_words", "hidden", "own_text", "all_text", "link_share",
             "stops", "in_main", "heading", "bias"]
 #: Prior means of the weights; the labelled pages move them.
-PRIOR = dict(boiler=-4.0, header=-1.5, main=2.5, text=0.5, box=0.0, inline=0.0, bad_words=-4.0,
-             good_words=1.0, hidden=-4.0, own_text=0.3, all_text=0.1, link_share=-2.5, stops=0.2,
+PRIOR = dict(boiler=-7.0, header=-2.0, main=2.5, text=0.5, box=0.0, inline=0.0, bad_words=-7.0,
+             good_words=1.0, hidden=-7.0, own_text=0.3, all_text=0.1, link_share=-2.5, stops=0.2,
              in_main=1.5, heading=0.5, bias=-0.3)
 #: Prior parent-child counts: how often a child has its parent's label.
 PRIOR_COUNTS = {"boiler": ((40, 1), (30, 2)), "header": ((20, 1), (8, 8)), "main": ((6, 6), (1, 20)),
@@ -383,9 +383,11 @@ def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="h
     """One row per page: ``id, url, text``."""
     ship(pages.sparkSession)
     marked = F.col(html_col).rlike("(?i)<(article|main)[ >]")
-    sample = (pages.filter(marked).select(F.col(html_col).alias("h"))
-              .select("h", F.xxhash64("h").alias("k")).orderBy("k").limit(max_fit_pages)
-              .select("h").collect())
+    hashed = pages.filter(marked).select(F.col(html_col).alias("h")).withColumn("k", F.xxhash64("h"))
+    # only hashes are sorted; then the pages up to the last of them are read
+    last = hashed.select("k").distinct().orderBy("k").limit(max_fit_pages).agg(F.max("k")).first()[0]
+    sample = (hashed.filter(F.col("k") <= F.lit(last)).dropDuplicates(["k"]).orderBy("k").collect()
+              if last is not None else [])
     model = train([r["h"] for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
