@@ -72,6 +72,22 @@ def bounded_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
+def most_frequent(counts: DataFrame, c: str, most: int) -> DataFrame:
+    """The rows of ``counts`` with the largest counts: all with at least n, for
+    the smallest n that leaves no more than ``most`` rows.  The rows are neither
+    sorted nor gathered; the driver sees one row per different count, of which
+    there are no more than the square root of twice the counted total."""
+    histogram = counts.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+    rows = sorted(((r[c], r["_n"]) for r in histogram.toLocalIterator()), reverse=True)
+    total, least = 0, (rows[0][0] + 1 if rows else 1)
+    for value, n in rows:
+        total += n
+        if total > most:
+            break
+        least = value
+    return counts.filter(F.col(c) >= least)
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) edges: one row (node, component) for
     each node of an edge, ``component`` its smallest reachable node.

@@ -10,9 +10,11 @@ documents link at ``100 * |A n B| >= percent * |A u B|``.
   each set.  The classes that share such a shingle are a region.  (Pivots drawn
   from the corpus alone cannot cut it up: nearly all texts are at distance 1
   from nearly all others.)
-* **Pivots.**  Each region takes its smallest class as pivot, the exact
-  distances to it are computed once per (class, pivot), and the region falls
-  into cells: *inner* classes (``d <= eps``) are linked to the pivot and so to
+* **Pivots.**  Each region takes its smallest class as pivot.  The two prefixes
+  hold all shingles of both sets up to the smaller of their last ones, which
+  bounds the overlap from above; only pairs that the bound leaves within
+  ``2 eps`` have their exact distance computed, once per (class, pivot).  The
+  region falls into cells: *inner* classes (``d <= eps``) are linked to the pivot and so to
   one another's component -- no pair among them is formed, whatever the size of
   the group; *outer* ones (``d > eps``) are not.
 * **Windows.**  By the triangle inequality an outer class y can only link to an
@@ -43,14 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm import textscan as T
-from lurescope.llm.common import bounded_broadcast, components, ship, stage, with_text
+from lurescope.llm.common import (bounded_broadcast, components, most_frequent, ship, stage,
+                                  with_text)
 
 SHINGLE = 4
 PERCENT = 85
 ROUNDS = 3
-#: Size of the list of frequent shingles, which only shapes the order.
-FREQUENT = 65_536
-FREQUENT_IN_BATCH = 8
+#: Bound of the list of frequent shingles, which only shapes the order.
+FREQUENT = 1_000_000
+FREQUENT_IN_BATCH = 3
 _FLUSH = 4_000_000
 #: Row bound of the small tables that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -84,12 +87,14 @@ def _frequent_parts(k: int):
 def frequent_shingles(texts: DataFrame, k: int) -> np.ndarray:
     """At most FREQUENT shingles, rarest first, that stand in many documents."""
     parts = texts.select("text").mapInArrow(_frequent_parts(k), "token bigint, c bigint")
-    top = (parts.groupBy("token").agg(F.sum("c").alias("c"))
-           .orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toPandas())
-    return top["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    counts = stage(parts.groupBy("token").agg(F.sum("c").alias("c")), "jaccard-frequent")
+    top = most_frequent(counts, "c", FREQUENT).toPandas().sort_values(["c", "token"])
+    return top["token"].to_numpy(np.int64).view(np.uint64)
 
 
 def _sets(k: int, percent: int, frequent: np.ndarray):
+    """Size, class and prefix of each text's set.  A prefix holds codes in the
+    global order: 63 bits of the hash, or 2**63 + rank for frequent shingles."""
     order = np.argsort(frequent)
     known, rank = frequent[order], order.astype(np.uint64)
 
@@ -98,22 +103,21 @@ def _sets(k: int, percent: int, frequent: np.ndarray):
             for a, b, s in T.column_scans(batch.column("text"), T.NOT_SPACE):
                 h, d = T.distinct_per_doc(*T.shingles(s, k))
                 n = np.bincount(d, minlength=b - a)
-                # the order: (frequent or not, rank among the frequent or hash)
-                late = np.zeros(len(h), np.uint64)
+                total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(
+                    T.mix(h ^ np.uint64(seed)), dtype=np.uint64)]) for seed in
+                    (0x243F6A8885A308D3, 0x13198A2E03707344)]
+                first = np.concatenate([[0], np.cumsum(n)])
+                k1, k2 = ((t[first[1:]] - t[first[:-1]]).view(np.int64) for t in total)
+                code = h >> np.uint64(1)
                 if len(known) and len(h):
                     at = np.searchsorted(known, h)
                     at[at == len(known)] = 0
                     hit = known[at] == h
-                    late[hit] = rank[at[hit]] + np.uint64(1)
-                by = np.lexsort((h, late, d))
-                first = np.concatenate([[0], np.cumsum(n)])
+                    code[hit] = rank[at[hit]] + np.uint64(1 << 63)
+                by = np.lexsort((code, d))
                 size = np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
                 take = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                prefix = h[by[np.repeat(first[:-1], size) + take]]
-                total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(
-                    T.mix(h ^ np.uint64(seed)), dtype=np.uint64)]) for seed in
-                    (0x243F6A8885A308D3, 0x13198A2E03707344)]
-                k1, k2 = ((t[first[1:]] - t[first[:-1]]).view(np.int64) for t in total)
+                prefix = code[by[np.repeat(first[:-1], size) + take]]
                 offs = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(a, b - a), batch.column("rk").slice(a, b - a),
@@ -123,6 +127,25 @@ def _sets(k: int, percent: int, frequent: np.ndarray):
     return run
 
 
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Upper bound of the overlap of each pair, from sizes and prefixes."""
+    for batch in batches:
+        out = []
+        for x, y, n, m in zip(batch.column("prefix_a"), batch.column("prefix_b"),
+                              batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()):
+            x = np.asarray(x.values).view(np.uint64)
+            y = np.asarray(y.values).view(np.uint64)
+            last = min(x[-1], y[-1])
+            x, y = (z[:np.searchsorted(z, last, side="right")] for z in (x, y))
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            common = int((y[at] == x).sum()) if len(y) else 0
+            out.append(common + min(n - len(x), m - len(y)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), batch.column("n_a"), batch.column("n_b"),
+             pa.array(out, pa.int64())], names=["a", "b", "n_a", "n_b", "most"])
+
+
 def _set_bytes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,17 +178,33 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Verifier:
-    """Exact overlaps of pairs of classes, over staged whole sets."""
+    """Exact overlaps of pairs of classes whose prefixes leave ``least`` percent
+    of similarity possible, over whole sets."""
 
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, prefixes: DataFrame, texts: DataFrame, k: int, percent: int):
+        self.prefixes, self.texts, self.k, self.percent = prefixes, texts, k, percent
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) -> (a, b, d, linked), staged."""
+    def __call__(self, pairs: DataFrame, least: int) -> DataFrame:
+        """(a, b) -> (a, b, d, linked) of the pairs that can reach ``least``
+        percent, staged."""
         pairs = stage(pairs.select("a", "b").filter("a <> b").distinct(), "jaccard-pairs")
-        left = self.sets.select(F.col("node").alias("a"), F.col("bytes").alias("bytes_a"))
-        right = self.sets.select(F.col("node").alias("b"), F.col("bytes").alias("bytes_b"))
-        got = (left.join(bounded_broadcast(pairs, BROADCAST_ROWS), "a").join(right, "b")
+        mine, theirs = (self.prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"),
+                                             F.col("prefix").alias(f"prefix_{c}")) for c in "ab")
+        can = (mine.join(bounded_broadcast(pairs, BROADCAST_ROWS), "a").join(theirs, "b")
+               .select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
+               .mapInArrow(_bounds, "a bigint, b bigint, n_a bigint, n_b bigint, most bigint")
+               .filter(100 * F.col("most") >= least * (F.col("n_a") + F.col("n_b") - F.col("most")))
+               .select("a", "b").distinct())
+        can = stage(can, "jaccard-candidates")
+        nodes = stage(can.select(F.col("a").alias("node")).unionByName(
+            can.select(F.col("b").alias("node"))).distinct(), "jaccard-nodes")
+        sets = (self.texts.withColumn("node", _own_node())
+                .join(bounded_broadcast(nodes, BROADCAST_ROWS), "node").select("node", "rk", "text")
+                .mapInArrow(_set_bytes(self.k), "node bigint, rk bigint, bytes binary"))
+        sets = stage(sets, "jaccard-sets")
+        left = sets.select(F.col("node").alias("a"), F.col("bytes").alias("bytes_a"))
+        right = sets.select(F.col("node").alias("b"), F.col("bytes").alias("bytes_b"))
+        got = (left.join(bounded_broadcast(can, BROADCAST_ROWS), "a").join(right, "b")
                .select("a", "b", "bytes_a", "bytes_b")
                .mapInArrow(_overlap, "a bigint, b bigint, common bigint, all bigint"))
         got = got.groupBy("a", "b").agg(
@@ -174,36 +213,38 @@ class _Verifier:
         return stage(got, "jaccard-distances")
 
 
+def _own_node():
+    """A row's node: its id, or a number beyond all ids where it has none."""
+    return F.coalesce("id", F.lit(_NO_ID) + F.pmod("rk", F.lit(_NO_ID >> 1)))
+
+
+def _met(region: DataFrame) -> DataFrame:
+    """Pivot of each region of at least two classes."""
+    return region.groupBy("token").agg(
+        F.min("node").alias("pivot"), F.max("node").alias("last"),
+        F.min_by("n", "node").alias("pivot_n")).filter("last > pivot").drop("last")
+
+
 def similarity_edges(rows: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int,
-                     rounds: int) -> DataFrame | None:
+                     rounds: int) -> DataFrame:
     """Links (a, b) between classes that join all components, staged."""
     eps = 1 - percent / 100
-    mine = rows.join(bounded_broadcast(reps.select("k1", "k2", "n", "node"), BROADCAST_ROWS),
-                     ["k1", "k2", "n"]).filter(
-        F.coalesce("id", F.lit(_NO_ID) + F.pmod("rk", F.lit(_NO_ID >> 1))) == F.col("node"))
+    near = 100 - 2 * (100 - percent)              # at most 2 eps apart
+    # one row per class (and text, where rows share an id)
+    mine = (rows.join(bounded_broadcast(reps.select("k1", "k2", "n", "node"), BROADCAST_ROWS),
+                      ["k1", "k2", "n"]).filter(_own_node() == F.col("node"))
+            .select("node", "n", "prefix"))
     postings = mine.select("node", "n", F.explode("prefix").alias("token"))
-    met = postings.groupBy("token").agg(
-        F.min("node").alias("pivot"), F.max("node").alias("last"),
-        F.min_by("n", "node").alias("pivot_n")).filter("last > pivot").drop("last")
-    region = stage(postings.join(met, "token").distinct(), "jaccard-regions")
-
-    needed = stage(region.select("node").distinct(), "jaccard-nodes")
-    sets = (texts.withColumn("node", F.coalesce("id", F.lit(_NO_ID)
-                                                + F.pmod("rk", F.lit(_NO_ID >> 1))))
-            .join(bounded_broadcast(needed, BROADCAST_ROWS), "node").select("node", "rk", "text")
-            .mapInArrow(_set_bytes(k), "node bigint, rk bigint, bytes binary")
-            .dropDuplicates(["node", "rk"]))
-    verify = _Verifier(stage(sets, "jaccard-sets"), percent)
+    region = stage(postings.join(_met(postings), "token").distinct(), "jaccard-regions")
+    verify = _Verifier(mine, texts, k, percent)
 
     def similar_size(x, y, p):
         return F.expr(f"100 * least({x}, {y}) >= {p} * greatest({x}, {y})")
 
     edges, boundary = [], []
-    wide = 100 - 2 * (100 - percent)              # beyond this, d > 2 eps by size alone
     for _ in range(rounds):
-        pairs = region.filter(similar_size("n", "pivot_n", wide)).select(
-            F.col("node").alias("a"), F.col("pivot").alias("b"))
-        dist = verify(pairs)
+        dist = verify(region.filter(similar_size("n", "pivot_n", near)).select(
+            F.col("node").alias("a"), F.col("pivot").alias("b")), near)
         edges.append(dist.filter("linked").select("a", "b"))
         cell = (region.filter("node <> pivot")
                 .join(dist.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d",
@@ -218,15 +259,12 @@ def similarity_edges(rows: DataFrame, texts: DataFrame, reps: DataFrame, k: int,
         boundary.append(close.join(z, "token").filter(
             (F.col("ad") - F.col("bd") <= eps + 1e-9) & similar_size("an", "bn", percent))
             .select("a", "b"))
-        met = outer.groupBy("token").agg(
-            F.min("node").alias("pivot"), F.max("node").alias("last"),
-            F.min_by("n", "node").alias("pivot_n")).filter("last > pivot").drop("last")
-        region = stage(outer.drop("pivot", "pivot_n", "inner").withColumnRenamed("d", "d0")
-                       .join(met, "token").select("node", "n", "token", "pivot", "pivot_n", "d0"),
-                       "jaccard-regions")
-        if region.isEmpty():
+        # classes without a distance are further than 2 eps from the pivot
+        left = outer.select("token", "node", "n", F.col("d").alias("d0"))
+        region_d = stage(left.join(_met(left), "token"), "jaccard-regions")
+        if region_d.isEmpty():
             break
-        region_d, region = region, region.drop("d0")
+        region = region_d.drop("d0")
     else:
         # what is left of each region: pairs within the window of its last pivot
         x = region_d.select("token", F.col("node").alias("a"), F.col("n").alias("an"),
@@ -240,7 +278,7 @@ def similarity_edges(rows: DataFrame, texts: DataFrame, reps: DataFrame, k: int,
     rest = boundary[0]
     for more in boundary[1:]:
         rest = rest.unionByName(more)
-    edges.append(verify(rest).filter("linked").select("a", "b"))
+    edges.append(verify(rest, percent).filter("linked").select("a", "b"))
     out = edges[0]
     for more in edges[1:]:
         out = out.unionByName(more)
@@ -256,8 +294,7 @@ def similarity_classes(docs: DataFrame, id_col="doc_id", text_col="text", shingl
     rows = stage(texts.mapInArrow(_sets(shingle, percent, frequent),
                                   "id bigint, rk bigint, n bigint, k1 bigint, k2 bigint, "
                                   "prefix array<bigint>"), "jaccard-sets-of-documents")
-    named = rows.select("id", "rk", "n", "k1", "k2").withColumn(
-        "own", F.coalesce("id", F.lit(_NO_ID) + F.pmod("rk", F.lit(_NO_ID >> 1))))
+    named = rows.select("id", "rk", "n", "k1", "k2").withColumn("own", _own_node())
     reps = stage(named.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("own").alias("node")),
                  "jaccard-classes")
     edges = similarity_edges(rows, texts, reps, shingle, percent, rounds)
