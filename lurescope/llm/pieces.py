@@ -37,6 +37,7 @@ is replaced.
 from __future__ import annotations
 
 import heapq
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -47,13 +48,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm import textscan as T
-from lurescope.llm.common import ship, stage
+from lurescope.llm.common import most_frequent, ship, stage
 
 SPACE = "▁"
-MAX_UNITS = 500_000
+MAX_UNITS = 200_000
 UNIT_CHARS = 40
-_FLUSH_UNITS = 400_000
+_REMEMBER = 300_000
 _FOREVER = 2**31 - 1
 
 
@@ -64,13 +64,11 @@ def default_model() -> str:
 
 @dataclass
 class PieceTable:
-    """Pieces, ranks and byte pieces of a model, and the cut places."""
+    """Pieces, ranks and byte pieces of a model."""
     rank: dict[str, tuple[int, int]]            # piece -> (rank, id)
     byte_id: list[int]
     text_of: list[bytes]                        # id -> decoded bytes
-    low: np.ndarray = field(default=None)       # joint pairs below CODE_LIMIT
-    high: np.ndarray = field(default=None)      # sorted joint pairs elsewhere
-    CODE_LIMIT = 0x250
+    pairs: set[str] = field(default_factory=set)     # neighbours in some piece
 
     @classmethod
     def load(cls, path: str) -> PieceTable:
@@ -95,19 +93,37 @@ class PieceTable:
             last = score
             rank[p] = (r, i)
         t = cls(rank, byte_id, text_of)
-        pairs = {(ord(a), ord(b)) for p in rank for a, b in zip(p, p[1:])}
-        t.low = np.zeros((cls.CODE_LIMIT, cls.CODE_LIMIT), bool)
-        high = []
-        for a, b in pairs:
-            if a < cls.CODE_LIMIT and b < cls.CODE_LIMIT:
-                t.low[a, b] = True
-            else:
-                high.append((a << 32) | b)
-        t.high = np.array(sorted(high), np.int64)
+        t.pairs = {p[i:i + 2] for p in rank for i in range(len(p) - 1)}
+        if any(SPACE in p.lstrip(SPACE) for p in rank):
+            raise ValueError("a piece of this model holds a space behind a character")
         return t
 
     def merge(self, text: str) -> tuple[list[str], list]:
-        """The model's merges on one text: (symbols, merge trees)."""
+        """The model's merges on one text: (symbols, merge trees).  Of all
+        neighbours that make a piece, the best-ranked merge, leftmost first."""
+        sym, tree = list(text), list(text)
+        if len(sym) > 64:
+            return self._merge_long(text)
+        get = self.rank.get
+        none = (_FOREVER, 0)
+        ranks = [get(a + b, none)[0] for a, b in zip(sym, sym[1:])]
+        while ranks:
+            r = min(ranks)
+            if r == _FOREVER:
+                break
+            i = ranks.index(r)
+            made = sym[i] + sym[i + 1]
+            sym[i:i + 2] = [made]
+            tree[i:i + 2] = [(r, tree[i], tree[i + 1], made)]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(sym[i - 1] + made, none)[0]
+            if i < len(ranks):
+                ranks[i] = get(made + sym[i + 1], none)[0]
+        return sym, tree
+
+    def _merge_long(self, text: str) -> tuple[list[str], list]:
+        """The same with a heap of candidate merges, for long texts."""
         sym, n = list(text), len(text)
         tree: list = list(text)
         prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -121,7 +137,7 @@ class PieceTable:
             push(i, i + 1)
         while heap:
             r, a, b, made = heapq.heappop(heap)
-            if not sym[a] or nxt[a] != b or b >= n or sym[a] + sym[b] != made or not sym[b]:
+            if not sym[a] or nxt[a] != b or sym[a] + sym[b] != made or not sym[b]:
                 continue
             sym[a], sym[b] = made, ""
             tree[a] = (r, tree[a], tree[b], made)
@@ -133,9 +149,26 @@ class PieceTable:
         keep = [i for i in range(n) if sym[i]]
         return [sym[i] for i in keep], [tree[i] for i in keep]
 
+    def symbols(self, text: str) -> list[str]:
+        """``merge`` without the trees."""
+        sym = list(text)
+        if len(sym) > 64:
+            return self._merge_long(text)[0]
+        get, none = self.rank.get, (_FOREVER, 0)
+        ranks = [get(a + b, none)[0] for a, b in zip(sym, sym[1:])]
+        while ranks and (r := min(ranks)) != _FOREVER:
+            i = ranks.index(r)
+            sym[i] = made = sym[i] + sym.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(sym[i - 1] + made, none)[0]
+            if i < len(ranks):
+                ranks[i] = get(made + sym[i + 1], none)[0]
+        return sym
+
     def ids(self, unit: str) -> list[int]:
         out = []
-        for s in self.merge(unit)[0]:
+        for s in self.symbols(unit):
             got = self.rank.get(s)
             out.extend([got[1]] if got else [self.byte_id[b] for b in s.encode()])
         return out
@@ -159,43 +192,29 @@ class PieceTable:
             out.append((p, i, r, len(symbols) == 1, right, left))
         return out
 
-    def cuts(self, codes: np.ndarray) -> np.ndarray:
-        """Places p such that no piece holds codes[p - 1], codes[p] side by side."""
-        a, b = codes[:-1], codes[1:]
-        small = (a < self.CODE_LIMIT) & (b < self.CODE_LIMIT)
-        joint = np.zeros(len(a), bool)
-        joint[small] = self.low[a[small], b[small]]
-        if not small.all() and len(self.high):
-            at = np.flatnonzero(~small)
-            key = (a[at].astype(np.int64) << 32) | b[at]
-            where = np.searchsorted(self.high, key)
-            where[where == len(self.high)] = 0
-            joint[at] = self.high[where] == key
-        return np.flatnonzero(~joint) + 1
-
-
-def prepared(text: str) -> str:
-    return SPACE + text.replace(" ", SPACE) if text else ""
-
-
-def units_of(table: PieceTable, texts: list[str]) -> Iterator[list[str]]:
-    """Units of each text; the places are found for runs of texts at once."""
-    a = 0
-    while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and (b == a or size + len(texts[b]) <= T.SLICE_BYTES // 2):
-            size += len(texts[b]) + 1
-            b += 1
-        full = "".join(prepared(t) for t in texts[a:b])
-        codes = np.frombuffer(full.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        borders = np.cumsum([0] + [len(t) + 1 if t else 0 for t in texts[a:b]])
-        places = np.union1d(table.cuts(codes) if len(codes) > 1 else np.zeros(0, np.int64), borders)
-        at = np.searchsorted(places, borders)
-        places = places.tolist()
-        for i in range(b - a):
-            p = places[at[i]:at[i + 1] + 1]
-            yield [full[x:y] for x, y in zip(p, p[1:])]
-        a = b
+    def units(self, text: str) -> list[str]:
+        """The text cut wherever no piece holds the two neighbours side by side."""
+        out, start, pairs = [], 0, self.pairs
+        for i in range(1, len(text)):
+            if text[i - 1:i + 1] not in pairs:
+                out.append(text[start:i])
+                start = i
+        out.append(text[start:])
+        return out
+
+
+_CHUNK = re.compile(r" +[^ ]*")
+
+
+def chunks(text: str) -> list[str]:
+    """A text's parts, each the run of spaces before a word and the word, without
+    the first space (one space is put in front of the text).  Pieces hold spaces
+    at their start or nowhere, so no piece crosses the border of two parts."""
+    if not text:
+        return []
+    if "  " not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return [m[1:] for m in _CHUNK.findall(" " + text)]
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -207,36 +226,25 @@ def _count_units(table: PieceTable):
         held: Counter = Counter()
 
         def flush():
-            keys = [u for u in held if len(u) <= UNIT_CHARS]
+            units: Counter = Counter()
+            for chunk, c in held.items():
+                for u in table.units(SPACE + chunk.replace(" ", SPACE)):
+                    if len(u) <= UNIT_CHARS:
+                        units[u] += c
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([held[u] for u in keys], pa.int64())],
+                [pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())],
                 names=["unit", "c"])
 
         for batch in batches:
-            for units in units_of(table, _texts(batch.column("text"))):
-                held.update(units)
-                if len(held) >= _FLUSH_UNITS:
+            for text in _texts(batch.column("text")):
+                held.update(chunks(text))
+                if len(held) >= _REMEMBER:
                     yield flush()
                     held.clear()
         yield flush()
     return run
 
 
-def frequent_units(counts: DataFrame, most: int) -> DataFrame:
-    """The units that occur at least c times, with the smallest c for which
-    there are no more than ``most`` of them."""
-    histogram = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    # one row per count value: at most sqrt(2 * words) of them
-    rows = sorted(((r["c"], r["n"]) for r in histogram.toLocalIterator()), reverse=True)
-    total, least = 0, (rows[0][0] + 1 if rows else 1)
-    for c, n in rows:
-        total += n
-        if total > most:
-            break
-        least = c
-    return counts.filter(F.col("c") >= least).select("unit")
-
-
 def lattice_paths(units: DataFrame, table: PieceTable) -> DataFrame:
     """(unit, path): the ids along the admissible path, -1 for a character of
     no piece."""
@@ -306,37 +314,53 @@ def _pack(rows: pd.DataFrame, table: PieceTable) -> tuple[str, np.ndarray, np.nd
     return "\x00".join(units), lens, np.array([i for x in ids for i in x], np.int32)
 
 
-def _encode(table: PieceTable, key: str, broadcast, text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _dictionary(key, broadcast, table)
-        rare: dict[str, bytes] = {}
+class _Encoder:
+    """Ids of texts from the dictionary, remembering the chunks."""
 
-        def ids_of(u: str) -> bytes:
-            got = known.get(u)
-            if got is None and (got := rare.get(u)) is None:
-                if len(rare) >= _FLUSH_UNITS:
-                    rare.clear()
-                got = rare[u] = np.array(table.ids(u), "<i4").tobytes()
-            return got
+    def __init__(self, table: PieceTable, known: dict[str, bytes]):
+        self.table, self.known = table, known
+        self.chunks: dict[str, bytes] = {}
 
-        for batch in batches:
-            texts = _texts(batch.column(text_col))
-            flat, lens, same = [], [], []
-            for text, units in zip(texts, units_of(table, texts)):
-                try:
-                    b = b"".join([known[u] for u in units])
-                except KeyError:
-                    b = b"".join([ids_of(u) for u in units])
-                flat.append(b)
-                lens.append(len(b) // 4)
-                same.append(decode(table, np.frombuffer(b, "<i4").tolist())
-                            == text.replace(SPACE, " "))
-            offs = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
-            values = pa.array(np.frombuffer(b"".join(flat), "<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lens, pa.int64()), pa.ListArray.from_arrays(offs, values),
-                 pa.array(same, pa.bool_())],
-                names=[*batch.schema.names, "n_tokens", "ids", "round_trip"])
+    def _chunk(self, chunk: str) -> bytes:
+        out = []
+        for u in self.table.units(SPACE + chunk.replace(" ", SPACE)):
+            got = self.known.get(u)
+            out.append(np.array(self.table.ids(u), "<i4").tobytes() if got is None else got)
+        got = self.chunks[chunk] = b"".join(out)
+        return got
+
+    def encode(self, text: str) -> bytes:
+        parts, known = chunks(text), self.chunks
+        try:
+            return b"".join([known[p] for p in parts])
+        except KeyError:
+            if len(known) > _REMEMBER:
+                known.clear()
+            return b"".join([known[p] if p in known else self._chunk(p) for p in parts])
+
+
+_ROWS = 1_000
+
+
+def _encode(table: PieceTable, key: str, broadcast, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _Encoder(table, _dictionary(key, broadcast, table))
+        for whole in batches:
+            for a in range(0, len(whole), _ROWS):
+                batch = whole.slice(a, _ROWS)
+                flat, lens, same = [], [], []
+                for text in _texts(batch.column(text_col)):
+                    b = encoder.encode(text)
+                    flat.append(b)
+                    lens.append(len(b) // 4)
+                    same.append(decode(table, np.frombuffer(b, "<i4").tolist())
+                                == text.replace(SPACE, " "))
+                offs = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
+                values = pa.array(np.frombuffer(b"".join(flat), "<i4"))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(lens, pa.int64()),
+                     pa.ListArray.from_arrays(offs, values), pa.array(same, pa.bool_())],
+                    names=[*batch.schema.names, "n_tokens", "ids", "round_trip"])
     return run
 
 
@@ -374,7 +398,7 @@ def encode_documents(docs: DataFrame, text_col="text", model: str | None = None,
               .mapInArrow(_count_units(table), "unit string, c bigint")
               .groupBy("unit").agg(F.sum("c").alias("c")))
     counts = stage(counts, "piece-units")
-    paths = stage(lattice_paths(frequent_units(counts, max_units), table), "piece-paths")
+    paths = stage(lattice_paths(most_frequent(counts, "c", max_units).select("unit"), table), "piece-paths")
     packed = _pack(paths.toPandas(), table)       # at most max_units short rows
     broadcast = spark.sparkContext.broadcast(packed)
     import uuid
