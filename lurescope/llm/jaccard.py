@@ -21,8 +21,9 @@ documents link at ``100 * |A n B| >= percent * |A u B|``.
   inner class z if ``d(y) <= 2 eps`` and ``d(y) - d(z) <= eps``: these boundary
   classes are replicated to the inner cell and compared there.
 * **Recursion.**  The outer classes of a region form a region of their own with
-  a new pivot.  After ``rounds`` rounds what is left is compared pair by pair
-  within the windows.
+  a new pivot, which also meets the inner classes of the cell it comes from.
+  After ``rounds`` rounds the pairs left within the windows are compared, but
+  only those whose classes no link has joined yet.
 
 Every step keeps exactly the pairs that can link, so components are exact.
 Sets are built from whole texts; verification intersects whole sets.
@@ -241,46 +242,67 @@ def similarity_edges(rows: DataFrame, texts: DataFrame, reps: DataFrame, k: int,
     def similar_size(x, y, p):
         return F.expr(f"100 * least({x}, {y}) >= {p} * greatest({x}, {y})")
 
-    edges, boundary = [], []
+    edges, cells, bridges, region_d = [], [], [], None
     for _ in range(rounds):
         dist = verify(region.filter(similar_size("n", "pivot_n", near)).select(
             F.col("node").alias("a"), F.col("pivot").alias("b")), near)
         edges.append(dist.filter("linked").select("a", "b"))
-        cell = (region.filter("node <> pivot")
-                .join(dist.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d",
-                                  "linked"), ["node", "pivot"], "left")
-                .withColumn("inner", F.coalesce("linked", F.lit(False))).drop("linked"))
-        cell = stage(cell, "jaccard-cells")
-        outer = cell.filter("not inner")
-        close = outer.filter(F.col("d") <= 2 * eps + 1e-9).select(
-            "token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("d").alias("ad"))
-        z = cell.filter("inner").select("token", F.col("node").alias("b"), F.col("n").alias("bn"),
-                                        F.col("d").alias("bd"))
-        boundary.append(close.join(z, "token").filter(
-            (F.col("ad") - F.col("bd") <= eps + 1e-9) & similar_size("an", "bn", percent))
-            .select("a", "b"))
+        close_to = dist.filter(F.col("d") <= 2 * eps + 1e-9).select(
+            F.col("b").alias("pivot"), F.col("a").alias("node"), "d", F.col("linked").alias("inner"))
+        cells.append(close_to)
+        outer = (region.filter("node <> pivot").join(close_to, ["node", "pivot"], "left")
+                 .filter("NOT coalesce(inner, false)"))
         # classes without a distance are further than 2 eps from the pivot
         left = outer.select("token", "node", "n", F.col("d").alias("d0"))
+        left = stage(left, "jaccard-outer")
         region_d = stage(left.join(_met(left), "token"), "jaccard-regions")
         if region_d.isEmpty():
+            region_d = None
             break
+        # the next pivots meet the inner classes of the cell they come from
+        new = (region_d.select(F.col("pivot").alias("node")).distinct()
+               .join(close_to.filter("NOT inner"), "node")
+               .select("pivot", F.col("node").alias("a"), F.col("d").alias("ad")))
+        bridges.append(new.join(close_to.filter("inner").select(
+            "pivot", F.col("node").alias("b"), F.col("d").alias("bd")), "pivot").filter(
+            F.col("ad") - F.col("bd") <= eps + 1e-9).select("a", "b"))
         region = region_d.drop("d0")
-    else:
+    if bridges:
+        edges.append(verify(_union(bridges), percent).filter("linked").select("a", "b"))
+    # pairs of one component need no comparison any more
+    known = stage(components(_union(edges), "jaccard-first"), "jaccard-first-components")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return (rows.join(known, "node", "left")
+                .withColumn("c", F.coalesce("component", "node")).drop("component"))
+
+    rest = []
+    for cell in cells:
+        cell = named(cell)
+        y = cell.filter("NOT inner").select("pivot", F.col("node").alias("a"), F.col("d").alias("ad"),
+                                            F.col("c").alias("ac"))
+        z = cell.filter("inner").select("pivot", F.col("node").alias("b"), F.col("d").alias("bd"),
+                                        F.col("c").alias("bc"))
+        rest.append(y.join(z, (y["pivot"] == z["pivot"]) & (F.col("ac") != F.col("bc"))
+                           & (F.col("ad") - F.col("bd") <= eps + 1e-9)).select("a", "b"))
+    if region_d is not None:
         # what is left of each region: pairs within the window of its last pivot
-        x = region_d.select("token", F.col("node").alias("a"), F.col("n").alias("an"),
-                            F.col("d0").alias("ad"))
-        y = region_d.select("token", F.col("node").alias("b"), F.col("n").alias("bn"),
-                            F.col("d0").alias("bd"))
-        boundary.append(x.join(y, "token").filter(
-            (F.col("a") < F.col("b")) & similar_size("an", "bn", percent)
-            & (F.coalesce(F.abs(F.col("ad") - F.col("bd")), F.lit(0.0)) <= eps + 1e-9))
-            .select("a", "b"))
-    rest = boundary[0]
-    for more in boundary[1:]:
-        rest = rest.unionByName(more)
-    edges.append(verify(rest, percent).filter("linked").select("a", "b"))
-    out = edges[0]
-    for more in edges[1:]:
+        last = named(region_d.select("token", "node", "n", "d0"))
+        x = last.select("token", F.col("node").alias("a"), F.col("n").alias("an"),
+                        F.col("d0").alias("ad"), F.col("c").alias("ac"))
+        y = last.select("token", F.col("node").alias("b"), F.col("n").alias("bn"),
+                        F.col("d0").alias("bd"), F.col("c").alias("bc"))
+        rest.append(x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b"))
+                           & (F.col("ac") != F.col("bc")) & similar_size("an", "bn", percent)
+                           & (F.coalesce(F.abs(F.col("ad") - F.col("bd")), F.lit(0.0)) <= eps + 1e-9))
+                    .select("a", "b"))
+    edges.append(verify(_union(rest), percent).filter("linked").select("a", "b"))
+    return _union(edges)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
