@@ -9,7 +9,9 @@
   with the best that the rest can still add.
 * The number of directions grows with the number of classes so that a cap holds
   about ``LOAD`` classes on average, and alpha gives each vector about
-  ``PER_VECTOR`` caps.  Two vectors of cosine 0.9 share about half of them.
+  ``PER_VECTOR`` caps.  Two vectors of cosine 0.9 share about half of them; as
+  the caps of one code depend on one another, there are ``CODES`` codes with
+  books of their own.
 * The vectors of a cap are joined in blocks of about ``BLOCK`` rows: a cap with
   more rows is split, and each pair of blocks is a group of its own, so a cap
   that holds a third of all rows is spread over many tasks.  A pair is verified
@@ -33,7 +35,6 @@ from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ from pyspark.sql import functions as F
 from lurescope.llm.common import bounded_broadcast, components, ship, stage
 
 THRESHOLD = 0.9
-PER_VECTOR = 20
+PER_VECTOR = 16
+CODES = 2
 LOAD = 64
 BLOCK = 512
 MAX_CODEWORDS = 512
@@ -84,60 +86,103 @@ class ProductCode:
         return out
 
 
-def _decode(code: ProductCode):
+def _decode(codes: list[ProductCode]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
-            v = np.asarray(batch.column("v").flatten(), dtype=np.float64).reshape(n, -1) \
-                if n else np.zeros((0, 1))
-            u = v / np.linalg.norm(v, axis=1, keepdims=True)
-            caps = code.decode(u) if n else []
+            if not n:
+                continue
+            u = _unit(_matrix(batch.column("v"), n))
+            # numbers of the caps of all codes, one code's after the other's
+            first = np.cumsum([0] + [c.size ** c.m for c in codes])
+            each = [[ids + f for ids in c.decode(u)] for c, f in zip(codes, first)]
+            caps = [np.concatenate(ids) for ids in zip(*each)]
             offs = np.concatenate([[0], np.cumsum([len(c) for c in caps])]).astype(np.int32)
-            flat = np.concatenate(caps) if caps else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))],
+                [batch.column("node"),
+                 pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(caps)))],
                 names=["node", "caps"])
     return run
 
 
-def _link_block(threshold: float):
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        cap, bi, bj = (int(x) for x in key)
-        group = group.drop_duplicates("node")
-        v = np.array(group["v"].tolist(), dtype=np.float64)
-        u = v / np.linalg.norm(v, axis=1, keepdims=True)
-        node, mult = group["node"].to_numpy(np.int64), group["mult"].to_numpy(np.int64)
-        own = group["block"].to_numpy(np.int64)
-        left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
-        link = u[left] @ u[right].T >= threshold
-        if bi == bj:
-            link = np.triu(link, 1)
-        if link.any():
-            # counted in the smallest cap that both share
-            caps = group["caps"].to_list()
-            lower = sorted({c for x in caps for c in x if c < cap})
-            if lower:
-                column = {c: j for j, c in enumerate(lower)}
-                has = np.zeros((len(group), len(lower)), np.float32)
-                for i, x in enumerate(caps):
-                    has[i, [column[c] for c in x if c < cap]] = 1
-                link &= (has[left] @ has[right].T) == 0
-        a, b = np.nonzero(link)
-        a, b = left[a], right[b]
-        count = np.bincount(a, weights=mult[b], minlength=len(node)) \
-            + np.bincount(b, weights=mult[a], minlength=len(node))
-        # smallest row reachable by the links of this block
-        low = np.arange(len(node))
-        while True:
-            new = low.copy()
-            np.minimum.at(new, a, low[b])
-            np.minimum.at(new, b, low[a])
-            new = new[new]
-            if (new == low).all():
-                break
-            low = new
-        on = np.flatnonzero(count > 0)
-        return pd.DataFrame({"a": node[on], "b": node[low[on]], "w": count[on].astype(np.int64)})
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(n, -1)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _link_group(group: pa.RecordBatch, cap: int, bi: int, bj: int, threshold: float):
+    """(vectors, smallest vector of their component in this group, links) of one
+    pair of blocks of a cap."""
+    node = np.asarray(group.column("node"))
+    one = np.unique(node, return_index=True)[1]
+    if len(one) < len(node):
+        group = group.take(pa.array(one))
+        node = node[one]
+    u = _unit(_matrix(group.column("v"), len(node)))
+    own = np.asarray(group.column("block"))
+    left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
+    link = u[left] @ u[right].T >= threshold
+    if bi == bj:
+        link = np.triu(link, 1)
+    if not link.any():
+        return None
+    # a pair counts in the smallest cap that both share
+    column = group.column("caps")
+    flat = np.asarray(column.flatten())
+    row = np.repeat(np.arange(len(node)), np.diff(np.asarray(column.offsets)))
+    lower, at = np.unique(flat[flat < cap], return_inverse=True)
+    if len(lower):
+        has = np.zeros((len(node), len(lower)), np.float32)
+        has[row[flat < cap], at] = 1
+        link &= (has[left] @ has[right].T) == 0
+    a, b = np.nonzero(link)
+    a, b = left[a], right[b]
+    mult = np.asarray(group.column("mult"))
+    count = np.bincount(a, weights=mult[b], minlength=len(node)) \
+        + np.bincount(b, weights=mult[a], minlength=len(node))
+    low = np.arange(len(node))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    on = np.flatnonzero(count > 0)
+    return node[on], node[low[on]], count[on].astype(np.int64)
+
+
+def _links(threshold: float):
+    """Rows sorted by (cap, bi, bj) to links; the rows of one group, about two
+    blocks, are held at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def joined(found):
+            parts = zip(*found) if found else ([np.zeros(0, np.int64)],) * 3
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(x))) for x in parts],
+                                              names=["a", "b", "w"])
+
+        def groups(rows, last):
+            key = np.stack([np.asarray(rows.column(c), dtype=np.int64) for c in ("cap", "bi", "bj")], 1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            edges = [0, *cuts.tolist(), len(rows)]
+            stop = len(edges) - 1 if last else len(edges) - 2
+            found = [_link_group(rows.slice(x, y - x), *key[x].tolist(), threshold)
+                     for x, y in zip(edges[:stop], edges[1:stop + 1]) if y - x > 1]
+            return joined([f for f in found if f is not None]), rows.slice(edges[stop])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            out, held = groups(batch if held is None else pa.concat_batches([held, batch]), False)
+            yield out
+        if held is not None and len(held):
+            yield groups(held, True)[0]
     return run
 
 
@@ -160,9 +205,10 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
     links = None
     for dim in dims:
         same = classes.filter(F.size("v") == dim)
-        code = ProductCode(dim, max(1024, same.count() * PER_VECTOR // LOAD))
+        directions = max(1024, same.count() * PER_VECTOR // LOAD)
+        codes = [ProductCode(dim, directions, seed=SEED + k) for k in range(CODES)]
         caps = stage(same.select("node", "v").mapInArrow(
-            _decode(code), "node bigint, caps array<bigint>"), "vector-caps")
+            _decode(codes), "node bigint, caps array<bigint>"), "vector-caps")
         posted = caps.select("node", F.explode("caps").alias("cap"))
         load = (posted.groupBy("cap").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
                 .select("cap", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
@@ -173,12 +219,13 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
                   .select("node", "cap", "block", F.least("block", "other").alias("bi"),
                           F.greatest("block", "other").alias("bj")))
         full = placed.join(same.join(caps, "node"), "node")
-        found = full.groupBy("cap", "bi", "bj").applyInPandas(
-            _link_block(threshold), "a bigint, b bigint, w bigint")
+        found = (full.select("cap", "bi", "bj", "block", "node", "mult", "v", "caps")
+                 .repartition("cap", "bi", "bj").sortWithinPartitions("cap", "bi", "bj")
+                 .mapInArrow(_links(threshold), "a bigint, b bigint, w bigint"))
         found = stage(found, "vector-links")
         links = found if links is None else links.unionByName(found)
     if links is None:
-        return raw.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
+        links = vectors.sparkSession.createDataFrame([], "a bigint, b bigint, w bigint")
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
     comp = components(links.select("a", "b"), "vectors").withColumnRenamed("component", "root")
     named = (classes.select("node", "rep", "mult").join(comp, "node", "left")
