@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -51,9 +52,9 @@ from pyspark.sql import functions as F
 from lurescope.llm.common import most_frequent, ship, stage
 
 SPACE = "▁"
-MAX_UNITS = 200_000
+MAX_UNITS = 100_000
 UNIT_CHARS = 40
-_REMEMBER = 300_000
+_REMEMBER = 200_000
 _FOREVER = 2**31 - 1
 
 
@@ -252,7 +253,10 @@ def lattice_paths(units: DataFrame, table: PieceTable) -> DataFrame:
     longest = max(map(len, table.rank), default=1)
     pieces = F.broadcast(spark.createDataFrame(
         table.rows(), "piece string, id int, r int, valid boolean, rl array<int>, ll array<int>"))
-    sub = (units.repartition("unit").withColumn("n", F.char_length("unit"))
+    # a fixed number of tasks: the rows are few and short, the folds are not
+    tasks = max(2 * spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sub = (units.repartition(tasks, "unit").withColumn("n", F.char_length("unit"))
            .withColumn("x", F.explode(F.expr(f"""
                 flatten(transform(sequence(0, n - 1), i -> transform(
                     sequence(1, least({longest}, n - i)),
@@ -325,7 +329,7 @@ class _Encoder:
         out = []
         for u in self.table.units(SPACE + chunk.replace(" ", SPACE)):
             got = self.known.get(u)
-            out.append(np.array(self.table.ids(u), "<i4").tobytes() if got is None else got)
+            out.append(array("i", self.table.ids(u)).tobytes() if got is None else got)
         got = self.chunks[chunk] = b"".join(out)
         return got
 
