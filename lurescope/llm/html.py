@@ -329,7 +329,7 @@ def train(sources: list[str]) -> Model:
     hidden[:, [FEATURES.index("in_main"), FEATURES.index("main")]] = 0
     x, t = np.concatenate([f.x[on], hidden]), np.concatenate([y[on], y[on]])
     w, prior = model.weights.copy(), model.weights
-    ridge = 0.01
+    ridge = max(0.01, 200 / len(t))         # few labelled elements move the priors little
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - t) / len(t) + ridge * (w - prior)
