@@ -56,7 +56,8 @@ DICTIONARY_BYTES = 64 << 10
 DOCS_PER_SHARD = 2_048
 BYTES_PER_SHARD = 8 << 20
 LEVEL = 3
-_REMEMBER = 600_000
+#: Entries that a worker remembers, of parts between spaces and of words.
+_PARTS, _WORDS = 100_000, 300_000
 
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-z0-9'\x80-\U0010ffff]*)")
@@ -113,10 +114,10 @@ class WordEncoder:
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
-            if len(known) > _REMEMBER:
+            if len(known) > _PARTS:
                 known.clear()
                 known[""] = b""
-            if len(self.words) > _REMEMBER:
+            if len(self.words) > _WORDS:
                 self.words.clear()
                 self.words[""] = b""
             return b"".join([known[p] if p in known else self._part(p) for p in parts])
@@ -129,18 +130,24 @@ def encoder(path: str) -> WordEncoder:
 
 def train_dictionary(texts: DataFrame, path: str) -> bytes:
     """A zstandard dictionary from a bounded sample of id arrays."""
-    sample = (texts.filter("text <> ''").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), "rk")
-              .orderBy(F.xxhash64("rk"), "rk").limit(SAMPLE_DOCS).select("text"))
+    hashed = texts.filter("text <> ''").withColumn("k", F.xxhash64("rk"))
+    # only hashes are sorted; then the texts up to the last of them are read
+    last = hashed.select("k").orderBy("k").limit(SAMPLE_DOCS).agg(F.max("k")).first()[0]
+    sample = hashed.filter(F.col("k") <= F.lit(last)).dropDuplicates(["k"]).select(
+        "k", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([e.encode(t) for t in batch.column("text").to_pylist()], pa.binary())],
-                names=["ids"])
+                [batch.column("k"),
+                 pa.array([e.encode(t) for t in batch.column("text").to_pylist()], pa.binary())],
+                names=["k", "ids"])
 
+    if last is None:
+        return b""
     held, size = [], 0
-    for r in sample.mapInArrow(run, "ids binary").toLocalIterator():
+    for r in sample.mapInArrow(run, "k bigint, ids binary").orderBy("k").toLocalIterator():
         if size < SAMPLE_BYTES:
             held.append(bytes(r["ids"]))
             size += len(held[-1])
