@@ -7,10 +7,14 @@
   block, divided by sqrt(m).  Each vector is *list-decoded* to all directions
   whose cap holds it: sorted inner products per block, extended block by block
   with the best that the rest can still add.
-* The number of directions grows with the number of classes so that a cap holds
-  about ``LOAD`` classes on average, and alpha gives each vector about
-  ``PER_VECTOR`` caps.  Two vectors of cosine 0.9 share about half of them; as
-  the caps of one code depend on one another, there are ``CODES`` codes with
+* The number of directions grows with the number of classes.  alpha gives each
+  vector about ``PER_VECTOR`` caps by a Gaussian tail and is then lowered until
+  pairs whose cosine is just the threshold share a cap with probability
+  ``RECALL``: the height at which a pair's best shared direction stands is
+  measured on the codes in use, for random pairs and for vectors of the table
+  with a partner at the threshold, so the caps per vector grow with the table.
+  A vector in fewer than ``LEAST`` caps of a code goes to its best ``LEAST``.
+  As the caps of one code depend on one another, there are ``CODES`` codes with
   books of their own.
 * The vectors of a cap are joined in blocks of about ``BLOCK`` rows: a cap with
   more rows is split, and each pair of blocks is a group of its own, so a cap
@@ -46,7 +50,13 @@ PER_VECTOR = 16
 CODES = 2
 LOAD = 64
 BLOCK = 512
-MAX_CODEWORDS = 512
+MAX_CODEWORDS = 4096
+#: Share of the pairs at the threshold that have a cap in common.
+RECALL = 0.99
+#: Caps of a code that each vector has at least.
+LEAST = 4
+#: Random pairs, and vectors of the table, that alpha is measured on.
+PAIRS = 500
 SEED = 20_240_101
 BROADCAST_ROWS = 1_000_000
 
@@ -69,23 +79,75 @@ class ProductCode:
             self.books.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(self.m))
         share = min(0.5, per_vector / self.size ** self.m)
         self.alpha = NormalDist().inv_cdf(1 - share) / np.sqrt(dim)
+        self.step = 0.25 / np.sqrt(dim)
 
-    def decode(self, u: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the sorted numbers of the caps that hold it."""
+    def scored(self, u: np.ndarray, alpha: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each unit vector the numbers of the directions with an inner
+        product of at least alpha, sorted, and these products."""
         scores = [u[:, a:b] @ c.T for a, b, c in zip(self.edges[:-1], self.edges[1:], self.books)]
         best = np.array([s.max(axis=1) for s in scores])            # (m, n)
         rest = np.concatenate([np.cumsum(best[::-1], axis=0)[::-1][1:], np.zeros((1, len(u)))])
-        out = []
         for i in range(len(u)):
             have, sums = np.zeros(1, np.int64), np.zeros(1)
             for b, s in enumerate(scores):
                 total = sums[:, None] + s[i][None, :]
-                at = np.nonzero(total + rest[b, i] >= self.alpha)
+                at = np.nonzero(total + rest[b, i] >= alpha)
                 have, sums = have[at[0]] * self.size + at[1], total[at]
-            out.append(np.sort(have))
+            order = np.argsort(have)
+            yield have[order], sums[order]
+
+    def decode(self, u: np.ndarray, least: int = 0) -> list[np.ndarray]:
+        """For each unit vector the sorted numbers of the caps that hold it; of
+        its ``least`` best directions if it is in fewer caps."""
+        out = [have for have, _ in self.scored(u, self.alpha)]
+        least = min(least, self.size ** self.m)
+        for i in [i for i, have in enumerate(out) if len(have) < least]:
+            alpha, have = self.alpha, out[i]
+            while len(have) < least:
+                alpha -= self.step
+                have, sums = next(self.scored(u[i:i + 1], alpha))
+            out[i] = np.sort(have[np.argsort(-sums, kind="stable")[:least]])
         return out
 
 
+def _partners(u: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector one at the given cosine, in a random direction."""
+    w = rng.standard_normal(u.shape)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    if u.shape[1] == 1:
+        return u
+    return cosine * u + np.sqrt(max(0.0, 1 - cosine * cosine)) * _unit(w)
+
+
+def make_codes(dim: int, directions: int, threshold: float = THRESHOLD,
+               sample: np.ndarray | None = None) -> list[ProductCode]:
+    """``CODES`` codes with the largest alpha, up to the one of ``PER_VECTOR``,
+    at which ``RECALL`` of the pairs at the threshold share a cap: of random
+    pairs, and of the unit vectors in ``sample`` with a partner each."""
+    codes = [ProductCode(dim, directions, seed=SEED + k) for k in range(CODES)]
+    rng = np.random.default_rng([SEED, dim])
+    alpha = codes[0].alpha
+    for u in [_unit(rng.standard_normal((PAIRS, dim)))] + ([] if sample is None else [sample]):
+        v = _partners(u, threshold, rng)
+        missed = int(len(u) * (1 - RECALL))
+        while True:
+            height = np.full(len(u), -np.inf)       # of the best direction shared
+            for code in codes:
+                for i, ((a, x), (b, y)) in enumerate(zip(code.scored(u, alpha), code.scored(v, alpha))):
+                    _, p, q = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                    if len(p):
+                        height[i] = max(height[i], np.minimum(x[p], y[q]).max())
+            reached = np.sort(height)[missed] if len(u) else alpha
+            if reached >= alpha:
+                break
+            alpha -= codes[0].step
+        # the last step may have gone too far
+        alpha = min(codes[0].alpha, reached)
+        for code in codes:
+            code.alpha = alpha
+    return codes
+
+
 def _decode(codes: list[ProductCode]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +157,7 @@ def _decode(codes: list[ProductCode]):
             u = _unit(_matrix(batch.column("v"), n))
             # numbers of the caps of all codes, one code's after the other's
             first = np.cumsum([0] + [c.size ** c.m for c in codes])
-            each = [[ids + f for ids in c.decode(u)] for c, f in zip(codes, first)]
+            each = [[ids + f for ids in c.decode(u, LEAST)] for c, f in zip(codes, first)]
             caps = [np.concatenate(ids) for ids in zip(*each)]
             offs = np.concatenate([[0], np.cumsum([len(c) for c in caps])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -206,7 +268,9 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
     for dim in dims:
         same = classes.filter(F.size("v") == dim)
         directions = max(1024, same.count() * PER_VECTOR // LOAD)
-        codes = [ProductCode(dim, directions, seed=SEED + k) for k in range(CODES)]
+        # the nodes are hashes: the smallest ones are a uniform sample
+        some = [r["v"] for r in same.orderBy("node").limit(PAIRS).select("v").collect()]
+        codes = make_codes(dim, directions, threshold, _unit(np.array(some)))
         caps = stage(same.select("node", "v").mapInArrow(
             _decode(codes), "node bigint, caps array<bigint>"), "vector-caps")
         posted = caps.select("node", F.explode("caps").alias("cap"))

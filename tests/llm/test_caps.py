@@ -73,3 +73,48 @@ def test_whole_table(spark):
     assert got["n_links"].sum() >= 0.99 * s.sum()
     assert (got["n_links"].to_numpy() <= s.sum(1)).all()
     assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
+
+
+@pytest.mark.parametrize("n", [900, 10**6, 10**7])
+def test_recall_with_directions_as_for_large_tables(n):
+    from lurescope.llm import caps
+    rng, s = np.random.default_rng(7), 0.9
+    u, w = rng.standard_normal((2, 300, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    v = s * u + np.sqrt(1 - s * s) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    codes = caps.make_codes(64, max(1024, n * caps.PER_VECTOR // caps.LOAD), s)
+    found = np.zeros(300, bool)
+    for code in codes:
+        a, b = code.decode(u, caps.LEAST), code.decode(v, caps.LEAST)
+        assert min(map(len, a + b)) >= caps.LEAST
+        found |= [len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b)]
+    assert found.mean() >= 0.97
+
+
+def test_uneven_blocks_keep_their_pairs():
+    """Vectors that lie almost within one block of the code."""
+    from lurescope.llm import caps
+    rng, s = np.random.default_rng(8), 0.9
+    u, w = rng.standard_normal((2, 600, 64))
+    u[:, 8:] *= 0.02
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    v = s * u + np.sqrt(1 - s * s) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    codes = caps.make_codes(64, 10**6 // 4, s, u[300:])
+    found = np.zeros(300, bool)
+    for code in codes:
+        a, b = code.decode(u[:300], caps.LEAST), code.decode(v[:300], caps.LEAST)
+        found |= [len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b)]
+    assert found.mean() >= 0.97
+
+
+def test_at_least_the_best_caps():
+    code, rng = ProductCode(16, 4000), np.random.default_rng(0)
+    u = rng.standard_normal((20, 16))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    directions = np.stack([np.concatenate([b[k] for b, k in zip(code.books, ks)])
+                           for ks in np.ndindex(*[code.size] * code.m)])
+    code.alpha = 0.99
+    for x, got in zip(u, code.decode(u, 5)):
+        assert got.tolist() == np.sort(np.argsort(-(directions @ x))[:5]).tolist()
