@@ -8,7 +8,8 @@ next stage.  All stages but the last return the columns of ``documents``:
 1. ``quality`` drops the documents that the classifier rejects;
 2. ``line_dedup`` deletes repeated runs of lines from the texts (a document
    whose text is a copy throughout stays as a row with an empty text);
-3. ``near_duplicates`` keeps the smallest id of each group of similar texts;
+3. ``near_duplicates`` keeps the smallest id of each group of similar texts
+   (sets of 5-word shingles, linked from a Jaccard similarity of 0.8 on);
 4. ``decontaminate`` drops the documents that hold a benchmark item;
 5. ``encode`` returns ``doc_id, n_tokens, ids, round_trip``.
 
@@ -23,6 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lurescope.llm.common import stage, table
 
 
+#: Words of a shingle and least similarity of near duplicates; the op4 query has
+#: a contract of its own.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from lurescope.llm.quality import keep_documents
     return keep_documents(docs, table(spark, sf_dir, "labels"))
@@ -35,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from lurescope.llm.jaccard import keep_one_of_each
-    return keep_one_of_each(docs)
+    return keep_one_of_each(docs, shingle=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,24 @@ def test_one_of_each_group_stays(stages):
     assert [i for i, _ in texts(b)] == [i for i, _ in texts(a) if want[i][0] == 0 or want[i][1] == i]
 
 
+def test_near_duplicates_are_those_of_five_words_and_80_percent(stages):
+    brute = importlib.import_module("test_jaccard").brute
+    a, b = stages["near_duplicates"]
+    want = brute(texts(a), percent=80, k=5)
+    assert [i for i, _ in texts(b)] == [i for i, _ in texts(a) if want[i][0] == 0 or want[i][1] == i]
+
+
+def test_copy_with_an_inserted_block_goes(spark):
+    """92 of 114 5-word shingles are shared (0.81), 94 of 114 4-word shingles (0.82)."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)),
+            (2, " ".join([*words[:50], *(f"x{i}" for i in range(14)), *words[50:]])),
+            (3, " ".join([*words[:50], *(f"y{i}" for i in range(16)), *words[50:]]))]     # 0.79
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert [i for i, _ in texts(got)] == [1, 3]
+
+
 def test_decontamination_equals_brute_force(stages, spark):
     m = importlib.import_module("test_decontaminate")
     a, b = stages["decontaminate"]
