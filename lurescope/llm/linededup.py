@@ -15,8 +15,17 @@ fingerprint: the guarantee of winnowing, with the window measured in words.
    over the two documents' line hashes;
 4. the union of a document's matched runs is deleted from its text.
 
-A deleted line always has an equal line earlier in the corpus, and the first
-occurrence of a line is never deleted.
+Lines can be long, so repeated *passages* inside lines, or from the middle of
+one line to the middle of another, are found the same way with words as the
+units: every run of ``PASSAGE_WORDS`` words has a hash, the smallest of each
+``PASSAGE_WINDOW`` consecutive hashes is a fingerprint, and a fingerprint's later
+places are extended word by word from its first place.  A repeated run of more
+than 50 words holds a fingerprint; none of fewer than ``PASSAGE_WORDS`` is
+deleted.  Passages are those of the input texts, so two pieces that only come
+to stand together because what was between them is deleted are not one.
+
+A deleted line or word always has an equal one earlier in the corpus, and the
+first occurrence is never deleted.
 
 Order and defined results: places are ordered by (id, row key, line), null ids
 first; the row key tells rows apart that share an id but differ in text.  Rows
@@ -41,6 +50,10 @@ from lurescope.llm.common import ship, stage, with_text
 
 #: Words of the shortest run that is deleted when it repeats.
 MIN_WORDS = 8
+#: Words of the shortest passage that is deleted inside lines, and hashes per
+#: window: any PASSAGE_WORDS + PASSAGE_WINDOW - 1 = 51 words hold a fingerprint.
+PASSAGE_WORDS = 26
+PASSAGE_WINDOW = 26
 
 
 def line_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -182,26 +195,157 @@ def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text",
     return found.groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
-def _cut(text_at: str, runs_at: str):
+def _picks(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the smallest hash of each window; windows stay in one text."""
+    n = len(h) - PASSAGE_WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(doc[:n] == doc[PASSAGE_WINDOW - 1:])
+    pick, low = at.copy(), h[at].copy()
+    for j in range(1, PASSAGE_WINDOW):
+        lower = h[at + j] < low
+        pick[lower], low[lower] = at[lower] + j, h[at[lower] + j]
+    return np.unique(pick)
+
+
+def _passage_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, s in T.column_scans(batch.column("text"), T.NOT_SPACE, lower=False):
+            doc, n = s.doc_of_word(), len(s.hashes) - PASSAGE_WORDS + 1
+            if n <= 0:
+                continue
+            h = np.zeros(n, np.uint64)
+            for j in range(PASSAGE_WORDS):
+                h = (h + s.hashes[j:n + j]) * np.uint64(T.BASE)
+            whole = np.flatnonzero(doc[:n] == doc[PASSAGE_WORDS - 1:])
+            h, doc = T.mix(h[whole]), doc[whole]
+            at = _picks(h, doc)
+            take = pa.array(doc[at] + a)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(take), batch.column("rk").take(take),
+                 pa.array((whole[at] - s.doc_first[doc[at]]).astype(np.int32)),
+                 pa.array(h[at].view(np.int64))], names=["id", "rk", "pos", "fp"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, s in T.column_scans(batch.column("text"), T.NOT_SPACE, lower=False):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rk").slice(a, b - a), pa.ListArray.from_arrays(
+                    pa.array(s.doc_first.astype(np.int32)),
+                    pa.array((s.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))],
+                names=["rk", "h"])
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the common prefix, read in growing pieces."""
+    n, a, step = min(len(x), len(y)), 0, 64
+    while a < n:
+        b = min(n, a + step)
+        differ = np.flatnonzero(x[a:b] != y[a:b])
+        if len(differ):
+            return a + int(differ[0])
+        a, step = b, step * 4
+    return n
+
+
+def _extend_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages that one text has from another, as (rk, first, last) word."""
+    for batch in batches:
+        keep, lo, hi = [], [], []
+        for i in range(len(batch)):
+            h, g = (np.asarray(batch.column(c)[i].values) for c in ("h", "src_h"))
+            done = -1
+            for p, q in sorted((x["pos"], x["src_pos"]) for x in batch.column("at")[i].as_py()):
+                if p + PASSAGE_WORDS - 1 <= done:       # deleted already
+                    continue
+                after = _same(h[p:], g[q:])
+                before = _same(h[:p][::-1], g[:q][::-1])
+                if after < PASSAGE_WORDS:               # equal hash, other words
+                    continue
+                done = max(done, p + after - 1)
+                keep.append(i)
+                lo.append(p - before)
+                hi.append(p + after - 1)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("rk").take(pa.array(keep, pa.int64())), pa.array(lo, pa.int64()),
+             pa.array(hi, pa.int64())], names=["rk", "first", "last"])
+
+
+def repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(rk, passages): for each document with repeated passages the runs of word
+    numbers (from 0, both ends inclusive) that occur earlier."""
+    ship(docs.sparkSession)
+    texts = with_text(docs, id_col, text_col)
+    fps = stage(texts.mapInArrow(_passage_fingerprints, "id bigint, rk bigint, pos int, fp bigint"),
+                "passage-fingerprints")
+    first = stage(fps.groupBy("fp").agg(
+        F.min(F.struct("id", "rk", "pos")).alias("src"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").select("fp", "src"), "passage-first-places")
+    later = stage(fps.join(first, "fp").filter("struct(id, rk, pos) > src")
+                  .groupBy("rk", F.col("src.rk").alias("src_rk"))
+                  .agg(F.collect_set(F.struct("pos", F.col("src.pos").alias("src_pos"))).alias("at")),
+                  "passage-matches")
+    taking = later.select("rk").union(later.select("src_rk")).distinct()
+    words = stage(texts.select("rk", "text").join(taking, "rk", "left_semi")
+                  .mapInArrow(_words, "rk bigint, h array<int>").dropDuplicates(["rk"]), "passage-words")
+    found = (later.join(words, "rk")
+             .join(words.select(F.col("rk").alias("src_rk"), F.col("h").alias("src_h")), "src_rk")
+             .select("rk", "at", "h", "src_h")
+             .mapInArrow(_extend_passages, "rk bigint, first bigint, last bigint"))
+    return found.groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("passages"))
+
+
+def _covered(runs, n: int) -> np.ndarray:
+    """Which of n units lie in a run."""
+    drop = np.zeros(n + 1, np.int64)
+    if runs.is_valid:
+        np.add.at(drop, np.asarray(runs.values.field("first")), 1)
+        np.add.at(drop, np.asarray(runs.values.field("last")) + 1, -1)
+    return np.cumsum(drop)[:-1] > 0
+
+
+def _without_passages(text: str, runs, drop: np.ndarray) -> list[str]:
+    """The lines of a text without the words of its passages; lines of which
+    nothing stays are marked in ``drop``."""
+    raw = text.encode()
+    s = T.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), T.NOT_SPACE, lower=False)
+    gone = _covered(runs, len(s.start))
+    edges = np.concatenate([[-1], np.flatnonzero(s.data == 0x0A), [len(raw)]])
+    out = []
+    for k, (a, b) in enumerate(zip(edges[:-1] + 1, edges[1:])):
+        x, y = np.searchsorted(s.start, [a, b])
+        cut = gone[x:y]
+        if cut.all() and (y > x or (0 < x < len(gone) and gone[x - 1] and gone[x])):
+            drop[k] = True
+        if not cut.any():
+            out.append(raw[a:b].decode())
+            continue
+        # a deleted word goes with the white space after it
+        stop = np.append(s.start[x + 1:y], b)
+        parts = [raw[a:s.start[x]]] + [raw[u:v] for u, v, c in zip(s.start[x:y], stop, cut) if not c]
+        line = b"".join(parts)
+        out.append((line.rstrip(b" \t\r\v\f") if cut[-1] else line).decode())
+    return out
+
+
+def _cut(text_at: str, runs_at: str, passages_at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, runs = batch.column(text_at), batch.column(runs_at)
+            texts, runs, passages = (batch.column(c) for c in (text_at, runs_at, passages_at))
             out, total, gone = [], [], []
             for i in range(len(batch)):
-                lines = (texts[i].as_py() or "").split("\n")
-                drop = np.zeros(len(lines) + 1, np.int64)
-                if runs[i].is_valid:
-                    got = runs[i].values
-                    np.add.at(drop, np.asarray(got.field("first")), 1)
-                    np.add.at(drop, np.asarray(got.field("last")) + 1, -1)
-                drop = np.cumsum(drop)[:-1] > 0
-                out.append("\n".join(x for x, d in zip(lines, drop) if not d) if drop.any()
-                           else texts[i].as_py())
+                text = texts[i].as_py() or ""
+                lines = text.split("\n")
+                drop = _covered(runs[i], len(lines))
+                if passages[i].is_valid:
+                    lines = _without_passages(text, passages[i], drop)
+                out.append("\n".join(x for x, d in zip(lines, drop) if not d)
+                           if drop.any() or passages[i].is_valid else texts[i].as_py())
                 total.append(len(lines))
                 gone.append(int(drop.sum()))
-            arrays = [pa.array(out, pa.string()) if c == text_at else batch.column(c)
-                      for c in batch.schema.names if c != runs_at]
-            names = [c for c in batch.schema.names if c != runs_at]
+            names = [c for c in batch.schema.names if c not in (runs_at, passages_at)]
+            arrays = [pa.array(out, pa.string()) if c == text_at else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
                 [*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
                 names=[*names, "_n_lines", "_n_removed"])
@@ -210,14 +354,16 @@ def _cut(text_at: str, runs_at: str):
 
 def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text",
                 min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated runs deleted from the text column, plus
-    ``_n_lines`` and ``_n_removed``."""
-    runs = stage(repeated_runs(docs, id_col, text_col, min_words)
-                 .select(F.col("rk").alias("_runs_rk"), F.col("runs").alias("_runs")), "line-runs")
+    """``docs`` with repeated runs and passages deleted from the text column,
+    plus ``_n_lines`` and ``_n_removed``, the lines of which nothing is left."""
+    found = repeated_runs(docs, id_col, text_col, min_words).join(
+        repeated_passages(docs, id_col, text_col), "rk", "full")
+    runs = stage(found.select(F.col("rk").alias("_runs_rk"), F.col("runs").alias("_runs"),
+                              F.col("passages").alias("_passages")), "line-runs")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rk = F.xxhash64(docs[id_col], text)
     joined = docs.join(runs, rk == runs["_runs_rk"], "left").select(
-        *(docs[c] for c in docs.columns), runs["_runs"])
+        *(docs[c] for c in docs.columns), runs["_runs"], runs["_passages"])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return joined.mapInArrow(_cut(text_col, "_runs"),
+    return joined.mapInArrow(_cut(text_col, "_runs", "_passages"),
                              ", ".join([*fields, "_n_lines bigint", "_n_removed bigint"]))

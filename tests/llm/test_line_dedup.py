@@ -100,3 +100,38 @@ def test_whole_table(spark):
     got = op1_line_dedup(spark, "/root/testdata/sf0.001")
     assert got.filter(F.col("n_removed") > 0).count() > 0
     assert {r.doc_id: r.text for r in got.collect()} == brute(rows)
+
+
+def shared(rows, out, k):
+    """Documents whose result has k words in a row that an earlier result has too."""
+    seen, bad = set(), []
+    for i, _ in rows:
+        w = (out[i] or "").split()
+        mine = {tuple(w[j:j + k]) for j in range(len(w) - k + 1)}
+        if mine & seen:
+            bad.append(i)
+        seen |= mine
+    return bad
+
+
+def test_passages_inside_lines_go(spark):
+    rnd = random.Random(9)
+    word = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    head, tail, short, own = word(30), word(21), word(25), [word(60) for _ in range(6)]
+    rows = [(1, f"{own[0]} {head} {tail} {own[1]} {short} a"),
+            (2, f"b c\n{own[2]}  {head} {tail} {own[3]}\nd"),
+            (3, f"{own[4]} {head}\n{tail} end"),
+            (4, f"{own[5]} {short} e"),
+            (5, "x " * 20_000)]
+    got = run(spark, rows)
+    assert got == {1: rows[0][1], 2: f"b c\n{own[2]}  {own[3]}\nd", 3: f"{own[4]}\nend",
+                   4: rows[3][1], 5: "x"}
+    assert shared(rows[:4], brute(rows[:4]), 51) == [2, 3] and shared(rows[:4], got, 51) == []
+
+
+def test_no_passage_of_over_50_words_stays_twice(spark):
+    from lurescope.llm.queries import op1_line_dedup
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(
+        "/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    got = {r.doc_id: r.text for r in op1_line_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert shared(rows, brute(rows), 51) and shared(rows, got, 51) == []
