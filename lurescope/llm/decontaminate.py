@@ -157,7 +157,8 @@ class Items:
         found: dict[int, tuple[int, int, float]] = {}
         for n, places in self.hits(w).items():
             m = min(self.k, n)
-            if len(w) < n:
+            if len(w) < n:      # the whole text is the window
+                self._windows(w, n, m, np.zeros(1, np.int64), threshold, found)
                 continue
             # starts of the windows that hold one of these shingles
             places = np.unique(places)
@@ -179,7 +180,7 @@ class Items:
         sh = shingle_hashes(w[starts[0]:starts[-1] + n], m)
         total = np.zeros((len(sh) + 1, BITS), np.int32)
         np.cumsum(_signs(sh), axis=0, out=total[1:])
-        per = n - m + 1
+        per = min(n, len(w)) - m + 1
         bits = _fingerprints(total[per:][:len(starts)] - total[:len(starts)])
         blocks = _blocks(bits, self.radius)
         items = self.by_size[n]

@@ -82,3 +82,12 @@ def test_more_items_than_one_pass(spark, monkeypatch):
     items = [(i, " ".join(f"t{i}x{j}" for j in range(12))) for i in range(5)]
     docs = [(i, "lead " + t) for i, t in items]
     assert set(run(spark, docs, items)) == {(i, i) for i in range(5)}
+
+
+def test_text_shorter_than_the_item(spark):
+    from lurescope.llm.decontaminate import clean_documents
+    item = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(item[:-1])), (2, " ".join(item[3:])), (3, " ".join(item[:30])), (4, "w1 w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in clean_documents(docs, items).collect()) == [3, 4]
