@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lurescope.session import ensure_checkpoint_dir
@@ -125,3 +125,23 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     roots = e.select(F.col("b").alias("node")).distinct()
     return (e.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .unionByName(roots.select("node", F.col("node").alias("component"))).distinct())
+
+
+def positions(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows``, written once, with ``pos``: their place (from 0) in the total
+    ``order`` of the whole table.
+
+    Range partitions are sorted and staged with their number and the place of
+    each row in them; one count per partition gives the offsets, the only rows
+    that one task or a broadcast sees.  Rows equal in ``order`` get places in
+    any order, which the staged table then keeps.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(placed.withColumn("_place", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn("pos", F.col("_before") + F.col("_place") % F.lit(1 << 33))
+            .drop("_part", "_place", "_before"))
