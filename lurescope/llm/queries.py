@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescope.llm.common import table
+from lurescope.llm.oracle import ORACLE
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,4 +159,3 @@ QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sanitise, op3_license, op
                                   op7_near_vectors, op8_quality,
                                   op9_sentencepiece, op10_decontaminate,
                                   op11_merkle, op12_whiten, op13_chat)}
-ORACLE: dict[str, str] = {}
