@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lurescope import dictionaries as D
 from lurescope.functions.urls import URL_IN_TEXT_RE, URL_TRAIL_RE
 from lurescope.operators.dedup import content_key, dedup_first
+from lurescope.operators.versioned import SnapshotTable, utc_micros
 from lurescope.operators.ranking import first_n_per_group, global_row_number
 
 
@@ -35,9 +36,11 @@ def hash_range(key: Column, seed: int, field: str, lo: float, hi: float) -> Colu
 
 # ----------------------------------------------------------------- S05 labelled text
 
-def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S05 reader: CSV with header and at least ``text`` and ``label``."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_labelled_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """S05 reader: CSV with header and at least ``text`` and ``label``.  Without
+    ``multi_line`` a file is split among tasks and a text ends with its line; with it
+    quoted texts may hold line feeds, and each file is one task."""
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     missing = {"text", "label"} - set(df.columns)
     if missing:
         raise ValueError(f"labelled CSV lacks columns: {sorted(missing)}")
@@ -124,20 +127,20 @@ def threat_feed_union(feeds: DataFrame, suffixes, feed: str = "feed",
 
 def feed_refresh(spark: SparkSession, path: str, build, max_age_hours: float = D.THREAT_MAX_AGE_HOURS,
                  now=None, force: bool = False) -> DataFrame:
-    """Rebuild the stored feed table when it is missing, older than
-    ``max_age_hours`` (by ``max(loaded_at)``) or on demand."""
-    from lurescope.session import path_exists
-    # a naive instant is UTC; the comparison stays inside Spark
-    clock = F.current_timestamp() if now is None else F.to_timestamp(
-        F.lit(now.strftime("%Y-%m-%d %H:%M:%S.%f+00:00")))
-    stale = True
-    if not force and path_exists(spark, path):
-        age = F.unix_micros(clock) - F.unix_micros(F.max("loaded_at"))
-        stale = spark.read.parquet(path).agg(
-            F.coalesce(age > F.lit(int(max_age_hours * 3_600_000_000)), F.lit(True))).first()[0]
+    """Publish a new version of the stored feed table when there is none, when the
+    newest is older than ``max_age_hours``, or on demand (``force``).
+
+    A version is a folder of its own (``versioned.SnapshotTable``): whoever reads an
+    older one finishes on its files, and ``build`` may read it too.  The age is in the
+    manifest, so no table is read to decide.
+    """
+    feed = SnapshotTable(spark, path)
+    loaded = feed.loaded_at()
+    stale = force or loaded is None or utc_micros(now) - loaded > max_age_hours * 3_600_000_000
     if stale:
-        build().withColumn("loaded_at", clock).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        clock = F.timestamp_micros(F.lit(utc_micros(now)))
+        feed.publish(build().drop("loaded_at").withColumn("loaded_at", clock), now)
+    return feed.read()
 
 
 # ----------------------------------------------------------------- S09 / S10 / S11
@@ -148,9 +151,18 @@ def conform_schema(df: DataFrame, columns: list, fill=0.0) -> DataFrame:
     return df.select(*[F.col(c) if c in have else F.lit(fill).alias(c) for c in columns])
 
 
+def one_per_key(df: DataFrame, key: str, order: list | None = None) -> DataFrame:
+    """The first row per key in ``order`` (by default of the row's own values); combined
+    in the map tasks, so a key that repeats without end is no hot group."""
+    row = F.struct(*df.columns)
+    first = df.groupBy(F.col(key).alias("_one")).agg(F.min_by(row, F.struct(*(order or df.columns))).alias("_row"))
+    return first.select("_row.*")
+
+
 class FeatureStore:
     """Features materialised once per ``email_hash`` in a parquet table;
-    adding a batch writes only keys the store has not seen (left anti)."""
+    adding a batch writes only keys the store has not seen (left anti), one row each
+    (the smallest, column by column)."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "email_hash"):
         self.spark, self.path, self.key = spark, path, key
@@ -162,11 +174,11 @@ class FeatureStore:
     def add(self, batch: DataFrame) -> None:
         cur = self.read()
         new = batch if cur is None else batch.join(cur.select(self.key), self.key, "left_anti")
-        new.write.mode("append").parquet(self.path)
+        one_per_key(new, self.key).select(*batch.columns).write.mode("append").parquet(self.path)
 
 
 def append_labelled(new: DataFrame, existing: DataFrame, key: str = "email_hash") -> tuple:
-    """Unseen rows of ``new`` conformed to the stored header.
+    """Unseen rows of ``new``, one per key, conformed to the stored header.
 
     Returns ``(rows_to_append, report)``; the report is one row with counts
     before, added and after.
@@ -175,7 +187,7 @@ def append_labelled(new: DataFrame, existing: DataFrame, key: str = "email_hash"
     if not need.issubset(existing.columns):
         raise ValueError("stored dataset lacks label / key columns")
     fresh = new.join(existing.select(key), key, "left_anti")
-    fresh = conform_schema(fresh, existing.columns)
+    fresh = conform_schema(one_per_key(fresh, key), existing.columns)
     before = existing.agg(F.count(F.lit(1)).alias("before"))
     added = fresh.agg(F.count(F.lit(1)).alias("added"))
     report = before.unionByName(added, allowMissingColumns=True).agg(

@@ -1,11 +1,10 @@
 """Detection log.
 
-The log is append-only: every scoring run appends versions, partitioned by
-day of ``processed_at``; the current state is the latest version per
-``email_hash`` (no MERGE needed, and a re-run of a lost task only rewrites
-its own files).  "Latest" is a ``max_by`` aggregate, which is combined
-map-side, so a hash written millions of times does not become one big group
-in one task.
+The log is append-only: every scoring run appends a part, split into buckets by
+the hash of ``email_hash``; the current state is the latest version per
+``email_hash`` (no MERGE needed), and ``compact`` folds the parts into it.
+"Latest" is a ``max_by`` aggregate, which is combined map-side, so a hash written
+millions of times does not become one big group in one task.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescope import dictionaries as D
+from lurescope.operators.versioned import HashLog
 from lurescope.session import shared_path
 
 LOG_COLUMNS = ["email_hash", "processed_at", "event_id", "confidence", "is_phishing"]
@@ -28,23 +28,11 @@ def latest_versions(log: DataFrame, key: str = "email_hash",
     return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-class DetectionLog:
-    """Append-only detection log stored as parquet in the shared folder."""
+class DetectionLog(HashLog):
+    """The detection log: results in hash buckets in the shared folder, see ``versioned``."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or shared_path(spark, "detections")
-
-    def append(self, results: DataFrame) -> None:
-        """Write a batch of results as new versions (insert or update)."""
-        (results.withColumn("processed_date", F.to_date("processed_at"))
-         .write.mode("append").partitionBy("processed_date").parquet(self.path))
-
-    def versions(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("processed_date")
-
-    def latest(self) -> DataFrame:
-        return latest_versions(self.versions())
+    def __init__(self, spark: SparkSession, path: str | None = None, **how):
+        super().__init__(spark, path or shared_path(spark, "detections"), **how)
 
 
 def history(latest: DataFrame, limit: int = 100, positives_only: bool = False) -> DataFrame:
@@ -53,11 +41,6 @@ def history(latest: DataFrame, limit: int = 100, positives_only: bool = False) -
     return d.orderBy(F.col("processed_at").desc(), F.col("event_id").desc()).limit(limit)
 
 
-def point_lookup(latest: DataFrame, email_hash: str) -> DataFrame:
-    """One hash (pushed down as an equality filter)."""
-    return latest.filter(F.col("email_hash") == F.lit(email_hash))
-
-
 def stats(latest: DataFrame) -> DataFrame:
     """Total, positives, rest, rate %, mean confidence -- one pass."""
     total = F.count(F.lit(1))

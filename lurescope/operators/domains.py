@@ -42,18 +42,37 @@ def extract_urls(messages: DataFrame, text_cols=("plain_text", "html_text"),
 # U03 / U04 / U06 registrable domain, label, suffix, subdomain depth
 # --------------------------------------------------------------------------
 
+def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A public suffix list as published: one rule per line up to the first white space,
+    ``//`` comments.  Returns the column ``suffix``."""
+    rule = F.lower(F.regexp_extract("value", r"^\s*(\S*)", 1))
+    rules = spark.read.text(path).select(rule.alias("suffix"))
+    return rules.filter((F.col("suffix") != "") & ~F.col("suffix").startswith("//")).distinct()
+
+
+def suffix_rules(spark: SparkSession, suffixes) -> DataFrame:
+    """``(kind, key)`` of the rules: ``plain`` (``co.uk``), ``wild`` (``*.ck``, any one label
+    before ``ck``) and ``except`` (``!www.ck``, not a suffix although a wild rule says so)."""
+    if suffixes is None or (not isinstance(suffixes, DataFrame) and not suffixes):
+        raise ValueError("a list or table of public suffixes is required")
+    rule = F.col("suffix")
+    kind = F.when(rule.startswith("*."), "wild").when(rule.startswith("!"), "except").otherwise("plain")
+    return as_list_df(spark, suffixes, "suffix").filter(rule.isNotNull()).select(
+        kind.alias("_kind"), F.regexp_replace(rule, r"^([*][.]|!)", "").alias("_cand")).distinct()
+
+
 def decompose_hosts(hosts: DataFrame, suffixes, host_col: str = "host") -> DataFrame:
     """Split each distinct host into sub-domain / label / public suffix.
 
-    Returns ``host, suffix, label, root_domain, subdomain_depth``.  The longest
-    listed suffix wins; the host itself counts when it is a listed suffix (then
-    the label is empty and the root falls back to the last two labels).
-    Without any listed suffix the root is the last two labels.
-    Candidate suffixes are an equi-join against the (broadcast) suffix list --
-    no per-row Python and no theta join.
+    Returns ``host, suffix, label, root_domain, subdomain_depth``.  An exception rule
+    that fits prevails (the suffix is the rule less its first label), else the longest
+    fitting rule; the host itself counts when it is a suffix (then the label is
+    empty and the root falls back to the last two labels).  Without any fitting rule the
+    root is the last two labels.  Every tail of a host is one candidate, and one
+    equi-join with the rules' keys finds all kinds: a tail from label i on is a suffix by a
+    plain rule, from label i - 1 on by a wild rule, from i + 1 on by an exception.
     """
-    spark = hosts.sparkSession
-    sfx = as_list_df(spark, suffixes, "suffix").select(F.col("suffix").alias("_cand")).distinct()
+    rules = suffix_rules(hosts.sparkSession, suffixes)
     h = (hosts.select(F.col(host_col).alias("host")).filter(F.col("host") != "").distinct()
          .withColumn("_labels", F.split("host", "[.]")))
     n = F.size("_labels")
@@ -61,11 +80,13 @@ def decompose_hosts(hosts: DataFrame, suffixes, host_col: str = "host") -> DataF
                         lambda i: F.struct(i.alias("i"),
                                            F.array_join(F.slice("_labels", i, n - i + 1), ".")
                                            .alias("c")))
-    exploded = h.select("host", F.explode(cands).alias("x")) \
-        .select("host", F.col("x.i").alias("_i"), F.col("x.c").alias("_cand"))
-    # The suffix list has a fixed size bound (a public suffix list, ~10k rows).
-    matched = exploded.join(F.broadcast(sfx), "_cand", "inner") \
-        .groupBy("host").agg(F.min("_i").alias("_i"))
+    exploded = h.select("host", n.alias("_n"), F.explode(cands).alias("x")) \
+        .select("host", "_n", F.col("x.i").alias("_i"), F.col("x.c").alias("_cand"))
+    kind, i = F.col("_kind"), F.col("_i")
+    matched = exploded.join(rules, "_cand").groupBy("host").agg(
+        F.min(F.when((kind == "except") & (i < F.col("_n")), i + 1)).alias("_not"),
+        F.min(F.when(kind == "plain", i).when((kind == "wild") & (i > 1), i - 1)).alias("_is"))
+    matched = matched.select("host", F.coalesce("_not", "_is").alias("_i"))
     d = h.join(matched, "host", "left")
     labels, i, n = F.col("_labels"), F.col("_i"), F.size("_labels")
     last_two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")
@@ -112,8 +133,7 @@ def brand_matches(labels: DataFrame, brands, max_distance: int, label_col: str =
            .withColumn("_norm", leet_normalize("label")))
     band = F.sequence(F.length("_norm") - d, F.length("_norm") + d)
     lab = lab.withColumn("_blen", F.explode(band))
-    # Brand lists are short fixed dictionaries: a proven size bound.
-    pairs = lab.join(F.broadcast(b), "_blen", "inner")
+    pairs = lab.join(b, "_blen", "inner")
     lev = F.levenshtein(F.col("_norm"), F.col("brand"), d)
     ok = (F.col("_norm") == F.col("brand")) | ((F.length("_primary") >= 4) & (lev >= 0))
     hits = pairs.filter(ok).select("label", "brand", "pos",

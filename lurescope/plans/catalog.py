@@ -45,19 +45,34 @@ def i(c):
 
 # ---------------------------------------------------------------- U: URLs / domains
 
-U01_SQL = O.with_views(["messages"], f"""
+# The derived texts hold no URL: the message's own ones are put into them, in
+# running text and in mark-up, with the punctuation that follows URLs there.
+U01_SQL = O.with_views(["messages", "message_urls"], f"""
 SELECT msg_id, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY first_i) - 1 AS INTEGER) AS pos, url
 FROM (SELECT msg_id, url, min(i) AS first_i FROM (
         SELECT msg_id, regexp_replace(unnest(l), '[.,;)]+$', '') AS url, unnest(generate_series(1, len(l))) AS i
-        FROM (SELECT msg_id, regexp_extract_all(concat_ws(' ', coalesce(plain_text, ''), coalesce(html_text, '')),
-                                                {O.q(URL_IN_TEXT_RE)}) AS l
-              FROM messages) t0) t1
+        FROM (SELECT msg_id, regexp_extract_all(concat_ws(' ',
+                       coalesce(plain_text, '') || ' (see ' || coalesce(said, '') || ').',
+                       coalesce(html_text, '') || coalesce(marked, '')), {O.q(URL_IN_TEXT_RE)}) AS l
+              FROM messages m LEFT JOIN (
+                SELECT msg_id AS id, string_agg(url, ', ' ORDER BY pos) AS said,
+                       string_agg('<a href="' || url || '">x</a>', '' ORDER BY pos DESC) AS marked
+                FROM message_urls GROUP BY msg_id) u ON u.id = m.msg_id) t0) t1
       GROUP BY msg_id, url) t2""")
 
 
 @register("u01_extract_urls", U01_SQL)
 def u01(spark, sf_dir):
-    return DOM.extract_urls(jobs(spark, sf_dir).messages)
+    j = jobs(spark, sf_dir)
+    listed = j.message_urls.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("pos", "url"))).alias("l"))
+    listed = listed.select("msg_id", F.transform("l", lambda x: x["url"]).alias("l"))
+    m = j.messages.join(listed, "msg_id", "left")
+    marked = F.transform(F.reverse("l"), lambda u: F.concat(F.lit('<a href="'), u, F.lit('">x</a>')))
+    return DOM.extract_urls(m.select(
+        "msg_id", F.concat(F.coalesce("plain_text", F.lit("")), F.lit(" (see "),
+                           F.coalesce(F.array_join("l", ", "), F.lit("")), F.lit(").")).alias("plain_text"),
+        F.concat(F.coalesce("html_text", F.lit("")),
+                 F.coalesce(F.array_join(marked, ""), F.lit(""))).alias("html_text")))
 
 
 @register("u02_normalize_host", O.base_query(
@@ -76,10 +91,16 @@ def _dec(j):
     return DOM.decompose_hosts(_hosts(j), j.dicts.public_suffixes)
 
 
-@register("u03_registrable_domain", O.base_query(
-    "SELECT host, root_domain FROM (" + O.decompose_sql("mh") + ") d", crafted=True))
+@register("u03_registrable_domain", O.with_views(O.MESSAGE_VIEWS + ["crafted_urls"],
+    "SELECT host, suffix, root_domain FROM (" + O.decompose_sql("every", "rules") + ") d",
+    O.base_ctes(True) + [("rules", O.dict_sql("rules", "suffix", D.TEST_SUFFIX_RULES)),
+                         ("every", "SELECT host FROM mh UNION ALL SELECT unnest(["
+                          + ", ".join(O.q(x) for x in D.TEST_SUFFIX_HOSTS) + "])")]))
 def u03(spark, sf_dir):
-    return _dec(jobs(spark, sf_dir, crafted=True)).select("host", "root_domain")
+    """U03 with rules of every kind, over the hosts of the views and crafted ones."""
+    more = DOM.as_list_df(spark, D.TEST_SUFFIX_HOSTS, "host")
+    hosts = _hosts(jobs(spark, sf_dir, crafted=True)).unionByName(more)
+    return DOM.decompose_hosts(hosts, D.TEST_SUFFIX_RULES).select("host", "suffix", "root_domain")
 
 
 @register("u04_domain_label_tld", O.base_query(
@@ -308,8 +329,8 @@ def f00(spark, sf_dir):
     v = j.verdicts().select(F.col("domain").alias("shost"), F.col("root_domain").alias("sroot"))
     t = j.trusted()
     m = j.messages.select("msg_id", address_host("from_addr").alias("shost")).join(v, "shost", "left")
-    m = m.join(F.broadcast(t.select(F.col("domain").alias("shost"), F.lit(True).alias("_a"))), "shost", "left")
-    m = m.join(F.broadcast(t.select(F.col("domain").alias("sroot"), F.lit(True).alias("_b"))), "sroot", "left")
+    m = m.join(t.select(F.col("domain").alias("shost"), F.lit(True).alias("_a")), "shost", "left")
+    m = m.join(t.select(F.col("domain").alias("sroot"), F.lit(True).alias("_b")), "sroot", "left")
     return m.select("msg_id", i(F.coalesce("_a", "_b", F.lit(False))).alias("is_trusted"))
 
 
@@ -386,12 +407,36 @@ register("w06_recent_positives", _with_latest(
     lambda spark, sf_dir: DET.history(_latest(spark, sf_dir), 10, positives_only=True))
 
 
+def _detection_log(spark, sf_dir):
+    """The detections as a bucketed log of two parts."""
+    import uuid
+    from lurescope.session import shared_path
+    log = DET.DetectionLog(spark, shared_path(spark, f"detections-{uuid.uuid4().hex[:12]}"))
+    d = _det(spark, sf_dir)
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    log.append(d.filter(F.col("processed_at") < cut))
+    log.append(d.filter(F.col("processed_at") >= cut))
+    return log
+
+
 @register("w05_point_lookup", _with_latest("""
 SELECT * FROM latest WHERE email_hash = (
   SELECT arg_min(email_hash, processed_at) FROM detections)"""))
 def w05(spark, sf_dir):
-    first = _det(spark, sf_dir).agg(F.min_by("email_hash", F.col("processed_at"))).scalar()
-    return _latest(spark, sf_dir).filter(F.col("email_hash") == first)
+    first = _det(spark, sf_dir).agg(F.min_by("email_hash", F.col("processed_at"))).first()[0]
+    return _detection_log(spark, sf_dir).lookup(first)
+
+
+@register("w02_compacted_log", _with_latest("SELECT * FROM latest"))
+def w02_compacted(spark, sf_dir):
+    """W02 of a log that is compacted between its appends and after them."""
+    log = _detection_log(spark, sf_dir)
+    log.compact()
+    d = _det(spark, sf_dir)
+    log.append(d.filter(F.col("event_id") % 2 == 0))  # rows that come again change nothing
+    log.append(d.filter(F.col("event_id") % 3 == 0))
+    log.compact()
+    return log.versions()
 
 
 register("a01_detection_stats", _with_latest("""
@@ -404,25 +449,18 @@ FROM latest"""))(lambda spark, sf_dir: DET.stats(_latest(spark, sf_dir)))
 
 @register("s14_write_detections", _with_latest("SELECT * FROM latest"))
 def s14(spark, sf_dir):
-    import uuid
-    from lurescope.session import shared_path
-    log = DET.DetectionLog(spark, shared_path(spark, f"detections-{uuid.uuid4().hex[:12]}"))
-    d = _det(spark, sf_dir)
-    cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
-    log.append(d.filter(F.col("processed_at") < cut))
-    log.append(d.filter(F.col("processed_at") >= cut))
-    return log.latest()
+    return _detection_log(spark, sf_dir).latest()
 
 
 register("j03_unseen_detections", O.with_views(["detections"], """
 SELECT b.email_hash, b.event_id FROM detections b
-WHERE b.processed_at >= TIMESTAMP '2024-01-25 00:00:00'
-  AND NOT EXISTS (SELECT 1 FROM detections s WHERE s.processed_at < TIMESTAMP '2024-01-25 00:00:00'
+WHERE b.processed_at >= TIMESTAMP '2024-01-05 00:00:00'
+  AND NOT EXISTS (SELECT 1 FROM detections s WHERE s.processed_at < TIMESTAMP '2024-01-05 00:00:00'
                   AND s.email_hash = b.email_hash)"""))(
     lambda spark, sf_dir: (lambda d, cut: DET.unseen(
         d.filter(F.col("processed_at") >= cut).select("email_hash", "event_id"),
         d.filter(F.col("processed_at") < cut)))(
-        _det(spark, sf_dir), F.lit("2024-01-25 00:00:00").cast("timestamp")))
+        _det(spark, sf_dir), F.lit("2024-01-05 00:00:00").cast("timestamp")))
 
 
 def _band_sql(p):
@@ -848,6 +886,30 @@ def s08(spark, sf_dir):
     return t.select("domain", "sources")
 
 
+@register("s08_feed_versions", O.with_views([], """
+SELECT 0 AS version, domain, sources FROM (
+  SELECT domain, array_to_string(list_sort(list_distinct(list(feed))), ',') AS sources
+  FROM fd WHERE feed <> 'c' GROUP BY domain) a
+UNION ALL
+SELECT 1 AS version, domain, array_to_string(list_sort(list_distinct(list(feed))), ',') AS sources FROM fd GROUP BY domain
+UNION ALL
+SELECT 2 AS version, domain, 'kept' AS sources FROM fd GROUP BY domain""", _FEED_CTES))
+def s08_versions(spark, sf_dir):
+    """Two forced refreshes in a row, the second one built from the version before it;
+    the readers opened before each are read last."""
+    import uuid
+    from lurescope.operators.versioned import SnapshotTable
+    from lurescope.session import shared_path
+    path = shared_path(spark, f"threat_feed-{uuid.uuid4().hex[:12]}")
+    feeds = _feeds(spark, sf_dir)
+    feed = SnapshotTable(spark, path)
+    opened = [DS.feed_refresh(spark, path, lambda: DS.threat_feed_union(x, D.TEST_PUBLIC_SUFFIXES), force=True)
+              for x in (feeds.filter("feed <> 'c'"), feeds)]
+    opened.append(DS.feed_refresh(spark, path, lambda: feed.read().withColumn("sources", F.lit("kept")), force=True))
+    parts = [df.select(F.lit(v).alias("version"), "domain", "sources") for v, df in enumerate(opened)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _FEATS = ", ".join(D.FEATURE_NAMES)
 
 
@@ -866,7 +928,7 @@ def _store(spark, sf_dir):
     f"SELECT msg_id, sha256(CAST(msg_id AS VARCHAR)) AS email_hash, {_FEATS} FROM features"))
 def s09(spark, sf_dir):
     store, f = _store(spark, sf_dir)
-    store.add(f)
+    store.add(f.unionByName(f))  # a key that stands twice in a batch is stored once
     return store.read().select("msg_id", "email_hash", *D.FEATURE_NAMES)
 
 
@@ -885,7 +947,7 @@ SELECT count(*) FILTER (WHERE received_ts < TIMESTAMP '2024-01-16 00:00:00') AS
 def s11(spark, sf_dir):
     store, f = _store(spark, sf_dir)
     existing = store.read()
-    _rows, report = DS.append_labelled(f, existing)
+    _rows, report = DS.append_labelled(f.unionByName(f), existing)  # a key that stands twice is added once
     return report
 
 
@@ -1225,7 +1287,7 @@ def _ingested(spark, sf_dir):
     j = jobs(spark, sf_dir)
     if "_ingested" not in j._tables:
         root = _corpus(spark, sf_dir)
-        parsed = MAIL.parse_messages(MAIL.read_messages(spark, root).unionByName(_bad_mail(spark)))
+        parsed = MAIL.parse_messages(MAIL.read_messages(spark, root))
         j._tables["_ingested"] = materialize_tbl(parsed, "parsed_messages")
     return MAIL.ingest(j._tables["_ingested"])
 
@@ -1240,25 +1302,6 @@ def _msg_id(col="message_id"):
     return F.expr(f"try_cast(regexp_extract({col}, '<(-?[0-9]+)@', 1) AS BIGINT)")
 
 
-# Crafted mail that real corpora hold: it is only ever unioned with the derived
-# corpus, and has no numeric Message-ID.
-BAD_MAIL = [
-    ("bad/charset", b"From: a@x.example.com\nContent-Type: text/plain; charset=\"idna\"\n\n\xc3\xbcber..x\n", False),
-    ("bad/latin1", b"From: b@x.example.com\nSubject: l1\nContent-Type: text/plain; charset=iso-8859-1\n\ncaf\xe9\n", False),
-    ("bad/latin1-box", b"From b@x Mon Jan  1 00:00:00 2024\nFrom: b@x.example.com\nSubject: box\n"
-                       b"Content-Type: text/plain; charset=iso-8859-1\n\ncaf\xe9\n", True),
-    ("bad/empty", b"", False),
-    ("bad/truncated", b"From: c@x.example.com\nSubject: cut\nContent-Type: multipart/mixed; boundary=\"B\"\n\n--B\n"
-                      b"Content-Type: text/plain\n\nstart of", False),
-    ("bad/message-id", b"From: d@x.example.com\nMessage-ID: <abc.1@mail>\nSubject: real id\n\nhello\n", False),
-]
-
-
-def _bad_mail(spark):
-    return spark.createDataFrame([("crafted", None, k, bytearray(v), m) for k, v, m in BAD_MAIL],
-                                 "source string, label int, msg_key string, raw binary, mbox boolean")
-
-
 def _derived(df):
     return df.filter(F.col("msg_id").isNotNull())
 
@@ -1300,18 +1343,47 @@ FROM (SELECT msg_id, url, min(pos) AS first_pos FROM message_urls GROUP BY msg_i
     lambda spark, sf_dir: (lambda parts: parts[1].join(parts[0].select("msg_key", "message_id"), "msg_key").select(
         _msg_id().alias("msg_id"), F.col("pos").cast("int").alias("pos"), "url").transform(_derived))(_ingested(spark, sf_dir)))
 
+def _damaged(spark, sf_dir):
+    """Mail as real corpora hold it, of five kinds, one of each per message: an unknown
+    charset, bytes of a one-byte charset, no content at all, a body cut off, and a
+    Message-ID that is no number.  (messages, urls, attachments, rejects)"""
+    j = jobs(spark, sf_dir)
+    if "_damaged" not in j._tables:
+        k = F.col("msg_id").cast("string")
+
+        def kind(name, *raw, charset="UTF-8"):
+            text = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in raw])
+            return j.messages.select(F.lit(name).alias("source"), F.lit(None).cast("int").alias("label"),
+                                     F.concat(F.lit(name + "/"), k).alias("msg_key"),
+                                     F.encode(text, charset).alias("raw"), F.lit(False).alias("mbox"))
+        mail = [kind("charset", 'From: a@x.example.com\nContent-Type: text/plain; charset="idna"\n\n\u00fcber..', k, "\n"),
+                kind("latin1", "From: b@x.example.com\nSubject: l1 ", k, "\nContent-Type: text/plain; "
+                     "charset=iso-8859-1\n\ncaf\u00e9 ", k, "\n", charset="ISO-8859-1"),
+                kind("empty", ""),
+                kind("truncated", "From: c@x.example.com\nSubject: cut ", k, "\nContent-Type: multipart/mixed; "
+                     'boundary="B"\n\n--B\nContent-Type: text/plain\n\nstart of ', k),
+                kind("message-id", "From: d@x.example.com\nMessage-ID: <abc.", k, "@mail>\nSubject: real id\n\nhello\n")]
+        every = mail[0]
+        for more in mail[1:]:
+            every = every.unionByName(more)
+        j._tables["_damaged"] = materialize_tbl(MAIL.parse_messages(every), "damaged_messages")
+    return MAIL.ingest(j._tables["_damaged"])
+
+
 register("t05_rejects", O.with_views(["messages"], """
-SELECT 'bad/charset' AS msg_key, 'UnicodeError' AS error, (SELECT count(*) FROM messages) + 5 AS parsed"""))(
+SELECT 'charset/' || msg_id AS msg_key, 'UnicodeError' AS error, (SELECT 4 * count(*) FROM messages) AS parsed
+FROM messages"""))(
     lambda spark, sf_dir: (lambda parts: parts[3].select(
         "msg_key", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"),
-        parts[0].agg(F.count(F.lit(1))).scalar().alias("parsed")))(_ingested(spark, sf_dir)))
-
-# Bytes survive: the crafted messages' subjects and bodies, in any charset.
-register("s03_ingest_crafted", O.with_views(["messages"], """
-SELECT * FROM (VALUES ('bad/latin1', 'l1', 'café'), ('bad/latin1-box', 'box', 'café'), ('bad/empty', '', ''),
-  ('bad/truncated', 'cut', 'start of'), ('bad/message-id', 'real id', 'hello')) AS v(msg_key, subject, body)
-WHERE (SELECT count(*) FROM messages) >= 0"""))(
-    lambda spark, sf_dir: _ingested(spark, sf_dir)[0].filter(F.col("msg_key").startswith("bad/")).select(
+        parts[0].agg(F.count(F.lit(1))).scalar().alias("parsed")))(_damaged(spark, sf_dir)))
+
+# Bytes survive: subjects and bodies of the damaged mail, in any charset.
+register("s03_ingest_damaged", O.with_views(["messages"], """
+SELECT kind || '/' || msg_id AS msg_key, replace(subject, '#', msg_id) AS subject, replace(body, '#', msg_id) AS body
+FROM (SELECT CAST(msg_id AS VARCHAR) AS msg_id FROM messages) m,
+     (VALUES ('latin1', 'l1 #', 'caf\u00e9 #'), ('empty', '', ''), ('truncated', 'cut #', 'start of #'),
+             ('message-id', 'real id', 'hello')) AS v(kind, subject, body)"""))(
+    lambda spark, sf_dir: _damaged(spark, sf_dir)[0].select(
         "msg_key", "subject", F.trim(F.regexp_replace("plain_text", r"\s+$", "")).alias("body")))
 
 
@@ -1429,7 +1501,21 @@ def t02(spark, sf_dir):
     det = jobs(spark, sf_dir).fx.detections
     src, schema = _stream_source(spark, sf_dir, "detections-src", det, order=("processed_at", "event_id"))
     base = shared_path(spark, f"dedup-{uuid.uuid4().hex[:12]}")
-    out = MON.stream_dedup(spark, src, schema, "email_hash", "processed_at", f"{base}/out", f"{base}/ckpt")
+    out = MON.stream_dedup(spark, src, schema, "email_hash", f"{base}/out", f"{base}/ckpt")
+    return out.select("email_hash")
+
+
+@register("t02_stream_dedup_log", O.with_views(["detections"], "SELECT DISTINCT email_hash FROM detections"))
+def t02_log(spark, sf_dir):
+    """T02 where the state remembers nothing for long, and a second run has no state of the
+    first: what is older than the watermark is looked up in the log."""
+    import uuid
+    from lurescope.session import shared_path
+    det = jobs(spark, sf_dir).fx.detections
+    src, schema = _stream_source(spark, sf_dir, "detections-src", det, order=("processed_at", "event_id"))
+    base = shared_path(spark, f"dedup-{uuid.uuid4().hex[:12]}")
+    for run in ("a", "b"):
+        out = MON.stream_dedup(spark, src, schema, "email_hash", f"{base}/out", f"{base}/{run}", horizon="0 seconds")
     return out.select("email_hash")
 
 
@@ -1469,12 +1555,12 @@ WHERE (CASE WHEN strpos(filename, '.') > 0 THEN '.' || lower(regexp_extract(file
 
 def _j02(spark, sf_dir):
     """Messages with a listed attachment extension -- a left semi join
-    against the (fixed, broadcast) extension list."""
+    with the extension list."""
     a = jobs(spark, sf_dir).message_attachments
     ext = F.when(F.col("filename").contains("."),
                  F.concat(F.lit("."), F.lower(F.substring_index("filename", ".", -1)))).otherwise(F.lit(""))
     lst = spark.createDataFrame([(x,) for x in D.DEFAULT_DANGEROUS_EXTENSIONS], "ext string")
-    return a.select("msg_id", ext.alias("ext")).join(F.broadcast(lst), "ext", "left_semi") \
+    return a.select("msg_id", ext.alias("ext")).join(lst, "ext", "left_semi") \
         .select("msg_id").distinct()
 
 

@@ -78,10 +78,16 @@ SELECT h.host,
             WHEN m.sfx IS NOT NULL THEN length({pre}) - length(replace({pre}, '.', ''))
             ELSE length(h.host) - length(replace(h.host, '.', '')) END AS INTEGER) AS subdomain_depth
 FROM (SELECT DISTINCT host FROM {src} WHERE host <> '') h
-LEFT JOIN (SELECT h2.host, arg_max(s.suffix, length(s.suffix)) AS sfx
-           FROM (SELECT DISTINCT host FROM {src} WHERE host <> '') h2
-           JOIN {psl} s ON h2.host = s.suffix OR ends_with(h2.host, '.' || s.suffix)
-           GROUP BY h2.host) m ON m.host = h.host"""
+LEFT JOIN (SELECT host, arg_max(sfx, CASE WHEN prevails THEN 1000 ELSE 0 END + length(sfx)) AS sfx FROM (
+             SELECT h2.host, r.kind = '!' AS prevails,
+                    CASE r.kind WHEN '!' THEN regexp_replace(r.tail, '^[^.]*[.]', '')
+                         WHEN '*' THEN regexp_extract(left(h2.host, length(h2.host) - length(r.tail) - 1), '([^.]*)$', 1)
+                                       || '.' || r.tail
+                         ELSE r.tail END AS sfx
+             FROM (SELECT DISTINCT host FROM {src} WHERE host <> '') h2
+             JOIN (SELECT left(suffix, 1) AS kind, regexp_replace(suffix, '^([*][.]|!)', '') AS tail FROM {psl}) r
+               ON ends_with(h2.host, '.' || r.tail) OR (h2.host = r.tail AND r.kind <> '*')) c
+           GROUP BY host) m ON m.host = h.host"""
 
 
 def entropy_sql(src: str) -> str:

@@ -61,8 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="lurescope-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", current)
+        # the setting itself cannot change any more; Spark makes a folder of its own in this one
         spark.sparkContext.setCheckpointDir(current)
+        current = spark.sparkContext.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -4,33 +4,42 @@ The monitor is the batch jobs run per micro-batch:
 
 * source: raw messages arriving as parquet files (``maxFilesPerTrigger``
   bounds each batch without dropping the rest -- T04);
-* dedup (T02) needs no state and loses no late mail: the first row per
-  ``email_hash`` inside the batch, then a ``left_anti`` against the log's hash
-  column skips what earlier batches or runs processed;
+* dedup (T02) has two layers.  The state store (RocksDB) holds the hashes that
+  arrived within the last ``horizon`` and drops their copies
+  (``dropDuplicatesWithinWatermark``).  Its clock is the arrival, the instant of the
+  micro-batch that a replay repeats, so no mail is too late for it, whatever its own
+  date.  What passes may still be a copy of something older: its hashes are looked up
+  in the log, only in their buckets, and only in the parts that the state no longer
+  covers or that other runs wrote;
 * own alerts are taken out before anything is scored or logged (T03);
 * ``foreachBatch``: dimension tables are re-read every batch (T08), raw
   messages are parsed with rejects kept aside (T05), features, scores and
   explanations are computed by the batch operators, and the outputs are
   written under ``batch_id=<n>`` with overwrite, so a replayed batch replaces
   its own output (idempotent sink);
-* each batch writes one metrics row and reports live counters through
-  ``observe`` (T06).
+* each batch writes one metrics row from counters that its own jobs observe on the
+  way; a listener adds what the source counted (T06).
 
 Event-time rates (T07) are watermarked tumbling / sliding window counts.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from lurescope import dictionaries as D
 from lurescope.operators import explain as EX
-from lurescope.operators.detections import unseen
+from lurescope.operators.detections import DetectionLog
 from lurescope.operators.domains import collect_domains
 from lurescope.operators.features import features_all
 from lurescope.operators.scoring import blend
 from lurescope.operators.verdicts import domain_verdicts
+from lurescope.operators.versioned import HashLog
 from lurescope.session import path_exists
 from lurescope.sources import mail as MAIL
 
@@ -63,12 +72,75 @@ def _batch_path(base: str, batch_id: int) -> str:
     return f"{base}/batch_id={batch_id}"
 
 
+# ----------------------------------------------------------------- T02 the recent window
+
+#: Name under which the source's rows are observed.
+SOURCE = "source"
+#: Column with the instant of a row's micro-batch.
+ARRIVED = "_arrived"
+HORIZON = "1 day"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_arrivals(stream: DataFrame, key: str, horizon: str = HORIZON) -> DataFrame:
+    """Rows of the stream whose key did not arrive within ``horizon`` before, with the
+    instant of their arrival.  State: one entry per key for about twice the horizon.
+    Of copies within one micro-batch any one stays."""
+    # both are read when the query starts; a cycle without mail has nothing to do
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    return (stream.withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, horizon)
+            .dropDuplicatesWithinWatermark([key]))
+
+
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the run that a checkpoint belongs to, made with it: state that is lost
+    takes its run along, so that nothing relies on it any more."""
+    path = f"{checkpoint.rstrip('/')}/run"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        spark.range(1).select(F.expr("uuid()").alias("run")).write.mode("overwrite").parquet(path)
+    return spark.read.schema("run string").parquet(path).first()["run"]
+
+
+def covered_since(batch: DataFrame, horizon: str) -> tuple[int, int] | None:
+    """(arrival of the batch, instant since which the state store covers all keys that
+    arrived) in microseconds; None for an empty batch.  A key leaves the state when the
+    watermark, at most the last arrival less ``horizon``, passes its own expiry."""
+    at = F.max(ARRIVED)
+    row = batch.agg(F.unix_micros(at).alias("at"), F.unix_micros(
+        at - F.expr(f"interval {horizon}")).alias("since")).first()
+    return None if row["at"] is None else (row["at"], row["since"])
+
+
+class CycleListener(StreamingQueryListener):
+    """Hands each finished cycle's number and the rows that its source observed to
+    ``done``; only cycles of the query called ``name``."""
+
+    def __init__(self, name: str, done):
+        self.name, self.done = name, done
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        progress = event.progress
+        if progress.name == self.name and SOURCE in progress.observedMetrics:
+            self.done(progress.batchId, progress.observedMetrics[SOURCE]["arrived"])
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
 class Monitor:
     """Parse -> features -> score -> log -> alert, once per micro-batch."""
 
     def __init__(self, spark: SparkSession, out_dir: str, dims, trusted, *, scorer,
                  dicts: D.Dictionaries, as_of=None, threshold: float = D.DEFAULT_THRESHOLD, alert_address: str | None = None,
-                 urls: DataFrame | None = None, attachments: DataFrame | None = None):
+                 urls: DataFrame | None = None, attachments: DataFrame | None = None,
+                 horizon: str = HORIZON):
         """``dims()`` returns fresh (rank, threat, facts_history, cert_facts)
         DataFrames -- it is called every batch.  ``as_of`` is the instant of
         the verdicts: None for the time at which a batch starts, or a function
@@ -76,11 +148,14 @@ class Monitor:
         :func:`model_scorer`.  Without ``urls`` the stream
         carries raw messages (parsed per batch); with ``urls`` /
         ``attachments`` it carries message rows and those two are static
-        tables joined to each batch (stream-static join)."""
+        tables joined to each batch (stream-static join).  ``horizon`` is how long the
+        state store remembers a hash."""
         self.static_urls, self.static_atts = urls, attachments
         self.spark, self.out = spark, out_dir.rstrip("/")
         self.dims, self.trusted, self.scorer = dims, trusted, scorer
         self.dicts, self.as_of, self.threshold, self.alert_address = dicts, as_of, threshold, alert_address
+        self.log = DetectionLog(spark, self.log_path, order=("received_ts", "batch_id"))
+        self.horizon, self.run, self.cycles = horizon, "", {}
 
     # paths of the outputs
     @property
@@ -130,17 +205,15 @@ class Monitor:
                 self._stage(atts, "attachments", batch_id), rejects)
 
     def _fresh(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """The first row per hash of the batch, without hashes in the log."""
-        cols = batch.columns
-        first = batch.groupBy("email_hash").agg(F.min_by(
-            F.struct(*[c for c in cols if c != "email_hash"]), F.struct("received_ts", "msg_id")).alias("r"))
-        first = first.select("email_hash", "r.*").select(*cols)
-        if not path_exists(self.spark, self.log_path):
-            return first
-        # an explicit schema: a first batch that failed may have left no file
-        prior = (self.spark.read.schema("email_hash string, batch_id int").parquet(self.log_path)
-                 .filter(F.col("batch_id") != batch_id))
-        return unseen(first, prior, "email_hash")
+        """The first arrivals of the batch without hashes of older parts of the log."""
+        covered = covered_since(batch, self.horizon)
+        self._arrival = covered and covered[0]
+        if covered is None:
+            return batch.drop(ARRIVED)
+        return self.log.unseen(batch.drop(ARRIVED), self.run, covered[1], but=self._part(batch_id))
+
+    def _part(self, batch_id: int) -> str:
+        return f"{self.run}-{batch_id}"
 
     def _own_alert(self) -> Column:
         if not self.alert_address:
@@ -154,6 +227,18 @@ class Monitor:
         finally:
             batch.unpersist()
 
+    def _counters(self, tables: dict[str, DataFrame]) -> dict:
+        """Rows of each written table of a cycle, and positives of the log, in one job over
+        the tables' footers and one column."""
+        none = F.lit(None).cast("bigint")
+        rows = None
+        for name, df in tables.items():
+            positive = F.count_if("is_phishing") if name == "scored" else none
+            row = df.agg(F.count(F.lit(1)).alias("n"), positive.alias("positive")).withColumn("name", F.lit(name))
+            rows = row if rows is None else rows.unionByName(row)
+        got = {r["name"]: r for r in rows.collect()}
+        return {name: r["n"] for name, r in got.items()} | {"positive": got["scored"]["positive"]}
+
     def _process(self, batch: DataFrame, batch_id: int) -> None:
         spark = self.spark
         instant = self.as_of(batch_id) if callable(self.as_of) else \
@@ -178,24 +263,26 @@ class Monitor:
         results = EX.detection_results(scored, threshold=self.threshold)
         results = results.join(msgs.select("msg_id", "email_hash", "received_ts"), "msg_id") \
             .withColumn("batch_id", F.lit(batch_id))
-        # live counters of this cycle for listeners (T06); a named Observation object
-        # would make the session unfit for the models' closures
-        results.observe("cycle", F.count(F.lit(1)).alias("scored"),
-                        F.count_if(F.col("is_phishing")).alias("positive")) \
-            .write.mode("overwrite").parquet(_batch_path(self.log_path, batch_id))
-        logged = spark.read.parquet(_batch_path(self.log_path, batch_id))
+        self.log.append(results, self._part(batch_id), self.run, self._arrival)
+        logged = self.log.part(self._part(batch_id))
         EX.alerts(logged).write.mode("overwrite").parquet(_batch_path(self.alerts_path, batch_id))
-        rejected = 0
+        counted = {"taken": every, "scored": logged, "threat_rows": threat}
         if rejects is not None:
             rejects.write.mode("overwrite").parquet(_batch_path(self.rejects_path, batch_id))
-            rejected = rejects.count()
-        scored_rows, positive = logged.agg(F.count(F.lit(1)), F.count_if("is_phishing")).first()
-        arrived, taken = batch.count(), every.count()
-        row = (arrived, scored_rows, positive, taken - scored_rows, arrived - taken - rejected, rejected,
-               threat.count())
-        spark.createDataFrame([row], "arrived bigint, scored bigint, positive bigint, skipped bigint, "
-                                     "duplicates bigint, rejected bigint, threat_rows bigint") \
-            .write.mode("overwrite").parquet(_batch_path(self.metrics_path, batch_id))
+            counted["rejected"] = spark.read.schema(rejects.schema).parquet(_batch_path(self.rejects_path, batch_id))
+        self.cycles[batch_id] = {"rejected": 0} | self._counters(counted)
+
+    def _write_metrics(self, batch_id: int, arrived: int) -> None:
+        """The metrics row of a cycle, from what the source observed and the cycle counted."""
+        c = self.cycles.get(batch_id)
+        if c is None:
+            return
+        row = (arrived, c["scored"], c["positive"], c["taken"] - c["scored"],
+               arrived - c["taken"] - c["rejected"], c["rejected"], c["threat_rows"])
+        self.spark.createDataFrame([row], "arrived bigint, scored bigint, positive bigint, skipped bigint, "
+                                          "duplicates bigint, rejected bigint, threat_rows bigint") \
+            .coalesce(1).write.mode("overwrite").parquet(_batch_path(self.metrics_path, batch_id))
+        self.cycles.pop(batch_id)
 
     def start(self, source_dir: str, checkpoint: str, max_files: int = 10,
               available_now: bool = True, interval: str = "60 seconds", schema: str = RAW_SCHEMA):
@@ -203,22 +290,33 @@ class Monitor:
                .parquet(source_dir))
         if "email_hash" not in [f.split(" ")[0] for f in schema.split(", ")]:
             src = src.withColumn("email_hash", F.sha2("raw", 256))
-        w = src.writeStream.foreachBatch(self.process_batch).option("checkpointLocation", checkpoint)
+        self.run = run_of(self.spark, checkpoint)
+        name = f"monitor-{uuid.uuid4().hex}"
+        self.listener = CycleListener(name, self._write_metrics)
+        self.spark.streams.addListener(self.listener)
+        src = first_arrivals(src.observe(SOURCE, F.count(F.lit(1)).alias("arrived")), "email_hash", self.horizon)
+        w = (src.writeStream.queryName(name).foreachBatch(self.process_batch)
+             .option("checkpointLocation", checkpoint))
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
         return w.start()
 
+    def stop(self) -> None:
+        """Wait until the metrics rows of all finished cycles are written."""
+        for _ in range(300):
+            if not self.cycles:
+                return
+            time.sleep(0.1)
+
     # readers of the outputs
     def latest_log(self) -> DataFrame:
-        from lurescope.operators.detections import latest_versions
-        log = self.spark.read.parquet(self.log_path)
-        return latest_versions(log.select("email_hash", "received_ts", "batch_id", "msg_id", "is_phishing",
-                                          "confidence", "risk_score", "risk_level"),
-                               order=("received_ts", "batch_id"))
+        return self.log.latest().select("email_hash", "received_ts", "batch_id", "msg_id", "is_phishing",
+                                        "confidence", "risk_score", "risk_level")
 
     def alerts(self) -> DataFrame:
         return self.spark.read.parquet(self.alerts_path)
 
     def metrics(self) -> DataFrame:
+        self.stop()
         return self.spark.read.parquet(self.metrics_path)
 
 
@@ -232,25 +330,31 @@ def write_raw_source(raw: DataFrame, path: str, files: int = 12) -> None:
 
 # ----------------------------------------------------------------- T02 stream dedup
 
-def stream_dedup(spark: SparkSession, source_dir: str, schema: str, key: str, ts: str,
-                 out_dir: str, checkpoint: str, max_files: int = 10):
-    """The first row per key, once, however late its copies come.  What was
-    seen is the output table itself (its key column only is read), so there is
-    no state to bound and no row is lost to a watermark; a replayed batch
-    rewrites its own part."""
+def stream_dedup(spark: SparkSession, source_dir: str, schema: str, key: str, out_dir: str,
+                 checkpoint: str, max_files: int = 10, horizon: str = HORIZON) -> DataFrame:
+    """One row per key, however late its copies come: equal, by key, to
+    ``dropDuplicates([key])`` of the whole stream.  The state store answers for the last
+    ``horizon``, the output itself, a ``HashLog``, for all before and for other runs; a
+    replayed batch rewrites its own part."""
+    log = HashLog(spark, out_dir, key)
+    run = run_of(spark, checkpoint)
+
     def sink(df: DataFrame, batch_id: int) -> None:
-        first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.col(ts)).alias("r")).select("r.*")
-        if path_exists(spark, out_dir):
-            seen = spark.read.schema(f"`{key}` {df.schema[key].dataType.simpleString()}, batch_id int") \
-                .parquet(out_dir)
-            first = unseen(first, seen.filter(F.col("batch_id") != batch_id), key)
-        first.write.mode("overwrite").parquet(_batch_path(out_dir, batch_id))
-
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-         .writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+        df = df.persist()
+        try:
+            covered = covered_since(df, horizon)
+            if covered is not None:
+                part = f"{run}-{batch_id}"
+                log.append(log.unseen(df.drop(ARRIVED), run, covered[1], but=part), part, run, covered[0])
+        finally:
+            df.unpersist()
+
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
+    q = (first_arrivals(src, key, horizon).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir).drop("batch_id")
+    found = log.versions()
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 # ----------------------------------------------------------------- T07 event-time rates
