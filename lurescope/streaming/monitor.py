@@ -116,11 +116,12 @@ class CycleListener(StreamingQueryListener):
     """Hands each finished cycle's number and the rows that its source observed to
     ``done``; only cycles of the query called ``name``."""
 
-    def __init__(self, name: str, done):
-        self.name, self.done = name, done
+    def __init__(self, name: str, done, spark: SparkSession):
+        self.name, self.done, self.spark, self.query = name, done, spark, None
 
     def onQueryStarted(self, event):
-        pass
+        if event.name == self.name:
+            self.query = event.id
 
     def onQueryProgress(self, event):
         progress = event.progress
@@ -131,7 +132,8 @@ class CycleListener(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event):
-        pass
+        if event.id == self.query:  # all its progress came before
+            self.spark.streams.removeListener(self)
 
 
 class Monitor:
@@ -292,8 +294,7 @@ class Monitor:
             src = src.withColumn("email_hash", F.sha2("raw", 256))
         self.run = run_of(self.spark, checkpoint)
         name = f"monitor-{uuid.uuid4().hex}"
-        self.listener = CycleListener(name, self._write_metrics)
-        self.spark.streams.addListener(self.listener)
+        self.spark.streams.addListener(CycleListener(name, self._write_metrics, self.spark))
         src = first_arrivals(src.observe(SOURCE, F.count(F.lit(1)).alias("arrived")), "email_hash", self.horizon)
         w = (src.writeStream.queryName(name).foreachBatch(self.process_batch)
              .option("checkpointLocation", checkpoint))
