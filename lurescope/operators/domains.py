@@ -108,6 +108,18 @@ def decompose_hosts(hosts: DataFrame, suffixes, host_col: str = "host") -> DataF
 # U09 brand similarity (theta join as an equi-join on a length band)
 # --------------------------------------------------------------------------
 
+def deletion_keys(text: str, most: int):
+    """Hashes of the strings that ``most`` deletions or fewer make of a text, each once."""
+    level = F.array(F.col(text))
+    every = level
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, lambda s: F.transform(
+            F.filter(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: i <= F.length(s)),
+            lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))))
+        every = F.concat(every, level)
+    return F.transform(F.array_distinct(every), lambda s: F.xxhash64(s))
+
+
 def brand_matches(labels: DataFrame, brands, max_distance: int, label_col: str = "label",
                   first_in_order: bool = True) -> DataFrame:
     """(label, brand, brand_distance) for labels similar to a brand.
@@ -119,21 +131,23 @@ def brand_matches(labels: DataFrame, brands, max_distance: int, label_col: str =
     list order is kept (``min_by`` on its position); otherwise one row per
     label with any match.
 
-    Candidate pairs come from an equi-join on length (each label is expanded
-    to the 2d+1 admissible brand lengths), so only pairs within the band are
-    ever compared.
+    Candidate pairs come from a deletion neighbourhood: two strings within edit distance
+    d have a string in common that d deletions or fewer make of each.  Brands and labels
+    are expanded to these variants and joined by their hash, so only pairs that share
+    one are compared, whatever the number of brands.
     """
     spark = labels.sparkSession
-    b = as_list_df(spark, brands, "brand", with_pos=True)
-    b = b.withColumn("_blen", F.length("brand"))
     d = max_distance
+    b = as_list_df(spark, brands, "brand", with_pos=True)
+    longest = b.agg(F.max(F.length("brand"))).first()[0] or 0
     lab = (labels.select(F.col(label_col).alias("label")).filter(F.col("label").isNotNull())
            .distinct()
            .withColumn("_primary", primary_part("label"))
-           .withColumn("_norm", leet_normalize("label")))
-    band = F.sequence(F.length("_norm") - d, F.length("_norm") + d)
-    lab = lab.withColumn("_blen", F.explode(band))
-    pairs = lab.join(b, "_blen", "inner")
+           .withColumn("_norm", leet_normalize("label"))
+           .filter(F.length("_norm") <= longest + d))  # longer ones are too far from any brand
+    lab = lab.withColumn("_key", F.explode(deletion_keys("_norm", d)))
+    index = b.withColumn("_key", F.explode(deletion_keys("brand", d)))
+    pairs = lab.join(index, "_key")
     lev = F.levenshtein(F.col("_norm"), F.col("brand"), d)
     ok = (F.col("_norm") == F.col("brand")) | ((F.length("_primary") >= 4) & (lev >= 0))
     hits = pairs.filter(ok).select("label", "brand", "pos",

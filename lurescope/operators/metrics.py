@@ -177,3 +177,63 @@ def bootstrap_accuracy(df: DataFrame, key: str, pred: Column, label, replicates:
     return point.unionByName(ci, allowMissingColumns=True).agg(
         F.lit("accuracy").alias("metric"), F.max("point").alias("point"),
         F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+#: Poisson weights that one SHA-256 gives: eight numbers of 32 bits.
+WEIGHTS_PER_HASH = 8
+
+
+def poisson_weights(key: str, replicates: int) -> list[Column]:
+    """A Poisson(1) weight per replicate from the hashes of (key, k), eight from each."""
+    out = []
+    for k in range(-(-replicates // WEIGHTS_PER_HASH)):
+        h = F.sha2(F.concat(F.col(key).cast("string"), F.lit(f"/{k}")), 256)
+        out += [poisson1_weight(F.conv(F.substring(h, 1 + 8 * j, 8), 16, 10).cast("bigint") / F.lit(4294967296.0))
+                for j in range(WEIGHTS_PER_HASH)]
+    return out[:replicates]
+
+
+def bootstrap_metrics(df: DataFrame, key: str, score: str, label: str, threshold: float, replicates: int = 100,
+                      level: float = 0.95, resolution: float = 1e-4) -> DataFrame:
+    """Point value and Poisson bootstrap interval of every reported metric: accuracy,
+    precision, recall, F1, FPR, FNR, AUC, MCC; one row each (``metric, point, lo, hi``).
+
+    One pass over the rows: their weights are summed into one score histogram with a
+    column per replicate (0 is the sample itself), of at most 2 / ``resolution`` rows.  All
+    metrics of all replicates come from that histogram.  AUC is that of scores rounded to
+    ``resolution``, ties counted half; the others compare the exact score.
+    """
+    y = F.col(label) == 1
+    rows = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).select(
+        F.round(F.col(score) / F.lit(resolution)).cast("bigint").alias("s"),
+        (F.col(score) >= F.lit(threshold)).alias("pred"), y.alias("y"),
+        F.lit(1).alias("w0"), *[w.alias(f"w{b}") for b, w in enumerate(poisson_weights(key, replicates), 1)])
+    sums = [F.sum(F.when(side, F.col(f"w{b}")).otherwise(0)).alias(f"{name}{b}")
+            for b in range(replicates + 1) for name, side in (("p", F.col("y")), ("n", ~F.col("y")))]
+    histogram = rows.groupBy("s", "pred").agg(*sums)
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.col(f"p{b}").alias("p"), F.col(f"n{b}").alias("n"))
+                               for b in range(replicates + 1)]))
+    long = histogram.select("s", "pred", each.alias("x")).select("s", "pred", "x.*")
+    below = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    scores = long.groupBy("b", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), *[
+        F.sum(F.when(F.col("pred") == bool(pred), F.col(c)).otherwise(0)).alias(name)
+        for name, c, pred in (("tp", "p", 1), ("fp", "n", 1), ("tn", "n", 0), ("fn", "p", 0))])
+    scores = scores.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    cm = scores.groupBy("b").agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")],
+        F.sum(F.col("p").cast("double") * (F.col("under") + F.col("n") * 0.5)).alias("wins"),
+        (F.sum("p").cast("double") * F.sum("n").cast("double")).alias("pairs"))
+    per = cm.select("b", "tp", "fp", "tn", "fn", _div(F.col("wins"), F.col("pairs")).alias("auc"),
+                    mcc_expr("tp", "fp", "tn", "fn").alias("mcc"))
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    prec, rec = _div(tp, tp + fp), _div(tp, tp + fn)
+    shares = {"accuracy": _div(tp + tn, tp + fp + tn + fn), "precision": prec, "recall": rec,
+              "f1": F.when(prec + rec > 0, F.lit(2.0) * prec * rec / (prec + rec)).otherwise(F.lit(0.0)),
+              "fpr": _div(fp, fp + tn), "fnr": _div(fn, fn + tp), "auc": F.col("auc"), "mcc": F.col("mcc")}
+    named = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in shares.items()]))
+    table = per.select("b", named.alias("m")).select("b", "m.*")
+    a = (1 - level) / 2
+    again = F.when(F.col("b") > 0, F.col("value"))
+    return table.groupBy("metric").agg(
+        F.max(F.when(F.col("b") == 0, F.col("value"))).alias("point"),
+        F.percentile(again, a).alias("lo"), F.percentile(again, 1 - a).alias("hi"))

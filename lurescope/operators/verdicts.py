@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurescope import dictionaries as D
@@ -59,21 +59,42 @@ def facts_as_of(facts: DataFrame, as_of, ttl_days: int = D.FACTS_TTL_DAYS,
 
 def asof_join(left: DataFrame, facts: DataFrame, left_key: str, left_ts: str,
               ttl_days: int = D.FACTS_TTL_DAYS, right_key: str = "domain",
-              right_ts: str = "fetched_at", row_id: str = "msg_id") -> DataFrame:
+              right_ts: str = "fetched_at", row_id: str = "msg_id", bucket_hours: int = 6) -> DataFrame:
     """Per left row, the latest fact with ``ts - ttl < fetched_at <= ts``.
 
-    An equi-join on the key with a range condition, then ``max_by`` per left
-    row.  The fact history per key is bounded by the refresh cadence within
-    the TTL window, so the candidate fan-out per row is bounded too.
+    A merge instead of a range join: rows and facts go into one table, are sorted within
+    (key, time bucket), and each row takes the last fact before it.  A row without one
+    takes what is carried over: the latest of the last facts of the earlier buckets that
+    the TTL reaches.  So the work is rows + facts, however long a key's history is, a hot
+    key is spread over its buckets, and what is carried are at most TTL / bucket small
+    rows per (key, bucket).
     """
-    f = facts.withColumnRenamed(right_key, "_fk")
+    if ttl_days * 24 % bucket_hours:
+        raise ValueError("bucket_hours must divide the TTL")
+    reach, width = ttl_days * 24 // bucket_hours, bucket_hours * 3_600_000_000
     cols = [c for c in facts.columns if c != right_key]
-    cond = ((F.col(left_key) == F.col("_fk")) & (F.col(right_ts) <= F.col(left_ts))
-            & (F.col(right_ts) > F.col(left_ts) - F.make_dt_interval(F.lit(ttl_days))))
-    j = left.select(row_id, left_key, left_ts).join(f, cond, "left")
-    best = j.groupBy(row_id, left_key, left_ts).agg(
-        F.max_by(F.struct(*cols), F.col(right_ts)).alias("_f"))
-    return best.select(row_id, left_key, left_ts, *[F.col(f"_f.{c}").alias(c) for c in cols])
+
+    def bucket(ts):  # zone-free: both kinds of timestamp compare by their wall clock in UTC
+        return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width))
+
+    rows = left.select(
+        F.col(left_key).alias("_k"), F.col(left_ts).alias("_t"), F.col(row_id).alias("_id"), bucket(left_ts).alias("_b"))
+    known = facts.filter(F.col(right_key).isNotNull() & F.col(right_ts).isNotNull()).select(
+        F.col(right_key).alias("_k"), F.col(right_ts).alias("_t"), F.struct(*cols).alias("_f"), bucket(right_ts).alias("_b"))
+    merged = rows.withColumn("_row", F.lit(1)).unionByName(
+        known.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy("_k", "_b").orderBy("_t", "_row")
+    merged = merged.withColumn("_here", F.last("_f", ignorenulls=True).over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("_row = 1")
+
+    last = known.groupBy("_k", "_b").agg(F.max_by("_f", "_t").alias("_f"), F.max("_t").alias("_t"))
+    carried = (last.withColumn("_b", F.explode(F.sequence(F.col("_b") + 1, F.col("_b") + F.lit(reach))))
+               .groupBy("_k", "_b").agg(F.max_by("_f", "_t").alias("_before")))
+    live = F.col(f"_before.{right_ts}") > F.col("_t") - F.make_dt_interval(F.lit(ttl_days))
+    best = merged.join(carried, ["_k", "_b"], "left").select(
+        "_id", "_k", "_t", F.coalesce("_here", F.when(live, F.col("_before"))).alias("_f"))
+    return best.select(F.col("_id").alias(row_id), F.col("_k").alias(left_key), F.col("_t").alias(left_ts),
+                       *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 
 # --------------------------------------------------------------------------

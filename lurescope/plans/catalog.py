@@ -715,6 +715,40 @@ FROM (SELECT b, CAST(sum(w * ok) AS DOUBLE) / sum(w) AS acc FROM (
                                                  F.col("final_prob") >= THRESH, "label", 100))
 
 
+_METRICS_SQL = """SELECT b, (tp + tn) / (tp + fp + tn + fn) AS accuracy, pr AS precision, rc AS recall,
+  CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS f1,
+  CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END AS fpr, CASE WHEN fn + tp > 0 THEN fn / (fn + tp) ELSE 0 END AS fnr,
+  auc, CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0
+       THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END AS mcc
+FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rc FROM counted) c"""
+_METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "fpr", "fnr", "auc", "mcc"]
+register("a12_metric_intervals", O.scored_query(
+    " UNION ALL ".join(f"SELECT '{m}' AS metric, max({m}) FILTER (b = 0) AS point, "
+                       f"quantile_cont({m}, 0.025) FILTER (b > 0) AS lo, quantile_cont({m}, 0.975) FILTER (b > 0) AS hi "
+                       "FROM measured" for m in _METRIC_NAMES),
+    [("drawn", f"""
+SELECT b, CAST(round(final_prob / 1e-4) AS BIGINT) AS s, final_prob >= {THRESH} AS pred, label = 1 AS y,
+       CASE WHEN b = 0 THEN 1 ELSE (CASE {_P_STEPS} ELSE {len(MET.POISSON1_CDF)} END) END AS w
+FROM (SELECT final_prob, label, g.b,
+             ('0x' || substr(sha256(CAST(msg_id AS VARCHAR) || '/' || CAST((g.b - 1) // 8 AS VARCHAR)),
+                             CAST(1 + 8 * ((g.b - 1) % 8) AS BIGINT), 8))::BIGINT / 4294967296.0 AS u
+      FROM {_LAB} t, (SELECT unnest(generate_series(0, 100)) AS b) g WHERE g.b > 0
+      UNION ALL SELECT final_prob, label, 0, 0.5 FROM {_LAB} t) x"""),
+     ("ranked", """
+SELECT b, s, sum(w) FILTER (y) AS p, sum(w) FILTER (NOT y) AS n FROM drawn GROUP BY b, s"""),
+     ("won", """
+SELECT b, sum(coalesce(p, 0) * (coalesce(under, 0) + 0.5 * coalesce(n, 0)))::DOUBLE / (sum(p) * sum(n)) AS auc
+FROM (SELECT *, sum(n) OVER (PARTITION BY b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS under
+      FROM ranked) r GROUP BY b"""),
+     ("counted", """
+SELECT d.b, any_value(auc) AS auc, coalesce(sum(w) FILTER (pred AND y), 0)::DOUBLE AS tp,
+       coalesce(sum(w) FILTER (pred AND NOT y), 0)::DOUBLE AS fp, coalesce(sum(w) FILTER (NOT pred AND NOT y), 0)::DOUBLE AS tn,
+       coalesce(sum(w) FILTER (NOT pred AND y), 0)::DOUBLE AS fn FROM drawn d JOIN won ON won.b = d.b GROUP BY d.b"""),
+     ("measured", _METRICS_SQL)]))(
+    lambda spark, sf_dir: MET.bootstrap_metrics(_labelled(spark, sf_dir), "msg_id", "final_prob", "label", THRESH))
+
+
 # X01-X05, S16 --------------------------------------------------------------
 
 def _signals_sql():
