@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -92,25 +92,67 @@ def balanced_weights(df: DataFrame, label: str = "label", out: str = "w") -> Dat
     return df.join(F.broadcast(cw), label, "left")
 
 
-def _gbt(features: str, max_iter: int, depth: int, seed: int) -> GBTClassifier:
+#: Most rounds of boosting, and rounds without a smaller validation loss that end it.
+ROUNDS, PATIENCE = 300, 50
+
+
+def _gbt(features: str, rounds: int, depth: int, seed: int) -> GBTClassifier:
     return GBTClassifier(featuresCol=features, labelCol="label", weightCol="w",
-                         validationIndicatorCol="is_val", validationTol=0.001,
-                         maxIter=max_iter, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8,
+                         maxIter=rounds, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8,
                          minInstancesPerNode=20, minInfoGain=0.01, featureSubsetStrategy="all",
                          seed=seed, predictionCol="_pred") \
         .setProbabilityCol("_prob").setRawPredictionCol("_raw")
 
 
-def train_dual(train: DataFrame, max_iter: int = 30, depth: int = 5, seed: int = 42) -> dict:
+def best_round(losses: list, patience: int) -> int:
+    """Rounds to keep: up to the smallest loss before the first ``patience`` rounds in a row
+    without a smaller one."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The ensemble of the first ``rounds`` trees, with the parameters of the whole one."""
+    if rounds >= model.getNumTrees:
+        return model
+    jvm, gateway = SparkSession.active()._jvm, SparkSession.active().sparkContext._gateway
+    old = model._java_obj
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(jvm.double, rounds)
+    for k, (tree, weight) in enumerate(zip(model.trees[:rounds], model.treeWeights)):
+        trees[k], weights[k] = tree._java_obj, float(weight)
+    new = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        old.uid(), trees, weights, old.numFeatures(), old.numClasses())
+    return GBTClassificationModel._from_java(old.copyValues(new, old.extractParamMap()))
+
+
+def train_with_patience(train: DataFrame, features: str, rounds: int, patience: int, depth: int,
+                        seed: int) -> GBTClassificationModel:
+    """Boost on the training rows and keep the trees up to the round that judges the
+    validation rows best.  MLlib cannot go on from an ensemble, so all rounds are trained
+    and the later trees are cut off; without validation rows all stay."""
+    model = _gbt(features, rounds, depth, seed).fit(train.filter(~F.col("is_val")))
+    held_out = train.filter("is_val")
+    if held_out.isEmpty():
+        return model
+    return first_trees(model, best_round(model.evaluateEachIteration(held_out), patience))
+
+
+def train_dual(train: DataFrame, max_iter: int = ROUNDS, depth: int = 5, seed: int = 42,
+               patience: int = PATIENCE) -> dict:
     """Full (38 inputs) and structural (37 inputs) boosted trees.
 
     ``train`` has the 37 features, ``p_text``, ``label`` and ``is_val``
     (validation rows drive early stopping)."""
     d = balanced_weights(with_text_feature(train).withColumn("label", F.col("label").cast("double")))
     d = assemble(assemble(d, FULL_FEATURES, "v_full"), STRUCT_FEATURES, "v_struct")
-    full = _gbt("v_full", max_iter, depth, seed).fit(d)
-    struct = _gbt("v_struct", max_iter, depth, seed).fit(d)
-    return {"full": full, "structural": struct}
+    return {"full": train_with_patience(d, "v_full", max_iter, patience, depth, seed),
+            "structural": train_with_patience(d, "v_struct", max_iter, patience, depth, seed)}
 
 
 # ----------------------------------------------------------------- M05 score
@@ -146,7 +188,6 @@ def save_models(spark: SparkSession, models: dict, path: str, threshold: float,
 
 def load_models(spark: SparkSession, path: str) -> dict:
     """Load either generation: dual ensemble, or an older single model."""
-    from pyspark.ml.classification import GBTClassificationModel
     meta = json.loads(spark.read.json(f"{path}/meta").head()["meta"])
     out = {"meta": meta, "full": GBTClassificationModel.load(f"{path}/full"), "structural": None}
     if meta.get("architecture") == "dual_ensemble":

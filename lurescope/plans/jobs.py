@@ -147,7 +147,8 @@ class Jobs:
     def models(self) -> dict:
         if "_models" not in self._tables:
             from lurescope.operators.models import train_dual
-            self._tables["_models"] = train_dual(materialize(self.training_set(), "training_set"))
+            self._tables["_models"] = train_dual(
+                materialize(self.training_set(), "training_set"), max_iter=30, patience=10)  # small tables
         return self._tables["_models"]
 
     def feature_table(self) -> DataFrame:
