@@ -58,6 +58,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables from which nothing is read any more: call it only when every
+    table built from them is written."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name`` with underscores in front until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, rk): null text counts as empty.  ``rk`` tells rows that
     share an id but differ in text apart; identical rows share it."""

@@ -20,12 +20,14 @@ one line to the middle of another, are found the same way with words as the
 units: every run of ``PASSAGE_WORDS`` words has a hash, the smallest of each
 ``PASSAGE_WINDOW`` consecutive hashes is a fingerprint, and a fingerprint's later
 places are extended word by word from its first place.  A repeated run of more
-than 50 words holds a fingerprint; none of fewer than ``PASSAGE_WORDS`` is
-deleted.  Passages are those of the input texts, so two pieces that only come
+than 50 words holds a fingerprint; extended runs of fewer than ``PASSAGE_LEAST``
+words stay.  Passages are those of the input texts, so two pieces that only come
 to stand together because what was between them is deleted are not one.
 
-A deleted line or word always has an equal one earlier in the corpus, and the
-first occurrence is never deleted.
+A deleted line or word has an equal one earlier in the corpus, and the first
+occurrence is never deleted, up to hash collisions: lines are compared by 64 bits, the
+words of a passage by 32 bits each (around a fingerprint of 64), so a passage may be one
+word too long with a probability of 2^-32 at each end.
 
 Order and defined results: places are ordered by (id, row key, line), null ids
 first; the row key tells rows apart that share an id but differ in text.  Rows
@@ -33,7 +35,8 @@ equal in id and text are one document and get the same result.  Null text
 counts as empty; an empty text has one empty line.  White space at the ends of
 a line does not count for its hash, letter case does.  Lines without a word
 count 0 words and go only inside a longer run.  Other columns pass through
-unchanged; the text column holds the kept lines joined by line feeds.
+unchanged, whatever their names; the text column holds the kept lines joined by
+line feeds.  Texts of any length are read whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,14 +49,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm import textscan as T
-from lurescope.llm.common import ship, stage, with_text
+from lurescope.llm.common import free_name, ship, stage, unstage, with_text
 
 #: Words of the shortest run that is deleted when it repeats.
 MIN_WORDS = 8
-#: Words of the shortest passage that is deleted inside lines, and hashes per
-#: window: any PASSAGE_WORDS + PASSAGE_WINDOW - 1 = 51 words hold a fingerprint.
-PASSAGE_WORDS = 26
-PASSAGE_WINDOW = 26
+#: Words that a fingerprint of a passage hashes, and hashes per window: any
+#: PASSAGE_WORDS + PASSAGE_WINDOW - 1 = 51 words hold a fingerprint.
+PASSAGE_WORDS = 12
+PASSAGE_WINDOW = 40
+#: Words of the shortest extended passage that is deleted inside lines.
+PASSAGE_LEAST = 26
 
 
 def line_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,25 +192,35 @@ def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text",
              .groupBy("id", "rk", "src_rk", F.expr("pos - src_pos").alias("shift"))
              .agg(F.collect_set("pos").alias("at")))
     later = stage(later, "line-matches")
+    unstage(fps, first)
     mine = lines.select("rk", "h", "w")
     theirs = lines.select(F.col("rk").alias("src_rk"), F.col("h").alias("src_h"))
     found = (later.join(mine, "rk").join(theirs, "src_rk")
              .select("id", "rk", "at", "shift", "h", "w", "src_h")
              .mapInArrow(_extend(min_words), "id bigint, rk bigint, first bigint, last bigint"))
-    return found.groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    found = stage(found.groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "line-runs")
+    unstage(lines, later)
+    return found
 
 
 def _picks(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Places of the smallest hash of each window; windows stay in one text."""
+    """Places of the smallest hash (of equal ones the first) of each window; windows
+    stay in one text."""
     n = len(h) - PASSAGE_WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    at = np.flatnonzero(doc[:n] == doc[PASSAGE_WINDOW - 1:])
-    pick, low = at.copy(), h[at].copy()
-    for j in range(1, PASSAGE_WINDOW):
-        lower = h[at + j] < low
-        pick[lower], low[lower] = at[lower] + j, h[at[lower] + j]
-    return np.unique(pick)
+    low, pick, size = h, np.arange(len(h)), 1
+
+    def joined(shift):
+        left, right = low[:-shift], low[shift:]
+        later = right < left
+        return np.where(later, right, left), np.where(later, pick[shift:], pick[:-shift])
+
+    while size < PASSAGE_WINDOW:  # windows of twice the size from two of half of it
+        shift = min(size, PASSAGE_WINDOW - size)
+        low, pick = joined(shift)
+        size += shift
+    return np.unique(pick[doc[:n] == doc[PASSAGE_WINDOW - 1:]])
 
 
 def _passage_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +276,8 @@ def _extend_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     continue
                 after = _same(h[p:], g[q:])
                 before = _same(h[:p][::-1], g[:q][::-1])
-                if after < PASSAGE_WORDS:               # equal hash, other words
+                # equal hash but other words, or too short a passage
+                if after < PASSAGE_WORDS or before + after < PASSAGE_LEAST:
                     continue
                 done = max(done, p + after - 1)
                 keep.append(i)
@@ -286,6 +302,7 @@ def repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text") -> Data
                   .groupBy("rk", F.col("src.rk").alias("src_rk"))
                   .agg(F.collect_set(F.struct("pos", F.col("src.pos").alias("src_pos"))).alias("at")),
                   "passage-matches")
+    unstage(fps, first)
     taking = later.select("rk").union(later.select("src_rk")).distinct()
     words = stage(texts.select("rk", "text").join(taking, "rk", "left_semi")
                   .mapInArrow(_words, "rk bigint, h array<int>").dropDuplicates(["rk"]), "passage-words")
@@ -293,7 +310,9 @@ def repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text") -> Data
              .join(words.select(F.col("rk").alias("src_rk"), F.col("h").alias("src_h")), "src_rk")
              .select("rk", "at", "h", "src_h")
              .mapInArrow(_extend_passages, "rk bigint, first bigint, last bigint"))
-    return found.groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("passages"))
+    found = stage(found.groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("passages")), "passage-runs")
+    unstage(later, words)
+    return found
 
 
 def _covered(runs, n: int) -> np.ndarray:
@@ -329,7 +348,7 @@ def _without_passages(text: str, runs, drop: np.ndarray) -> list[str]:
     return out
 
 
-def _cut(text_at: str, runs_at: str, passages_at: str):
+def _cut(text_at: str, runs_at: str, passages_at: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, runs, passages = (batch.column(c) for c in (text_at, runs_at, passages_at))
@@ -344,26 +363,27 @@ def _cut(text_at: str, runs_at: str, passages_at: str):
                            if drop.any() or passages[i].is_valid else texts[i].as_py())
                 total.append(len(lines))
                 gone.append(int(drop.sum()))
-            names = [c for c in batch.schema.names if c not in (runs_at, passages_at)]
-            arrays = [pa.array(out, pa.string()) if c == text_at else batch.column(c) for c in names]
+            kept = [c for c in batch.schema.names if c not in (runs_at, passages_at)]
+            arrays = [pa.array(out, pa.string()) if c == text_at else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
-                names=[*names, "_n_lines", "_n_removed"])
+                [*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, *names])
     return run
 
 
 def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text",
                 min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated runs and passages deleted from the text column,
-    plus ``_n_lines`` and ``_n_removed``, the lines of which nothing is left."""
-    found = repeated_runs(docs, id_col, text_col, min_words).join(
-        repeated_passages(docs, id_col, text_col), "rk", "full")
-    runs = stage(found.select(F.col("rk").alias("_runs_rk"), F.col("runs").alias("_runs"),
-                              F.col("passages").alias("_passages")), "line-runs")
+    plus ``_n_lines`` and ``_n_removed``, the lines of which nothing is left.  A
+    column of the input by one of these names stays, and the new one gets
+    underscores in front until its name is free."""
+    runs_at, passages_at, key, *counts = (
+        free_name(c, docs) for c in ("_runs", "_passages", "_cut_rk", "_n_lines", "_n_removed"))
+    runs = repeated_runs(docs, id_col, text_col, min_words)
+    found = runs.join(repeated_passages(docs, id_col, text_col), "rk", "full").select(
+        F.col("rk").alias(key), F.col("runs").alias(runs_at), F.col("passages").alias(passages_at))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rk = F.xxhash64(docs[id_col], text)
-    joined = docs.join(runs, rk == runs["_runs_rk"], "left").select(
-        *(docs[c] for c in docs.columns), runs["_runs"], runs["_passages"])
+    keyed = docs.withColumn(key, F.xxhash64(docs[id_col], text))
+    joined = keyed.join(found, key, "left").select(*docs.columns, runs_at, passages_at)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return joined.mapInArrow(_cut(text_col, "_runs", "_passages"),
-                             ", ".join([*fields, "_n_lines bigint", "_n_removed bigint"]))
+    return joined.mapInArrow(_cut(text_col, runs_at, passages_at, counts),
+                             ", ".join([*fields, *(f"{c} bigint" for c in counts)]))

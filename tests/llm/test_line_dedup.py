@@ -1,14 +1,19 @@
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lurescope.llm import linededup as L
+from lurescope.llm import textscan as T
 from lurescope.llm.linededup import MIN_WORDS, dedup_lines
 
 
-def brute(rows, min_words=MIN_WORDS):
-    """rows: sorted (id, text); the text of each after deleting, per window
-    that occurred earlier, the common run around its first occurrence."""
+def brute_lines(rows, min_words=MIN_WORDS):
+    """rows: sorted (id, text); the lines of each that go: per window that occurred
+    earlier, the common run around its first occurrence."""
     docs = [(i, (t or "").split("\n")) for i, t in rows]
     key = [[" ".join(x.split()) for x in lines] for _, lines in docs]
     words = [[len(x.split()) for x in k] for k in key]
@@ -35,8 +40,72 @@ def brute(rows, min_words=MIN_WORDS):
             while p - b > 0 and sp - b > 0 and k[p - b - 1] == key[sd][sp - b - 1]:
                 b += 1
             drop[d].update(range(p - b, p + a))
-    return {i: "\n".join(x for j, x in enumerate(lines) if j not in drop[d])
-            for d, (i, lines) in enumerate(docs)}
+    return drop
+
+
+def brute(rows, min_words=MIN_WORDS):
+    """The texts without those lines: the rule for whole lines alone."""
+    drop = brute_lines(rows, min_words)
+    return {i: "\n".join(x for j, x in enumerate((t or "").split("\n")) if j not in drop[d])
+            for d, (i, t) in enumerate(rows)}
+
+
+def passages(rows):
+    """Per document the words (numbers) that the passage rule deletes, written out
+    naively: only the hash that picks the fingerprints is the module's."""
+    words = [(t or "").split() for _, t in rows]
+    hashes, first, gone = [], {}, [set() for _ in rows]
+    for _, text in rows:
+        own = [int(x) for _, _, s in T.column_scans(pa.array([text or ""]), T.NOT_SPACE, lower=False) for x in s.hashes]
+        one = []
+        for p in range(len(own) - L.PASSAGE_WORDS + 1):
+            h = 0
+            for x in own[p:p + L.PASSAGE_WORDS]:
+                h = (h + x) * int(T.BASE) % 2 ** 64
+            one.append(int(T.mix(np.array([h], np.uint64))[0]))
+        hashes.append(one)
+    for d, one in enumerate(hashes):
+        picks = set()
+        for p in range(len(one) - L.PASSAGE_WINDOW + 1):
+            window = one[p:p + L.PASSAGE_WINDOW]
+            picks.add(p + window.index(min(window)))
+        for p in sorted(picks):
+            sd, sp = first.setdefault(one[p], (d, p))
+            if (sd, sp) == (d, p):
+                continue
+            a, b = 0, 0
+            while p + a < len(words[d]) and sp + a < len(words[sd]) and words[d][p + a] == words[sd][sp + a]:
+                a += 1
+            while p > b and sp > b and words[d][p - b - 1] == words[sd][sp - b - 1]:
+                b += 1
+            if a >= L.PASSAGE_WORDS and a + b >= L.PASSAGE_LEAST:
+                gone[d].update(range(p - b, p + a))
+    return gone
+
+
+def brute_all(rows, min_words=MIN_WORDS):
+    """The whole rule: lines that go by ``brute``, then the words of passages; of the
+    others what is left, with a line that has lost all its words gone too."""
+    kept_lines, out = brute_lines(rows, min_words), {}
+    for (i, text), gone, dropped in zip(rows, passages(rows), kept_lines):
+        lines, n, result = (text or "").split("\n"), 0, []
+        total = len((text or "").split())
+        for k, line in enumerate(lines):
+            size = len(line.split())
+            cut = [w in gone for w in range(n, n + size)]
+            inside = 0 < n < total and n - 1 in gone and n in gone
+            n += size
+            if k in dropped or (all(cut) and (size or inside)):
+                continue
+            if not any(cut):
+                result.append(line)
+                continue
+            pieces = re.findall(r"[^ \t\r\v\f]+[ \t\r\v\f]*", line)
+            lead = line[:len(line) - len(line.lstrip(" \t\r\v\f"))]
+            rest = lead + "".join(x for x, c in zip(pieces, cut) if not c)
+            result.append(rest.rstrip(" \t\r\v\f") if cut[-1] else rest)
+        out[i] = "\n".join(result) if dropped or gone else text
+    return out
 
 
 def run(spark, rows, **kw):
@@ -99,7 +168,28 @@ def test_whole_table(spark):
         "/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
     got = op1_line_dedup(spark, "/root/testdata/sf0.001")
     assert got.filter(F.col("n_removed") > 0).count() > 0
-    assert {r.doc_id: r.text for r in got.collect()} == brute(rows)
+    assert {r.doc_id: r.text for r in got.collect()} == brute_all(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_equal_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    pool = [[f"w{rnd.randrange(50)}" for _ in range(rnd.choice([5, 20, 30, 45, 60, 90]))] for _ in range(12)]
+    rows = []
+    for i in range(40):
+        words = [w for _ in range(rnd.randint(1, 5)) for w in rnd.choice([rnd.choice(pool), [f"u{i}"]])]
+        text = "".join(w + rnd.choice([" "] * 20 + ["\n", "  ", " \n", "\n\n"]) for w in words)
+        rows.append((i, text))
+    assert run(spark, rows) == brute_all(rows)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, LONG), (2, LONG)], "doc_id bigint, text string")
+    names = ["_runs", "_passages", "_n_lines", "_n_removed", "_cut_rk", "rk", "id", "h", "_RUNS2"]
+    for name in names:
+        df = df.withColumn(name, F.lit(name))
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert all(got[1][n] == n for n in names) and got[2]["text"] == "" and got[2]["__n_removed"] == 1
 
 
 def shared(rows, out, k):
