@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from lurescope import dictionaries as D
 from lurescope.functions.urls import (address_host, any_contained, any_regex, bool_int,
-                                      count_contained, has_ip_host, normalize_host,
+                                      has_ip_host, normalize_host,
                                       query_param_names, shannon_entropy, url_netloc, url_path)
 from lurescope.operators.domains import brand_matches
+from lurescope.operators.phrases import with_phrase_count
 from lurescope.operators.joins import lookup_join
 from lurescope.operators.verdicts import domain_age_score
 
@@ -90,6 +91,7 @@ def url_features(message_urls: DataFrame, vt: DataFrame, dicts: D.Dictionaries)
     shortener = F.coalesce(F.col("root_domain").isin(list(dicts.shorteners)), F.lit(False)) \
         if dicts.shorteners else F.lit(False)
     label = F.lower(F.coalesce(F.col("label"), F.lit("")))
+    j = with_phrase_count(j, ["msg_id", "pos"], path, dicts.path_keywords, "u_kw")
     per = j.select(
         "msg_id",
         (F.coalesce(F.col("is_known_threat"), F.lit(False))
@@ -104,7 +106,7 @@ def url_features(message_urls: DataFrame, vt: DataFrame, dicts: D.Dictionaries)
         url_netloc("url").contains("@").alias("u_at"),
         F.when(F.length(F.coalesce("label", F.lit(""))) > 0, shannon_entropy("label"))
          .alias("u_ent"),
-        count_contained(path, dicts.path_keywords).alias("u_kw"),
+        "u_kw",
         (~legit & _brand_not_in_label(path, label, dicts.feature_brands,
                                       D.MIN_BRAND_LEN_FOR_SUBSTRING)).alias("u_pbm"),
         (bool_int(shortener) + bool_int(redirect_param)
@@ -264,7 +266,9 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
     n_brand = F.lit(0)
     for b in dict.fromkeys(brands):
         n_brand = n_brand + F.when(display.contains(F.lit(b)) | subject.contains(F.lit(b)), 1).otherwise(0)
-    n_action = count_contained(combined, dicts.action_keywords)
+    m = with_phrase_count(m, ["msg_id"], combined, dicts.action_keywords, "_n_action")
+    m = with_phrase_count(m, ["msg_id"], combined, dicts.urgency_phrases, "_n_urgency")
+    n_action = F.col("_n_action")
     html = F.lower(F.coalesce("html_text", F.lit("")))
     ratio = F.least(F.bround(F.length(F.coalesce("html_text", F.lit("")))
                              / (F.length(F.coalesce("plain_text", F.lit(""))) + 1), 2), F.lit(100.0))
@@ -308,7 +312,7 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
         "auth_completely_absent": bool_int((F.col("spf_result") == "none")
                                            & (F.col("dkim_result") == "none")
                                            & (F.col("dmarc_result") == "none")),
-        "urgency_phrase_count": count_contained(combined, dicts.urgency_phrases),
+        "urgency_phrase_count": F.col("_n_urgency"),
         "subject_has_urgency": bool_int(any_regex(subject, dicts.subject_patterns)),
         "impersonation_score": F.when(s_legit, F.lit(0)).otherwise(n_brand),
         "unknown_domain_action_content": F.when(s_legit, 0).when(n_action == 0, 0)

@@ -369,6 +369,25 @@ def threat_links_by_sender(spark, sf_dir):
                  F.sum("n_threat").cast("bigint").alias("threat_links")))
 
 
+# ---------------------------------------------------------------- phrases from a table
+
+@register("f29_phrase_index", O.with_views(["messages"], """
+SELECT m.msg_id, count(p.phrase) AS n_phrases
+FROM (SELECT msg_id, lower(coalesce(plain_text, '')) AS body FROM messages) m
+LEFT JOIN (SELECT DISTINCT phrase FROM (
+             SELECT lower(substr(text, CAST(1 + doc_id * 7 % 50 AS BIGINT), CAST(2 + doc_id % 13 AS BIGINT))) AS phrase
+             FROM documents) d WHERE phrase <> '') p ON contains(m.body, p.phrase)
+GROUP BY m.msg_id"""))
+def f29_phrases(spark, sf_dir):
+    """Phrase counts of all messages for a phrase table as long as the corpus."""
+    from lurescope.operators.phrases import phrase_counts
+    j = jobs(spark, sf_dir)
+    start, length = 1 + F.col("doc_id") * 7 % 50, 2 + F.col("doc_id") % 13
+    phrases = j.fx.t.documents.select(F.lower(F.substring(F.col("text"), start, length)).alias("phrase"))
+    body = F.lower(F.coalesce("plain_text", F.lit("")))
+    return phrase_counts(j.messages.select("msg_id", body.alias("text")), phrases, ["msg_id"])
+
+
 # ---------------------------------------------------------------- detection log
 
 from lurescope.operators import dedup as DD  # noqa: E402
