@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,12 +95,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["id", "rk", "h", "w"])
 
 
-def windows(h: np.ndarray, w: np.ndarray, min_words: int
+def windows(h: np.ndarray, w: np.ndarray, stop: np.ndarray, min_words: int
             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, selected line, window hash) of each window of a text."""
+    """(first line, selected line, window hash) of each window of some texts, whose lines
+    stand one after the other; ``stop`` is the end of each line's text."""
     total = np.concatenate([[0], np.cumsum(w)])
     end = np.searchsorted(total, total[:-1] + min_words, side="left")   # exclusive
-    start = np.flatnonzero((end <= len(h)) & (w > 0))
+    start = np.flatnonzero((end <= stop) & (w > 0))
     end = end[start]
     if not len(start):
         return start, start, np.zeros(0, np.int64)
@@ -120,19 +122,17 @@ def windows(h: np.ndarray, w: np.ndarray, min_words: int
 def _fingerprints(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rks, rows, picks, keys, fps = batch.column("id"), batch.column("rk"), [], [], [], []
-            for i in range(len(batch)):
-                h, w = (np.asarray(batch.column(c)[i].values) for c in ("h", "w"))
-                _, pick, key = windows(h, w, min_words)
-                rows.append(np.full(len(pick), i))
-                picks.append(pick)
-                keys.append(key)
-                fps.append(h[pick])
-            take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+            per_doc = batch.column("h").value_lengths().to_numpy(zero_copy_only=False)
+            h = batch.column("h").flatten().to_numpy(zero_copy_only=False)
+            w = batch.column("w").flatten().to_numpy(zero_copy_only=False)
+            begin = np.concatenate([[0], np.cumsum(per_doc)])
+            doc = np.repeat(np.arange(len(batch)), per_doc)
+            first, pick, key = windows(h, w, begin[1:][doc], min_words)
+            take = pa.array(doc[first])
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take), rks.take(take), pa.array(cat(picks)), pa.array(cat(fps)),
-                 pa.array(cat(keys))], names=["id", "rk", "pos", "fp", "win"])
+                [batch.column("id").take(take), batch.column("rk").take(take),
+                 pa.array(pick - begin[doc[first]]), pa.array(h[pick]), pa.array(key)],
+                names=["id", "rk", "pos", "fp", "win"])
     return run
 
 
@@ -352,21 +352,21 @@ def _cut(text_at: str, runs_at: str, passages_at: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, runs, passages = (batch.column(c) for c in (text_at, runs_at, passages_at))
-            out, total, gone = [], [], []
-            for i in range(len(batch)):
+            found = pc.or_(runs.is_valid(), passages.is_valid())
+            total = pc.add(pc.count_substring(pc.fill_null(texts, ""), "\n"), 1).cast(pa.int64())
+            out, gone = [], np.zeros(len(batch), np.int64)
+            for i in np.flatnonzero(found.to_numpy(zero_copy_only=False)):
                 text = texts[i].as_py() or ""
                 lines = text.split("\n")
                 drop = _covered(runs[i], len(lines))
                 if passages[i].is_valid:
                     lines = _without_passages(text, passages[i], drop)
-                out.append("\n".join(x for x, d in zip(lines, drop) if not d)
-                           if drop.any() or passages[i].is_valid else texts[i].as_py())
-                total.append(len(lines))
-                gone.append(int(drop.sum()))
+                out.append("\n".join(x for x, d in zip(lines, drop) if not d))
+                gone[i] = drop.sum()
+            texts = pc.replace_with_mask(texts, found, pa.array(out, texts.type))
             kept = [c for c in batch.schema.names if c not in (runs_at, passages_at)]
-            arrays = [pa.array(out, pa.string()) if c == text_at else batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, *names])
+            arrays = [texts if c == text_at else batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*arrays, total, pa.array(gone)], names=[*kept, *names])
     return run
 
 

@@ -4,7 +4,7 @@ The words of a whole batch of texts are found on the column's UTF-8 buffer at
 once: a 256-entry table maps each byte to "part of a word" or not, word
 borders are the places where that flag changes, and a word's 64-bit hash is a
 difference of prefix sums of ``value[byte] * BASE ** position`` (mod 2**64).
-Every text is scanned whole; batches are cut into slices of a few MB only to
+Every text is scanned whole; batches are cut into slices of half a MB only to
 bound the memory of a task.
 """
 
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -41,9 +41,11 @@ _POWER_CACHE: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWER_CACHE.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES * 2)
+    """Powers for a slice, kept by the worker; those for a longer text are not kept."""
+    size = SLICE_BYTES * 2
+    if n > size:
+        return _powers_doubling(BASE, n), _powers_doubling(BASE_INVERSE, n)
+    if not _POWER_CACHE:
         _POWER_CACHE["up"] = _powers_doubling(BASE, size)
         _POWER_CACHE["down"] = _powers_doubling(BASE_INVERSE, size)
     return _POWER_CACHE["up"], _POWER_CACHE["down"]
