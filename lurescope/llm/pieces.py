@@ -288,19 +288,13 @@ def lattice_paths(units: DataFrame, table: PieceTable) -> DataFrame:
     return grouped.withColumn("last", last).select("unit", path.alias("path"))
 
 
-_DICTIONARIES: dict = {}
-
-
-def _dictionary(key: str, broadcast, table: PieceTable) -> dict[str, bytes]:
-    """The broadcast dictionary as unit -> ids, built once per worker process."""
-    if key not in _DICTIONARIES:
-        _DICTIONARIES.clear()
-        units, lens, flat = broadcast.value
-        flat = flat.astype("<i4").tobytes()
-        ends = np.cumsum(lens) * 4
-        _DICTIONARIES[key] = {u: flat[e - 4 * n:e] for u, n, e in
-                              zip(units.split("\x00"), lens.tolist(), ends.tolist())} if len(lens) else {}
-    return _DICTIONARIES[key]
+def _dictionary(broadcast) -> dict[str, bytes]:
+    """The broadcast dictionary as unit -> ids; it lives as long as its task."""
+    units, lens, flat = broadcast.value
+    flat = flat.astype("<i4").tobytes()
+    ends = np.cumsum(lens) * 4
+    return {u: flat[e - 4 * n:e] for u, n, e in
+            zip(units.split("\x00"), lens.tolist(), ends.tolist())} if len(lens) else {}
 
 
 def _pack(rows: pd.DataFrame, table: PieceTable) -> tuple[str, np.ndarray, np.ndarray]:
@@ -319,11 +313,13 @@ def _pack(rows: pd.DataFrame, table: PieceTable) -> tuple[str, np.ndarray, np.nd
 
 
 class _Encoder:
-    """Ids of texts from the dictionary, remembering the chunks."""
+    """Ids of texts from the dictionary, remembering the chunks, and with each whether its
+    ids decode to it: a text decodes to the decoded chunks in a row."""
 
     def __init__(self, table: PieceTable, known: dict[str, bytes]):
         self.table, self.known = table, known
         self.chunks: dict[str, bytes] = {}
+        self.lossy: set[str] = set()
 
     def _chunk(self, chunk: str) -> bytes:
         out = []
@@ -331,34 +327,37 @@ class _Encoder:
             got = self.known.get(u)
             out.append(array("i", self.table.ids(u)).tobytes() if got is None else got)
         got = self.chunks[chunk] = b"".join(out)
+        if decode(self.table, np.frombuffer(got, "<i4").tolist()) != chunk.replace(SPACE, " "):
+            self.lossy.add(chunk)
         return got
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str) -> tuple[bytes, bool]:
         parts, known = chunks(text), self.chunks
+        if len(known) > _REMEMBER:
+            known.clear()
+            self.lossy.clear()
         try:
-            return b"".join([known[p] for p in parts])
+            got = b"".join([known[p] for p in parts])
         except KeyError:
-            if len(known) > _REMEMBER:
-                known.clear()
-            return b"".join([known[p] if p in known else self._chunk(p) for p in parts])
+            got = b"".join([known[p] if p in known else self._chunk(p) for p in parts])
+        return got, not self.lossy or self.lossy.isdisjoint(parts)
 
 
 _ROWS = 1_000
 
 
-def _encode(table: PieceTable, key: str, broadcast, text_col: str):
+def _encode(table: PieceTable, broadcast, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(table, _dictionary(key, broadcast, table))
+        encoder = _Encoder(table, _dictionary(broadcast))
         for whole in batches:
             for a in range(0, len(whole), _ROWS):
                 batch = whole.slice(a, _ROWS)
                 flat, lens, same = [], [], []
                 for text in _texts(batch.column(text_col)):
-                    b = encoder.encode(text)
+                    b, whole_again = encoder.encode(text)
                     flat.append(b)
                     lens.append(len(b) // 4)
-                    same.append(decode(table, np.frombuffer(b, "<i4").tolist())
-                                == text.replace(SPACE, " "))
+                    same.append(whole_again)
                 offs = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
                 values = pa.array(np.frombuffer(b"".join(flat), "<i4"))
                 yield pa.RecordBatch.from_arrays(
@@ -405,10 +404,9 @@ def encode_documents(docs: DataFrame, text_col="text", model: str | None = None,
     paths = stage(lattice_paths(most_frequent(counts, "c", max_units).select("unit"), table), "piece-paths")
     packed = _pack(paths.toPandas(), table)       # at most max_units short rows
     broadcast = spark.sparkContext.broadcast(packed)
-    import uuid
     docs = docs.drop("n_tokens", "ids", "round_trip").withColumn(
         text_col, F.col(text_col).cast("string"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     return docs.mapInArrow(
-        _encode(table, uuid.uuid4().hex, broadcast, text_col),
+        _encode(table, broadcast, text_col),
         ", ".join([*fields, "n_tokens bigint", "ids array<int>", "round_trip boolean"]))
