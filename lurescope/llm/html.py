@@ -8,12 +8,20 @@ element.  The model is a tree, so one sum-product pass from the leaves to the
 root and one back give the exact marginal of every element.  Text whose element
 has a content marginal of at least 0.5 is kept.
 
+Mark-up decides before length does: an element inside one that the mark-up calls
+boilerplate (``in_boiler``: a footer, aside, form, comment section, advert ..., at any
+depth) has that as its own evidence, stronger than any text it may hold, whose length
+and punctuation count up to a limit.  Wrappers of the page (html, body, whatever holds
+the article or, without one, a form around the title) are no such element.  Links count
+against text outside of an article only.
+
 Weights and potentials are trained on labelled pages: at most
 ``MAX_FIT_PAGES`` pages (smallest hashes) whose own markup states the labels --
 an ``article`` or ``main`` element and the boilerplate elements in and around
 it -- once as they are and once with that mark-up's features hidden, so the
 model also works on pages without it.  Prior means keep the evidence of words
-that the sample happens not to show; without labelled pages they are the model.
+that the sample happens not to show, and training never weakens what mark-up says
+against an element; without labelled pages the priors are the model.
 
 Each page is worked on alone in the tasks and whole; the messages of all pages
 of a batch are passed together, level by level, without recursion.
@@ -78,13 +86,20 @@ BAD_WORDS = re.compile(
 GOOD_WORDS = re.compile(r"(?:^|[\s_-])(article|post|entry|content|story|main|body|text)(?=$|[\s_-])",
                         re.I)
 
+#: The word that also names the head of an article.
+HEAD_WORD = re.compile(r"header", re.I)
+
 KINDS = ["boiler", "header", "main", "text", "box", "inline"]
 FEATURES = [*KINDS, "bad_words", "good_words", "hidden", "own_text", "all_text", "link_share",
-            "stops", "in_main", "heading", "bias"]
+            "stops", "in_main", "heading", "bias", "in_boiler"]
+#: Mark-up that speaks against an element; training does not weaken it.
+AGAINST = ["boiler", "bad_words", "hidden", "in_boiler"]
+#: Most that the length of the own text and its punctuation count.
+TEXT_LIMIT, STOPS_LIMIT = 2.0, 2.0
 #: Prior means of the weights; the labelled pages move them.
 PRIOR = dict(boiler=-7.0, header=-2.0, main=2.5, text=0.5, box=0.0, inline=0.0, bad_words=-7.0,
              good_words=1.0, hidden=-7.0, own_text=0.3, all_text=0.1, link_share=-2.5, stops=0.2,
-             in_main=1.5, heading=0.5, bias=-0.3)
+             in_main=1.5, heading=0.5, bias=-0.3, in_boiler=-7.0)
 #: Prior parent-child counts: how often a child has its parent's label.
 PRIOR_COUNTS = {"boiler": ((40, 1), (30, 2)), "header": ((20, 1), (8, 8)), "main": ((6, 6), (1, 20)),
                 "text": ((40, 2), (2, 40)), "box": ((20, 8), (3, 20)), "inline": ((60, 1), (1, 60))}
@@ -104,16 +119,16 @@ def kind_of(tag: str) -> int:
 
 class Page:
     """Elements (tag, parent, features' parts) and text runs of a page."""
-    __slots__ = ("tags", "parent", "bad", "good", "hidden", "runs")
+    __slots__ = ("tags", "parent", "bad", "good", "hidden", "head", "runs")
 
     def __init__(self, source: str):
         self.tags, self.parent = ["#page"], [-1]
-        self.bad, self.good, self.hidden = [0], [0], [0]
+        self.bad, self.good, self.hidden, self.head = [0], [0], [0], [0]
         self.runs: list[tuple[int, str | None]] = []      # (element, text or None: block border)
         self._parse(source)
 
     def _open(self, tag: str, parent: int, attrs: str) -> int:
-        bad = good = hidden = 0
+        bad = good = hidden = head = 0
         if attrs and not attrs.isspace():
             for m in _ATTR.finditer(attrs):
                 name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
@@ -122,12 +137,15 @@ class Page:
                     hidden = 1
                 elif name in ("class", "id", "role", "aria-label"):
                     bad |= bool(BAD_WORDS.search(value))
+                    # nothing but "header" speaks against it
+                    head |= bad and not BAD_WORDS.search(HEAD_WORD.sub("", value))
                     good |= bool(GOOD_WORDS.search(value))
         self.tags.append(tag)
         self.parent.append(parent)
         self.bad.append(int(bad))
         self.good.append(int(good))
         self.hidden.append(hidden)
+        self.head.append(int(head))
         return len(self.tags) - 1
 
     def _parse(self, s: str) -> None:
@@ -227,6 +245,7 @@ class Forest:
     kind: np.ndarray
     x: np.ndarray
     in_main: np.ndarray
+    in_boiler: np.ndarray
 
 
 def forest(pages: list[Page]) -> Forest:
@@ -255,6 +274,27 @@ def forest(pages: list[Page]) -> Forest:
             d[i] = d[q] + 1
             im[i] = im[q] or mains[i]
     depth, in_main = np.array(d, np.int64), np.array(im, bool)
+    marks = {name: np.array([v for p in pages for v in getattr(p, name)], bool) for name in ("bad", "good", "hidden", "head")}
+    # wrappers: html, body, and what holds an article or, without one, a title
+    holds, titled = is_main.copy(), np.array([t == "h1" for t in tags], bool)
+    for i in range(n - 1, -1, -1):
+        if order_parent[i] >= 0:
+            holds[order_parent[i]] |= holds[i]
+            titled[order_parent[i]] |= titled[i]
+    for a, b in zip(first[:-1], first[1:]):
+        if is_main[a:b].any():
+            titled[a:b] = False
+    wrapper = holds | titled & np.array([t == "form" for t in tags], bool) \
+        | np.array([t in ("html", "body", "#page") for t in tags], bool)
+    # "header" alone, in an article or beside a good word, is the head of the article
+    own_head = in_main | marks["good"]
+    called = (kind == 0) | (kind == 1) & ~own_head | marks["bad"] & ~(marks["head"] & own_head) | marks["hidden"]
+    called &= ~wrapper
+    inside = called.tolist()
+    for i, q in enumerate(order_parent):
+        if q >= 0 and inside[q]:
+            inside[i] = True
+    in_boiler = np.array(inside, bool)
     total, linked = own.copy(), np.where(is_link, own, 0.0)
     inner = own.copy()
     by_depth = np.argsort(depth, kind="stable")
@@ -269,17 +309,18 @@ def forest(pages: list[Page]) -> Forest:
         np.add.at(stops, parent[soft], stops[soft])
     x = np.zeros((n, len(FEATURES)))
     x[np.arange(n), kind] = 1
-    x[:, 6] = [b for p in pages for b in p.bad]
-    x[:, 7] = [b for p in pages for b in p.good]
-    x[:, 8] = [b for p in pages for b in p.hidden]
-    x[:, 9] = np.log1p(inner) / 3
-    x[:, 10] = np.log1p(total) / 3
-    x[:, 11] = linked / np.maximum(total, 1)
-    x[:, 12] = np.log1p(stops)
+    x[:, 6] = marks["bad"] & ~wrapper & ~(marks["head"] & own_head)
+    x[:, 7] = marks["good"]
+    x[:, 8] = marks["hidden"]
+    x[:, 9] = np.minimum(np.log1p(inner) / 3, TEXT_LIMIT)
+    x[:, 10] = np.minimum(np.log1p(total) / 3, TEXT_LIMIT)
+    x[:, 11] = np.where(in_main, 0.0, linked / np.maximum(total, 1))
+    x[:, 12] = np.minimum(np.log1p(stops), STOPS_LIMIT)
     x[:, 13] = in_main
     x[:, 14] = [t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in tags]
     x[:, 15] = 1
-    return Forest(first, parent, depth, kind, x, in_main)
+    x[:, 16] = in_boiler
+    return Forest(first, parent, depth, kind, x, in_main, in_boiler)
 
 
 @dataclass
@@ -305,11 +346,7 @@ def labels_of(f: Forest) -> np.ndarray:
     """Labels that the markup states: 1 in article or main, 0 elsewhere and in
     boilerplate elements; nan for pages without article or main."""
     y = f.in_main.astype(float)
-    bad = (f.kind == 0) | (f.x[:, 6] > 0) & (f.kind != 2) | (f.x[:, 8] > 0)
-    low = np.zeros(len(y), bool)
-    for i, q in enumerate(f.parent.tolist()):
-        low[i] = bad[i] or (q >= 0 and low[q])
-    y[low] = 0
+    y[f.in_boiler] = 0
     for a, b in zip(f.first[:-1], f.first[1:]):
         if not f.in_main[a:b].any():
             y[a:b] = np.nan
@@ -335,6 +372,8 @@ def train(sources: list[str]) -> Model:
         g = x.T @ (p - t) / len(t) + ridge * (w - prior)
         h = (x * (p * (1 - p))[:, None]).T @ x / len(t) + ridge * np.eye(len(w))
         w -= np.linalg.solve(h, g)
+    firm = [FEATURES.index(c) for c in AGAINST]
+    w[firm] = np.minimum(w[firm], prior[firm])
     counts = np.array([PRIOR_COUNTS[k] for k in KINDS], float)
     child = on[f.parent[on] >= 0]
     np.add.at(counts, (f.kind[child], y[f.parent[child]].astype(int), y[child].astype(int)), 1)

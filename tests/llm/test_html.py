@@ -55,6 +55,54 @@ def test_other_layouts(sources, trained):
     assert extract([PAGE], train(sources[:100]) if trained else prior_model()) == [TEXT]
 
 
+LONG = "This sentence is long enough, with commas, and full stops. It goes on for a while, as such texts do. " * 8
+SAYS = ("<p>The first paragraph of the article itself, which is plain text. It has two sentences.</p>"
+        "<p>The second paragraph follows, as long as the first one, and it ends here.</p>")
+OUT = ['<section class="comments"><p>{}</p></section>', '<div id="comments"><div><p>{}</p></div></div>', "<footer><p>{}</p></footer>",
+       "<aside><p>{}</p></aside>", '<div class="sidebar"><p>{}</p></div>', '<div class="sidebar"><div><div><p>{}</p></div></div></div>',
+       '<div class="ad"><p>{}</p></div>', '<div class="wrap"><div class="cookie-banner"><div><p>{}</p></div></div></div>',
+       "<form><p>{}</p></form>", '<p class="notice">{}</p>', '<nav><p>{}</p></nav>', '<div style="display: none"><p>{}</p></div>',
+       '<ul class="comment-list"><li><p>{}</p></li></ul>', '<div class="newsletter"><h3>Join</h3><p>{}</p></div>']
+
+
+@pytest.mark.parametrize("trained", [False, True])
+def test_mark_up_decides_before_length(sources, trained):
+    """Boilerplate with paragraphs, short and long, beside and inside the article."""
+    model = train(sources[:100]) if trained else prior_model()
+    want = extract([f"<body><article><h1>Title</h1>{SAYS}</article></body>"], model)[0]
+    assert want.startswith("Title The first") and want.endswith("ends here.")
+    wrong = []
+    for layout in OUT:
+        for text in (LONG[:104], LONG):
+            bad = layout.format(text)
+            pages = {"after": f"<body><article><h1>Title</h1>{SAYS}</article>{bad}</body>",
+                     "before": f"<body>{bad}<main><h1>Title</h1>{SAYS}</main></body>",
+                     "inside": f"<body><article><h1>Title</h1>{SAYS}{bad}</article></body>",
+                     "no mark-up": f'<body><div class="post"><h1>Title</h1>{SAYS}</div>{bad}</body>'}
+            wrong += [(layout, len(text), k) for k, page in pages.items() if extract([page], model)[0] != want]
+    assert not wrong
+
+
+@pytest.mark.parametrize("trained", [False, True])
+@pytest.mark.parametrize("page", [
+    '<body class="page has-sidebar"><article><h1>Title</h1>{}</article></body>',
+    '<body><div class="content-with-sidebar"><article><h1>Title</h1>{}</article></div></body>',
+    '<body><form id="aspnetForm"><main><h1>Title</h1>{}</main></form></body>',
+    '<body><form id="f"><div class="post"><h1>Title</h1>{}</div></form></body>',
+    '<body><article><div class="entry-header"><h1>Title</h1></div>{}</article></body>',
+    '<body><article><header><h1>Title</h1></header>{}</article></body>'])
+def test_wrappers_and_heads_of_the_article_stay(sources, trained, page):
+    model = train(sources[:100]) if trained else prior_model()
+    assert extract([page.format(SAYS)], model) == extract([f"<body><article><h1>Title</h1>{SAYS}</article></body>"], model)
+
+
+@pytest.mark.parametrize("trained", [False, True])
+def test_links_in_an_article_are_text(sources, trained):
+    model = train(sources[:100]) if trained else prior_model()
+    page = f"<body><article>{SAYS}<ul><li><a href=1>First point</a></li><li><a href=2>Second point</a></li></ul></article></body>"
+    assert extract([page], model)[0].endswith("ends here. First point Second point")
+
+
 def test_sum_product_equals_enumeration():
     model = prior_model()
     f = forest([Page("<div><p>Some text, here.</p><nav><a>x</a></nav></div>")])
