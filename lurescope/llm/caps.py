@@ -30,7 +30,8 @@ Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, nor do vectors of different length; null ids are
 kept, with the smallest id of their class as component if it has one; repeated
 rows are vectors of their own that link with each other; other columns are
-ignored.
+ignored.  A cosine of exactly the threshold is a link; an empty table gives an empty
+one.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ Defined results: null text counts as empty and is clean; equal items are
 reported each; rows that share an id are judged each by their own text (one
 report per (id, item), the best window of all); null ids are reported as such;
 other columns are ignored by ``contaminated`` and passed through by
-``clean_documents``.
+``clean_documents``.  Texts of any length are read whole; several windows of
+one item are one report with the first start and the best similarity; an empty table, or no items, gives no row.
 """
 
 from __future__ import annotations

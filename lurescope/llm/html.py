@@ -33,7 +33,8 @@ end a block.  Scripts, styles, templates, comments and the head have no text.
 Defined results: null or empty html gives an empty text; broken, unclosed or
 truncated markup is closed by the usual rules; a page without any element is
 one block of content; repeated rows are extracted each; null ids and urls are
-kept; other columns are ignored.
+kept; other columns are ignored.  Pages of any length are read whole; an element with
+even odds is kept; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -33,7 +33,8 @@ Defined results: null or empty text, or text without words, has the empty set,
 that share an id are one node (the links of all its texts); null ids link like
 any other and take the component's smallest id, or null if it has none.  Other
 columns are ignored by ``similarity_classes`` and passed through by
-``keep_one_of_each``.
+``keep_one_of_each``, where all rows of a group's smallest id stay.  A similarity of
+exactly the threshold is a link; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ whose first half a place starts owns it.
 
 Defined results: null text counts as empty; a text without words has no block,
 ``n_words`` 0 and score 0; repeated rows are scanned each; other columns are
-ignored.
+ignored.  Texts of any length are scanned whole, block by block; of templates that fit a
+block equally well each gives its label; an empty table gives an empty one.
 """
 
 from __future__ import annotations

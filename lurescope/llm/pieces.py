@@ -31,7 +31,8 @@ Defined results: null text counts as empty; an empty text has no ids and
 decodes to the empty text; U+2581 in a text decodes to a space, as in the
 library; repeated rows and null ids are encoded each; other columns pass
 through ``encode_documents`` unless they have the name of an added column, which
-is replaced.
+is replaced.  Texts of any length are encoded whole; of equally ranked merges the
+leftmost goes first; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ rows that share an id are judged each by their own text; repeated labels of an
 id are averaged (a tie counts as good); without labels of both classes the
 document evidence is 0.5 for every non-empty text and everything non-empty is
 kept.  Other columns are ignored by ``classify`` and passed through by
-``keep_documents``.
+``keep_documents``.  Texts of any length are read whole; a posterior of exactly the
+threshold is kept; an empty table gives an empty one.
 """
 
 from __future__ import annotations

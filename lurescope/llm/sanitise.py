@@ -26,7 +26,9 @@ matches in linear time and without recursion on texts of any length.
 Defined results: null text counts as empty, an empty text has no span; repeated
 rows are reported each; null ids are kept; with one document or an entity in
 all documents I(e) is 0 and no term discloses it; other columns are ignored by
-``find_spans`` and passed through by ``sanitise``.
+``find_spans`` and passed through by ``sanitise``, whatever their names.  Texts of any
+length are read whole; spans of one start are ordered by kind; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import bounded_broadcast, stage
+from lurescope.llm.common import bounded_broadcast, free_name, stage
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
@@ -204,13 +206,15 @@ def sanitise(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 F.when(x["strength"] >= REMOVE, "").otherwise(f"[{TERM}]").alias("r"))))
         ).alias("_spans")).filter(F.size("_spans") > 0), "pii-spans")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    joined = docs.join(spans, F.xxhash64(docs[id_col], text) == spans["_span_rk"], "left")
-    joined = joined.select(*(docs[c] for c in docs.columns), text.alias("_full"), spans["_spans"])
-    new = F.expr("""
-        aggregate(_spans, named_struct('at', 0, 'out', ''),
+    key, full, at = (free_name(c, docs) for c in ("_span_rk", "_full", "_spans"))
+    spans = spans.withColumnRenamed("_span_rk", key).withColumnRenamed("_spans", at)
+    keyed = docs.withColumn(key, F.xxhash64(docs[id_col], text)).withColumn(full, text)
+    joined = keyed.join(spans, key, "left").drop(key)
+    new = F.expr(f"""
+        aggregate({at}, named_struct('at', 0, 'out', ''),
             (acc, x) -> CASE WHEN x.s >= acc.at THEN named_struct(
-                    'at', x.e, 'out', concat(acc.out, substring(_full, acc.at + 1, x.s - acc.at), x.r))
+                    'at', x.e, 'out', concat(acc.out, substring({full}, acc.at + 1, x.s - acc.at), x.r))
                 ELSE named_struct('at', greatest(acc.at, x.e), 'out', acc.out) END,
-            acc -> concat(acc.out, substring(_full, acc.at + 1)))""")
-    return joined.select(*(F.when(F.col("_spans").isNotNull(), new).otherwise(F.col(f"`{c}`"))
+            acc -> concat(acc.out, substring({full}, acc.at + 1)))""")
+    return joined.select(*(F.when(F.col(at).isNotNull(), new).otherwise(F.col(f"`{c}`"))
                            .alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

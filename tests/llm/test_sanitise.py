@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lurescope.llm import sanitise as S
 
@@ -132,6 +133,16 @@ def test_defined_results(spark):
     assert S.find_spans(df.limit(0)).count() == 0 and S.sanitise(df).count() == 6
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.cd says hi"), (2, "nothing")], "doc_id bigint, text string")
+    names = ["_full", "_spans", "_span_rk", "rk", "base", "terms", "id"]
+    for name in names:
+        df = df.withColumn(name, F.lit(name))
+    got = {r.doc_id: r for r in S.sanitise(df).collect()}
+    assert got[1].text == "[email] says hi" and got[2].text == "nothing"
+    assert all(r[n] == n for r in got.values() for n in names) and S.sanitise(df).columns == df.columns
+
+
 def test_whole_table_digest(spark):
     from lurescope.llm.queries import op2_sanitise
     got = {r.doc_id: r for r in op2_sanitise(spark, "/root/testdata/sf0.001").collect()}
