@@ -4,7 +4,8 @@ zstandard dictionary.
 Encoding: every text by a tokenizers vocabulary, then an end id.  For the
 word vocabulary here a text's ids are the ids of its parts between ASCII white
 space one after the other (its pattern never crosses white space), so each
-different part is encoded once per task and remembered.
+different part is encoded once and remembered by the worker as long as it is
+used, within a bound in bytes.
 
 File format: a *shard* is a row of a Parquet table written by Spark (so lost
 tasks are redone and half-written files never seen):
@@ -56,11 +57,13 @@ DICTIONARY_BYTES = 64 << 10
 DOCS_PER_SHARD = 2_048
 BYTES_PER_SHARD = 8 << 20
 LEVEL = 3
-#: Entries that a worker remembers, of parts between spaces and of words.
-_PARTS, _WORDS = 100_000, 300_000
+#: Bytes that a worker remembers in each generation, of parts and of words.
+_PART_BYTES, _WORD_BYTES = 24 << 20, 24 << 20
+#: What a remembered entry costs beside its key and its ids.
+_ENTRY_BYTES = 160
 
-_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-z0-9'\x80-\U0010ffff]*)")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_vocabulary() -> str:
@@ -75,6 +78,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Remembered(dict):
+    """``make(key)`` of each key, remembered in two generations of at most
+    ``limit`` bytes: what is used again moves to the young one, and when that is
+    full the old one is forgotten, so frequent keys always stay."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.old: dict = {}
+        self.held = 0
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self.held += _ENTRY_BYTES + len(key) + len(got)
+        if self.held > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.held = _ENTRY_BYTES + len(key) + len(got)
+        self[key] = got
+        return got
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, remembering the parts."""
 
@@ -83,44 +110,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.parts: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
+        self.serial = [i.to_bytes(self.width, "little") for i in range(size)]
+        self.parts = Remembered(self._part, _PART_BYTES)
+        self.words = Remembered(self._word, _WORD_BYTES)
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: bytes) -> bytes:
         """A run of lower-case letters or of punctuation: one pre-token, so the
         model's merges alone give its ids."""
-        got = self.words.get(word)
-        if got is None:
-            mapped = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            got = np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
-            self.words[word] = got
-        return got
-
-    def _part(self, part: str) -> bytes:
-        m = _PLAIN.fullmatch(part)
-        if m:
-            got = self._word(m.group(1).lower()) + self._word(m.group(2))
+        letters = word.decode("latin-1")
+        if not word.isascii():
+            letters = letters.translate(self.letters)
+        serial = self.serial
+        return b"".join([serial[t.id] for t in self.model.tokenize(letters)])
+
+    def _part(self, part: bytes) -> bytes:
+        core = part.rstrip(_MARKS)
+        if core.isalpha():                              # of ASCII letters
+            word = core.lower()
+        elif _LETTERS.fullmatch(core.decode()):
+            word = core.decode().lower().encode()
         else:
-            got = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids,
-                           self.dtype).tobytes()
-        self.parts[part] = got
-        return got
+            ids = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
+            return np.array(ids, self.dtype).tobytes()
+        if len(core) == len(part):
+            return self.words[word]
+        return self.words[word] + self.words[part[len(core):]]
 
-    def encode(self, text: str) -> bytes:
-        """The serialized ids of a text, without the end id."""
-        parts, known = _SPACE.split(text), self.parts
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > _PARTS:
-                known.clear()
-                known[""] = b""
-            if len(self.words) > _WORDS:
-                self.words.clear()
-                self.words[""] = b""
-            return b"".join([known[p] if p in known else self._part(p) for p in parts])
+    def encode(self, text: bytes) -> bytes:
+        """The serialized ids of a text in UTF-8, without the end id."""
+        # bytes.split() cuts at ASCII white space alone
+        return b"".join(map(self.parts.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
@@ -141,7 +163,7 @@ def train_dictionary(texts: DataFrame, path: str) -> bytes:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k"),
-                 pa.array([e.encode(t) for t in batch.column("text").to_pylist()], pa.binary())],
+                 pa.array([e.encode(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())],
                 names=["k", "ids"])
 
     if last is None:
@@ -170,7 +192,7 @@ def _frames(path: str, dictionary: bytes, end_id: int):
         pack = _compressors(dictionary)[0]
         for batch in batches:
             frames, count = [], []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
                 ids = e.encode(text) + end
                 frames.append(pack.compress(ids))
                 count.append(len(ids) // e.width)

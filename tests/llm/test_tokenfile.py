@@ -20,13 +20,28 @@ def ids_of(tokenizer, text):
 
 ODD = ["It's they'll WE'VE 'tis", "naïve Straße ÀÉÎ œuvre", "a b c\x1cd", "İstanbul ΣΑΣ ὈΔΥΣΣΕΎΣ",
        "é Å ño", "x<|endoftext|>y <|startoftext|>", "123 4,567.89 ½ ²", "日本語 テスト 🙂🙂", "!!! ... --- __a__",
-       "\x00\x01 ﻿", "K Å ﬁ", "word,word;word", "  lead and trail \n\n", "don’t", "a'b'c's"]
+       "\x00\x01 ﻿", "K Å ﬁ", "word,word;word", "  lead and trail \n\n", "don’t", "a'b'c's",
+       "abc\x01 d\x7f, é\x02. x\x1cy Été?! (no) end.) it', '' [x]"]
 
 
 def test_parts_give_the_ids_of_the_library(tokenizer):
     e = T.WordEncoder(T.default_vocabulary())
     for text in ODD + [" ".join(ODD), "".join(ODD)]:
-        assert np.frombuffer(e.encode(text), e.dtype).tolist() == ids_of(tokenizer, text)[:-1], text
+        assert np.frombuffer(e.encode(text.encode()), e.dtype).tolist() == ids_of(tokenizer, text)[:-1], text
+
+
+def test_memory_is_bounded_and_keeps_what_is_used():
+    made = []
+
+    def make(key):
+        made.append(key)
+        return key.encode()
+
+    m = T.Remembered(make, 10 * (T._ENTRY_BYTES + 10))
+    for i in range(200):
+        assert m["often"] == b"often" and m[f"rare{i}"] == f"rare{i}".encode()
+        assert len(m) <= 11 and len(m.old) <= 11
+    assert made.count("often") == 1 and len(made) == 201
 
 
 def test_round_trip_files(spark, tokenizer, monkeypatch):
