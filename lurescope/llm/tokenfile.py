@@ -58,9 +58,10 @@ DOCS_PER_SHARD = 2_048
 BYTES_PER_SHARD = 8 << 20
 LEVEL = 3
 #: Bytes that a worker remembers in each generation, of parts and of words.
-_PART_BYTES, _WORD_BYTES = 24 << 20, 24 << 20
+_PART_BYTES, _WORD_BYTES = 24 << 20, 48 << 20
 #: What a remembered entry costs beside its key and its ids.
 _ENTRY_BYTES = 160
+_ROWS = 256
 
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -150,6 +151,13 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The texts of a batch in UTF-8, a few rows at a time."""
+    column = batch.column("text").cast(pa.binary())
+    for at in range(0, len(column), _ROWS):
+        yield from column.slice(at, _ROWS).to_pylist()
+
+
 def train_dictionary(texts: DataFrame, path: str) -> bytes:
     """A zstandard dictionary from a bounded sample of id arrays."""
     hashed = texts.filter("text <> ''").withColumn("k", F.xxhash64("rk"))
@@ -163,7 +171,7 @@ def train_dictionary(texts: DataFrame, path: str) -> bytes:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k"),
-                 pa.array([e.encode(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())],
+                 pa.array([e.encode(t) for t in _texts(batch)], pa.binary())],
                 names=["k", "ids"])
 
     if last is None:
@@ -192,7 +200,7 @@ def _frames(path: str, dictionary: bytes, end_id: int):
         pack = _compressors(dictionary)[0]
         for batch in batches:
             frames, count = [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            for text in _texts(batch):
                 ids = e.encode(text) + end
                 frames.append(pack.compress(ids))
                 count.append(len(ids) // e.width)
