@@ -18,7 +18,14 @@ The join is the prefix-filter one:
    length filter (``distinct words of the block >= o``) and the positional
    filter (words of block and template left after the first common word) drop
    what cannot reach ``o``;
-4. the whole overlap is counted for what remains.
+4. the whole overlap is counted for what remains, and a template's required run
+   must stand in the block.
+
+A required run (in brackets in the template) is the words that tell a licence
+from its kin -- name, version, variant: they must stand side by side, or "version
+2" would pass for "version 3" and "by nc sa" for "by nc".  Templates of fewer
+than ``SHORT`` words need all of their words, as a few common words meet by
+chance in prose.
 
 Phrases are templates with threshold 1 whose words must also stand in order,
 side by side; their places are read from the matching blocks, and the block in
@@ -48,23 +55,26 @@ from lurescope.llm.common import ship, stage
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 # Opening words of public licence notices and their labels.
+# In brackets: the run that a block must hold as it stands.
 TEMPLATES = {
-    "released under the mit license": "mit",
+    "released under the [mit license]": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this "
     "software and associated documentation files": "mit",
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "this work is licensed under a creative commons attribution 4 0 international license":
+    "licensed under the [apache license version 2 0]": "apache-2.0",
+    "licensed under [cc by nc 4 0]": "cc-by-nc-4.0",
+    "this work is licensed under a creative commons [attribution 4 0] international license":
         "cc-by-4.0",
-    "this work is licensed under the gnu general public license version 3": "gpl-3.0",
+    "this work is licensed under the [gnu general public license version 3]": "gpl-3.0",
     "this program is free software you can redistribute it and or modify it under the terms of "
-    "the gnu general public license as published by the free software foundation": "gpl",
+    "the [gnu general public license] as published by the free software foundation": "gpl",
     "redistribution and use in source and binary forms with or without modification are "
     "permitted provided that the following conditions are met": "bsd",
-    "this source code form is subject to the terms of the mozilla public license": "mpl",
+    "this source code form is subject to the terms of the [mozilla public license]": "mpl",
 }
 THRESHOLD = 0.8
 SMALLEST_BLOCK = 16
+#: Templates of fewer words need all of them.
+SHORT = 8
 
 
 @dataclass
@@ -73,6 +83,15 @@ class Template:
     label: str
     threshold: float
     phrase: bool
+    required: list[str]
+
+    @classmethod
+    def of(cls, text: str, label: str, threshold: float) -> Template:
+        """A template from its words, the required run in brackets."""
+        inside = re.search(r"\[(.*)\]", text)
+        words = text.replace("[", "").replace("]", "").split()
+        return cls(words, label, 1.0 if len(words) < SHORT else threshold, False,
+                   inside.group(1).split() if inside else [])
 
     @property
     def block(self) -> int:
@@ -87,8 +106,8 @@ class Template:
 
 
 def templates(phrases: dict[str, str], texts: dict[str, str], threshold: float) -> list[Template]:
-    return [Template(p.split(), label, 1.0, True) for p, label in phrases.items()] + \
-           [Template(t.split(), label, threshold, False) for t, label in texts.items()]
+    return [Template(p.split(), label, 1.0, True, []) for p, label in phrases.items()] + \
+           [Template.of(t, label, threshold) for t, label in texts.items()]
 
 
 def _word_hashes(vocabulary: list[str]) -> np.ndarray:
@@ -187,7 +206,7 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text",
         for p, w in enumerate(words[:len(words) - t.need + 1]):
             marks[w] = True
             index.append((t.block, w, k, p, t.need, words, [number[w] for w in t.words],
-                          t.label, t.phrase))
+                          [number[w] for w in t.required], t.label, t.phrase))
     scanned = stage(
         source.withColumn("uid", F.monotonically_increasing_id())
         .mapInArrow(_blocks(known, ids, prefix_of),
@@ -196,7 +215,7 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text",
 
     prefix = F.broadcast(spark.createDataFrame(
         index, "block bigint, word int, template int, at int, need int, wanted array<int>, "
-               "sequence array<int>, label string, phrase boolean"))
+               "sequence array<int>, required array<int>, label string, phrase boolean"))
     by_rank = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
     cand = (scanned.filter("block > 0")
             .withColumn("mine", F.array_distinct(F.filter("words", lambda w: w >= 0)))
@@ -208,11 +227,14 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text",
     left = F.size("ranks") - F.array_position("ranks", by_rank[F.col("word")])
     cand = (cand.withColumn("reach", F.least(left, F.size("wanted") - F.col("at") - 1) + 1)
             .groupBy("uid", "block", "start", "template")
-            .agg(F.min_by(F.struct("reach", "need", "wanted", "sequence", "label", "phrase",
-                                   "words", "mine"), "at").alias("c"))
+            .agg(F.min_by(F.struct("reach", "need", "wanted", "sequence", "required", "label",
+                                   "phrase", "words", "mine"), "at").alias("c"))
             .select("uid", "block", "start", "c.*").filter("reach >= need"))
     found = (cand.withColumn("overlap", F.size(F.array_intersect("mine", "wanted")))
              .filter("overlap >= need")
+             .filter("""size(required) = 0 OR size(words) >= size(required) AND exists(
+                 sequence(0, size(words) - size(required)),
+                 i -> slice(words, i + 1, size(required)) = required)""")
              .withColumn("share", F.col("overlap") / F.size("wanted")))
     at = F.expr("""
         CASE WHEN phrase AND size(words) >= size(sequence) THEN

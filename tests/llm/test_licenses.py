@@ -20,8 +20,9 @@ def brute(text, phrases=PHRASES, texts=TEMPLATES, threshold=0.8):
     matches = set()
     for t in templates({}, texts, threshold):
         for start in range(0, len(w), t.block // 2):
-            have = len(set(t.words) & set(w[start:start + t.block]))
-            if have >= t.need:
+            block, run = w[start:start + t.block], t.required
+            have = len(set(t.words) & set(block))
+            if have >= t.need and (not run or any(block[i:i + len(run)] == run for i in range(len(block)))):
                 matches.add((t.label, start, round(have / len(set(t.words)), 9)))
     return len(w), places, matches
 
@@ -37,6 +38,7 @@ def run(spark, rows, **kw):
 def test_equals_brute_force(spark, seed):
     rnd = random.Random(seed)
     every = [*PHRASES, *TEMPLATES]
+    every = [t.replace("[", "").replace("]", "") for t in every]
     vocab = sorted({w for t in every for w in t.split()}) + ["the", "of", "größe", "x1"]
     rows = []
     for i in range(80):
@@ -60,6 +62,35 @@ def test_words_next_to_each_other_only(spark):
     assert got[2][1] == [] and got[3][1] == []
 
 
+NOT_NAMED = [
+    "The album was released under the Sony license",
+    "He was released from jail; under section nine the fishing license lapsed",
+    "licensed under CC BY 4.0", "licensed under CC BY-NC-SA 4.0",
+    "This work is licensed under the GNU General Public License version 2",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "This source code form is subject to the terms of the Eclipse Public License",
+    "Licensed under the Apache License, Version 1.1; see section 2 part 0",
+    "MIT students released a film; the driving license office is under the bridge"]
+NAMED = {
+    "Released under the MIT License.": "mit", "licensed under CC BY-NC 4.0": "cc-by-nc-4.0",
+    "Licensed under Apache License, Version 2.0": "apache-2.0",
+    "Work licensed under the GNU General Public License, version 3": "gpl-3.0",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+    "This code form is subject to the terms of the Mozilla Public License": "mpl"}
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    pad = "some other words before and after it " * 4
+    rows = [(i, f"{pad}{t} {pad}") for i, t in enumerate([*NOT_NAMED, *NAMED])]
+    rows += [(100 + i, t) for i, t in enumerate([*NOT_NAMED, *NAMED])]
+    got = run(spark, rows)
+    for at in (0, 100):
+        for i, t in enumerate(NOT_NAMED):
+            assert got[at + i][2] == set(), t
+        for i, (t, label) in enumerate(NAMED.items()):
+            assert {m[0] for m in got[at + len(NOT_NAMED) + i][2]} == {label}, t
+
+
 def test_defined_results(spark):
     df = spark.createDataFrame(
         [(None, "All rights reserved", 1), (1, None, 2), (2, "", 3), (3, "..!", 4),
