@@ -16,7 +16,10 @@ hold the term, the entity, and the term near the entity::
 Strength 1 means that the term alone gives the entity away.  A term that stands
 near the entity in at least ``MIN_CONTEXTS`` different contexts (copies of a
 text are one context) is generalised from strength ``GENERALISE`` on and
-removed from ``REMOVE`` on, wherever it stands near that entity.
+removed from ``REMOVE`` on.  As it gives the entity away wherever it stands, every
+occurrence in every text counts, whether the text names the entity or not; only
+the evidence for it comes from the surroundings of entities.  A term is a whole
+word; words that overlap an entity are the entity's.
 
 The patterns run on a text in which separators inside a number and dots inside
 a host name are replaced, one code point for one, by private-use characters;
@@ -45,6 +48,7 @@ MIN_CONTEXTS = 2
 GENERALISE = 0.6
 REMOVE = 0.9
 BROADCAST_ROWS = 200_000
+FORM_ROWS = 20_000
 
 _DOT, _SEP = "\ue001", "\ue000"
 _LOCAL = rf"[A-Za-z0-9._%+{_DOT}-]"
@@ -58,7 +62,8 @@ _RUNS = {
              rf"(?<![0-9{_SEP}])[0-9][0-9{_SEP}]{{13,}}+"),
     "phone": (r"\+[0-9]", None, None, r"\+[0-9][ ().0-9-]+[0-9]"),
 }
-_WORD = r"[\p{L}\p{N}]{3,}"
+_LETTER = r"[\p{L}\p{N}]"
+_WORD = _LETTER + "{3,}"
 _SPAN = "struct<s:int,e:int,v:string>"
 
 
@@ -174,17 +179,42 @@ def disclosing_terms(docs_text: DataFrame, found: DataFrame, near: DataFrame,
             .filter(F.col("strength") >= threshold).select("entity", "term", "strength"))
 
 
+def term_spans(texts: DataFrame, bases: DataFrame, strong: DataFrame) -> DataFrame:
+    """(rk, terms): every occurrence of a strong term in every text that overlaps
+    no entity (``bases``: the entities of the texts that have any)."""
+    forms = (texts.select("rk", F.explode(F.array_distinct(F.regexp_extract_all(
+                 "text", F.lit(_WORD), F.lit(0)))).alias("form"))
+             .withColumn("term", F.lower("form"))
+             .join(bounded_broadcast(strong, BROADCAST_ROWS), "term")
+             .groupBy("rk").agg(F.collect_set(F.struct("form", "strength")).alias("forms")))
+    forms = stage(forms, "pii-forms")                   # at most a text's own words in a row
+    # the forms are letters and digits: a pattern of their own, whole words only
+    pattern = F.concat(F.lit(f"(?<!{_LETTER})(?:"),
+                       F.array_join(F.transform("forms", lambda x: x["form"]), "|"),
+                       F.lit(f")(?!{_LETTER})"))
+    held = (texts.select("rk", "text").join(bounded_broadcast(forms, FORM_ROWS), "rk")
+            .join(bases.dropDuplicates(["rk"]), "rk", "left")
+            .withColumn("pattern", pattern)
+            .withColumn("_m_term", F.expr("regexp_extract_all(text, pattern, 0)"))
+            .withColumn("_g_term", F.expr("split(text, pattern, -1)"))
+            .withColumn("_p_term", _placed("_m_term", "_g_term")))
+    # strengths by form, so that a span finds its own
+    found = held.withColumn("strengths", F.map_from_entries("forms")).select("rk", F.expr("""
+        transform(filter(_p_term, w -> NOT coalesce(exists(base, x -> x.s < w.e AND w.s < x.e), false)),
+                  w -> named_struct('s', w.s, 'e', w.e, 'strength', strengths[w.v]))""").alias("terms"))
+    return found.dropDuplicates(["rk"])
+
+
 def find_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document: ``id, rk, base, terms``; ``terms`` are structs
     (s, e, strength) of disclosing terms."""
-    found = entity_spans(docs, id_col, text_col)
-    spans = stage(found.select("id", "rk", "base"), "pii-entities")
-    near = stage(near_terms(found), "pii-near")
-    strong = stage(disclosing_terms(_clean(docs, id_col, text_col), spans, near), "pii-strong")
-    hits = (near.join(bounded_broadcast(strong, BROADCAST_ROWS), ["entity", "term"])
-            .groupBy("rk", "s", "e").agg(F.max("strength").alias("strength"))
-            .groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("s", "e", "strength")))
-                               .alias("terms")))
+    spans = stage(entity_spans(docs, id_col, text_col).withColumn(
+        "text", F.when(F.size("base") > 0, F.col("text"))), "pii-entities")
+    near = stage(near_terms(spans), "pii-near")
+    texts = _clean(docs, id_col, text_col)
+    strong = stage(disclosing_terms(texts, spans, near)
+                   .groupBy("term").agg(F.max("strength").alias("strength")), "pii-strong")
+    hits = term_spans(texts, spans.filter(F.size("base") > 0).select("rk", "base"), strong)
     return spans.join(hits, "rk", "left").select(
         "id", "rk", "base", F.coalesce("terms", F.array().cast(
             "array<struct<s:int,e:int,strength:double>>")).alias("terms"))

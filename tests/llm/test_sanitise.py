@@ -61,14 +61,15 @@ def brute_terms(rows):
     for i, ent, c, v, _, _ in near:
         n_te[ent, v].add((i, c))
         ctx[ent, v].add(c)
-    out, total = defaultdict(set), len(rows)
-    for i, ent, _, v, a, b in near:
+    total, strong = len(rows), set()
+    for _, ent, _, v, _, _ in near:
         info = math.log2(total / len(n_e[ent]))
         if len(ctx[ent, v]) >= S.MIN_CONTEXTS and info > 0:
             shared = math.log2(total * len(n_te[ent, v]) / (len(n_t[v]) * len(n_e[ent])))
             if shared / info >= S.GENERALISE:
-                out[i].add((a, b))
-    return out
+                strong.add(v)
+    return {i: {m.span() for m in word.finditer(t or "") if m.group().lower() in strong
+                and not any(x < m.end() and m.start() < y for x, _, y in base(t))} for i, t in rows}
 
 
 CASES = ["a.b@c.d.e, x@y", "a@b.c@d.e%f@g.h", "..a+b@-x.y-..z", "a@b..c a@b.c.", "1.2.3.4.5.6.7.8 1.2.3 256.1.1.1 0001.2.3.4",
@@ -113,6 +114,20 @@ def test_disclosing_terms_equal_the_formulas(spark, seed):
         assert got[i][1] == want.get(i, set()), i
 
 
+def test_terms_are_marked_away_from_their_entity(spark):
+    rows = [(i, f"Zorblaxian has joe@x.org for story{i} " + "and more follows here " * 30 + "by zorblaxian.")
+            for i in range(4)]
+    rows += [(10, "ZORBLAXIAN alone"), (11, "zorblaxians and azorblaxian are other words"),
+             (12, "zorblaxian " * 2_000 + "é" * 50_000)]
+    rows += [(20 + i, f"nothing has more here and follows story for by plain{i}") for i in range(300)]
+    got = spans(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = brute_terms(rows)
+    for i, t in rows:
+        assert got[i][1] == want[i], i
+    assert got[10][1] == {(0, 10)} and got[11][1] == set() and len(got[12][1]) == 2_000
+    assert (len(rows[0][1]) - 11, len(rows[0][1]) - 1) in got[0][1]
+
+
 def test_sanitised_text(spark):
     rows = [(i, f"Mr Quintus wrote from joe@x.org about thing{i} and it went on", 1) for i in range(6)]
     rows += [(10 + i, f"nothing here but plain words {i}", 2) for i in range(30)]
