@@ -41,6 +41,34 @@ def ship(spark: SparkSession) -> None:
     sc._lurescope_shipped = True
 
 
+#: What a remembered entry costs beside its key and its value.
+ENTRY_BYTES = 160
+
+
+class Remembered(dict):
+    """``make(key)`` of each key, remembered in two generations of at most
+    ``limit`` bytes: what is used again moves to the young one, and when that is
+    full the old one is forgotten, so frequent keys always stay."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.old: dict = {}
+        self.held = 0
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self.held += ENTRY_BYTES + len(key) + len(got)
+        if self.held > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.held = ENTRY_BYTES + len(key) + len(got)
+        self[key] = got
+        return got
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"

@@ -38,11 +38,13 @@ leftmost goes first; an empty table gives an empty one.
 from __future__ import annotations
 
 import heapq
+import operator
 import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -50,12 +52,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import most_frequent, ship, stage
+from lurescope.llm.common import Remembered, most_frequent, ship, stage
 
 SPACE = "▁"
 MAX_UNITS = 100_000
 UNIT_CHARS = 40
-_REMEMBER = 200_000
+#: Chunks counted before they are emitted, and bytes of chunks that an encoder
+#: remembers in each generation.
+_REMEMBER, _CHUNK_BYTES = 200_000, 32 << 20
 _FOREVER = 2**31 - 1
 
 
@@ -197,6 +201,8 @@ class PieceTable:
     def units(self, text: str) -> list[str]:
         """The text cut wherever no piece holds the two neighbours side by side."""
         out, start, pairs = [], 0, self.pairs
+        if pairs.issuperset(map(operator.add, text, text[1:])):
+            return [text]
         for i in range(1, len(text)):
             if text[i - 1:i + 1] not in pairs:
                 out.append(text[start:i])
@@ -313,35 +319,36 @@ def _pack(rows: pd.DataFrame, table: PieceTable) -> tuple[str, np.ndarray, np.nd
     return "\x00".join(units), lens, np.array([i for x in ids for i in x], np.int32)
 
 
+def _chunk_ids(table: PieceTable, known: dict[str, bytes], lossy: list[str], chunk: str) -> bytes:
+    """Serialized ids of a chunk; it is added to ``lossy`` if they do not decode to it."""
+    out = []
+    for u in table.units(SPACE + chunk.replace(" ", SPACE)):
+        got = known.get(u)
+        out.append(array("i", table.ids(u)).tobytes() if got is None else got)
+    got = b"".join(out)
+    if decode(table, array("i", got)) != chunk.replace(SPACE, " "):
+        lossy.append(chunk)
+    return got
+
+
 class _Encoder:
     """Ids of texts from the dictionary, remembering the chunks, and with each whether its
     ids decode to it: a text decodes to the decoded chunks in a row."""
 
     def __init__(self, table: PieceTable, known: dict[str, bytes]):
-        self.table, self.known = table, known
-        self.chunks: dict[str, bytes] = {}
-        self.lossy: set[str] = set()
-
-    def _chunk(self, chunk: str) -> bytes:
-        out = []
-        for u in self.table.units(SPACE + chunk.replace(" ", SPACE)):
-            got = self.known.get(u)
-            out.append(array("i", self.table.ids(u)).tobytes() if got is None else got)
-        got = self.chunks[chunk] = b"".join(out)
-        if decode(self.table, np.frombuffer(got, "<i4").tolist()) != chunk.replace(SPACE, " "):
-            self.lossy.add(chunk)
-        return got
+        self.lossy: list[str] = []
+        # not a method: an encoder in a cycle would outlive its task
+        self.chunks = Remembered(partial(_chunk_ids, table, known, self.lossy), _CHUNK_BYTES)
 
     def encode(self, text: str) -> tuple[bytes, bool]:
-        parts, known = chunks(text), self.chunks
-        if len(known) > _REMEMBER:
-            known.clear()
-            self.lossy.clear()
-        try:
-            got = b"".join([known[p] for p in parts])
-        except KeyError:
-            got = b"".join([known[p] if p in known else self._chunk(p) for p in parts])
-        return got, not self.lossy or self.lossy.isdisjoint(parts)
+        got = b"".join(map(self.chunks.__getitem__, chunks(text)))
+        if not self.lossy:
+            return got, True
+        for chunk in self.lossy:                # forgotten, so that the next text finds them again
+            self.chunks.pop(chunk, None)
+            self.chunks.old.pop(chunk, None)
+        self.lossy.clear()
+        return got, False
 
 
 _ROWS = 1_000

@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import bounded_broadcast, ship, with_text
+from lurescope.llm.common import Remembered, bounded_broadcast, ship, with_text
 
 END_ID = 1
 SAMPLE_DOCS = 2_000
@@ -59,8 +59,6 @@ BYTES_PER_SHARD = 8 << 20
 LEVEL = 3
 #: Bytes that a worker remembers in each generation, of parts and of words.
 _PART_BYTES, _WORD_BYTES = 24 << 20, 48 << 20
-#: What a remembered entry costs beside its key and its ids.
-_ENTRY_BYTES = 160
 _ROWS = 256
 
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -79,30 +77,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Remembered(dict):
-    """``make(key)`` of each key, remembered in two generations of at most
-    ``limit`` bytes: what is used again moves to the young one, and when that is
-    full the old one is forgotten, so frequent keys always stay."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
-        self.old: dict = {}
-        self.held = 0
-
-    def __missing__(self, key):
-        got = self.old.get(key)
-        if got is None:
-            got = self.make(key)
-        self.held += _ENTRY_BYTES + len(key) + len(got)
-        if self.held > self.limit:
-            self.old = dict(self)
-            self.clear()
-            self.held = _ENTRY_BYTES + len(key) + len(got)
-        self[key] = got
-        return got
-
-
 class WordEncoder:
     """Ids of texts by the tokenizers library, remembering the parts."""
 

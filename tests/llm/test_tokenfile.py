@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lurescope.llm import tokenfile as T
-from lurescope.llm.common import stage_path
+from lurescope.llm.common import ENTRY_BYTES, Remembered, stage_path
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def test_memory_is_bounded_and_keeps_what_is_used():
         made.append(key)
         return key.encode()
 
-    m = T.Remembered(make, 10 * (T._ENTRY_BYTES + 10))
+    m = Remembered(make, 10 * (ENTRY_BYTES + 10))
     for i in range(200):
         assert m["often"] == b"often" and m[f"rare{i}"] == f"rare{i}".encode()
         assert len(m) <= 11 and len(m.old) <= 11
