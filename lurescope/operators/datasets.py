@@ -292,7 +292,7 @@ def extraction_counters(docs: DataFrame, key: Column, source: str = "source",
     d = docs.withColumn("_k", key).withColumn("_failed", failed)
     first = d.filter(~F.col("_failed")).groupBy("_k").agg(F.min("doc_id").alias("_first"))
     from lurescope.operators.joins import lookup_join
-    j = lookup_join(d, first, "_k", ["doc_id"])
+    j = lookup_join(d, first, "_k")
     dup = ~F.col("_failed") & (F.col("doc_id") != F.col("_first"))
     return j.groupBy(source).agg(
         F.count(F.lit(1)).alias("seen"), F.count_if(dup).alias("duplicates"),

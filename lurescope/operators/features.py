@@ -86,7 +86,7 @@ def url_features(message_urls: DataFrame, vt: DataFrame, dicts: D.Dictionaries)
         F.col("domain").alias("uhost"), "root_domain", "label", "is_legitimate",
         "is_known_threat", "is_safe_browsing_threat", "tranco_rank", "is_newly_registered",
         "root_is_legitimate", "compound_hit", "homograph_hit", "sub_brand_hit")
-    j = lookup_join(u, v, "uhost", ["msg_id", "pos"])
+    j = lookup_join(u, v, "uhost")
     legit = F.coalesce(F.col("is_legitimate"), F.lit(False))
     shortener = F.coalesce(F.col("root_domain").isin(list(dicts.shorteners)), F.lit(False)) \
         if dicts.shorteners else F.lit(False)
@@ -215,7 +215,7 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
     """msg_id + the 37 features in fixed order (F00 applied).
 
     ``verdicts`` must come from :func:`domain_verdicts` over the message
-    domains.  ``trusted`` is a list or a ``(domain)`` DataFrame.
+    domains; ``msg_id`` is the key of ``messages``.  ``trusted`` is a list or a ``(domain)`` DataFrame.
     """
     from lurescope.operators.domains import as_list_df
     from lurescope.operators.verdicts import with_root_legit
@@ -230,7 +230,9 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
     uf = url_features(message_urls, vt, dicts)
     af = attachment_features(attachments, dicts)
 
-    m = messages.select("*", address_host("from_addr").alias("shost"),
+    # All that is looked up meets the message's key and two hosts; the wide rows with
+    # their texts are joined once, by key.
+    m = messages.select("msg_id", address_host("from_addr").alias("shost"),
                         address_host("reply_to").alias("rhost"))
     sv = vt.select(F.col("domain").alias("shost"), F.col("root_domain").alias("sroot"),
                    F.col("is_legitimate").alias("s_legit"),
@@ -239,8 +241,8 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
                    F.col("is_newly_registered").alias("s_new"),
                    F.col("compound_hit").alias("s_comp"), F.col("homograph_hit").alias("s_homo"))
     rv = vt.select(F.col("domain").alias("rhost"), F.col("root_domain").alias("rroot"))
-    m = lookup_join(m, sv, "shost", ["msg_id"])
-    m = lookup_join(m, rv, "rhost", ["msg_id"])
+    m = lookup_join(m, sv, "shost")
+    m = lookup_join(m, rv, "rhost")
     if cert_facts is not None:
         cf = cert_facts.select(F.col("domain").alias("sroot"), F.col("cert_age_days").alias("s_cert"))
         m = m.join(cf, "sroot", "left")
@@ -256,6 +258,7 @@ def features_all(messages: DataFrame, message_urls: DataFrame, attachments: Data
     # F36 needs the message's own looked-up domains.
     lm = link_mismatch(messages, message_urls, vt, dicts, stage)
     m = m.join(lm, "msg_id", "left")
+    m = messages.join(m, "msg_id", "left")
 
     s_legit = F.coalesce(F.col("s_legit"), F.lit(False))
     combined = F.lower(F.concat(content_text(messages), F.lit(" "), F.coalesce("subject", F.lit(""))))
@@ -339,7 +342,7 @@ def msg_lookup_set(messages: DataFrame, message_urls: DataFrame, vt: DataFrame)
     from lurescope.operators.domains import message_hosts
     mh = message_hosts(messages, message_urls)
     v = vt.select("domain", "root_domain", "is_legitimate")
-    hv = lookup_join(mh, v.withColumnRenamed("domain", "host"), "host", ["msg_id", "role", "host"], "inner")
+    hv = lookup_join(mh, v.withColumnRenamed("domain", "host"), "host", "inner")
     hosts = hv.select("msg_id", F.col("host").alias("domain"), "is_legitimate")
     roots = hv.filter(F.col("role") != "reply_to").select(
         "msg_id", F.col("root_domain").alias("domain"))

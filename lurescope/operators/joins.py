@@ -19,8 +19,7 @@ SALT_BUCKETS = 32
 HOT_SHARE = 0.01
 
 
-def lookup_join(fact: DataFrame, dim: DataFrame, key: str, row_key: list | None = None,
-                how: str = "left") -> DataFrame:
+def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
     """``fact`` joined to ``dim`` on ``key`` (``dim`` unique per key)."""
     return fact.join(dim, key, how)
 

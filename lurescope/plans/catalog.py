@@ -359,10 +359,10 @@ def threat_links_by_sender(spark, sf_dir):
     from lurescope.operators.joins import lookup_join
     urls = j.message_urls.select("msg_id", "pos", normalize_host("url").alias("domain"))
     threat_urls = (lookup_join(urls, v.filter(F.col("is_known_threat") | F.col("is_safe_browsing_threat"))
-                               .select("domain"), "domain", ["msg_id", "pos"], "left_semi")
+                               .select("domain"), "domain", "left_semi")
                    .groupBy("msg_id").agg(F.count(F.lit(1)).alias("n_threat")))
     s = lookup_join(j.messages.select("msg_id", address_host("from_addr").alias("domain")),
-                    v.select("domain", "root_domain", "confidence"), "domain", ["msg_id"], "inner")
+                    v.select("domain", "root_domain", "confidence"), "domain", "inner")
     return (s.join(threat_urls, "msg_id", "inner")
             .groupBy(F.col("root_domain").alias("sender_domain"), F.col("confidence").alias("sender_confidence"))
             .agg(F.count_distinct("msg_id").alias("messages"),
