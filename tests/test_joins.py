@@ -42,3 +42,9 @@ def test_message_rows_with_repeated_keys(spark, tmp_path):
         df.unionByName(df.filter(f"{key} = 1")).write.parquet(f"{sf}/{name}.parquet")
     got = {r.msg_id: r["count"] for r in Fixtures(spark, sf).messages.groupBy("msg_id").count().collect()}
     assert got == {0: 1, 1: 4, 2: 1, 3: 1}
+
+
+def test_html_is_not_broadcast(spark):
+    from lurescope.sources.fixtures import Fixtures
+    plan = Fixtures(spark, "/root/testdata/sf0.001").messages._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [b_pid" in plan
