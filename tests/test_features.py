@@ -79,3 +79,25 @@ def test_verdict_confidence_bounds(spark, feats):
     v = jobs(spark, "/root/testdata/sf0.001").verdicts()
     row = v.agg({"confidence": "min"}).head()[0], v.agg({"confidence": "max"}).head()[0]
     assert 0.02 <= row[0] <= row[1] <= 0.99
+
+
+def test_no_text_is_joined(spark, tmp_path):
+    """The tests on texts are made in the scan: no join meets a text or an HTML part."""
+    spark.createDataFrame([(1, "", "a@x.example.com", "", "s", "plain", "<p>", "none", "none", "none")], MSG_SCHEMA) \
+        .write.parquet(f"{tmp_path}/m")
+    m = spark.read.parquet(f"{tmp_path}/m")
+    urls = spark.createDataFrame([(1, 0, "https://x.example.com/a")], "msg_id long, pos int, url string")
+    atts = spark.createDataFrame([(1, "a.zip")], "msg_id long, filename string")
+    v = spark.createDataFrame([("x.example.com", 5)], "domain string, rank int")
+    v = domain_verdicts(collect_domains(m, urls, DICTS.public_suffixes), v, v.select("domain"), None,
+                        "2024-01-20", DICTS)
+    f = features_all(m, urls, atts, v, [], None, DICTS, keep=("subject",))
+    joined, todo = set(), [f._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joined |= {c.output().apply(k).name() for c in below for k in range(c.output().size())}
+        todo += below
+    assert {"msg_id", "_n_action"} <= joined
+    assert not joined & {"plain_text", "html_text", "_said"}
