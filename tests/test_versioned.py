@@ -200,3 +200,12 @@ def test_append_labelled_counts_a_key_once(spark):
     fresh, report = DS.append_labelled(new, spark.createDataFrame([("a", 1), ("b", 0)], schema))
     assert [tuple(r) for r in fresh.collect()] == [("n", 1)]
     assert tuple(report.first()) == (2, 1, 3)
+
+
+def test_a_row_is_held_once_while_its_key_is_made_single(spark):
+    """The smallest row of a key is its own order: no second copy is sorted and shuffled."""
+    df = spark.createDataFrame([("a", 2, None), ("a", 1, "y"), ("a", 1, "x"), (None, 5, "z")], "k string, n int, t string")
+    one = DS.one_per_key(df, "k")
+    assert sorted(map(tuple, one.collect()), key=str) == [("a", 1, "x"), (None, 5, "z")]
+    assert "min_by" not in one._jdf.queryExecution().optimizedPlan().toString()
+    assert DS.one_per_key(df, "k", ["t"]).filter("k = 'a'").head().t is None
