@@ -136,3 +136,12 @@ def test_monitor_counts_and_drops_copies(spark):
     scored = once.latest_log().count()
     # own alerts are not logged: each copy beyond the horizon is skipped again
     assert counted[0] == 3 * n == sum(counted[1:]) and counted[1] == scored and counted[2] >= n - scored
+
+
+def test_stages_after_the_features_hold_no_text(spark):
+    """A text meets the features for the scorer only; neither stage writes it again."""
+    from lurescope.plans import catalog as C
+    mon = C._monitor_run(spark, "/root/testdata/sf0.001")
+    for stage in ("features", "scored"):
+        columns = spark.read.parquet(f"{mon.out}/stage/{stage}/batch_id=0").columns
+        assert "subject" in columns and not {"plain_text", "html_text"} & set(columns)
