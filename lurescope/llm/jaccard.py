@@ -19,7 +19,9 @@ documents link at ``100 * |A n B| >= percent * |A u B|``.
   the group; *outer* ones (``d > eps``) are not.
 * **Windows.**  By the triangle inequality an outer class y can only link to an
   inner class z if ``d(y) <= 2 eps`` and ``d(y) - d(z) <= eps``: these boundary
-  classes are replicated to the inner cell and compared there.
+  classes are replicated to the inner cell and compared there.  A region stands for
+  the first shingle that a linked pair shares, so its places in the two sets bound the
+  overlap too: only what is left behind both can be shared.
 * **Recursion.**  The outer classes of a region form a region of their own with
   a new pivot, which also meets the inner classes of the cell it comes from.
   After ``rounds`` rounds the pairs left within the windows are compared, but
@@ -190,9 +192,12 @@ class _Verifier:
         """(a, b) -> (a, b, d, linked) of the pairs that can reach ``least``
         percent, staged."""
         pairs = stage(pairs.select("a", "b").filter("a <> b").distinct(), "jaccard-pairs")
+        few = bounded_broadcast(pairs, BROADCAST_ROWS)
         mine, theirs = (self.prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"),
                                              F.col("prefix").alias(f"prefix_{c}")) for c in "ab")
-        can = (mine.join(bounded_broadcast(pairs, BROADCAST_ROWS), "a").join(theirs, "b")
+        # of the many classes only those that are some pair's b are dealt by it
+        theirs = theirs.join(few.select("b"), "b", "left_semi")
+        can = (mine.join(few, "a").join(theirs, "b")
                .select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
                .mapInArrow(_bounds, "a bigint, b bigint, n_a bigint, n_b bigint, most bigint")
                .filter(100 * F.col("most") >= least * (F.col("n_a") + F.col("n_b") - F.col("most")))
@@ -205,8 +210,10 @@ class _Verifier:
                 .mapInArrow(_set_bytes(self.k), "node bigint, rk bigint, bytes binary"))
         sets = stage(sets, "jaccard-sets")
         left = sets.select(F.col("node").alias("a"), F.col("bytes").alias("bytes_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("bytes").alias("bytes_b"))
-        got = (left.join(bounded_broadcast(can, BROADCAST_ROWS), "a").join(right, "b")
+        few = bounded_broadcast(can, BROADCAST_ROWS)
+        right = sets.select(F.col("node").alias("b"), F.col("bytes").alias("bytes_b")).join(
+            few.select("b"), "b", "left_semi")
+        got = (left.join(few, "a").join(right, "b")
                .select("a", "b", "bytes_a", "bytes_b")
                .mapInArrow(_overlap, "a bigint, b bigint, common bigint, all bigint"))
         got = got.groupBy("a", "b").agg(
@@ -236,13 +243,24 @@ def similarity_edges(rows: DataFrame, texts: DataFrame, reps: DataFrame, k: int,
     mine = (rows.join(bounded_broadcast(reps.select("k1", "k2", "n", "node"), BROADCAST_ROWS),
                       ["k1", "k2", "n"]).filter(_own_node() == F.col("node"))
             .select("node", "n", "prefix"))
-    postings = mine.select("node", "n", F.explode("prefix").alias("token"))
+    postings = mine.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     region = stage(postings.join(_met(postings), "token").distinct(), "jaccard-regions")
     verify = _Verifier(mine, texts, k, percent)
 
     def similar_size(x, y, p):
         return F.expr(f"100 * least({x}, {y}) >= {p} * greatest({x}, {y})")
 
+    def side(rows: DataFrame, c: str, d: str) -> DataFrame:
+        """The rows as side a or b of a join of pairs, with distance ``d``."""
+        return rows.select("token", F.col("node").alias(c), F.col("n").alias(f"{c}n"),
+                           F.col("pos").alias(f"{c}p"), F.col(d).alias(f"{c}d"),
+                           *([F.col("c").alias(f"{c}c")] if "c" in rows.columns else []))
+
+    # the token is the first that a linked pair shares: the rest of either set bounds the overlap
+    left_over = "least(an - ap, bn - bp)"
+    first_shared = F.expr(f"100 * {left_over} >= {percent} * (an + bn - {left_over})")
+    window = F.col("ad") - F.col("bd") <= eps + 1e-9
+
     edges, cells, bridges, region_d = [], [], [], None
     for _ in range(rounds):
         dist = verify(region.filter(similar_size("n", "pivot_n", near)).select(
@@ -250,23 +268,20 @@ def similarity_edges(rows: DataFrame, texts: DataFrame, reps: DataFrame, k: int,
         edges.append(dist.filter("linked").select("a", "b"))
         close_to = dist.filter(F.col("d") <= 2 * eps + 1e-9).select(
             F.col("b").alias("pivot"), F.col("a").alias("node"), "d", F.col("linked").alias("inner"))
-        cells.append(close_to)
-        outer = (region.filter("node <> pivot").join(close_to, ["node", "pivot"], "left")
-                 .filter("NOT coalesce(inner, false)"))
         # classes without a distance are further than 2 eps from the pivot
-        left = outer.select("token", "node", "n", F.col("d").alias("d0"))
-        left = stage(left, "jaccard-outer")
+        cell = stage(region.filter("node <> pivot").join(close_to, ["node", "pivot"], "left")
+                     .select("token", "node", "n", "pos", F.col("d").alias("d0"),
+                             F.coalesce("inner", F.lit(False)).alias("inner")), "jaccard-cells")
+        cells.append(cell.filter("d0 IS NOT NULL"))
+        left = cell.filter("NOT inner").drop("inner")
         region_d = stage(left.join(_met(left), "token"), "jaccard-regions")
         if region_d.isEmpty():
             region_d = None
             break
         # the next pivots meet the inner classes of the cell they come from
-        new = (region_d.select(F.col("pivot").alias("node")).distinct()
-               .join(close_to.filter("NOT inner"), "node")
-               .select("pivot", F.col("node").alias("a"), F.col("d").alias("ad")))
-        bridges.append(new.join(close_to.filter("inner").select(
-            "pivot", F.col("node").alias("b"), F.col("d").alias("bd")), "pivot").filter(
-            F.col("ad") - F.col("bd") <= eps + 1e-9).select("a", "b"))
+        new = side(region_d.filter("node = pivot AND d0 IS NOT NULL"), "a", "d0")
+        bridges.append(new.join(side(cell.filter("inner"), "b", "d0"), "token")
+                       .filter(window & first_shared).select("a", "b"))
         region = region_d.drop("d0")
     if bridges:
         edges.append(verify(_union(bridges), percent).filter("linked").select("a", "b"))
@@ -280,23 +295,16 @@ def similarity_edges(rows: DataFrame, texts: DataFrame, reps: DataFrame, k: int,
     rest = []
     for cell in cells:
         cell = named(cell)
-        y = cell.filter("NOT inner").select("pivot", F.col("node").alias("a"), F.col("d").alias("ad"),
-                                            F.col("c").alias("ac"))
-        z = cell.filter("inner").select("pivot", F.col("node").alias("b"), F.col("d").alias("bd"),
-                                        F.col("c").alias("bc"))
-        rest.append(y.join(z, (y["pivot"] == z["pivot"]) & (F.col("ac") != F.col("bc"))
-                           & (F.col("ad") - F.col("bd") <= eps + 1e-9)).select("a", "b"))
+        rest.append(side(cell.filter("NOT inner"), "a", "d0").join(
+            side(cell.filter("inner"), "b", "d0"), "token")
+            .filter((F.col("ac") != F.col("bc")) & window & first_shared).select("a", "b"))
     if region_d is not None:
         # what is left of each region: pairs within the window of its last pivot
-        last = named(region_d.select("token", "node", "n", "d0"))
-        x = last.select("token", F.col("node").alias("a"), F.col("n").alias("an"),
-                        F.col("d0").alias("ad"), F.col("c").alias("ac"))
-        y = last.select("token", F.col("node").alias("b"), F.col("n").alias("bn"),
-                        F.col("d0").alias("bd"), F.col("c").alias("bc"))
-        rest.append(x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b"))
-                           & (F.col("ac") != F.col("bc")) & similar_size("an", "bn", percent)
-                           & (F.coalesce(F.abs(F.col("ad") - F.col("bd")), F.lit(0.0)) <= eps + 1e-9))
-                    .select("a", "b"))
+        last = named(region_d.select("token", "node", "n", "pos", "d0"))
+        rest.append(side(last, "a", "d0").join(side(last, "b", "d0"), "token").filter(
+            (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & first_shared
+            & (F.coalesce(F.abs(F.col("ad") - F.col("bd")), F.lit(0.0)) <= eps + 1e-9))
+            .select("a", "b"))
     edges.append(verify(_union(rest), percent).filter("linked").select("a", "b"))
     return _union(edges)
 

@@ -90,3 +90,26 @@ def test_very_long_text(spark):
     long = " ".join(f"w{i % 7001}x{i % 613}" for i in range(120_000))
     got = run(spark, [(1, long), (2, long + " one more"), (3, "short text of five words")])
     assert got[2][1] == 1 and got[3][1] == 3
+
+
+def test_near_copies_form_few_pairs(spark, monkeypatch):
+    """Pairs of one large group share a shingle that can be their first, or are not formed."""
+    from pyspark.sql import functions as F
+    from lurescope.llm import jaccard as J
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for at in rnd.sample(range(300), 2 if i % 2 else rnd.randint(8, 9)):
+            t[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(t)))
+    formed, verify = [], J._Verifier.__call__
+
+    def counted(self, pairs, least):
+        if least == 85:
+            formed.append(pairs.filter(F.col("a") != F.col("b")).distinct().count())
+        return verify(self, pairs, least)
+    monkeypatch.setattr(J._Verifier, "__call__", counted)
+    assert run(spark, rows) == brute(rows)
+    assert sum(formed) <= len(rows)
