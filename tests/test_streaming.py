@@ -145,3 +145,36 @@ def test_stages_after_the_features_hold_no_text(spark):
     for stage in ("features", "scored"):
         columns = spark.read.parquet(f"{mon.out}/stage/{stage}/batch_id=0").columns
         assert "subject" in columns and not {"plain_text", "html_text"} & set(columns)
+
+
+def test_texts_of_a_finished_batch_are_not_kept(spark):
+    """Raw mail: a text is staged in one table of its batch, which goes with the batch; log and
+    counters are those of the message stream."""
+    import os
+    from lurescope.plans import catalog as C
+    sf = "/root/testdata/sf0.001"
+    rows, raw = C._monitor_run(spark, sf), C._monitor_run(spark, sf, raw_mode=True)
+    for mon in (rows, raw):
+        stage = f"{mon.out.removeprefix('file:')}/stage"
+        held = {c for d, _, names in os.walk(stage) if any(n.endswith(".parquet") for n in names)
+                for c in spark.read.parquet("file:" + d).columns}
+        assert "email_hash" in held and not {"raw", "plain_text", "html_text", "combined"} & held
+    a, b = (sorted(tuple(r) for r in m.latest_log().select("msg_id", "is_phishing", "confidence").collect()) for m in (rows, raw))
+    assert a == b
+    a, b = (m.metrics().agg(F.sum("arrived"), F.sum("scored"), F.sum("rejected"), F.count("*")).first() for m in (rows, raw))
+    assert a == b
+
+
+def test_write_releases_its_shuffle_files(spark, tmpdir_path):
+    from lurescope import session as S
+    seen = []
+    spark.conf.set(S.SHUFFLE_CLEANUP, "false")
+    try:
+        with S.releasing_shuffles(spark):
+            seen.append(spark.conf.get(S.SHUFFLE_CLEANUP))
+        seen.append(spark.conf.get(S.SHUFFLE_CLEANUP))
+    finally:
+        spark.conf.unset(S.SHUFFLE_CLEANUP)
+    assert seen == ["true", "false"]
+    table = S.materialize(spark.range(1000).repartition(5, "id"), "shuffled")
+    assert table.count() == 1000
