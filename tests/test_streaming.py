@@ -178,3 +178,27 @@ def test_write_releases_its_shuffle_files(spark, tmpdir_path):
     assert seen == ["true", "false"]
     table = S.materialize(spark.range(1000).repartition(5, "id"), "shuffled")
     assert table.count() == 1000
+
+
+def test_raw_source_is_laid_out_by_arrival_without_shuffling_mail(spark, tmpdir_path, monkeypatch):
+    """Files follow each other in time, hold about as many messages each, and all of them; null
+    times come first.  Only times and ids are dealt by range."""
+    import glob
+    import os
+
+    dealt = []
+    kind = next(k for k in type(spark.range(1)).__mro__ if "repartitionByRange" in vars(k))
+    deal = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, *a: dealt.append(self.columns) or deal(self, *a))
+    raw = spark.range(0, 1200, 1, 5).select(
+        F.col("id").alias("msg_id"), F.when(F.col("id") % 100 != 7, F.timestamp_seconds(F.col("id") * 7919 % 1200)).alias("received_ts"),
+        F.concat(F.lit("Subject: é "), "id", F.lit("\n\n")).alias("raw"))
+    MON.write_raw_source(raw, tmpdir_path + "/src")
+    files = sorted(glob.glob(tmpdir_path + "/src/part-*"))
+    parts = [spark.read.parquet(f).collect() for f in files]
+    assert len(files) == 12 and os.listdir(tmpdir_path) == ["src"] and not any("raw" in c for c in dealt)
+    assert all(50 < len(p) < 200 for p in parts) and sum(map(len, parts)) == 1200
+    assert {(r.msg_id, bytes(r.raw).decode()) for p in parts for r in p} == {(i, f"Subject: é {i}\n\n") for i in range(1200)}
+    key = lambda r: (r.received_ts is not None, r.received_ts and r.received_ts.timestamp(), r.msg_id)
+    spans = [(min(map(key, p)), max(map(key, p))) for p in parts]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
